@@ -5,11 +5,654 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from repolith.functions.time import seconds
+from repolith.operators import community, evals, graph, history, risk, search, telemetry
+from repolith.operators.lineage import count, cut, round6
+from repolith.sources.adapters import CALLS, EDGES, FILES, HISTORY, SYMBOLS, TELEMETRY, Tables
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+#: Stand-ins on the driver's tables: parts of this type are tests, orders of these priorities fix bugs.
+TESTS = "/PROMO/"
+BUGS = r"(?i)\b(urgent|high)\b"
+#: Seeds of graph queries: a brand's parts of one type.
+SEEDS = "path LIKE 'Brand#1/ECONOMY/%'"
+
+
+def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        _queries[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def r6(x: str) -> str:
+    return f"floor(({x}) * 1e6 + 0.5) / 1e6"
+
+
+DEGREES = "deg AS (SELECT path, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out, CAST(sum(i + o) AS BIGINT) AS total FROM (SELECT dst AS path, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) GROUP BY path)"
+NOW = "now AS (SELECT max(ts) AS now FROM commits)"
+CHURN = f"churn AS (SELECT path, count(*) AS commits, CAST(sum(added + deleted) AS BIGINT) AS churn_lines, count(*) FILTER (regexp_matches(message, '(?i)\\b(urgent|high)\\b')) AS bug_commits, max(ts) AS last_touch FROM touches GROUP BY path)"
+OWNERS = "w AS (SELECT path, author, CAST(sum(added + deleted) AS BIGINT) AS weight FROM touches WHERE added + deleted > 0 GROUP BY path, author), owners AS (SELECT *, CAST(weight AS DOUBLE) / sum(weight) OVER (PARTITION BY path) AS share, row_number() OVER (PARTITION BY path ORDER BY weight DESC, author) AS rk FROM w)"
+FACTOR = "factor AS (SELECT path, coalesce(min(rk) FILTER (2 * held >= whole), max(rk)) AS bus_factor FROM (SELECT *, sum(weight) OVER (PARTITION BY path ORDER BY rk) AS held, sum(weight) OVER (PARTITION BY path) AS whole FROM owners) GROUP BY path)"
+PAIRS = "t AS (SELECT sha, path, ts FROM touches WHERE NOT is_merge AND sha IN (SELECT sha FROM commit_files GROUP BY sha HAVING count(DISTINCT path) <= 50)), n AS (SELECT path, count(*) AS n FROM t GROUP BY path), pairs AS (SELECT node_a, node_b, shared, x.n AS count_a, y.n AS count_b, last_ts, shared / CAST(x.n + y.n - shared AS DOUBLE) AS jaccard FROM (SELECT a.path AS node_a, b.path AS node_b, count(*) AS shared, max(a.ts) AS last_ts FROM t a JOIN t b ON a.sha = b.sha AND a.path < b.path GROUP BY 1, 2) JOIN n x ON node_a = x.path JOIN n y ON node_b = y.path)"
+COUPLING = "conf AS (SELECT *, jaccard * ln(1 + shared) * exp(-ln(2) * greatest((now - last_ts) / 86400.0, 0) / 90) AS confidence FROM pairs, now), both_ways AS (SELECT node_a AS path, node_b AS partner, shared, jaccard, confidence FROM conf WHERE shared >= 3 AND confidence >= 0.05 UNION ALL SELECT node_b, node_a, shared, jaccard, confidence FROM conf WHERE shared >= 3 AND confidence >= 0.05), coupled AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, partner) AS rk FROM both_ways)"
+METRICS = "partners AS (SELECT path, count(*) AS coupling FROM both_ways WHERE confidence >= 0.2 GROUP BY path), metrics AS (SELECT path, churn_lines, CAST(bug_commits AS DOUBLE) / commits AS bug_density, coalesce(coupling, 0) AS coupling, bus_factor, last_touch FROM churn LEFT JOIN partners USING (path) LEFT JOIN factor USING (path))"
+ALL_HISTORY = f"{HISTORY}, {NOW}, {CHURN}, {OWNERS}, {FACTOR}, {PAIRS}, {COUPLING}, {METRICS}"
+CAPS = "caps AS (SELECT (SELECT list_sort(list(churn_lines))[CAST(least(count(*) - 1, floor(count(*) * 0.9)) AS INT) + 1] FROM metrics) AS churn_cap, (SELECT list_sort(list(coupling))[CAST(least(count(*) - 1, floor(count(*) * 0.9)) AS INT) + 1] FROM metrics) AS coupling_cap)"
+SCORES = f"{CAPS}, scores AS (SELECT metrics.*, 0.4 * least(1.0, churn_lines / CAST(greatest(churn_cap, 1) AS DOUBLE)) + 0.3 * least(1.0, 2 * bug_density) + 0.3 * least(1.0, coupling / CAST(greatest(coupling_cap, 1) AS DOUBLE)) AS score FROM metrics, caps)"
+BANDS = "ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS rk, count(*) OVER () AS cnt FROM scores), cuts AS (SELECT *, greatest(1, ceil(cnt * 0.05)) AS c FROM ranked), cuts2 AS (SELECT *, greatest(c + 1, ceil(cnt * 0.15)) AS h FROM cuts), cuts3 AS (SELECT *, greatest(h + 1, ceil(cnt * 0.35)) AS m FROM cuts2), bands AS (SELECT path, score, rk, CASE WHEN score < 0.05 THEN 'low' WHEN rk <= c THEN 'critical' WHEN rk <= h THEN 'high' WHEN rk <= m THEN 'medium' ELSE 'low' END AS label FROM cuts3)"
+
+
+# --- graph ------------------------------------------------------------------------
+
+
+@query(f"WITH {EDGES}, {DEGREES} SELECT * FROM deg")
+def degree_all(t: Tables) -> DataFrame:
+    return graph.degrees(t.edges())
+
+
+@query(f"WITH {EDGES}, {DEGREES} SELECT * FROM deg WHERE total >= 2 ORDER BY total DESC, path LIMIT 20")
+def hub_nodes(t: Tables) -> DataFrame:
+    return graph.hub_nodes(t.edges())
+
+
+@query(f"WITH {EDGES}, {DEGREES} SELECT *, CASE WHEN fan_in > fan_out THEN 'fan_in' WHEN fan_in < fan_out THEN 'fan_out' ELSE 'bridge' END AS reason FROM deg WHERE total >= 2 ORDER BY total DESC, path LIMIT 5")
+def min_context_hubs(t: Tables) -> DataFrame:
+    return graph.minimal_context_hubs(t.edges())
+
+
+def _gaps(t: Tables) -> DataFrame:
+    return graph.knowledge_gaps(t.part_paths().select("path"), t.edges(), 3, TESTS, r"/ECONOMY/[^/]*$")
+
+
+@query(f"WITH {EDGES} SELECT path FROM ppath WHERE path NOT IN (SELECT path FROM nodes) AND NOT contains(path, '{TESTS}')")
+def isolated_files(t: Tables) -> DataFrame:
+    return _gaps(t).where("gap = 'isolated'").select("path")
+
+
+@query(f"WITH {EDGES} SELECT path FROM nodes WHERE path NOT IN (SELECT dst FROM edges) AND NOT contains(path, '{TESTS}') AND NOT regexp_matches(path, '/ECONOMY/[^/]*$')")
+def dead_code(t: Tables) -> DataFrame:
+    return _gaps(t).where("gap = 'dead_code'").select("path")
+
+
+@query(f"WITH {EDGES}, {DEGREES} SELECT path FROM deg WHERE fan_in >= 3 AND NOT contains(path, '{TESTS}')")
+def untested_hubs(t: Tables) -> DataFrame:
+    return _gaps(t).where("gap = 'untested_hub'").select("path")
+
+
+@query(f"WITH {EDGES} SELECT src, dst FROM edges WHERE NOT contains(src, '{TESTS}') AND contains(dst, '{TESTS}')")
+def prod_imports_test(t: Tables) -> DataFrame:
+    return graph.production_imports_test(t.edges(), TESTS)
+
+
+_RULES = [("no-promo", "error", "*/SMALL/**", "*/PROMO/**"), ("brands", "warn", "Brand#1/**", "Brand#2/**"), ("gone", "warn", "Nowhere/**", "Brand#3/**")]
+
+
+def _rules(t: Tables) -> DataFrame:
+    from repolith.functions.predicates import glob_to_regex
+
+    return t.spark.createDataFrame([(n, s, glob_to_regex(a), glob_to_regex(b)) for n, s, a, b in _RULES], "name string, severity string, from_re string, to_re string")
+
+
+@query(f"WITH {EDGES} SELECT 'no-promo' AS name, 'error' AS severity, src, dst FROM edges WHERE regexp_matches(src, '^[^/]*/SMALL/') AND regexp_matches(dst, '^[^/]*/PROMO/') UNION ALL SELECT 'brands', 'warn', src, dst FROM edges WHERE src LIKE 'Brand#1/%' AND dst LIKE 'Brand#2/%'")
+def rules_violations(t: Tables) -> DataFrame:
+    return graph.rule_violations(t.edges(), _rules(t))
+
+
+@query("SELECT 'gone' AS name, false AS from_hit, true AS to_hit")
+def rules_dead(t: Tables) -> DataFrame:
+    return graph.dead_rules(t.part_paths().select("path"), _rules(t))
+
+
+
+@query(f"WITH {EDGES}, o AS (SELECT * FROM edges WHERE NOT contains(src, '/SMALL/')), n AS (SELECT * FROM edges WHERE NOT contains(dst, '/LARGE/')) SELECT src, dst, 'added' AS change FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT src, dst, 'removed' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)")
+def graph_diff_edges(t: Tables) -> DataFrame:
+    e = t.edges()
+    return graph.diff(e.where("NOT contains(src, '/SMALL/')"), e.where("NOT contains(dst, '/LARGE/')"), ["src", "dst"])
+
+
+@query(f"WITH {EDGES}, o AS (SELECT * FROM edges WHERE NOT contains(src, '/SMALL/')), n AS (SELECT * FROM edges WHERE NOT contains(dst, '/LARGE/')), p AS (SELECT src AS path FROM o UNION SELECT dst FROM o), q AS (SELECT src AS path FROM n UNION SELECT dst FROM n) SELECT path, 'added' AS change FROM (SELECT * FROM q EXCEPT SELECT * FROM p) UNION ALL SELECT path, 'removed' FROM (SELECT * FROM p EXCEPT SELECT * FROM q)")
+def graph_diff_nodes(t: Tables) -> DataFrame:
+    e = t.edges()
+    return graph.diff(graph.nodes(e.where("NOT contains(src, '/SMALL/')")), graph.nodes(e.where("NOT contains(dst, '/LARGE/')")), ["path"])
+
+
+@query(f"WITH {SYMBOLS} SELECT *, end_line - start_line + 1 AS n_lines FROM symbols WHERE type IN ('function', 'class') AND end_line - start_line + 1 >= 100 ORDER BY n_lines DESC, path, name LIMIT 30")
+def large_symbols(t: Tables) -> DataFrame:
+    x = t.symbols().withColumn("n_lines", F.col("end_line") - F.col("start_line") + 1)
+    return x.where("type IN ('function', 'class') AND n_lines >= 100").orderBy(F.desc("n_lines"), "path", "name").limit(30)
+
+
+@query(f"WITH {SYMBOLS} SELECT * FROM symbols WHERE name = 'red widget'")
+def symbol_definitions(t: Tables) -> DataFrame:
+    return t.symbols().where("name = 'red widget'")
+
+
+_BFS = "reach AS (SELECT path, 0 AS hop FROM nodes WHERE {seeds} UNION SELECT e.{to}, r.hop + 1 FROM reach r JOIN edges e ON e.{frm} = r.path WHERE r.hop < {depth}), best AS (SELECT path, min(hop) AS hop FROM reach GROUP BY path)"
+
+
+def _seeds(t: Tables) -> DataFrame:
+    return t.part_paths().where(SEEDS).select("path").join(graph.nodes(t.edges()), "path", "left_semi")
+
+
+@query(f"WITH RECURSIVE {EDGES}, {_BFS.format(seeds=SEEDS, to='dst', frm='src', depth=4)} SELECT * FROM best")
+def bfs_callees(t: Tables) -> DataFrame:
+    return graph.bfs(t.edges(), _seeds(t), 4, "out")
+
+
+@query(f"WITH RECURSIVE {EDGES}, {_BFS.format(seeds=SEEDS, to='src', frm='dst', depth=4)} SELECT * FROM best")
+def bfs_callers(t: Tables) -> DataFrame:
+    return graph.bfs(t.edges(), _seeds(t), 4, "in")
+
+
+@query(f"WITH RECURSIVE {EDGES}, {_BFS.format(seeds=SEEDS, to='src', frm='dst', depth=3)} SELECT path, hop, CASE hop WHEN 1 THEN 'direct' ELSE 'transitive' END AS signal FROM best WHERE hop > 0")
+def impact_radius(t: Tables) -> DataFrame:
+    return graph.impact_radius(t.edges(), _seeds(t))
+
+
+@query(f"WITH {EDGES} SELECT DISTINCT dst AS path FROM edges WHERE src IN (SELECT path FROM nodes WHERE {SEEDS}) AND dst NOT IN (SELECT path FROM nodes WHERE {SEEDS})")
+def importees(t: Tables) -> DataFrame:
+    return graph.importees(t.edges(), _seeds(t))
+
+
+@query(f"WITH RECURSIVE {EDGES}, two AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), reach AS (SELECT path, 0 AS hop FROM nodes WHERE path LIKE 'Brand#1/%' UNION SELECT e.dst, r.hop + 1 FROM reach r JOIN two e ON e.src = r.path WHERE r.hop < 4), truth AS (SELECT path FROM ppath WHERE path LIKE '%/SMALL/%') SELECT count(*) AS n_truth, count(*) FILTER (path IN (SELECT path FROM reach)) AS n_reached, {r6('count(*) FILTER (path IN (SELECT path FROM reach)) / CAST(count(*) AS DOUBLE)')} AS ratio FROM truth")
+def reachability(t: Tables) -> DataFrame:
+    e = t.edges()
+    out = graph.reachability(e, graph.nodes(e).where("path LIKE 'Brand#1/%'"), t.part_paths().where("path LIKE '%/SMALL/%'"), 4)
+    return out.withColumn("ratio", round6(F.col("ratio")))
+
+
+def _call_seeds(t: Tables) -> DataFrame:
+    return t.part_paths().where("path LIKE 'Brand#1/%'").select("path")
+
+
+_NEXT = EDGES.split("edges AS")[0].rstrip(", ")
+
+
+@query(f"WITH {_NEXT}, {CALLS}, {SYMBOLS} SELECT caller_file, caller_symbol, callee_symbol FROM calls WHERE callee_symbol IN (SELECT name FROM symbols WHERE path LIKE 'Brand#1/%')")
+def call_sites(t: Tables) -> DataFrame:
+    return graph.call_sites(t.symbols(), t.calls(), _call_seeds(t))
+
+
+@query(f"""WITH {_NEXT}, {CALLS}, {SYMBOLS}, mine AS (SELECT DISTINCT path, name FROM symbols WHERE path LIKE 'Brand#1/%'), k AS (SELECT name, count(*) AS n FROM symbols GROUP BY name),
+per AS (SELECT path, caller_file, sum(1.0 / n) AS score FROM mine JOIN k USING (name) JOIN (SELECT DISTINCT caller_file, callee_symbol AS name FROM calls) c USING (name) WHERE caller_file <> path GROUP BY 1, 2),
+near AS (SELECT path, caller_file, score + CASE WHEN length(split_part(path, '/', 3)) >= 3 AND contains(lower(caller_file), split_part(path, '/', 3)) THEN 1.0 ELSE 0.0 END AS score FROM per)
+SELECT caller_file, {r6('max(score)')} AS score FROM near GROUP BY caller_file HAVING max(score) >= 0.01""")
+def symbol_callers_ranked(t: Tables) -> DataFrame:
+    return graph.symbol_callers(t.symbols(), t.calls(), _call_seeds(t), 1 << 30, 0.01).withColumn("score", round6(F.col("score")))
+
+
+@query(f"WITH {_NEXT}, {CALLS}, {SYMBOLS} SELECT caller_file, caller_symbol, callee_symbol, coalesce((SELECT min(path) FROM symbols WHERE name = callee_symbol), (SELECT min(caller_file) FROM calls c WHERE c.caller_symbol = calls.callee_symbol), caller_file) AS callee_file FROM calls")
+def callee_files(t: Tables) -> DataFrame:
+    return graph.callee_file(t.calls(), t.symbols())
+
+
+@query(f"""WITH {EDGES}, e AS (SELECT * FROM edges WHERE src <> dst),
+c2 AS (SELECT [a.src, a.dst] AS c FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst),
+c3 AS (SELECT [a.src, a.dst, b.dst] AS c FROM e a JOIN e b ON a.dst = b.src JOIN e z ON b.dst = z.src AND z.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst),
+c4 AS (SELECT [a.src, a.dst, b.dst, d.dst] AS c FROM e a JOIN e b ON a.dst = b.src JOIN e d ON b.dst = d.src JOIN e z ON d.dst = z.src AND z.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.src < d.dst AND b.dst <> a.dst AND d.dst NOT IN (a.dst, b.dst))
+SELECT array_to_string(c, ' > ') AS cycle, length FROM (SELECT c, 2 AS length FROM c2 UNION ALL SELECT c, 3 FROM c3 UNION ALL SELECT c, 4 FROM c4)""")
+def import_cycles(t: Tables) -> DataFrame:
+    return graph.import_cycles(t.edges(), 4, 1 << 30).select(F.array_join("cycle", " > ").alias("cycle"), "length")
+
+
+@query(f"WITH {EDGES}, {SYMBOLS} SELECT path FROM (SELECT path FROM symbols WHERE name = 'red widget' UNION SELECT src FROM edges WHERE dst IN (SELECT path FROM symbols WHERE name = 'red widget')) ORDER BY path LIMIT 50")
+def refactor_candidates(t: Tables) -> DataFrame:
+    return graph.refactor_candidates("red widget", t.symbols(), t.edges(), t.calls().limit(0))
+
+
+_GROUPS = "groups AS (SELECT path, split_part(path, '/', 2) AS name FROM ppath)"
+
+
+def _groups(t: Tables) -> DataFrame:
+    return t.part_paths().select("path", F.split_part("path", F.lit("/"), F.lit(2)).alias("name"))
+
+
+@query(f"WITH {EDGES}, {_GROUPS} SELECT src, dst, a.name AS from_name, b.name AS to_name FROM edges JOIN groups a ON src = a.path JOIN groups b ON dst = b.path WHERE a.name <> b.name ORDER BY src, dst LIMIT 50")
+def cross_group_imports(t: Tables) -> DataFrame:
+    return graph.cross_group_imports(t.edges(), _groups(t))
+
+
+@query(f"WITH {EDGES}, {_GROUPS}, i AS (SELECT src, dst, a.name AS name FROM edges JOIN groups a ON src = a.path JOIN groups b ON dst = b.path WHERE a.name = b.name), d AS (SELECT name, path, count(*) AS degree FROM (SELECT name, src AS path FROM i UNION ALL SELECT name, dst FROM i) GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY degree DESC, path) AS rk FROM d) WHERE rk <= 3")
+def architecture_hubs(t: Tables) -> DataFrame:
+    return graph.group_hubs(t.edges(), _groups(t)).select("name", "path", "degree", F.col("rk").cast("long").alias("rk"))
+
+
+@query(f"WITH {EDGES}, {_GROUPS} SELECT a.name AS from_name, b.name AS to_name, count(*) AS n FROM edges JOIN groups a ON src = a.path JOIN groups b ON dst = b.path WHERE a.name <> b.name GROUP BY 1, 2")
+def architecture_coupling(t: Tables) -> DataFrame:
+    return graph.group_coupling(t.edges(), _groups(t))
+
+
+@query(f"WITH {EDGES} SELECT * FROM edges WHERE src NOT LIKE 'Brand#1/%' AND dst NOT LIKE 'Brand#1/ECONOMY/%' UNION SELECT src, dst FROM edges WHERE src LIKE 'Brand#1/%' AND dst NOT LIKE 'Brand#1/ECONOMY/%'")
+def graph_update(t: Tables) -> DataFrame:
+    """Files of a brand are read again, those of one of its types are gone: the same as the graph built anew."""
+    e = t.edges()
+    changed = t.part_paths().where("path LIKE 'Brand#1/%'").select("path", F.col("path").like("Brand#1/ECONOMY/%").alias("removed"))
+    fresh = e.where("src LIKE 'Brand#1/%' AND src NOT LIKE 'Brand#1/ECONOMY/%' AND dst NOT LIKE 'Brand#1/ECONOMY/%'").union(e.where("src LIKE 'Brand#1/ECONOMY/%' AND dst NOT LIKE 'Brand#1/ECONOMY/%'"))
+    return graph.update_edges(e, changed, fresh)
+
+
+# --- history ------------------------------------------------------------------------
+
+
+def _now(t: Tables) -> int:
+    return t.commits().agg(F.max("ts")).first()[0]
+
+
+def _pairs(t: Tables) -> DataFrame:
+    return history.cochange_pairs(t.commits(), t.commit_files())
+
+
+@query(f"WITH {HISTORY}, {CHURN} SELECT *, {r6('CAST(bug_commits AS DOUBLE) / commits')} AS bug_density FROM churn")
+def churn(t: Tables) -> DataFrame:
+    return history.churn(t.commits(), t.commit_files(), BUGS).withColumn("bug_density", round6(F.col("bug_density")))
+
+
+@query(f"WITH {HISTORY}, c AS (SELECT path, author, count(*) AS c FROM touches GROUP BY 1, 2), s AS (SELECT path, c / CAST(sum(c) OVER (PARTITION BY path) AS DOUBLE) AS p FROM c) SELECT path, {r6('-sum(p * log2(p))')} AS author_entropy FROM s GROUP BY path")
+def author_entropy(t: Tables) -> DataFrame:
+    return history.author_entropy(t.commits(), t.commit_files()).withColumn("author_entropy", round6(F.col("author_entropy")))
+
+
+@query(f"WITH {HISTORY}, {OWNERS} SELECT path, author, weight, {r6('share')} AS share, rk FROM owners")
+def ownership(t: Tables) -> DataFrame:
+    return history.ownership(t.commits(), t.commit_files()).select("path", "author", "weight", round6(F.col("share")).alias("share"), F.col("rk").cast("long").alias("rk"))
+
+
+@query(f"WITH {HISTORY}, {OWNERS}, {FACTOR} SELECT path, CAST(bus_factor AS BIGINT) AS bus_factor FROM factor")
+def bus_factor(t: Tables) -> DataFrame:
+    return history.bus_factor(history.ownership(t.commits(), t.commit_files())).select("path", F.col("bus_factor").cast("long").alias("bus_factor"))
+
+
+@query(f"WITH {HISTORY}, {NOW} SELECT path, CAST(floor((max(now) - max(ts)) / 86400) AS BIGINT) AS staleness_days FROM touches, now GROUP BY path")
+def staleness(t: Tables) -> DataFrame:
+    return history.staleness(t.commits(), t.commit_files(), _now(t))
+
+
+@query(f"WITH {HISTORY}, {PAIRS} SELECT node_a, node_b, shared, count_a, count_b, last_ts, {r6('jaccard')} AS jaccard FROM pairs")
+def cochange_pairs(t: Tables) -> DataFrame:
+    return _pairs(t).withColumn("jaccard", round6(F.col("jaccard")))
+
+
+@query(f"""WITH {HISTORY}, t AS (SELECT sha, path, ts FROM touches WHERE NOT is_merge AND sha IN (SELECT sha FROM commit_files GROUP BY sha HAVING count(DISTINCT path) <= 50)),
+s AS (SELECT *, count(*) OVER (PARTITION BY path ORDER BY ts DESC, sha DESC ROWS UNBOUNDED PRECEDING) AS so_far FROM t),
+x AS (SELECT a.path AS node_a, b.path AS node_b, a.ts, a.sha, a.so_far AS ca, b.so_far AS cb FROM s a JOIN s b ON a.sha = b.sha AND a.path < b.path),
+y AS (SELECT *, count(*) OVER (PARTITION BY node_a, node_b) AS shared, row_number() OVER (PARTITION BY node_a, node_b ORDER BY ts, sha) AS rn FROM x)
+SELECT node_a, node_b, shared, ca AS count_a, cb AS count_b, {r6('shared / CAST(ca + cb - shared AS DOUBLE)')} AS jaccard FROM y WHERE rn = 1""")
+def cochange_ingest_mode(t: Tables) -> DataFrame:
+    return history.cochange_as_ingested(t.commits(), t.commit_files()).withColumn("jaccard", round6(F.col("jaccard")))
+
+
+@query(f"WITH {HISTORY}, {NOW}, {PAIRS}, {COUPLING} SELECT path, partner, shared, {r6('confidence')} AS confidence FROM coupled WHERE rk <= 10 AND path LIKE 'ASIA/%'")
+def git_coupling(t: Tables) -> DataFrame:
+    return history.coupling(_pairs(t), _now(t)).where("path LIKE 'ASIA/%'").select("path", "partner", "shared", round6(F.col("confidence")).alias("confidence"))
+
+
+@query(f"WITH {HISTORY}, {NOW}, {PAIRS}, {COUPLING} SELECT path, count(*) AS n_partners, CAST(sum(shared) AS BIGINT) AS shared FROM both_ways GROUP BY path")
+def coupling_fanout(t: Tables) -> DataFrame:
+    return history.coupling(_pairs(t), _now(t), k=None).groupBy("path").agg(count().alias("n_partners"), F.sum("shared").alias("shared"))
+
+
+@query(f"""WITH {HISTORY}, {NOW}, {PAIRS}, {COUPLING}, seeds AS (SELECT path FROM spath WHERE path LIKE 'AFRICA/%'), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, partner) AS k FROM both_ways WHERE confidence >= 0.1),
+c AS (SELECT * FROM r WHERE k <= 25 AND path IN (SELECT path FROM seeds) AND partner NOT IN (SELECT path FROM seeds) AND partner NOT LIKE 'EUROPE/%'),
+f AS (SELECT *, row_number() OVER (PARTITION BY partner ORDER BY path) AS j FROM c)
+SELECT partner AS path, path AS seed, {r6('confidence')} AS confidence, shared FROM f WHERE j = 1 ORDER BY f.confidence DESC, partner LIMIT 10""")
+def coupling_arm(t: Tables) -> DataFrame:
+    p = t.supplier_paths().select("path")
+    return history.coupling_arm(_pairs(t), p.where("path LIKE 'AFRICA/%'"), p.where("path LIKE 'EUROPE/%'"), _now(t)).withColumn("confidence", round6(F.col("confidence")))
+
+
+@query(f"WITH {HISTORY}, {NOW}, {OWNERS}, {FACTOR}, s AS (SELECT path, CAST(floor((max(now) - max(ts)) / 86400) AS BIGINT) AS staleness_days FROM touches, now GROUP BY path) SELECT path, CAST(bus_factor AS BIGINT) AS bus_factor, staleness_days FROM factor JOIN s USING (path) WHERE bus_factor <= 20 OR staleness_days > 20")
+def bus_factor_warnings(t: Tables) -> DataFrame:
+    f = history.bus_factor(history.ownership(t.commits(), t.commit_files()))
+    out = history.bus_factor_warnings(f, history.staleness(t.commits(), t.commit_files(), _now(t)), 20, 20)
+    return out.select("path", F.col("bus_factor").cast("long").alias("bus_factor"), "staleness_days")
+
+
+@query(f"WITH {HISTORY}, {OWNERS} SELECT author, {r6('avg(share)')} AS share FROM owners WHERE path LIKE 'ASIA/%' GROUP BY author ORDER BY avg(share) DESC, author LIMIT 2")
+def simple_reviewers(t: Tables) -> DataFrame:
+    own = history.ownership(t.commits(), t.commit_files())
+    return history.simple_reviewers(own, t.supplier_paths().where("path LIKE 'ASIA/%'")).select("author", round6(F.col("share")).alias("share"))
+
+
+@query(f"WITH {HISTORY}, {OWNERS} SELECT dir, array_to_string(list_sort(list(DISTINCT CAST(author AS VARCHAR))), ' ') AS owners FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, author FROM owners WHERE share >= 0.005 AND rk <= 2) GROUP BY dir")
+def codeowners_rules(t: Tables) -> DataFrame:
+    return history.codeowners_rules(history.ownership(t.commits(), t.commit_files()), 0.005)
+
+
+@query(f"""WITH {ALL_HISTORY}, files AS (SELECT path FROM spath WHERE path LIKE 'ASIA/%' AND path IN (SELECT path FROM commit_files)), nf AS (SELECT count(*) AS k FROM files),
+own AS (SELECT author, sum(share) AS own, sum(CASE WHEN bus_factor <= 2 AND share >= 0.1 AND rk > 1 THEN 1 ELSE 0 END) AS boosts FROM owners JOIN files USING (path) LEFT JOIN factor USING (path) GROUP BY author),
+pt AS (SELECT path, partner FROM coupled JOIN files USING (path) WHERE rk <= 10), np AS (SELECT path, count(*) AS k FROM pt GROUP BY path),
+peers AS (SELECT author, sum(h / CAST(k AS DOUBLE)) AS peers FROM (SELECT pt.path, author, count(*) AS h FROM pt JOIN owners o ON o.path = partner GROUP BY 1, 2) JOIN np USING (path) GROUP BY author),
+act AS (SELECT author, max(last_touch) AS last_ts FROM owners JOIN churn USING (path) GROUP BY author),
+x AS (SELECT author, last_ts, floor((now - last_ts) / 86400) AS days, coalesce(own, 0) / k AS own, coalesce(peers, 0) / k AS peers, coalesce(boosts, 0) / CAST(k AS DOUBLE) AS boost FROM own FULL JOIN peers USING (author) JOIN act USING (author), nf, now),
+y AS (SELECT author, own, peers, CASE WHEN days <= 30 THEN 1.0 WHEN days <= 90 THEN 0.5 ELSE 0.0 END AS activity, boost, CASE WHEN days > 90 THEN 0.3 ELSE 1.0 END AS multiplier FROM x WHERE days <= 180)
+SELECT author, {r6('own')} AS own, {r6('peers')} AS peers, {r6('multiplier * (0.5 * own + 0.25 * peers + 0.15 * activity + 0.1 * boost)')} AS total FROM y""")
+def reviewer_scores(t: Tables) -> DataFrame:
+    c, f = t.commits(), t.commit_files()
+    own, ch = history.ownership(c, f), history.churn(c, f)
+    files = t.supplier_paths().where("path LIKE 'ASIA/%'").join(f.select("path"), "path", "left_semi")
+    x = history.reviewer_scores(own, files, history.bus_factor(own), ch.select("path", "last_touch"), history.cochange_pairs(c, f), _now(t), k=None)
+    return x.select("author", *(round6(F.col(c)).alias(c) for c in ("own", "peers", "total")))
+
+
+# --- risk ------------------------------------------------------------------------
+
+
+def _metrics(t: Tables) -> DataFrame:
+    c, f = t.commits(), t.commit_files()
+    partners = history.coupling(history.cochange_pairs(c, f), _now(t), least_confidence=0.2, k=None).groupBy("path").agg(count().alias("coupling"))
+    ch = history.churn(c, f, BUGS).select("path", "churn_lines", "bug_density", "last_touch")
+    # Scores read the metrics several times (for each cap, the ranks, the result): they are made once.
+    return cut(ch.join(partners, "path", "left").fillna(0, ["coupling"]).join(history.bus_factor(history.ownership(c, f)), "path", "left"), "metrics")
+
+
+@query(f"WITH {ALL_HISTORY}, {CAPS} SELECT * FROM caps")
+def risk_caps(t: Tables) -> DataFrame:
+    return risk.risk_caps(_metrics(t))
+
+
+@query(f"WITH {ALL_HISTORY}, {SCORES} SELECT path, {r6('score')} AS score FROM scores")
+def risk_scores(t: Tables) -> DataFrame:
+    return risk.risk_scores(_metrics(t)).select("path", round6(F.col("score")).alias("score"))
+
+
+@query(f"WITH {ALL_HISTORY}, {SCORES}, {BANDS} SELECT path, {r6('score')} AS score, label FROM bands")
+def risk_bands(t: Tables) -> DataFrame:
+    return risk.risk_bands(risk.risk_scores(_metrics(t))).select("path", round6(F.col("score")).alias("score"), "label")
+
+
+@query(f"WITH {ALL_HISTORY}, {SCORES}, {BANDS} SELECT label, count(*) AS n FROM bands GROUP BY label")
+def risk_band_counts(t: Tables) -> DataFrame:
+    return risk.band_counts(risk.risk_bands(risk.risk_scores(_metrics(t))))
+
+
+_OVERLAY = "overlay AS (SELECT path, 0.35 * least(1.0, churn_lines / 1000.0) + 0.30 * least(1.0, 2 * bug_density) + 0.20 * CASE bus_factor WHEN 0 THEN 0.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.3 ELSE 0.1 END + 0.15 * least(1.0, coupling / 5.0) AS score FROM metrics)"
+
+
+@query(f"WITH {ALL_HISTORY}, {_OVERLAY} SELECT path, {r6('score')} AS score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS level FROM overlay")
+def risk_overlay(t: Tables) -> DataFrame:
+    return risk.risk_overlay(_metrics(t)).select("path", round6(F.col("score")).alias("score"), "level")
+
+
+_LEVELS = f"""imp AS (SELECT p.path, count(DISTINCT src) AS importers, coalesce(bool_or(contains(src, '{TESTS}')), false) AS covered FROM ppath p LEFT JOIN edges ON dst = p.path WHERE p.path LIKE 'Brand#1/%' OR p.path LIKE 'Brand#2/%' GROUP BY p.path),
+named AS (SELECT DISTINCT unnest(string_split_regex(path, '[^A-Za-z0-9]+')) AS word FROM nodes WHERE contains(path, '{TESTS}')),
+imp2 AS (SELECT path, importers, covered OR split_part(path, '/', 3) IN (SELECT word FROM named) AS covered FROM imp),
+levels AS (SELECT path, importers, covered, CASE WHEN contains(path, '{TESTS}') THEN CASE WHEN importers >= 5 THEN 'high' ELSE 'low' END WHEN importers >= 5 AND NOT covered THEN 'critical' WHEN importers >= 5 OR (NOT covered AND importers > 2) THEN 'high' WHEN NOT covered THEN 'medium' WHEN importers > 2 THEN 'medium' ELSE 'low' END AS level FROM imp2)"""
+
+
+def _levels(t: Tables) -> DataFrame:
+    return risk.change_risk(t.part_paths().where("path LIKE 'Brand#1/%' OR path LIKE 'Brand#2/%'"), t.edges(), TESTS)
+
+
+@query(f"WITH {EDGES}, {_LEVELS} SELECT * FROM levels")
+def change_risk(t: Tables) -> DataFrame:
+    return _levels(t)
+
+
+@query(f"WITH {EDGES}, {_LEVELS} SELECT level, count(*) AS n FROM levels GROUP BY level")
+def change_risk_summary(t: Tables) -> DataFrame:
+    return _levels(t).groupBy("level").agg(count().alias("n"))
+
+
+@query(f"WITH {EDGES}, {_LEVELS}, s AS (SELECT max(CASE level WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.5 ELSE 0.2 END) AS score FROM levels) SELECT CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS label, score < 0.7 AS passes FROM s")
+def pr_risk(t: Tables) -> DataFrame:
+    return risk.pr_risk(_levels(t))
+
+
+@query(f"WITH {HISTORY}, {CHURN} SELECT path, CASE WHEN churn_lines < 100 THEN 'low' WHEN churn_lines < 500 THEN 'medium' ELSE 'high' END AS tool, CASE WHEN churn_lines > 500 THEN 'high' WHEN churn_lines > 100 THEN 'medium' ELSE 'low' END AS dashboard FROM churn")
+def churn_buckets(t: Tables) -> DataFrame:
+    x = history.churn(t.commits(), t.commit_files(), BUGS)
+    return x.select("path", risk.churn_bucket_tool(F.col("churn_lines")).alias("tool"), risk.churn_bucket_dashboard(F.col("churn_lines")).alias("dashboard"))
+
+
+@query(f"WITH {ALL_HISTORY}, {SCORES}, {BANDS}, {EDGES} SELECT (SELECT count(*) FROM ppath) AS total_files, (SELECT count(*) FROM edges) AS total_edges, (SELECT count(*) FROM ppath WHERE path NOT IN (SELECT dst FROM edges) AND NOT regexp_matches(path, '/ECONOMY/[^/]*$')) AS dead_files, {r6('(SELECT avg(bus_factor) FROM factor)')} AS avg_bus_factor, (SELECT count(*) FROM bands WHERE label IN ('critical', 'high')) AS high_risk_files, CAST((SELECT coalesce(sum(churn_lines), 0) FROM churn, now WHERE last_touch >= now - 7 * 86400) AS BIGINT) AS churn_recent_files")
+def trend_snapshot(t: Tables) -> DataFrame:
+    m = _metrics(t)
+    x = risk.trend_snapshot(t.part_paths().select("path"), t.edges(), risk.risk_bands(risk.risk_scores(m)), m.select("bus_factor"), m, _now(t), r"/ECONOMY/[^/]*$")
+    return x.withColumn("avg_bus_factor", round6(F.col("avg_bus_factor")))
+
+
+# --- search ------------------------------------------------------------------------
+
+_VEC = "v AS (SELECT vec_id AS path, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, label AS repo FROM embeddings), q AS (SELECT path AS query, v AS q FROM v WHERE path IN (1, 7, 42))"
+_L2 = "list_sum(list_transform(list_zip(v, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_COS = "1 - list_sum(list_transform(list_zip(v, q), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * x))))"
+
+
+def _vec_seeds(t: Tables) -> DataFrame:
+    return t.embeddings().where("path IN (1, 7, 42)").select(F.col("path").alias("query"), F.col("vector").alias("q"))
+
+
+@query(f"WITH {_VEC}, d AS (SELECT query, path, {_L2} AS d FROM v, q), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, path) AS rk FROM d) SELECT query, path, {r6('d')} AS distance, rk FROM r WHERE rk <= 10")
+def vector_knn(t: Tables) -> DataFrame:
+    return search.knn(t.embeddings(), _vec_seeds(t)).select("query", "path", round6(F.col("distance")).alias("distance"), F.col("rk").cast("long").alias("rk"))
+
+
+@query(f"WITH {_VEC}, d AS (SELECT query, path, {_COS} AS d FROM v, q WHERE query <> path), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, path) AS rk FROM d) SELECT query, path, {r6('d')} AS distance FROM r WHERE rk <= 10")
+def vector_knn_cosine(t: Tables) -> DataFrame:
+    return search.knn(t.embeddings(), _vec_seeds(t), 11, "cosine").where("query != path").select("query", "path", round6(F.col("distance")).alias("distance"))
+
+
+@query(f"WITH {_VEC}, d AS (SELECT path, {_L2} AS d FROM v, q WHERE query = 7), h AS (SELECT path, d AS score FROM d ORDER BY d, path LIMIT 10), e AS (SELECT vec_id AS src, (vec_id * 7 + 1) % 500 AS dst FROM embeddings), w AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT dst AS path, min(score) + 0.1 AS score FROM h JOIN w ON h.path = w.src WHERE dst NOT IN (SELECT path FROM h) GROUP BY dst), a AS (SELECT *, 'vector' AS via FROM h UNION ALL SELECT *, 'graph' FROM n) SELECT path, {r6('score')} AS score, via FROM a ORDER BY a.score, path LIMIT 10")
+def hybrid_search(t: Tables) -> DataFrame:
+    hits = search.knn(t.embeddings(), _vec_seeds(t).where("query = 7"))
+    edges = t.raw("embeddings").select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 1) % 500).alias("dst"))
+    return search.hybrid_search(hits, edges).withColumn("score", round6(F.col("score")))
+
+
+@query(f"WITH {_VEC} SELECT path, {r6(_L2)} AS distance FROM v, q WHERE query = 42 AND path <> 42 ORDER BY {_L2}, path LIMIT 5")
+def similar_files(t: Tables) -> DataFrame:
+    return search.similar_files(t.embeddings(), 42).withColumn("distance", round6(F.col("distance")))
+
+
+@query(f"WITH {_VEC}, d AS (SELECT query, path, {_L2} AS d FROM v, q), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, path) AS rk FROM d), m AS (SELECT path, min(d) AS d FROM r WHERE rk <= 15 AND path NOT IN (1, 7, 42) AND path % 5 <> 0 AND d < 1.9 GROUP BY path) SELECT path, {r6('d')} AS distance FROM m ORDER BY d, path LIMIT 10")
+def semantic_similar(t: Tables) -> DataFrame:
+    v = t.embeddings()
+    return search.semantic_arm(v, v.where("path IN (1, 7, 42)"), v.where("path % 5 = 0"), below=1.9).withColumn("distance", round6(F.col("distance")))
+
+
+@query(f"WITH {_VEC}, d AS (SELECT repo, path, {_L2} AS d FROM v, q WHERE query = 7), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY d, path) AS rk FROM d) SELECT repo, path, {r6('d')} AS distance FROM r WHERE rk <= 10 ORDER BY d, path LIMIT 10")
+def cross_repo_search(t: Tables) -> DataFrame:
+    return search.cross_repo(t.embeddings(), _vec_seeds(t).where("query = 7")).withColumn("distance", round6(F.col("distance")))
+
+
+@query(f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, label FROM embeddings), p AS (SELECT a.v AS v, b.v AS q, a.label = b.label AS sim_pair FROM v a JOIN v b ON b.vec_id = a.vec_id + 1), c AS (SELECT sim_pair, 1 - ({_COS}) AS c FROM p), s AS (SELECT avg(c) FILTER (sim_pair) AS sim, avg(c) FILTER (NOT sim_pair) AS diff, count(*) AS n FROM c) SELECT {r6('sim')} AS sim, {r6('diff')} AS diff, {r6('sim - diff')} AS gap, n FROM s")
+def embedding_discrimination(t: Tables) -> DataFrame:
+    e = t.raw("embeddings")
+    a, b = e.select("vec_id", F.col("embedding").alias("a"), F.col("label").alias("la")), e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"), F.col("label").alias("lb"))
+    x = search.discrimination(a.join(b, "vec_id").select("a", "b", (F.col("la") == F.col("lb")).alias("similar")))
+    return x.select(*(round6(F.col(c)).alias(c) for c in ("sim", "diff", "gap")), "n")
+
+
+@query(f"WITH {FILES}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM files) SELECT path, count(*) AS matches FROM l WHERE contains(lower(line), 'license') GROUP BY path ORDER BY matches DESC, path LIMIT 20")
+def fulltext_keyword(t: Tables) -> DataFrame:
+    return search.fulltext(t.files(), "License").select("path", "matches")
+
+
+@query(f"WITH {FILES}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM files) SELECT path, count(*) AS matches FROM l WHERE regexp_matches(line, 'v[0-9]+|[0-9]{{3}}') GROUP BY path ORDER BY matches DESC, path LIMIT 20")
+def fulltext_regex(t: Tables) -> DataFrame:
+    return search.fulltext(t.files(), "v[0-9]+|[0-9]{3}", regex=True).select("path", "matches")
+
+
+@query(f"WITH {FILES}, s AS (SELECT path, string_split(content, chr(10)) AS l FROM files WHERE contains(lower(content), 'license')), a AS (SELECT path, l, list_filter(range(1, len(l) + 1), lambda i: contains(lower(l[i]), 'license')) AS hits FROM s) SELECT path, len(hits) AS matches, array_to_string(list_transform(hits[1:3], lambda i: array_to_string(l[greatest(i - 1, 1):i + 1], chr(10))), chr(10) || '--' || chr(10)) AS snippet FROM a ORDER BY matches DESC, path LIMIT 20")
+def fulltext_snippets(t: Tables) -> DataFrame:
+    return search.fulltext(t.files(), "License")
+
+
+@query(f"WITH {FILES}, s AS (SELECT path, string_split(content, chr(10)) AS l FROM files WHERE contains(content, 'License')), e AS (SELECT path, unnest(l) AS before, generate_subscripts(l, 1) AS line FROM s) SELECT path, CAST(line AS BIGINT) AS line, before, regexp_replace(before, '\\bLicense\\b', 'Licence', 'g') AS after FROM e WHERE regexp_matches(before, '\\bLicense\\b')")
+def rename_preview(t: Tables) -> DataFrame:
+    return search.rename_preview(t.files(), "License", "Licence")
+
+
+@query(f"WITH {FILES} SELECT path, sha256(regexp_replace(content, '\\bLicense\\b', 'Licence', 'g')) AS content_sha256, CAST(len(regexp_extract_all(content, '\\bLicense\\b')) AS BIGINT) AS occurrences FROM files WHERE regexp_matches(content, '\\bLicense\\b')")
+def apply_rename(t: Tables) -> DataFrame:
+    return search.apply_rename(t.files(), "License", "Licence").select("path", F.sha2("content", 256).alias("content_sha256"), "occurrences")
+
+
+@query("SELECT name, CAST(levenshtein(name, 'NATION_12') AS INT) AS distance FROM (SELECT n_name AS name FROM nation) WHERE levenshtein(name, 'NATION_12') <= 3 ORDER BY distance, name LIMIT 5")
+def alias_fuzzy_match(t: Tables) -> DataFrame:
+    return search.fuzzy_alias(t.raw("nation").select(F.col("n_name").alias("name")), "NATION_12")
+
+
+# --- telemetry ------------------------------------------------------------------------
+
+
+@query(f"WITH {FILES} SELECT path, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM files")
+def token_estimate(t: Tables) -> DataFrame:
+    return t.files().select("path", telemetry.token_estimate("content").alias("tokens"))
+
+
+_LADDER = "x AS (SELECT doc_id, text AS full_text, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 200) END AS skeleton, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE (doc_id % 7) * 60 END AS budget FROM documents), y AS (SELECT *, ceil(length(full_text) / 4.0) AS f, ceil(length(skeleton) / 4.0) AS s FROM x), m AS (SELECT *, CASE WHEN budget IS NULL OR f <= budget THEN 'full' WHEN skeleton IS NOT NULL AND s <= budget THEN 'skeleton' WHEN budget > 0 THEN 'truncate' ELSE 'error' END AS mode FROM y)"
+
+
+def _ladder(t: Tables) -> DataFrame:
+    rows = t.raw("documents").select("doc_id", F.col("text").alias("full"), F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 200)).alias("skeleton"), F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 7) * 60).alias("budget"))
+    return telemetry.budget_ladder(rows)
+
+
+@query(f"WITH {_LADDER} SELECT doc_id, mode, CAST(ceil(length(CASE mode WHEN 'full' THEN full_text WHEN 'skeleton' THEN skeleton WHEN 'truncate' THEN substr(full_text, 1, CAST(budget * 4 AS INT)) END) / 4.0) AS BIGINT) AS tokens FROM m")
+def budget_ladder(t: Tables) -> DataFrame:
+    return _ladder(t).select("doc_id", "mode", "tokens")
+
+
+@query("WITH m AS (SELECT event_type AS tool, CASE WHEN value < 10 THEN 'full' WHEN value < 30 THEN 'skeleton' ELSE 'truncate' END AS mode FROM events) SELECT tool, count(*) AS calls, count(*) FILTER (mode <> 'full') AS breaches, CAST(floor(100.0 * count(*) FILTER (mode = 'skeleton') / count(*) + 0.5) AS BIGINT) AS skeleton_pct, CAST(floor(100.0 * count(*) FILTER (mode = 'truncate') / count(*) + 0.5) AS BIGINT) AS truncate_pct, CAST(0 AS BIGINT) AS error_pct FROM m GROUP BY tool")
+def budget_fallback_split(t: Tables) -> DataFrame:
+    mode = F.when(F.col("value") < 10, "full").when(F.col("value") < 30, "skeleton").otherwise("truncate")
+    return telemetry.fallback_split(t.raw("events").select(F.col("event_type").alias("tool"), mode.alias("mode")))
+
+
+@query(f"WITH {TELEMETRY}, l AS (SELECT list_sort(list(original_tokens)) AS l, count(*) AS n FROM tele) SELECT n, l[1] AS min, l[CAST(floor((n - 1) * 0.5) AS INT) + 1] AS p50, l[CAST(floor((n - 1) * 0.75) AS INT) + 1] AS p75, l[CAST(floor((n - 1) * 0.95) AS INT) + 1] AS p95, l[CAST(n AS INT)] AS max FROM l")
+def token_quantiles(t: Tables) -> DataFrame:
+    return telemetry.token_quantiles(t.telemetry())
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS breaches FROM events WHERE event_type = 'error' GROUP BY 1")
+def breaches_per_day(t: Tables) -> DataFrame:
+    return telemetry.breaches_per_day(t.raw("events").where("event_type = 'error'"))
+
+
+@query(f"WITH {TELEMETRY}, p AS (SELECT *, lag(tool) OVER (ORDER BY ts, event_id) AS p, lag(ts) OVER (ORDER BY ts, event_id) AS pt FROM tele), g AS (SELECT p AS from_tool, tool AS to_tool, count(*) AS n, avg(greatest(original_tokens, 0)) AS a FROM p WHERE epoch_us(ts) - epoch_us(pt) <= 300000000 AND p <> tool GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY from_tool ORDER BY n DESC, to_tool) AS rk FROM g WHERE n >= 3) SELECT from_tool, to_tool, n, {r6('a')} AS avg_tokens FROM r WHERE rk <= 3")
+def tool_transitions(t: Tables) -> DataFrame:
+    return telemetry.tool_transitions(t.telemetry(), 300).select("from_tool", "to_tool", "n", round6(F.col("avg_tokens")).alias("avg_tokens"))
+
+
+_SESSIONS = f"{TELEMETRY}, f AS (SELECT *, coalesce(CAST(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 36000000000 AS INT), 0) AS fresh FROM tele), s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM f)"
+
+
+@query(f"WITH {_SESSIONS} SELECT user_id, session, count(*) AS calls FROM s GROUP BY 1, 2")
+def session_counts(t: Tables) -> DataFrame:
+    return telemetry.session_counts(t.telemetry(), 36000).select("user_id", "session", "calls")
+
+
+@query(f"WITH {_SESSIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS place FROM s) SELECT user_id, session, event_id, tool FROM r WHERE place = 5")
+def task_budget_breaches(t: Tables) -> DataFrame:
+    return telemetry.budget_breaches(t.telemetry(), 36000, 4)
+
+
+@query("SELECT l_partkey AS path, arg_max(l_extendedprice, struct_pack(a := epoch(l_shipdate), b := l_extendedprice)) AS score, CAST(max(epoch(l_shipdate)) AS BIGINT) AS ts FROM lineitem GROUP BY 1")
+def file_risk_latest(t: Tables) -> DataFrame:
+    return telemetry.last_per_file(t.raw("lineitem").select(F.col("l_partkey").alias("path"), seconds("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("score")))
+
+
+# --- imports, evaluation, conversations ------------------------------------------------
+
+
+@query("SELECT DISTINCT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages)")
+def import_edges_from_pages(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
+
+
+@query(f"WITH {EDGES}, re AS (SELECT src AS barrel, path AS source, name FROM edges JOIN (SELECT p_name AS name, path FROM ppath) s ON dst = s.path), imp AS (SELECT src, dst AS barrel FROM edges) SELECT DISTINCT imp.src, re.source AS dst FROM imp JOIN re USING (barrel) WHERE re.name = 'red widget' AND source <> imp.src AND source <> barrel")
+def reexport_edges(t: Tables) -> DataFrame:
+    from repolith.operators.extract import reexport_edges as trace
+
+    e, names = t.edges(), t.symbols().select("name", "path")
+    re = e.join(names, e["dst"] == names["path"]).select(F.col("src").alias("barrel"), F.col("name").alias("symbol"), F.col("path").alias("source"))
+    return trace(e.select("src", F.col("dst").alias("barrel"), F.lit("red widget").alias("symbol")), re)
+
+
+@query(f"WITH t AS (SELECT doc_id, source FROM documents JOIN labels USING (doc_id) WHERE quality = 0), p AS (SELECT doc_id, source FROM documents WHERE contains(text, '%%%') OR contains(text, ' | ')), x AS (SELECT coalesce(t.source, p.source) AS source, t.doc_id IS NOT NULL AS t, p.doc_id IS NOT NULL AS p FROM t FULL JOIN p ON t.doc_id = p.doc_id AND t.source = p.source), s AS (SELECT source, count(*) FILTER (t AND p) AS tp, count(*) FILTER (t) AS n_truth, count(*) FILTER (p) AS n_predicted FROM x GROUP BY source), r AS (SELECT *, CASE n_predicted WHEN 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / n_predicted END AS precision, CASE n_truth WHEN 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / n_truth END AS recall FROM s) SELECT source, tp, n_truth, n_predicted, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END')} AS f1 FROM r")
+def prf_metrics(t: Tables) -> DataFrame:
+    d = t.raw("documents")
+    truth = d.select("doc_id", "source").join(t.raw("labels").where("quality = 0").select("doc_id"), "doc_id")
+    predicted = d.where("contains(text, '%%%') OR contains(text, ' | ')").select("doc_id", "source")
+    x = evals.prf(truth, predicted, ["doc_id", "source"], "source")
+    return x.select("source", "tp", "n_truth", "n_predicted", *(round6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(f"SELECT source, count(*) AS n_expected, count(l.doc_id) AS n_found, {r6('count(l.doc_id) / CAST(count(*) AS DOUBLE)')} AS coverage FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source")
+def coverage_by_group(t: Tables) -> DataFrame:
+    return evals.coverage_by_group(t.raw("documents").select("doc_id", "source"), t.raw("labels"), "doc_id", "source").withColumn("coverage", round6(F.col("coverage")))
+
+
+@query("SELECT from_role, to_role, count(*) AS n FROM (SELECT lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS from_role, role AS to_role FROM conversations) WHERE from_role IS NOT NULL GROUP BY 1, 2")
+def conversation_transitions(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    x = t.raw("conversations").select(F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("from_role"), F.col("role").alias("to_role"))
+    return x.where("from_role IS NOT NULL").groupBy("from_role", "to_role").agg(count().alias("n"))
+
+
+# --- kernels without SQL twins --------------------------------------------------------
+
+
+@query()
+def communities(t: Tables) -> DataFrame:
+    return community.communities(t.edges())
+
+
+@query()
+def community_names(t: Tables) -> DataFrame:
+    return community.community_names(community.communities(t.edges()))
+
+
+@query()
+def betweenness(t: Tables) -> DataFrame:
+    return community.betweenness(t.edges()).withColumn("score", round6(F.col("score")))
+
+
+def _calls_with_files(t: Tables) -> DataFrame:
+    return graph.callee_file(t.calls(), t.symbols())
+
+
+@query()
+def execution_flow(t: Tables) -> DataFrame:
+    c = _calls_with_files(t)
+    return community.flows(c, c.select(F.col("caller_file").alias("file"), F.col("caller_symbol").alias("symbol")).distinct().orderBy("file", "symbol").limit(10))
+
+
+@query()
+def affected_flows(t: Tables) -> DataFrame:
+    return community.affected_flows(_calls_with_files(t), t.symbols(), t.part_paths().where(SEEDS))
+
+
+# --- the flagship ----------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {ALL_HISTORY}, {SCORES}, {BANDS}, arm AS (SELECT partner AS path, 'historical' AS signal, max(confidence) AS confidence FROM both_ways WHERE path LIKE 'AFRICA/%' GROUP BY partner)
+SELECT arm.path, signal, {r6('confidence')} AS confidence, {r6('score')} AS score, label FROM arm JOIN bands ON arm.path = bands.path""")
+def impact_union(t: Tables) -> DataFrame:
+    """Files coupled to the seeds by history, with their risk and band."""
+    arm = history.coupling(_pairs(t), _now(t), k=None).where("path LIKE 'AFRICA/%'").groupBy(F.col("partner").alias("path")).agg(F.lit("historical").alias("signal"), F.max("confidence").alias("confidence"))
+    banded = risk.risk_bands(risk.risk_scores(_metrics(t))).select("path", "score", "label")
+    return arm.join(banded, "path").select("path", "signal", round6(F.col("confidence")).alias("confidence"), round6(F.col("score")).alias("score"), "label")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _queries["impact_union"](spark, sf_dir)
