@@ -155,7 +155,8 @@ def betweenness(edges: DataFrame, sources: int = 200, limit: int | None = 20) ->
                     delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
                 if w != s:
                     score[w] += delta[w]
-        yield pd.DataFrame({"path": list(score), "score": list(score.values())}, columns=["path", "score"]).astype({"score": "float64"})
+        if score:
+            yield pd.DataFrame({"path": list(score), "score": list(score.values())})
 
     out = starts.mapInPandas(search, "path string, score double").groupBy("path").agg(F.sum("score").alias("score")).where("score > 0")
     return out.orderBy(F.desc("score"), "path").limit(limit) if limit else out
@@ -190,7 +191,8 @@ def flows(calls: DataFrame, entries: DataFrame, depth: int = 10, steps: int = 50
                     if not again and d < depth:
                         seen.add(at)
                         stack.extend((x, d + 1, (*path, at)) for x in reversed(table.get(at, [])))
-            yield pd.DataFrame(rows, columns=names).astype({"step": "int64", "depth": "int64", "revisit": bool, "is_cycle": bool}) if rows else pd.DataFrame({n: pd.Series(dtype=object) for n in names})
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return entries.select("file", "symbol").mapInPandas(walk, "entry_file string, entry_symbol string, step long, depth long, file string, symbol string, revisit boolean, is_cycle boolean")
 

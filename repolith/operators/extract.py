@@ -214,7 +214,8 @@ def definitions(files: DataFrame) -> DataFrame:
                     rows += python_nodes(path, text) if fam == "py" else pattern_nodes(path, text, fam)
                 except (SyntaxError, ValueError, RecursionError):
                     continue
-            yield pd.DataFrame(rows, columns=["path", "type", "name", "signature", "start_line", "end_line", "methods"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "type", "name", "signature", "start_line", "end_line", "methods"])
 
     return f.mapInPandas(run, NODE_SCHEMA)
 
@@ -273,7 +274,8 @@ def calls(files: DataFrame) -> DataFrame:
                         for m in _CALL.finditer(line):
                             if m[1] not in _NOT_CALLS and not (m[1] in own and "function" in line):
                                 rows.append((path, next((n[2] for n in spans if n[4] <= i <= n[5]), ""), m[1], i))
-            yield pd.DataFrame(rows, columns=["path", "caller_symbol", "callee_symbol", "line"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "caller_symbol", "callee_symbol", "line"])
 
     return f.mapInPandas(run, CALL_SCHEMA)
 
