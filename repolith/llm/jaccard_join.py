@@ -4,8 +4,8 @@ Two documents link when the Jaccard similarity of their word shingle sets is at
 least a threshold t, compared in whole numbers. In any order of all shingles
 that both sets follow, linked sets share a shingle within their prefixes of
 n - ceil(t n) + 1. Pairs come from shared prefix shingles under a first order;
-they are verified only if they share prefix shingles under the second and the
-third order too. Each order sorts by frequency class, rare ones first, and
+they are verified only if their prefixes under the first, the second and the
+third order all share shingles, and as many as a link needs. Each order sorts by frequency class, rare ones first, and
 within a class by a permutation of its own. Classes come from a counter table of
 fixed size over all documents: any order gives right results, this one keeps
 passages that many documents share out of the prefixes.
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm.common import cut, drop_cut
+from repolith.llm.common import cut, drop_cut, release
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ def prefix_size(n: int, percent: int) -> int:
 def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The first tokens of a set in an order, sorted by it. Tokens whose keys are equal stay together, as the order has to be one for all sets."""
     size = prefix_size(len(tokens), percent)
-    key = (classes.astype(np.uint64) << np.uint64(58)) | (mixed(tokens ^ np.uint64(ORDERS[order])) >> np.uint64(6))
+    key = keys(tokens, classes, order)
     if size < len(tokens):
         last = np.partition(key, size - 1)[size - 1]
         keep = key <= last
@@ -104,6 +104,25 @@ def to_classes(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(scaled + 1)), 63).astype(np.uint8)
 
 
+def keys(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
+    return (classes.astype(np.uint64) << np.uint64(58)) | (mixed(tokens ^ np.uint64(ORDERS[order])) >> np.uint64(6))
+
+
+def may_share(a: np.ndarray, b: np.ndarray, n: int, m: int, table: np.ndarray, order: int, percent: int) -> bool:
+    """Whether sets of n and m tokens with these prefixes in an order can be similar enough.
+
+    Up to the last key that both prefixes reach, all shared tokens are seen in
+    them; beyond it there are no more than either set has left.
+    """
+    both = np.intersect1d(a, b)
+    if not len(both):
+        return False
+    ka, kb = (keys(x, class_of(table, x), order) for x in (a, b))
+    reach = min(ka.max(), kb.max())
+    most = len(both) + min(n - int((ka <= reach).sum()), m - int((kb <= reach).sum()))
+    return (100 + percent) * most >= percent * (n + m)
+
+
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -188,8 +207,8 @@ def prefixes(documents: DataFrame, classes, p: Params) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, classes, wanted, p: Params) -> DataFrame:
-    """doc_id, digest, the prefixes under the other orders and the set, of documents that pass the filter."""
-    schema = "doc_id long, digest binary, others array<binary>, tokens binary"
+    """doc_id, the prefixes under the other orders and the set, of documents that pass the filter; some that weren't asked for pass too."""
+    schema = "doc_id long, others array<binary>, tokens binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits = classes.value, np.frombuffer(wanted.value, np.uint64)
@@ -203,10 +222,10 @@ def full_sets(documents: DataFrame, classes, wanted, p: Params) -> DataFrame:
                 if len(s) and batch.column(0)[i].is_valid:
                     c = class_of(table, s)
                     others = [np.sort(prefix(s, c, k, p.percent)).tobytes() for k in range(1, len(ORDERS))]
-                    out.append((int(ids[i]), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), others, s.tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "digest", "others", "tokens"])
+                    out.append((int(ids[i]), others, s.tobytes()))
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            kinds = [pa.int64(), pa.list_(pa.binary()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "others", "tokens"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -235,19 +254,35 @@ def may_link(p: Params, n: Column, m: Column, at: Column, bt: Column) -> Column:
     return length & ((100 + p.percent) * most >= p.percent * (n + m))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """The pairs that share prefix tokens under all other orders and whose sets are similar enough."""
-    mine = sets.select("doc_id", "others", "tokens")
-    both = pairs.join(mine.toDF("b", "others_b", "tokens_b"), "b").join(mine.toDF("a", "others_a", "tokens_a"), "a")
+def sharing(pairs: DataFrame, first: DataFrame, classes, p: Params) -> DataFrame:
+    """The pairs whose prefixes under the first order allow a link. Only prefixes move for it, not sets."""
+    x, y = first.toDF("a", "n_a", "prefix_a"), first.toDF("b", "n_b", "prefix_b")
+    both = pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = classes.value
+        for batch in batches:
+            view = lambda k, i: batch.column(k)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)  # noqa: B023, E731
+            keep = [i for i in range(batch.num_rows) if may_share(view(4, i), view(5, i), batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), table, 0, p.percent)]
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, classes, p: Params) -> DataFrame:
+    """The pairs whose prefixes allow a link under all other orders too and whose sets are similar enough."""
+    both = pairs.join(sets.toDF("b", "others_b", "tokens_b"), "b").join(sets.toDF("a", "others_a", "tokens_a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = lambda x: np.frombuffer(x, np.uint64)
+        table = classes.value
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
                 oa, ta, ob, tb = (batch.column(k)[i].as_py() for k in range(2, 6))
-                shared = all(len(np.intersect1d(view(x), view(y), assume_unique=True)) for x, y in zip(oa, ob, strict=True))
-                if shared and links(view(ta), view(tb), p.percent):
+                ta, tb = view(ta), view(tb)
+                orders = zip(range(1, len(ORDERS)), oa, ob, strict=True)
+                if all(may_share(view(x), view(y), len(ta), len(tb), table, k, p.percent) for k, x, y in orders) and links(ta, tb, p.percent):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -300,28 +335,29 @@ def jaccard_components(documents: DataFrame, p: Params = Params()) -> DataFrame:
     postings = first.select("doc_id", "n", F.posexplode("prefix").alias("at", "token"))
     several = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1").select("token")
     lists = cut(postings.join(several, "token").select("token", "doc_id", "n", F.col("at").cast("long").alias("at")), "lists")
-    drop_cut(first)
+    release(spark)
 
     labels, tested = None, []
-    if not lists.isEmpty():
-        wanted = spark.sparkContext.broadcast(id_filter(lists.select("doc_id").distinct(), p))  # filter_bits / 8 bytes
-        sets = full_sets(documents, classes, wanted, p)
-        sets = cut(sets.join(mine, (sets["doc_id"] == mine["rep"]) & (sets["digest"] == mine["rep_digest"]), "left_semi").select("doc_id", "others", "tokens"), "sets")
-        for k in range(p.rounds + 1):
-            open_lists = lists if labels is None else unfinished(lists, labels)
-            pairs = led(open_lists, k, p) if k < p.rounds else across(open_lists, p)
-            for old in tested:
-                pairs = pairs.join(old, ["a", "b"], "left_anti")
-            pairs = cut(pairs, "pairs")
-            if pairs.isEmpty():
-                if k:
-                    break
-                continue
-            tested.append(pairs)
-            edges = cut(verified(pairs, sets, p), "links")
-            if not edges.isEmpty():
-                labels = merged(labels, edges)
+    for k in range(p.rounds + 1):
+        open_lists = lists if labels is None else unfinished(lists, labels)
+        pairs = led(open_lists, k, p) if k < p.rounds else across(open_lists, p)
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        tested.append(pairs)
+        near = cut(sharing(pairs, first, classes, p), "near")
+        if near.isEmpty():
+            continue
+        wanted = spark.sparkContext.broadcast(id_filter(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), p))  # filter_bits / 8 bytes
+        sets = cut(full_sets(documents, classes, wanted, p), "sets")
+        edges = cut(verified(near, sets, classes, p), "links")
         drop_cut(sets)
+        if not edges.isEmpty():
+            labels = merged(labels, edges)
+        release(spark)
+    drop_cut(first)
 
     out = rows.join(representatives, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
