@@ -324,15 +324,17 @@ def histogram(plane: np.ndarray, bins: int = 32) -> np.ndarray:
     return np.bincount(plane.reshape(-1) >> (8 - bins.bit_length() + 1), minlength=bins) / max(1, plane.size)
 
 
-def shots(histograms: list[np.ndarray], window: int = 8, times: float = 4.0, floor: float = 0.2) -> list[tuple[int, int]]:
-    """(first, last) frames. A cut is where the difference is over the floor and over the mean of the differences around it by so many deviations."""
+def shots(histograms: list[np.ndarray], window: int = 8, times: float = 6.0, floor: float = 0.2) -> list[tuple[int, int]]:
+    """(first, last) frames. A cut is where the difference is over the floor and over the median of the differences around it by so
+    many median deviations, which other cuts nearby hardly move."""
     if not histograms:
         return []
     d = np.array([np.abs(a - b).sum() / 2 for a, b in zip(histograms, histograms[1:], strict=False)])
     starts = [0]
     for i, x in enumerate(d):
         near = np.concatenate([d[max(0, i - window) : i], d[i + 1 : i + 1 + window]])
-        if x > floor and (not len(near) or x > near.mean() + times * near.std()):
+        usual = np.median(near) if len(near) else 0.0
+        if x > floor and x > usual + times * (np.median(np.abs(near - usual)) if len(near) else 0.0):
             starts.append(i + 1)
     return [(a, b - 1) for a, b in zip(starts, [*starts[1:], len(histograms)], strict=True)]
 
