@@ -33,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from repolith.llm.common import cut, drop_cut, release
@@ -247,11 +247,26 @@ def id_filter(ids: DataFrame, p: Params) -> bytes:
 # --- candidates, verification, components ------------------------------------------
 
 
-def may_link(p: Params, n: Column, m: Column, at: Column, bt: Column) -> Column:
-    """Length and position filters: what two sets can share at most, given a shared token's places, against what they must."""
+def may_link(p: Params, x: str = "", y: str = "") -> Column:
+    """Whether two list rows (columns with the suffixes x and y) can be of linked sets at the first token that these share.
+
+    size: tokens that another document may have: all but those of the prefix that
+    no other prefix holds. at: such tokens before the shared one, of which none
+    is shared, as it is the first. Every link has a first shared token, so that
+    rows further back need not find it again.
+    """
+    n, m, e, f, at, bt = (F.col(c + s) for c in ("n", "size", "at") for s in (x, y))
     length = p.percent * F.greatest(n, m) <= 100 * F.least(n, m)
-    most = F.least(at, bt) + 1 + F.least(n - at - 1, m - bt - 1)
-    return length & ((100 + p.percent) * most >= p.percent * (n + m))
+    return length & ((100 + p.percent) * F.least(e - at, f - bt) >= p.percent * (n + m))
+
+
+def placed(lists: DataFrame, p: Params) -> DataFrame:
+    """token, doc_id, n, size, at of list rows at which a link may begin. The window holds one document's prefix."""
+    mine = Window.partitionBy("doc_id")
+    k = F.count(F.lit(1)).over(mine)
+    prefix_length = F.col("n") - F.floor((p.percent * F.col("n") + 99) / 100) + 1
+    x = lists.withColumn("size", F.col("n") - F.greatest(prefix_length - k, F.lit(0))).withColumn("at", (F.row_number().over(mine.orderBy("at", "token")) - 1).cast("long"))
+    return x.where(100 * (F.col("size") - F.col("at")) >= p.percent * F.col("n")).select("token", "doc_id", "n", "size", "at")
 
 
 def sharing(pairs: DataFrame, first: DataFrame, classes, p: Params) -> DataFrame:
@@ -334,7 +349,7 @@ def jaccard_components(documents: DataFrame, p: Params = Params()) -> DataFrame:
     first = cut(first.select("doc_id", "n", "prefix"), "prefixes")
     postings = first.select("doc_id", "n", F.posexplode("prefix").alias("at", "token"))
     several = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1").select("token")
-    lists = cut(postings.join(several, "token").select("token", "doc_id", "n", F.col("at").cast("long").alias("at")), "lists")
+    lists = cut(placed(postings.join(several, "token"), p), "lists")
     release(spark)
 
     labels, tested = None, []
@@ -370,7 +385,7 @@ def jaccard_components(documents: DataFrame, p: Params = Params()) -> DataFrame:
 
 def unfinished(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists whose members are in several components, with each member's."""
-    labelled = lists.select("token", "doc_id", "n", "at").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labelled = lists.select("token", "doc_id", "n", "size", "at").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed_lists = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
     return labelled.join(mixed_lists, "token", "left_semi")
 
@@ -380,17 +395,18 @@ def led(lists: DataFrame, k: int, p: Params) -> DataFrame:
     if "label" not in lists.columns:
         lists = lists.withColumn("label", F.col("doc_id"))
     rank = F.col("doc_id") if k == 0 else F.xxhash64("doc_id", "token", F.lit(k))
-    leader = lists.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "n", "at", "label")).alias("x")).select("token", *(F.col(f"x.{c}").alias(f"l_{c}") for c in ("doc_id", "n", "at", "label")))
-    pairs = lists.join(leader, "token").where((F.col("label") != F.col("l_label")) & may_link(p, F.col("n"), F.col("l_n"), F.col("at"), F.col("l_at")))
-    return pairs.select(F.least("doc_id", "l_doc_id").alias("a"), F.greatest("doc_id", "l_doc_id").alias("b")).distinct()
+    cols = ("doc_id", "n", "size", "at", "label")
+    leader = lists.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), *cols)).alias("x")).select("token", *(F.col(f"x.{c}").alias(f"{c}_l") for c in cols))
+    pairs = lists.join(leader, "token").where((F.col("label") != F.col("label_l")) & may_link(p, "", "_l"))
+    return pairs.select(F.least("doc_id", "doc_id_l").alias("a"), F.greatest("doc_id", "doc_id_l").alias("b")).distinct()
 
 
 def across(lists: DataFrame, p: Params) -> DataFrame:
     """Of each list, all pairs of members in different components that may link."""
     if "label" not in lists.columns:
         lists = lists.withColumn("label", F.col("doc_id"))
-    x, y = lists.select("token", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "n", "at", "label"))), lists.select("token", *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "at", "label")))
-    pairs = x.join(y, "token").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("label_x") != F.col("label_y")) & may_link(p, F.col("n_x"), F.col("n_y"), F.col("at_x"), F.col("at_y")))
+    x, y = (lists.select("token", *(F.col(c).alias(c + s) for c in ("doc_id", "n", "size", "at", "label"))) for s in ("_x", "_y"))
+    pairs = x.join(y, "token").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("label_x") != F.col("label_y")) & may_link(p, "_x", "_y"))
     return pairs.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
 
 
