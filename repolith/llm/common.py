@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,21 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-#: A session without spark.checkpoint.dir (tests) gets a folder of its own.
-_own_dir: str | None = None
-
+from repolith.operators.lineage import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see."""
-    global _own_dir
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="repolith-")
-    return _own_dir
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def scratch(spark: SparkSession, name: str) -> str:

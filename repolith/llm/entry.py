@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import chat_quotes, exact_dedup, quality, toxicity, warc
+from repolith.llm import chat_quotes, exact_dedup, jaccard_join, quality, toxicity, warc
 from repolith.llm.chat_quotes import op5_chat_quotes
 from repolith.llm.common import crc_mod
 from repolith.llm.exact_dedup import op9_exact_dedup
@@ -49,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_quotes": chat_quotes.SQL, "op6_warc": warc.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op5_chat_quotes": chat_quotes.SQL, "op6_warc": warc.SQL, "op7_jaccard_join": jaccard_join.SQL, "op9_exact_dedup": exact_dedup.SQL}
