@@ -38,7 +38,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2")
     """
     qs = queries.select("query", "q").collect()  # the caller's queries
     ids, mat = [r["query"] for r in qs], np.array([r["q"] for r in qs], np.float64)
-    kinds = {f.name: f.dataType.simpleString() for f in queries.schema} | {f.name: f.dataType.simpleString() for f in vectors.schema}
+    kinds = [queries.schema["query"].dataType.simpleString(), vectors.schema["path"].dataType.simpleString()]
+    arrow = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[k] for k in kinds] + [pa.float64()]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple]] = [[] for _ in ids]
@@ -58,9 +59,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2")
                 best[j] = sorted([*best[j], *((float(d[i]), paths[i]) for i in edge)])[:k]
         rows = [(ids[j], p, d) for j, b in enumerate(best) for d, p in b]
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c)) if c else pa.nulls(0) for c in cols], names=["query", "path", "distance"]) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64() if kinds["query"] == "bigint" else pa.string(), pa.int64() if kinds["path"] == "bigint" else pa.string(), pa.float64())], names=["query", "path", "distance"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, arrow, strict=True)], names=["query", "path", "distance"])
 
-    found = vectors.select("path", "vector").mapInArrow(near, f"query {kinds['query']}, path {kinds['path']}, distance double")
+    found = vectors.select("path", "vector").mapInArrow(near, f"query {kinds[0]}, path {kinds[1]}, distance double")
     return found.withColumn("rk", F.row_number().over(Window.partitionBy("query").orderBy("distance", "path"))).where(F.col("rk") <= k)
 
 
