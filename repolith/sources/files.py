@@ -9,6 +9,7 @@ from repolith.functions.predicates import is_ignored
 from repolith.operators.extract import LANGUAGES
 
 MOST_BYTES = 5 * 1024 * 1024
+# Fixed names.
 RULE_FILES = ("CLAUDE.md", "AGENTS.md", ".cursorrules", "CONVENTIONS.md", "CONTRIBUTING.md", "ARCHITECTURE.md")
 
 
