@@ -189,19 +189,22 @@ def frequency_classes(blocks: DataFrame, p: Params) -> np.ndarray:
 
 
 def prefixes(documents: DataFrame, classes, p: Params) -> DataFrame:
-    """doc_id, digest, n and the prefix under the first order."""
-    schema = "doc_id long, digest binary, n long, prefix array<long>"
+    """doc_id, digest, n, the prefix under the first order and its reach: its last key, shifted so that signed numbers sort alike."""
+    schema = "doc_id long, digest binary, n long, prefix array<long>, reach long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         for batch in batches:
-            digest, n, first = [], [], []
+            digest, n, first, reach = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), p.width)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 n.append(len(s))
-                first.append(prefix(s, class_of(table, s), 0, p.percent).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "prefix"])
+                x = prefix(s, class_of(table, s), 0, p.percent)
+                first.append(x.view(np.int64) if len(s) else None)
+                reach.append(int((keys(x[-1:], class_of(table, x[-1:]), 0) ^ np.uint64(1 << 63)).view(np.int64)[0]) if len(s) else None)
+            columns = [batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(reach, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "prefix", "reach"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -250,28 +253,32 @@ def id_filter(ids: DataFrame, p: Params) -> bytes:
 def may_link(p: Params, x: str = "", y: str = "") -> Column:
     """Whether two list rows (columns with the suffixes x and y) can be of linked sets at the first token that these share.
 
-    size: tokens that another document may have: all but those of the prefix that
-    no other prefix holds. at: such tokens before the shared one, of which none
-    is shared, as it is the first. Every link has a first shared token, so that
-    rows further back need not find it again.
+    Before that token they share none, so that at most the rest of either set is
+    shared. A prefix holds all tokens of its set up to its reach: of the set whose
+    prefix reaches less far, tokens of the prefix that no other prefix holds
+    aren't in the partner. Of the one that reaches further they may be, behind the
+    partner's prefix. Every link has a first shared token, so that rows further
+    back need not find it again.
     """
-    n, m, e, f, at, bt = (F.col(c + s) for c in ("n", "size", "at") for s in (x, y))
+    n, m, r, q = (F.col(c + s) for c in ("n", "reach") for s in (x, y))
+    e, f = (F.when(mine <= other, F.col("held" + s)).otherwise(F.col("rest" + s)) for mine, other, s in ((r, q, x), (q, r, y)))
     length = p.percent * F.greatest(n, m) <= 100 * F.least(n, m)
-    return length & ((100 + p.percent) * F.least(e - at, f - bt) >= p.percent * (n + m))
+    return length & ((100 + p.percent) * F.least(e, f) >= p.percent * (n + m))
 
 
 def placed(lists: DataFrame, p: Params) -> DataFrame:
-    """token, doc_id, n, size, at of list rows at which a link may begin. The window holds one document's prefix."""
-    mine = Window.partitionBy("doc_id")
-    k = F.count(F.lit(1)).over(mine)
-    prefix_length = F.col("n") - F.floor((p.percent * F.col("n") + 99) / 100) + 1
-    x = lists.withColumn("size", F.col("n") - F.greatest(prefix_length - k, F.lit(0))).withColumn("at", (F.row_number().over(mine.orderBy("at", "token")) - 1).cast("long"))
-    return x.where(100 * (F.col("size") - F.col("at")) >= p.percent * F.col("n")).select("token", "doc_id", "n", "size", "at")
+    """token, doc_id, n, reach, rest, held of list rows at which a link may begin. The window holds one document's prefix.
+
+    rest: tokens of the set from this one on. held: of these, all but those of the prefix that no other prefix holds.
+    """
+    later = F.count(F.lit(1)).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing))
+    x = lists.withColumn("rest", F.col("n") - F.col("at")).withColumn("held", F.least("rest", F.col("n") - F.col("length") + 1 + later))
+    return x.where(100 * F.col("rest") >= p.percent * F.col("n")).select("token", "doc_id", "n", "reach", "rest", "held")
 
 
 def sharing(pairs: DataFrame, first: DataFrame, classes, p: Params) -> DataFrame:
     """The pairs whose prefixes under the first order allow a link. Only prefixes move for it, not sets."""
-    x, y = first.toDF("a", "n_a", "prefix_a"), first.toDF("b", "n_b", "prefix_b")
+    x, y = (first.select("doc_id", "n", "prefix").toDF(k, f"n_{k}", f"prefix_{k}") for k in "ab")
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,8 +353,8 @@ def jaccard_components(documents: DataFrame, p: Params = Params()) -> DataFrame:
     first = prefixes(documents, classes, p).where("doc_id is not null and digest is not null")
     mine = representatives.toDF("rep_digest", "rep")
     first = first.join(mine, (first["doc_id"] == mine["rep"]) & (first["digest"] == mine["rep_digest"]), "left_semi")
-    first = cut(first.select("doc_id", "n", "prefix"), "prefixes")
-    postings = first.select("doc_id", "n", F.posexplode("prefix").alias("at", "token"))
+    first = cut(first.select("doc_id", "n", "prefix", "reach"), "prefixes")
+    postings = first.select("doc_id", "n", "reach", F.size("prefix").alias("length"), F.posexplode("prefix").alias("at", "token"))
     several = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1").select("token")
     lists = cut(placed(postings.join(several, "token"), p), "lists")
     release(spark)
@@ -385,7 +392,7 @@ def jaccard_components(documents: DataFrame, p: Params = Params()) -> DataFrame:
 
 def unfinished(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists whose members are in several components, with each member's."""
-    labelled = lists.select("token", "doc_id", "n", "size", "at").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labelled = lists.select("token", "doc_id", "n", "reach", "rest", "held").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed_lists = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
     return labelled.join(mixed_lists, "token", "left_semi")
 
@@ -395,7 +402,7 @@ def led(lists: DataFrame, k: int, p: Params) -> DataFrame:
     if "label" not in lists.columns:
         lists = lists.withColumn("label", F.col("doc_id"))
     rank = F.col("doc_id") if k == 0 else F.xxhash64("doc_id", "token", F.lit(k))
-    cols = ("doc_id", "n", "size", "at", "label")
+    cols = ("doc_id", "n", "reach", "rest", "held", "label")
     leader = lists.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), *cols)).alias("x")).select("token", *(F.col(f"x.{c}").alias(f"{c}_l") for c in cols))
     pairs = lists.join(leader, "token").where((F.col("label") != F.col("label_l")) & may_link(p, "", "_l"))
     return pairs.select(F.least("doc_id", "doc_id_l").alias("a"), F.greatest("doc_id", "doc_id_l").alias("b")).distinct()
@@ -405,7 +412,7 @@ def across(lists: DataFrame, p: Params) -> DataFrame:
     """Of each list, all pairs of members in different components that may link."""
     if "label" not in lists.columns:
         lists = lists.withColumn("label", F.col("doc_id"))
-    x, y = (lists.select("token", *(F.col(c).alias(c + s) for c in ("doc_id", "n", "size", "at", "label"))) for s in ("_x", "_y"))
+    x, y = (lists.select("token", *(F.col(c).alias(c + s) for c in ("doc_id", "n", "reach", "rest", "held", "label"))) for s in ("_x", "_y"))
     pairs = x.join(y, "token").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("label_x") != F.col("label_y")) & may_link(p, "_x", "_y"))
     return pairs.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
 

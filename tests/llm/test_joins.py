@@ -121,6 +121,22 @@ def test_components_match_brute_force(spark, seed, width, percent):
     assert got == brute(rows, width, percent)
 
 
+@pytest.mark.parametrize(("counters", "percent"), [(1 << 6, 85), (1 << 12, 85), (1 << 12, 80), (1 << 18, 85)])
+def test_one_sided_copies_match_brute_force(spark, counters, percent):
+    rng = random.Random(counters + percent)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(9000))
+    rows = []
+    for i in range(60):
+        text, extra = [word() for _ in range(203)], [word() for _ in range(rng.choice([16, 26, 32, 36]))]
+        at = rng.randrange(20, 180)
+        copy = [text + extra, text[:at] + extra + text[at:], text[: -len(extra)], extra + text][i % 4]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    rows += [(1000 + i, " ".join(word() for _ in range(203))) for i in range(60)]
+    p = jaccard_join.Params(percent=percent, counters=counters, filter_bits=1 << 10)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents(spark, *rows), p).collect()}
+    assert got == brute(rows, 4, percent)
+
+
 def test_join_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     near = text.replace("w49", "other")
