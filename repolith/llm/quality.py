@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -46,13 +47,12 @@ class Params:
     seed: int = 7
 
 
-def word_features(word: str, grams: tuple[int, ...], buckets: int) -> list[int]:
-    """Buckets of the word and of its character n-grams. A word over 64 characters counts by its first and last 32 and its length's class."""
-    if len(word) > 64:
-        word = f"{word[:32]}\x01{len(word).bit_length()}\x01{word[-32:]}"
+def word_features(word: str, grams: tuple[int, ...], buckets: int) -> np.ndarray:
+    """Buckets of the word and of its character n-grams; all windows of a long word count."""
     marked = f"<{word}>"
     crc, n = zlib.crc32, len(marked)
-    return [crc(marked.encode()) % buckets] + [crc(marked[i : i + g].encode()) % buckets for g in grams for i in range(n - g + 1)]
+    parts = chain((marked,), (marked[i : i + g] for g in grams for i in range(n - g + 1)))
+    return np.fromiter((crc(x.encode()) % buckets for x in parts), np.int32)
 
 
 def bag(text: str | None, cache: WordCache, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def train(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tupl
     )
 
     def features(batch: pa.RecordBatch) -> dict:
-        cache = WordCache(lambda w: np.array(word_features(w, p.grams, p.buckets), np.int32), 50_000)
+        cache = WordCache(lambda w: word_features(w, p.grams, p.buckets), 50_000)
         got = [bag(t, cache, p) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "ids": [a.tobytes() for a, _ in got], "share": [b.tobytes() for _, b in got]}
 

@@ -46,6 +46,19 @@ def test_classifier_without_labels(spark, op, p):
     assert [r.score for r in op.score(docs, model, p).collect()] == [0.5, 0.5]
 
 
+def test_quality_counts_the_middle_of_long_words(spark):
+    f = lambda w: quality.word_features(w, SMALL_Q.grams, SMALL_Q.buckets).tolist()
+    word = "a" * 32 + "bcdefg" * 1000 + "z" * 32
+    marked = f"<{word}>"
+    assert f(word) == [zlib.crc32(x.encode()) % SMALL_Q.buckets for x in (marked, *(marked[i : i + g] for g in SMALL_Q.grams for i in range(len(marked) - g + 1)))]
+    edge = lambda middle: "a" * 32 + middle * 1000 + "z" * 32
+    bad, good = edge("junk%%"), edge("文字列を書く")
+    docs = documents(spark, *([bad, good] * 40))
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, label int"), SMALL_Q)
+    scores = [r.score for r in quality.score(documents(spark, bad, good), model, SMALL_Q).collect()]
+    assert scores[0] < 0.5 < scores[1]
+
+
 def test_held_out_accuracy():
     rng = np.random.default_rng(1)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrst"), 5))
