@@ -4,8 +4,9 @@ A line's quote level is the number of > marks it begins with. Neighbouring lines
 of one level are a passage; level 0 is a message's own text. Passages are
 normalised (lower case, white space runs as one space, trimmed) and hashed. A
 quoted passage is joined to the original: the first message of the conversation
-whose own text, or a line or paragraph of it, has that hash and that stands before
-the message with the quote. A message replies to the original of its least
+whose own text, or a line, a paragraph or a run of neighbouring lines of it, has
+that hash and that stands before the message with the quote. Blank lines don't
+count in runs; only runs of lengths that the conversation's quotes have are made. A message replies to the original of its least
 nested linked passage; of several, to the latest. Its root is the end of that
 chain, found by pointer doubling, and conversations are in reply order by
 root_turn, then turn.
@@ -57,20 +58,34 @@ def own_text(lines: Column) -> Column:
     return F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
 
 
+def full_lines(text: Column) -> Column:
+    """The lines of a text that aren't blank, normalised."""
+    return F.filter(F.transform(F.split(text, "\n", -1), normal), lambda x: x != "")
+
+
+def line_runs(messages: DataFrame, quoting: DataFrame) -> DataFrame:
+    """conv_id, turn, piece: all runs of neighbouring lines that are as long as a quote of the conversation."""
+    # The lengths' rows are one a conversation and length, so that the messages' side may be split where it is skewed.
+    lengths = quoting.where("n_lines > 1").select("conv_id", "n_lines").distinct()
+    x = messages.select("conv_id", "turn", full_lines(F.col("own_text")).alias("own")).join(lengths, "conv_id").where(F.size("own") >= F.col("n_lines"))
+    starts = F.sequence(F.lit(1), F.size("own") - F.col("n_lines") + 1)
+    return x.select("conv_id", "turn", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("own", i, F.col("n_lines")), " "))).alias("piece"))
+
+
 def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, own_text, n_quotes, reply_to_turn, root_turn of every message."""
     m = with_lines(messages.select("conv_id", "turn", "role", "text"))
     quoting = m.where(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.explode(passages(F.col("lines"))).alias("q"))
-    quoting = quoting.select("conv_id", "turn", F.col("q.level").alias("level"), normal(F.col("q.text")).alias("passage")).where("passage != ''").withColumn("hash", F.sha2("passage", 256)).drop("passage")
+    quoting = quoting.select("conv_id", "turn", F.col("q.level").alias("level"), normal(F.col("q.text")).alias("passage"), F.size(full_lines(F.col("q.text"))).alias("n_lines")).where("passage != ''").withColumn("hash", F.sha2("passage", 256)).drop("passage")
     quoting = cut(quoting.distinct(), "quotes")
 
     m = m.withColumn("own_text", own_text(F.col("lines")))
     reply = None
     if not quoting.isEmpty():
         offered = F.array_union(F.array(F.col("own_text")), F.array_union(F.split("own_text", "\n"), F.split("own_text", "\n[ \\t]*\n")))
-        original = m.select("conv_id", "turn", F.explode(offered).alias("piece")).select("conv_id", "turn", normal(F.col("piece")).alias("piece")).where("piece != ''")
+        original = m.select("conv_id", "turn", F.explode(offered).alias("piece")).select("conv_id", "turn", normal(F.col("piece")).alias("piece")).where("piece != ''").unionByName(line_runs(m, quoting))
         original = original.groupBy("conv_id", F.sha2("piece", 256).alias("hash")).agg(F.min("turn").alias("first_turn"))
-        found = quoting.join(original, ["conv_id", "hash"]).where("first_turn < turn")
+        found = quoting.drop("n_lines").join(original, ["conv_id", "hash"]).where("first_turn < turn")
         reply = cut(found.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "first_turn")).alias("x")).select("conv_id", "turn", F.col("x.first_turn").alias("parent")), "replies")
     out = m.select("conv_id", "turn", "role", "own_text", F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"))
     if reply is None or reply.isEmpty():

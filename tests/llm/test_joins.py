@@ -219,6 +219,15 @@ def test_quotes_match_sql_and_meaning(spark, tmp_path):
     assert {r.own_text for r in chat_quotes.link(df).where("conv_id = 1 AND turn = 2").collect()} == {"fine"}
 
 
+def test_trimmed_quotes_of_several_lines_link(spark):
+    text = "one\ntwo  TWO\nthree\n\nfour\nfive\n\nsix"
+    quotes = ["two two\nthree", "one\ntwo two\nthree\n\nfour\nfive", "three\n\nfour", "two two\nthree\nfour\nfive\nsix", "one\nthree", "four\nthree", "three\nfour\nfive\nsix\nseven"]
+    rows = [(1, 0, "u", text), *((1, k, "a", "".join(f"> {x}\n" for x in q.split("\n")) + f"answer {k}") for k, q in enumerate(quotes, 1)), (2, 9, "a", "> two two\n> three")]
+    df = chat_quotes.link(talk(spark, *rows))
+    got = {(r.conv_id, r.turn): (r.reply_to_turn, r.root_turn) for r in df.collect()}
+    assert got == {(1, 0): (None, 0), (2, 9): (None, 9)} | {(1, k): (0, 0) if k <= 4 else (None, k) for k in range(1, 8)}
+
+
 def test_long_chains_and_no_quotes(spark):
     chain = [(1, k, "u", f"> line {k - 1}\nline {k}" if k else "line 0") for k in range(40)]
     assert {r.root_turn for r in chat_quotes.link(talk(spark, *chain)).collect()} == {0}
