@@ -634,7 +634,7 @@ def _calls_with_files(t: Tables) -> DataFrame:
 @query()
 def execution_flow(t: Tables) -> DataFrame:
     c = _calls_with_files(t)
-    return community.flows(c, c.select(F.col("caller_file").alias("file"), F.col("caller_symbol").alias("symbol")).distinct().orderBy("file", "symbol").limit(10))
+    return community.flows(c, c.select(F.col("caller_file").alias("file"), F.col("caller_symbol").alias("symbol")).distinct())
 
 
 @query()

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from repolith.plans import catalog
+from repolith.sources.adapters import Tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings benchmark documents pages conversations labels".split()
@@ -38,3 +39,9 @@ def test_twin(spark, db, name):
 
 def test_flagship_has_rows(spark):
     assert catalog.flagship(spark, SF).count() > 0
+
+
+def test_flows_start_at_every_caller(spark):
+    flows = catalog.queries()["execution_flow"](spark, SF)
+    want = {(r.caller_file, r.caller_symbol) for r in Tables(spark, SF).calls().collect()}
+    assert len(want) > 10 and {(r.entry_file, r.entry_symbol) for r in flows.collect()} == want
