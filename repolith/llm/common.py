@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,22 @@ def remove(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def cuts() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a cut() whose files are deleted at the end."""
+    made: list[DataFrame] = []
+
+    def mine(df: DataFrame, name: str) -> DataFrame:
+        made.append(cut(df, name))
+        return made[-1]
+
+    try:
+        yield mine
+    finally:
+        for df in made:
+            drop_cut(df)
+
+
 def release(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of plans that nothing holds any more. It does so only once the driver's garbage is
     collected, which on a driver with little to do takes longer than many jobs."""
@@ -98,3 +115,17 @@ class WordCache(dict):
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of rows with some MB of text each."""
+    import pyarrow.compute as pc
+
+    low = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + (n or 0) > most:
+            yield low, i
+            low, size = i, 0
+        size += n or 0
+    if low < len(texts):
+        yield low, len(texts)

@@ -3,19 +3,28 @@
 Two documents link when the Jaccard similarity of their word shingle sets is at
 least a threshold t, compared in whole numbers. In any order of all shingles
 that both sets follow, linked sets share a shingle within their prefixes of
-n - ceil(t n) + 1. Pairs come from shared prefix shingles under a first order;
-they are verified only if their prefixes under the first, the second and the
-third order all share shingles, and as many as a link needs. Each order sorts by frequency class, rare ones first, and
-within a class by a permutation of its own. Classes come from a counter table of
-fixed size over all documents: any order gives right results, this one keeps
-passages that many documents share out of the prefixes.
-
-Equal sets are one class with one representative. Of the representatives that
-share a prefix shingle not all pairs are made: first each is held against one
-leader of the shingle's list, in three rounds with other leaders, and lists
-whose members are in one component by then are done. Only pairs across
-components are left, and of these all are verified, so that no link between
-components is lost. Components grow by label propagation with shortcuts.
+n - ceil(t n) + 1. Pairs come from lists of the documents that hold a shingle in
+their prefix of the first order, and must pass the bound of what the rest of
+both sets can share. Before any whole set moves, a pair must share shingles in
+its prefixes under all three orders, and as many as a link needs. Each order
+sorts by frequency class, rare ones first, and within a class by a permutation
+of its own. Classes come from a counter table of fixed size over all documents:
+any order gives right results, this one keeps passages that many documents share
+out of the prefixes.
+
+Equal sets are one class with one representative. Of a short list all pairs are
+looked at. In a long one each member is held against one leader, the member
+with the fewest rarer shingles, which lies in the middle of a group of near
+copies. Lists whose members are in one component by then are done. In the others
+a member x that is not too far from the leader c is described by its difference
+D(x) = x ^ c. As |x & y| = |c| - |c - x| - |c - y| + |D(x) & D(y)|, two members
+that aren't linked through c need a number of shared shingles in their
+differences: prefixes of differences make new, far shorter lists. Members far
+from c go on in a list without those that are near: by the triangle inequality
+of the Jaccard distance the two can't link. New lists are treated alike, and
+after the last level all pairs across components that are left in lists are
+looked at, so that no link between components is lost. Components grow by label
+propagation with shortcuts.
 
 Text is lower-cased in A-Z only; words are [^\\x20\\x09-\\x0D]+. With fewer words
 than a shingle has, the whole sequence is the one shingle. Null, empty and blank
@@ -33,10 +42,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm.common import cut, drop_cut, release
+from repolith.llm.common import cut, cuts, drop_cut, release, slices
 
 
 @dataclass(frozen=True)
@@ -44,14 +54,21 @@ class Params:
     width: int = 4
     #: The threshold in hundredths.
     percent: int = 85
-    #: Counters of the frequency table (a byte each while counting, two when shared).
+    #: Counters of the frequency table (four bytes each in a task, one when shared).
     counters: int = 1 << 22
-    #: Bits of the filter that spares documents outside all lists; documents beyond its capacity only cost time.
-    filter_bits: int = 1 << 24
-    rounds: int = 3
+    #: A list of at most this many documents is short; a list of differences, where the bound lets few pairs through, may be longer.
+    short: int = 24
+    short_later: int = 1000
+    #: How often lists are split by leaders before all pairs that are left are looked at.
+    levels: int = 2
+    #: Documents with a similarity to the leader (in hundredths) of this or more aren't far from it.
+    near: int = 60
+    #: Ids are broadcast up to this number (some 30 MB); more are joined by a shuffle.
+    broadcast_ids: int = 1 << 19
 
 
 BLOCKS = 64
+SPREAD = 32
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -108,18 +125,25 @@ def keys(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
     return (classes.astype(np.uint64) << np.uint64(58)) | (mixed(tokens ^ np.uint64(ORDERS[order])) >> np.uint64(6))
 
 
-def may_share(a: np.ndarray, b: np.ndarray, n: int, m: int, table: np.ndarray, order: int, percent: int) -> bool:
-    """Whether sets of n and m tokens with these prefixes in an order can be similar enough.
+def signature(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) -> bytes:
+    """The upper halves of a prefix's keys, sorted."""
+    x = prefix(tokens, classes, order, percent)
+    key = keys(x, classes[np.searchsorted(tokens, x)], order)
+    return (key >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def may_share(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether sets of n and m tokens with these signatures in an order can be similar enough.
 
     Up to the last key that both prefixes reach, all shared tokens are seen in
-    them; beyond it there are no more than either set has left.
+    them; beyond it there are no more than either set has left. Halves of
+    different keys may be equal: they count as shared, and as not yet seen.
     """
-    both = np.intersect1d(a, b)
-    if not len(both):
+    both = int(np.isin(a, b).sum())
+    if not both:
         return False
-    ka, kb = (keys(x, class_of(table, x), order) for x in (a, b))
-    reach = min(ka.max(), kb.max())
-    most = len(both) + min(n - int((ka <= reach).sum()), m - int((kb <= reach).sum()))
+    reach = min(a[-1], b[-1])
+    most = both + min(n - int(np.searchsorted(a, reach)), m - int(np.searchsorted(b, reach)))
     return (100 + percent) * most >= percent * (n + m)
 
 
@@ -128,41 +152,72 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+@dataclass(frozen=True)
+class Difference:
+    """How a set differs from a leader's."""
+
+    linked: bool
+    #: Near enough for the list of differences; too far from the leader for members that are near to it.
+    close: bool
+    far: bool
+    #: Twice the part that this set has in the shingles which two linked differences share, times 100 + percent.
+    need: int
+    #: Number of tokens of the difference, and the first of them in an order that all members of the leader's list follow.
+    size: int
+    tokens: np.ndarray
+
+
+def difference(x: np.ndarray, c: np.ndarray, classes_x: np.ndarray, classes_c: np.ndarray, percent: int, near: int) -> Difference:
+    """Of members x and y whose sets aren't linked through c, |x & y| = |c| - |c - x| - |c - y| + |D(x) & D(y)|.
+
+    With q(x) = p |x| + (100 + p) |c - x| they link if (100 + p) |D(x) & D(y)| >=
+    q(x) + q(y) - (100 + p) |c|; x and c link if q(x) <= 100 |c|. No q is below
+    p |c|, and of two members that aren't linked through c one has q > 100 |c|.
+    """
+    own, lost = ~np.isin(x, c, assume_unique=True), ~np.isin(c, x, assume_unique=True)
+    more, less = int(own.sum()), int(lost.sum())
+    both, union = len(x) - more, len(c) + more
+    q, p = percent * len(x) + (100 + percent) * less, percent
+    linked = q <= 100 * len(c)
+    close = 100 * both >= (near - (100 - p) - 1) * union
+    least = (q - p * len(c)) // (100 + p) + 1 if linked else -(-(q - 100 * len(c)) // (100 + p))
+    tokens = np.zeros(0, np.uint64)
+    if close and least <= more + less:
+        # First the member's own rare tokens, then the leader's common ones, which few members lose; last those that most members
+        # lose or have besides: the leader's own rare tokens, and tokens as common as the group that the leader lacks.
+        top, e, m = int(classes_c.max()), classes_x[own].astype(np.int64), classes_c[lost].astype(np.int64)
+        rank = np.concatenate([np.where(e < top - 1, e, 2 * top), top + np.maximum(top - m, 0)])
+        key = np.concatenate([keys(x[own], np.zeros(more, np.uint8), 0), keys(c[lost], np.zeros(less, np.uint8), 0)])
+        tokens = np.concatenate([x[own], c[lost]])
+        tokens = tokens[np.lexsort((tokens, key, rank))][: more + less - least + 1]
+    return Difference(linked, close, 100 * both < near * union, 2 * q - (100 + p) * len(c), more + less, tokens)
+
+
 # --- passes over the documents ---------------------------------------------------
 
 
 def profile(documents: DataFrame, p: Params) -> DataFrame:
-    """A row for each document: doc_id, n, digest. Rows with a block hold a task's counts of the tokens hashed to it."""
-    schema = "doc_id long, n long, digest binary, block int, counts binary"
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+    """A row for each document: doc_id, n, digest and the set. Rows with a block hold a task's counts of the tokens hashed to it."""
+    schema = "doc_id long, n long, digest binary, tokens binary, block int, task int, counts binary"
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(p.counters, np.uint8), False
+        counts, seen = np.zeros(p.counters, np.uint32), False
         for batch in batches:
-            ids, n, digest, sets, held = batch.column(0), [], [], [], 0
-
-            def count() -> None:
-                some = np.bincount((np.concatenate(sets) & np.uint64(p.counters - 1)).astype(np.int64), minlength=p.counters)
-                counts[:] = np.minimum(counts + some, 255)
-
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), p.width)
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sets.append(s)
-                held += len(s)
-                if held > 4_000_000:
-                    count()
-                    sets, held, seen = [], 0, True
-            if held:
-                count()
-                seen = True
-            none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=kinds)
+            for low, high in slices(batch.column(1)):
+                sets = [shingle_set(t.as_py(), p.width) for t in batch.column(1)[low:high]]
+                tokens = [s.tobytes() if len(s) else None for s in sets]
+                digest = [t and hashlib.blake2b(t, digest_size=16).digest() for t in tokens]
+                k = len(sets)
+                columns = [batch.column(0)[low:high], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(k, f.type) for f in list(kinds)[4:])], schema=kinds)
+                if any(tokens):
+                    counts += np.bincount((np.concatenate(sets) & np.uint64(p.counters - 1)).astype(np.int64), minlength=p.counters).astype(np.uint32)
+                    seen = True
         if seen:
             parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(BLOCKS, -1)]
-            none = pa.nulls(BLOCKS)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], schema=kinds)
+            task = pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(BLOCKS, f.type) for f in list(kinds)[:4]), pa.array(range(BLOCKS), pa.int32()), task, pa.array(parts, pa.binary())], schema=kinds)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -173,142 +228,174 @@ def frequency_classes(blocks: DataFrame, p: Params) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
+            kind = np.uint32 if batch.schema.names[1] == "counts" else np.uint64
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(zlib.decompress(data.as_py()), np.uint8 if batch.schema.names[1] == "counts" else np.uint16)
-                total[block] = np.minimum(total.get(block, 0) + x.astype(np.int64), 65535)
+                x = np.frombuffer(zlib.decompress(data.as_py()), kind)
+                total[block] = total.get(block, 0) + x.astype(np.uint64)
         if total:
-            parts = [zlib.compress(x.astype(np.uint16).tobytes(), 1) for x in total.values()]
+            parts = [zlib.compress(x.tobytes(), 1) for x in total.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(parts, pa.binary())], names=["block", "sums"])
 
-    first = blocks.select("block", "counts").repartition(8, F.expr("crc32(counts)")).mapInArrow(add, "block int, sums binary")
+    # First over some tasks each, so that the second step has SPREAD rows a block, however many tasks there were.
+    first = blocks.repartition("block", F.col("task") % SPREAD).select("block", "counts").mapInArrow(add, "block int, sums binary")
     rows = first.repartition(8, "block").mapInArrow(add, "block int, sums binary").collect()
-    table = np.zeros((BLOCKS, p.counters // BLOCKS), np.uint16)
+    table = np.zeros((BLOCKS, p.counters // BLOCKS), np.uint64)
     for r in rows:
-        table[r.block] = np.frombuffer(zlib.decompress(bytes(r.sums)), np.uint16)
+        table[r.block] = np.frombuffer(zlib.decompress(bytes(r.sums)), np.uint64)
     return to_classes(table.reshape(-1))
 
 
-def prefixes(documents: DataFrame, classes, p: Params) -> DataFrame:
-    """doc_id, digest, n, the prefix under the first order and its reach: its last key, shifted so that signed numbers sort alike."""
-    schema = "doc_id long, digest binary, n long, prefix array<long>, reach long"
+def prefixes(sets: DataFrame, classes, p: Params) -> DataFrame:
+    """doc_id, digest, n and the prefix under the first order."""
+    schema = "doc_id long, digest binary, n long, prefix array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         for batch in batches:
-            digest, n, first, reach = [], [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), p.width)
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                n.append(len(s))
-                x = prefix(s, class_of(table, s), 0, p.percent)
-                first.append(x.view(np.int64) if len(s) else None)
-                reach.append(int((keys(x[-1:], class_of(table, x[-1:]), 0) ^ np.uint64(1 << 63)).view(np.int64)[0]) if len(s) else None)
-            columns = [batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(reach, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "prefix", "reach"])
+            first = []
+            for data in batch.column(3):
+                s = np.frombuffer(data.as_buffer(), np.uint64)
+                first.append(prefix(s, class_of(table, s), 0, p.percent).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "prefix"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return sets.select("doc_id", "digest", "n", "tokens").mapInArrow(run, schema)
 
 
-def full_sets(documents: DataFrame, classes, wanted, p: Params) -> DataFrame:
-    """doc_id, the prefixes under the other orders and the set, of documents that pass the filter; some that weren't asked for pass too."""
-    schema = "doc_id long, others array<binary>, tokens binary"
+def signatures(sets: DataFrame, classes, p: Params) -> DataFrame:
+    """doc_id, n and the signatures under all orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bits = classes.value, np.frombuffer(wanted.value, np.uint64)
+        table = classes.value
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            at = mixed(ids.astype(np.uint64)) & np.uint64(p.filter_bits - 1)
-            hits = np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).tolist()
-            out: list[tuple] = []
-            for i in hits:
-                s = shingle_set(batch.column(1)[i].as_py(), p.width)
-                if len(s) and batch.column(0)[i].is_valid:
-                    c = class_of(table, s)
-                    others = [np.sort(prefix(s, c, k, p.percent)).tobytes() for k in range(1, len(ORDERS))]
-                    out.append((int(ids[i]), others, s.tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            kinds = [pa.int64(), pa.list_(pa.binary()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "others", "tokens"])
-
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-
+            out = []
+            for data in batch.column(2):
+                s = np.frombuffer(data.as_buffer(), np.uint64)
+                c = class_of(table, s)
+                out.append([signature(s, c, k, p.percent) for k in range(len(ORDERS))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "n", "orders"])
 
-def id_filter(ids: DataFrame, p: Params) -> bytes:
-    """A bit table of ids: filter_bits / 64 rows at most come to the driver."""
+    return sets.select("doc_id", "n", "tokens").mapInArrow(run, "doc_id long, n long, orders array<binary>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = mixed(batch.column(0).to_numpy().astype(np.uint64)) & np.uint64(p.filter_bits - 1)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bits"])
 
-    rows = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    table = np.zeros(p.filter_bits // 64, np.int64)
-    table[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return table.tobytes()
+def of_ids(sets: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
+    """The rows of sets that pairs name. Ids are broadcast up to a number that is counted first; more of them are joined by a shuffle."""
+    ids = pairs.select(F.explode(F.array(*pairs.columns)).alias("doc_id")).distinct()
+    return sets.join(F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids, "doc_id", "left_semi")
 
 
 # --- candidates, verification, components ------------------------------------------
 
+#: A list's rows: a document's n tokens; how many tokens lie before the list's one and from it on; what a link needs of the two, times 100 + percent and doubled; the list's length.
+ROW = ("doc_id", "n", "at", "rest", "need", "label")
+
 
 def may_link(p: Params, x: str = "", y: str = "") -> Column:
-    """Whether two list rows (columns with the suffixes x and y) can be of linked sets at the first token that these share.
-
-    Before that token they share none, so that at most the rest of either set is
-    shared. A prefix holds all tokens of its set up to its reach: of the set whose
-    prefix reaches less far, tokens of the prefix that no other prefix holds
-    aren't in the partner. Of the one that reaches further they may be, behind the
-    partner's prefix. Every link has a first shared token, so that rows further
-    back need not find it again.
-    """
-    n, m, r, q = (F.col(c + s) for c in ("n", "reach") for s in (x, y))
-    e, f = (F.when(mine <= other, F.col("held" + s)).otherwise(F.col("rest" + s)) for mine, other, s in ((r, q, x), (q, r, y)))
+    """Whether two list rows (columns with the suffixes x and y) can be of linked sets if the list's token is the first in the order
+    that both hold: then they share no more than the rest of either. Every link has such a first token."""
+    n, m = F.col(f"n{x}"), F.col(f"n{y}")
     length = p.percent * F.greatest(n, m) <= 100 * F.least(n, m)
-    return length & ((100 + p.percent) * F.least(e, f) >= p.percent * (n + m))
+    return length & (2 * (100 + p.percent) * F.least(f"rest{x}", f"rest{y}") >= F.col(f"need{x}") + F.col(f"need{y}"))
 
 
-def placed(lists: DataFrame, p: Params) -> DataFrame:
-    """token, doc_id, n, reach, rest, held of list rows at which a link may begin. The window holds one document's prefix.
+def sized(rows: DataFrame) -> DataFrame:
+    """Rows of lists with several documents, and the lists' lengths."""
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return rows.join(several, "key")
+
+
+def labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    lists = lists.drop("label")
+    known = lists.join(labels, "doc_id", "left") if labels is not None else lists.withColumn("label", F.col("doc_id"))
+    return known.withColumn("label", F.coalesce("label", "doc_id"))
+
+
+def unfinished(lists: DataFrame) -> DataFrame:
+    """The lists whose members are in several components."""
+    several = lists.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    return lists.join(several, "key", "left_semi")
+
+
+def with_leader(lists: DataFrame) -> DataFrame:
+    """Each row with its list's leader (columns with _l): of the members with the fewest rarer tokens, the one with the least id."""
+    best = lists.groupBy("key").agg(F.min(F.struct("at", "doc_id", *(c for c in ROW if c not in ("at", "doc_id")))).alias("x"))
+    return lists.join(best.select("key", *(F.col(f"x.{c}").alias(f"{c}_l") for c in ROW)), "key")
+
+
+def led(lists: DataFrame, p: Params) -> DataFrame:
+    """Each member with the list's leader."""
+    pairs = with_leader(lists).where((F.col("label") != F.col("label_l")) & may_link(p, "", "_l"))
+    return pairs.select(F.least("doc_id", "doc_id_l").alias("a"), F.greatest("doc_id", "doc_id_l").alias("b"))
 
-    rest: tokens of the set from this one on. held: of these, all but those of the prefix that no other prefix holds.
-    """
-    later = F.count(F.lit(1)).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(1, Window.unboundedFollowing))
-    x = lists.withColumn("rest", F.col("n") - F.col("at")).withColumn("held", F.least("rest", F.col("n") - F.col("length") + 1 + later))
-    return x.where(100 * F.col("rest") >= p.percent * F.col("n")).select("token", "doc_id", "n", "reach", "rest", "held")
 
+def met(lists: DataFrame, p: Params) -> DataFrame:
+    """Of each list, all pairs of members in different components."""
+    x, y = (lists.select("key", *(F.col(c).alias(c + s) for c in ROW)) for s in ("_x", "_y"))
+    pairs = x.join(y, "key").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("label_x") != F.col("label_y")) & may_link(p, "_x", "_y"))
+    return pairs.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
 
-def sharing(pairs: DataFrame, first: DataFrame, classes, p: Params) -> DataFrame:
-    """The pairs whose prefixes under the first order allow a link. Only prefixes move for it, not sets."""
-    x, y = (first.select("doc_id", "n", "prefix").toDF(k, f"n_{k}", f"prefix_{k}") for k in "ab")
-    both = pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "prefix_a", "prefix_b")
+
+def sharing(pairs: DataFrame, sets: DataFrame, classes, p: Params) -> DataFrame:
+    """The pairs whose prefixes allow a link under every order."""
+    mine = signatures(of_ids(sets, pairs, p), classes, p)
+    both = pairs.join(mine.toDF("b", "n_b", "orders_b"), "b").join(mine.toDF("a", "n_a", "orders_a"), "a").select("a", "b", "n_a", "n_b", "orders_a", "orders_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = classes.value
+        view = lambda x: np.frombuffer(x, np.uint32)
         for batch in batches:
-            view = lambda k, i: batch.column(k)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)  # noqa: B023, E731
-            keep = [i for i in range(batch.num_rows) if may_share(view(4, i), view(5, i), batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), table, 0, p.percent)]
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            keep = [i for i, (n, m, x, y) in enumerate(rows) if all(may_share(view(s), view(t), n, m, p.percent) for s, t in zip(x, y, strict=True))]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
+
 
+def with_sets(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """a, b and both sets."""
+    mine = of_ids(sets, pairs, p).select("doc_id", "tokens")
+    return pairs.join(mine.toDF("b", "tokens_b"), "b").join(mine.toDF("a", "tokens_a"), "a").select("a", "b", "tokens_a", "tokens_b")
 
-def verified(pairs: DataFrame, sets: DataFrame, classes, p: Params) -> DataFrame:
-    """The pairs whose prefixes allow a link under all other orders too and whose sets are similar enough."""
-    both = pairs.join(sets.toDF("b", "others_b", "tokens_b"), "b").join(sets.toDF("a", "others_a", "tokens_a"), "a")
+
+def verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """The pairs whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        view = lambda x: np.frombuffer(x, np.uint64)
-        table = classes.value
+        view = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                oa, ta, ob, tb = (batch.column(k)[i].as_py() for k in range(2, 6))
-                ta, tb = view(ta), view(tb)
-                orders = zip(range(1, len(ORDERS)), oa, ob, strict=True)
-                if all(may_share(view(x), view(y), len(ta), len(tb), table, k, p.percent) for k, x, y in orders) and links(ta, tb, p.percent):
-                    keep.append(i)
+            keep = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)) if links(view(x), view(y), p.percent)]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.select("a", "b", "others_a", "tokens_a", "others_b", "tokens_b").mapInArrow(run, "a long, b long").distinct()
+    return with_sets(pairs, sets, p).mapInArrow(run, "a long, b long")
+
+
+def differences(pairs: DataFrame, sets: DataFrame, classes, p: Params) -> DataFrame:
+    """Of pairs (a leader, b member): what the member's difference says, and the keys of its lists: a hash of leader and token."""
+    schema = "a long, b long, n long, linked boolean, far boolean, need long, size long, keys array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, names = classes.value, [x.split()[0] for x in schema.split(", ")]
+        view = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
+        for batch in batches:
+            out, n = [], []
+            for leader, c, x in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                c, x = view(c), view(x)
+                d = difference(x, c, class_of(table, x), class_of(table, c), p.percent, p.near)
+                n.append(len(x))
+                salt = mixed(np.array([leader], np.int64).astype(np.uint64))
+                out.append((d.linked, d.far, d.need, d.size, mixed(d.tokens ^ salt).view(np.int64)))
+            rest = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), *(pa.array(list(v), k) for v, k in zip(rest, kinds, strict=True))], names=names)
+
+    return with_sets(pairs, sets, p).mapInArrow(run, schema)
+
+
+def next_lists(led_by: DataFrame, apart: DataFrame) -> DataFrame:
+    """Lists of the differences' tokens, and the old lists' members that are far from their leader."""
+    x = apart.select(F.col("b").alias("doc_id"), "n", "size", "need", F.posexplode("keys").alias("at", "key"))
+    columns = ("key", "doc_id", "n", "at", "rest", "need")
+    of_tokens = x.withColumn("rest", F.col("size") - F.col("at")).select(*columns)
+    gone = apart.where("far").select(F.col("a").alias("doc_id_l"), F.col("b").alias("doc_id"))
+    return sized(of_tokens.unionByName(led_by.join(gone, ["doc_id_l", "doc_id"], "left_semi").select(*columns)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -324,11 +411,15 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
         if labels.where("label != old").isEmpty():
             drop_cut(two)
-            return labels.select("doc_id", "label")
+            out = labels.select("doc_id", "label")
+            out._repolith_path = labels._repolith_path  # type: ignore[attr-defined]
+            return out
 
 
-def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
     """Labels after more edges: components of the components."""
+    if edges.isEmpty():
+        return labels
     if labels is None:
         return components(edges)
     known = labels.select(F.col("doc_id").alias("__id"), F.col("label").alias("__label"))
@@ -337,51 +428,65 @@ def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     upper = components(edges.where("a != b"))
     over = upper.toDF("__id", "__top")
     moved = labels.join(over, F.col("label") == F.col("__id"), "left").select("doc_id", F.coalesce("__top", "label").alias("label"))
-    return cut(moved.unionByName(upper.join(labels, "doc_id", "left_anti")), "labels")
+    out = cut(moved.unionByName(upper.join(labels, "doc_id", "left_anti")), "labels")
+    drop_cut(upper)
+    drop_cut(labels)
+    return out
+
+
+def connected(lists: DataFrame, sets: DataFrame, classes, p: Params) -> DataFrame | None:
+    """doc_id and label of all documents that link with others; None if there are no links."""
+    labels = None
+    for level in range(p.levels + 1):
+        last = level == p.levels
+        is_long = F.lit(False) if last else F.col("size") > (p.short_later if level else p.short)
+        with cuts() as cut_here:
+            mine = unfinished(labelled(lists, labels)) if level else labelled(lists, labels)
+            pairs = cut_here(met(mine.where(~is_long), p).unionByName(led(mine.where(is_long), p)).distinct(), "pairs")
+            if not pairs.isEmpty():
+                near = cut_here(sharing(pairs, sets, classes, p), "near")
+                labels = merged(labels, cut_here(verified(near, sets, p), "links"))
+            left = None if last else cut_here(unfinished(labelled(lists.where(is_long), labels)), "left")
+            if left is None or left.isEmpty():
+                drop_cut(lists)
+                return labels
+            led_by = cut_here(with_leader(left).where("doc_id != doc_id_l"), "led")
+            apart = cut_here(differences(led_by.select(F.col("doc_id_l").alias("a"), F.col("doc_id").alias("b")).distinct(), sets, classes, p), "apart")
+            labels = merged(labels, apart.where("linked").select("a", "b"))
+            shorter = cut(next_lists(led_by, apart), "lists")
+        drop_cut(lists)
+        lists = shorter
+        release(sets.sparkSession)
+    return labels
 
 
 def jaccard_components(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = documents.sparkSession
-    profiled = cut(profile(documents, p), "profile")
-    classes = spark.sparkContext.broadcast(frequency_classes(profiled.where("block is not null"), p))  # counters bytes
-    rows = profiled.where("block is null")
+    profiled = cut(profile(documents, p), "sets")
+    classes = spark.sparkContext.broadcast(frequency_classes(profiled.where("block is not null").select("block", "task", "counts"), p))  # counters bytes
+    rows = profiled.where("block is null").select("doc_id", "n", "digest")
     known = rows.where("digest is not null and doc_id is not null")
-    representatives = cut(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "representatives")
+    groups = cut(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "representatives")
 
     # Prefixes of representatives alone; dealt by id and digest, so that many equal texts don't meet.
-    first = prefixes(documents, classes, p).where("doc_id is not null and digest is not null")
-    mine = representatives.toDF("rep_digest", "rep")
+    sets = profiled.where("block is null and digest is not null and doc_id is not null").select("doc_id", "n", "digest", "tokens")
+    mine = groups.toDF("rep_digest", "rep")
+    first = prefixes(sets, classes, p)
     first = first.join(mine, (first["doc_id"] == mine["rep"]) & (first["digest"] == mine["rep_digest"]), "left_semi")
-    first = cut(first.select("doc_id", "n", "prefix", "reach"), "prefixes")
-    postings = first.select("doc_id", "n", "reach", F.size("prefix").alias("length"), F.posexplode("prefix").alias("at", "token"))
-    several = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1").select("token")
-    lists = cut(placed(postings.join(several, "token"), p), "lists")
+    postings = cut(first.select(F.posexplode("prefix").alias("at", "key"), "doc_id", "n"), "postings")
+    lists = sized(postings.select("key", "doc_id", "n", F.col("at").cast("long"), (F.col("n") - F.col("at")).alias("rest"), (2 * p.percent * F.col("n")).alias("need")))
+    lists = cut(lists, "lists")
+    drop_cut(postings)
     release(spark)
+    labels = connected(lists, sets, classes, p)
+
+    # Rows with equal ids and different texts are one node.
+    repeated = known.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high").select("doc_id")
+    same = cut(known.join(repeated, "doc_id", "left_semi").join(groups, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b").distinct(), "same")
+    labels = labels if same.isEmpty() else merged(labels, same)
 
-    labels, tested = None, []
-    for k in range(p.rounds + 1):
-        open_lists = lists if labels is None else unfinished(lists, labels)
-        pairs = led(open_lists, k, p) if k < p.rounds else across(open_lists, p)
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested.append(pairs)
-        near = cut(sharing(pairs, first, classes, p), "near")
-        if near.isEmpty():
-            continue
-        wanted = spark.sparkContext.broadcast(id_filter(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), p))  # filter_bits / 8 bytes
-        sets = cut(full_sets(documents, classes, wanted, p), "sets")
-        edges = cut(verified(near, sets, classes, p), "links")
-        drop_cut(sets)
-        if not edges.isEmpty():
-            labels = merged(labels, edges)
-        release(spark)
-    drop_cut(first)
-
-    out = rows.join(representatives, "digest", "left")
+    out = rows.join(groups, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     if labels is not None:
@@ -390,33 +495,6 @@ def jaccard_components(documents: DataFrame, p: Params = Params()) -> DataFrame:
     return out
 
 
-def unfinished(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists whose members are in several components, with each member's."""
-    labelled = lists.select("token", "doc_id", "n", "reach", "rest", "held").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    mixed_lists = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-    return labelled.join(mixed_lists, "token", "left_semi")
-
-
-def led(lists: DataFrame, k: int, p: Params) -> DataFrame:
-    """Each list's members with one leader: the least id, in later rounds the least of a hash that changes from list to list."""
-    if "label" not in lists.columns:
-        lists = lists.withColumn("label", F.col("doc_id"))
-    rank = F.col("doc_id") if k == 0 else F.xxhash64("doc_id", "token", F.lit(k))
-    cols = ("doc_id", "n", "reach", "rest", "held", "label")
-    leader = lists.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), *cols)).alias("x")).select("token", *(F.col(f"x.{c}").alias(f"{c}_l") for c in cols))
-    pairs = lists.join(leader, "token").where((F.col("label") != F.col("label_l")) & may_link(p, "", "_l"))
-    return pairs.select(F.least("doc_id", "doc_id_l").alias("a"), F.greatest("doc_id", "doc_id_l").alias("b")).distinct()
-
-
-def across(lists: DataFrame, p: Params) -> DataFrame:
-    """Of each list, all pairs of members in different components that may link."""
-    if "label" not in lists.columns:
-        lists = lists.withColumn("label", F.col("doc_id"))
-    x, y = (lists.select("token", *(F.col(c).alias(c + s) for c in ("doc_id", "n", "reach", "rest", "held", "label"))) for s in ("_x", "_y"))
-    pairs = x.join(y, "token").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("label_x") != F.col("label_y")) & may_link(p, "_x", "_y"))
-    return pairs.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
-
-
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm.common import WordCache
+from repolith.llm.common import WordCache, slices
 
 LENGTH, OPEN, END = 4096, 96, 1
 #: White space on which a text can be cut without changing its ids: no token holds any, and no rule looks across it.
@@ -175,20 +175,6 @@ def pack(documents: DataFrame, encoder: Callable[[], Callable[[list[str]], list[
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of rows with some MB of text each."""
-    import pyarrow.compute as pc
-
-    low = size = 0
-    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
-        if size and size + (n or 0) > most:
-            yield low, i
-            low, size = i, 0
-        size += n or 0
-    if low < len(texts):
-        yield low, len(texts)
-
-
 def word_encoder(path: str | None = None) -> Callable[[], Callable[[list[str]], list[bytes]]]:
     def make() -> Callable[[list[str]], list[bytes]]:
         import public_tokenizers

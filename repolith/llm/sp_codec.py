@@ -32,8 +32,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm.common import WordCache
-from repolith.llm.packing import slices
+from repolith.llm.common import WordCache, slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10

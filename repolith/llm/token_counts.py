@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repolith.llm.packing import slices
+from repolith.llm.common import slices
 
 #: Lengths in a block: prefix sums run within blocks, and over the blocks' totals.
 BLOCK = 1024

@@ -116,7 +116,7 @@ def corpus(seed, n=140):
 @pytest.mark.parametrize(("seed", "width", "percent"), [(1, 4, 85), (2, 5, 80), (3, 4, 85)])
 def test_components_match_brute_force(spark, seed, width, percent):
     rows = corpus(seed)
-    p = jaccard_join.Params(width=width, percent=percent, counters=1 << 12, filter_bits=1 << 10)
+    p = jaccard_join.Params(width=width, percent=percent, counters=1 << 12)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents(spark, *rows), p).collect()}
     assert got == brute(rows, width, percent)
 
@@ -132,7 +132,7 @@ def test_one_sided_copies_match_brute_force(spark, counters, percent):
         copy = [text + extra, text[:at] + extra + text[at:], text[: -len(extra)], extra + text][i % 4]
         rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
     rows += [(1000 + i, " ".join(word() for _ in range(203))) for i in range(60)]
-    p = jaccard_join.Params(percent=percent, counters=counters, filter_bits=1 << 10)
+    p = jaccard_join.Params(percent=percent, counters=counters)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents(spark, *rows), p).collect()}
     assert got == brute(rows, 4, percent)
 
@@ -141,7 +141,7 @@ def test_join_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     near = text.replace("w49", "other")
     docs = documents(spark, (5, text), (5, text), (9, near), (None, text), (2, "alone"))
-    got = jaccard_join.jaccard_components(docs, jaccard_join.Params(counters=1 << 12, filter_bits=1 << 10)).collect()
+    got = jaccard_join.jaccard_components(docs, jaccard_join.Params(counters=1 << 12)).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got if r.doc_id) == [(2, 1, 2), (5, 47, 5), (5, 47, 5), (9, 47, 5)]
     assert [r.component_id for r in got if r.doc_id is None] == [None] and len(got) == 5
 
@@ -150,17 +150,116 @@ def test_bound_never_refuses_a_link():
     import numpy as np
 
     rng = np.random.default_rng(5)
-    table = rng.integers(0, 6, 1 << 12).astype(np.uint8)
-    for _ in range(300):
-        base = np.unique(rng.integers(0, 1 << 62, rng.integers(6, 200)).astype(np.uint64))
-        other = base.copy()
-        k = rng.integers(0, max(1, len(base) // 8))
-        other[rng.choice(len(base), k, replace=False)] = rng.integers(0, 1 << 62, k)
-        other = np.unique(other)
-        if jaccard_join.links(base, other, 85):
-            for order in range(3):
-                a, b = (jaccard_join.prefix(x, jaccard_join.class_of(table, x), order, 85) for x in (base, other))
-                assert jaccard_join.may_share(a, b, len(base), len(other), table, order, 85)
+    for counters in (1 << 4, 1 << 12):
+        table = rng.integers(0, 6, counters).astype(np.uint8)
+        for _ in range(300):
+            base = np.unique(rng.integers(0, 1 << 62, rng.integers(6, 200)).astype(np.uint64))
+            other = base.copy()
+            k = rng.integers(0, max(1, len(base) // 8))
+            other[rng.choice(len(base), k, replace=False)] = rng.integers(0, 1 << 62, k)
+            other = np.unique(other)
+            if jaccard_join.links(base, other, 85):
+                for order in range(3):
+                    a, b = (np.frombuffer(jaccard_join.signature(x, jaccard_join.class_of(table, x), order, 85), np.uint32) for x in (base, other))
+                    assert jaccard_join.may_share(a, b, len(base), len(other), 85)
+
+
+def test_halves_of_keys_that_collide_refuse_no_link():
+    import numpy as np
+
+    # Keys whose upper halves are all alike: nothing can be told apart, so that nothing may be refused.
+    a = np.full(3, 7, np.uint32)
+    assert jaccard_join.may_share(a, a.copy(), 10, 10, 85)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_differences_find_every_link_that_leaders_leave(percent):
+    """Members that link with each other but not through the leader share a token of their differences' prefixes, within the bound."""
+    import numpy as np
+
+    rng = np.random.default_rng(percent)
+    seen = 0
+    for _ in range(60):
+        table = rng.integers(0, 12, 1 << 8).astype(np.uint8)
+        base = np.unique(rng.integers(0, 1 << 62, rng.integers(30, 150)).astype(np.uint64))
+        middle = [base]
+        for _ in range(3):
+            y = base.copy()
+            y[rng.choice(len(y), len(y) // 7, replace=False)] = rng.integers(0, 1 << 62, len(y) // 7)
+            middle.append(np.unique(y))
+        members = []
+        for _ in range(24):
+            y = middle[rng.integers(4)].copy()
+            k = rng.integers(0, len(y) // 6)
+            y[rng.choice(len(y), k, replace=False)] = rng.integers(0, 1 << 62, k)
+            members.append(np.unique(y[rng.random(len(y)) > rng.choice([0, 0.05])]).astype(np.uint64))
+        c = members[0]
+        near = int(rng.choice([40, 60, 75]))
+        found = [jaccard_join.difference(x, c, jaccard_join.class_of(table, x), jaccard_join.class_of(table, c), percent, near) for x in members]
+        for i, x in enumerate(members):
+            assert found[i].linked == jaccard_join.links(x, c, percent)
+            for j in range(i):
+                y = members[j]
+                if not jaccard_join.links(x, y, percent) or (found[i].linked and found[j].linked):
+                    continue
+                seen += 1
+                if found[i].far and found[j].far:
+                    continue  # both stay in the old list
+                assert found[i].close and found[j].close
+                at = {t: k for k, t in enumerate(found[i].tokens.tolist())}
+                first = next((k, at[t]) for k, t in enumerate(found[j].tokens.tolist()) if t in at)
+                rest = min(found[j].size - first[0], found[i].size - first[1])
+                assert 2 * (100 + percent) * rest >= found[i].need + found[j].need
+    assert seen > 200
+
+
+def near_copies(n, seed):
+    """One text with ever more changed words, mostly other ones; some changes are those of an earlier copy."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    base = [word() for _ in range(150)]
+    texts = [base]
+    for _ in range(n):
+        text = list(rng.choice(texts) if rng.random() < 0.3 else base)
+        for _ in range(rng.randrange(0, 11)):
+            text[rng.randrange(len(text))] = word()
+        at = rng.randrange(140)
+        texts.append(text[:at] + [word() for _ in range(rng.choice([0, 0, 0, 8, 30]))] + text[at:])
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("width", "percent", "short", "levels"), [(4, 85, 24, 3), (5, 80, 24, 3), (4, 85, 2, 3), (5, 80, 2, 6), (4, 85, 3, 1), (5, 80, 1, 0)])
+def test_large_groups_of_near_copies_match_brute_force(spark, width, percent, short, levels):
+    rows = near_copies(200, width + percent)
+    p = jaccard_join.Params(width=width, percent=percent, counters=1 << 12, short=short, short_later=short, levels=levels)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents(spark, *rows), p).collect()}
+    assert got == brute(rows, width, percent)
+
+
+def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """From twice as many near copies come about twice as many pairs, not four times."""
+    made = []
+    sharing = jaccard_join.sharing
+    monkeypatch.setattr(jaccard_join, "sharing", lambda pairs, *a: made.append(pairs.count()) or sharing(pairs, *a))
+    sums = []
+    for n in (300, 600):
+        made.clear()
+        jaccard_join.jaccard_components(documents(spark, *near_copies(n, 9)), jaccard_join.Params(counters=1 << 14))
+        sums.append(sum(made))
+    assert sums[1] < 3 * sums[0] and sums[1] < 30 * 600
+
+
+def test_ids_are_joined_by_a_shuffle_beyond_the_broadcast_bound(spark):
+    rows = corpus(4)
+    p = jaccard_join.Params(counters=1 << 12, broadcast_ids=0)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents(spark, *rows), p).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+def test_rows_that_share_an_id_are_one_node(spark):
+    text, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    got = jaccard_join.jaccard_components(documents(spark, (1, text), (2, text), (2, other), (3, other), (4, "alone")), jaccard_join.Params(counters=1 << 12)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
 
 
 # --- WARC -----------------------------------------------------------------------------------
