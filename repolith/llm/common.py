@@ -58,6 +58,18 @@ def cuts() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
             drop_cut(df)
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: str) -> Iterator[None]:
+    """Bounds the Arrow batches of the queries that run inside: wide rows then need less memory beside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def release(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of plans that nothing holds any more. It does so only once the driver's garbage is
     collected, which on a driver with little to do takes longer than many jobs."""

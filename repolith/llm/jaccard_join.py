@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm.common import cut, cuts, drop_cut, release, slices
+from repolith.llm.common import arrow_bytes, cut, cuts, drop_cut, release, slices
 
 
 @dataclass(frozen=True)
@@ -462,6 +462,11 @@ def connected(lists: DataFrame, sets: DataFrame, classes, p: Params) -> DataFram
 
 def jaccard_components(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    with arrow_bytes(documents.sparkSession, "8m"):  # sets are wide, and all that runs in Python ends in here
+        return _components(documents, p)
+
+
+def _components(documents: DataFrame, p: Params) -> DataFrame:
     spark = documents.sparkSession
     profiled = cut(profile(documents, p), "sets")
     classes = spark.sparkContext.broadcast(frequency_classes(profiled.where("block is not null").select("block", "task", "counts"), p))  # counters bytes
