@@ -15,65 +15,77 @@ packed like any other. An empty table gives no rows.
 
 from __future__ import annotations
 
-import array
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from repolith.llm.common import WordCache, slices
+from repolith.llm.merges import Merges
+from repolith.llm.units import gather
 
+#: From texts to all their ids, and where each text's begin and end.
+Encoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 LENGTH, OPEN, END = 4096, 96, 1
 #: White space on which a text can be cut without changing its ids: no token holds any, and no rule looks across it.
-SPACES = re.compile("[ \n\t\r]+")
-#: Letters that lower-case one to one and are composed already.
-LATIN = re.compile("[A-Za-zß-öø-þÀ-ÖØ-Þ]+")
-#: The characters by which byte-level tokenizers write bytes: printable Latin-1 as itself, the others from 256 on.
-_plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(_plain))}
-#: What str.split() takes for white space and the tokenizer doesn't.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SPACES = "\n\t\r"
+#: Letters that lower-case one to one and are composed already; a full stop or comma behind them is a token of its own.
+LATIN = "^[A-Za-zß-öø-þÀ-ÖØ-Þ]+[.,]?$"
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class WordEncoder:
-    """Ids, as little-endian 32-bit bytes, of texts whose words encode independently of each other.
+    """Ids of texts whose words encode independently of each other.
 
-    Every distinct word is encoded once by the tokenizers library and kept in a
-    dictionary of bounded size; a text's ids are the words' ids joined. A full
-    stop or comma behind an ASCII letter is a token of its own. Of a word of
-    Latin letters alone, normalising means lower-casing and nothing cuts it: it
-    goes to the library's BPE model directly.
+    Each distinct word of a batch is encoded once and a text's ids are gathered
+    from its words'. Of a word of Latin letters normalising is lower-casing, and
+    nothing cuts it: the tokenizer's merge rules are applied to all such words of
+    a batch in step. Other words go to the tokenizers library, whose answers are
+    kept in a dictionary of bounded size.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 100_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.model = self.lib.model
-        self.known = WordCache(self.word, most, longest)
-        self.stop = {p: self.call(p) for p in ".,"}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        look = self.known.__getitem__
-        return [b"".join(map(look, SPACES.split(t) if SEPARATORS.search(t) else t.split())) for t in texts]
-
-    def call(self, word: str) -> bytes:
-        return array.array("I", self.lib.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def word(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if word[-1] in self.stop and LATIN.fullmatch(word, 0, len(word) - 1):
-            return self.known[word[:-1]] + self.stop[word[-1]]
-        if LATIN.fullmatch(word):
-            return array.array("I", [t.id for t in self.model.tokenize(word.lower().encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes()
-        return self.call(word)
+        self.merges = Merges(path)
+        self.known = WordCache(self.call, most, longest)
+        self.stop = {p: self.lib.encode(p, add_special_tokens=False).ids[0] for p in ".,"}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (unsigned 32 bits), one after another, and where each text's begin and end."""
+        texts = pc.fill_null(texts, "")
+        for space in SPACES:
+            texts = pc.replace_substring(texts, space, " ")
+        return gather(pc.split_pattern(texts, " "), self.words)
+
+    def call(self, word: str) -> list[int]:
+        return self.lib.encode(word, add_special_tokens=False).ids
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+        latin = pc.match_substring_regex(words, LATIN).to_numpy(zero_copy_only=False) & (size <= Merges.LONGEST)
+        plain = pc.utf8_lower(words.filter(pa.array(latin)))
+        stop = pc.match_substring_regex(plain, "[.,]$").to_numpy(zero_copy_only=False)
+        comma = pc.ends_with(plain, ",").to_numpy(zero_copy_only=False)
+        ids, count = self.merges.ids(pc.utf8_rtrim(plain, ".,"))
+        # The stop's id behind the word's.
+        ids = np.insert(ids, np.cumsum(count)[stop], np.where(comma[stop], self.stop[","], self.stop["."]))
+        count = count + stop
+        others = [self.known[w] if w else [] for w in words.filter(pa.array(~latin)).to_pylist()]
+        n = np.zeros(len(words), np.int64)
+        n[latin], n[~latin] = count, [len(x) for x in others]
+        out = np.empty(int(n.sum()), np.uint32)
+        mine = np.repeat(latin, n)
+        out[mine], out[~mine] = ids, [i for x in others for i in x]
+        return out, n
 
 
 class Bins:
@@ -134,9 +146,8 @@ class Bins:
             yield from bins
 
 
-def pack(documents: DataFrame, encoder: Callable[[], Callable[[list[str]], list[bytes]]], length: int = LENGTH, bins: int = OPEN, end: int = END) -> DataFrame:
-    """One row a piece. encoder() makes a function from texts to their ids as bytes, once a task."""
-    tail = end.to_bytes(4, "little")
+def pack(documents: DataFrame, encoder: Callable[[], Encoder], length: int = LENGTH, bins: int = OPEN, end: int = END) -> DataFrame:
+    """One row a piece. encoder() gives a function from an array of texts to all their ids and the bounds of each text's."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
 
@@ -158,14 +169,14 @@ def pack(documents: DataFrame, encoder: Callable[[], Callable[[list[str]], list[
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low, high in slices(texts):
-                for doc_id, data in zip(ids[low:high], encode([t or "" for t in texts[low:high].to_pylist()]), strict=True):
-                    data += tail
-                    n = len(data) // 4
-                    for piece, start in enumerate(range(0, n, length)):
-                        size = min(length, n - start)
-                        for items in open_bins.put(size, (doc_id, piece, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]))):
+            for low, high in slices(batch.column(1), 8 << 20):
+                ids, bounds = encode(batch.column(1)[low:high])
+                ids = np.insert(ids, bounds[1:], end).astype("<u4")
+                bounds = (bounds + np.arange(len(bounds))).tolist()
+                for doc_id, first, behind in zip(batch.column(0)[low:high].to_pylist(), bounds, bounds[1:], strict=False):
+                    for piece, start in enumerate(range(first, behind, length)):
+                        size = min(length, behind - start)
+                        for items in open_bins.put(size, (doc_id, piece, start - first, size, zlib.crc32(ids[start : start + size]))):
                             close(items)
             yield flush()
         for items in open_bins.rest():
@@ -175,13 +186,15 @@ def pack(documents: DataFrame, encoder: Callable[[], Callable[[list[str]], list[
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def word_encoder(path: str | None = None) -> Callable[[], Callable[[list[str]], list[bytes]]]:
-    def make() -> Callable[[list[str]], list[bytes]]:
-        import public_tokenizers
+@lru_cache(2)
+def _word_encoder(path: str | None) -> WordEncoder:
+    import public_tokenizers
+
+    return WordEncoder(path or public_tokenizers.path("word_bpe_49k.json"))
 
-        return WordEncoder(path or public_tokenizers.path("word_bpe_49k.json")).encode
 
-    return make
+def word_encoder(path: str | None = None) -> Callable[[], Encoder]:
+    return lambda: _word_encoder(path).encode
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

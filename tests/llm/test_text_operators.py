@@ -1,11 +1,11 @@
 """Classifiers, counts, codec, packing, media: whole texts, empty, null and long ones, repeated rows, empty tables, clashing columns."""
 
-import array
 import hashlib
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,10 +82,48 @@ def library():
     return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def lists(batch):
+    ids, bounds = batch
+    return [ids[a:b].tolist() for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+
+
 def test_word_encoder_is_the_library():
     encode, lib = packing.word_encoder()(), library()
-    for texts in (ODD, ODD[::-1]):
-        assert [array.array("I", b).tolist() for b in encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for texts in (ODD, ODD[::-1], [None, *ODD], [" ".join(ODD) * 50], []):
+        assert lists(encode(pa.array(texts, pa.string()))) == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_merges_are_the_library_on_made_up_words():
+    rng = np.random.default_rng(4)
+    encode, lib = packing.word_encoder()(), library()
+    letters = list("etaoinshrdlucmfwypvbgkjqxzETAOINéèßñÀØ")
+    words = ["".join(rng.choice(letters, rng.integers(1, 36))) + rng.choice(["", "", ".", ",", "..", "'s", "1"]) for _ in range(4000)] + ["a" * n for n in range(1, 70)]
+    assert lists(encode(pa.array(words))) == [x.ids for x in lib.encode_batch(words, add_special_tokens=False)]
+
+
+def test_packed_pieces_are_the_librarys_ids(spark):
+    lib, length = library(), 64
+    rng = np.random.default_rng(2)
+    texts = [None, "", *ODD, *(" ".join("".join(rng.choice(list("abcdeinorst.,'é1"), rng.integers(1, 9))) for _ in range(rng.integers(1, 300))) for _ in range(60))]
+    rows = packing.pack(documents(spark, *texts), packing.word_encoder(), length=length).collect()
+    want = set()
+    for i, t in enumerate(texts):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
+        for piece, start in enumerate(range(0, len(ids), length)):
+            part = ids[start : start + length]
+            want.add((i, piece, start, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))))
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+
+
+def test_table_holds_what_it_got():
+    from repolith.llm.units import Table
+
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 62, 5000))
+    table = Table(keys, np.arange(len(keys), dtype=np.int32))
+    assert (table.get(keys) == np.arange(len(keys))).all()
+    other = np.setdiff1d(rng.integers(0, 1 << 62, 5000), keys)
+    assert (table.get(other) == -1).all() and len(table.get(np.zeros(0, np.int64))) == 0
 
 
 @settings(max_examples=150, deadline=None)
@@ -96,11 +134,12 @@ def test_word_encoder_on_any_text(text):
         encode, lib = _pair
     except NameError:
         encode, lib = _pair = packing.word_encoder()(), library()
-    assert array.array("I", encode([text])[0]).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert lists(encode(pa.array([text]))) == [lib.encode(text, add_special_tokens=False).ids]
 
 
 def lengths_of(spark, lengths):
-    fake = lambda: lambda texts: [b"\7\0\0\0" * len(t) for t in texts]
+    fake = lambda: lambda texts: (np.full(sum(lengths_in(texts)), 7, np.uint32), np.concatenate([[0], np.cumsum(lengths_in(texts))]).astype(np.int64))
+    lengths_in = lambda texts: [len(t or "") for t in texts.to_pylist()]
     return packing.pack(documents(spark, *("x" * n for n in lengths)), fake, length=16, bins=3).collect()
 
 
@@ -188,7 +227,7 @@ def test_codec_is_the_whole_lattice_and_round_trips(text):
     c = sp_codec.codec()
     assert c.encode(text) == whole_lattice(c, text) == list(c.stream(c.normalise(text)))
     if "▁" not in text:
-        assert c.decode(c.encode(text)) == text == sp_codec.Decoder(c).text(c.encode_bytes(text))
+        assert c.decode(c.encode(text)) == text == sp_codec.Decoder(c).texts(*c.batch(pa.array([text])))[0]
 
 
 @settings(max_examples=100, deadline=None)
@@ -213,10 +252,34 @@ def test_codec_agrees_with_the_library_on_a_unigram_model():
         assert score(c.encode(t)) == score(lib.encode(t))
 
 
-def test_window_stays_bounded():
+@pytest.mark.parametrize("text", ["ab" * 20_000, "internationalisation" * 1500, "日本語x" * 5000, "thequickbrownfox " * 1500])
+def test_window_stays_bounded(text):
+    """Neither scores nor backpointers grow with the text: paths converge, and what lies before is given out."""
+    c = sp_codec.codec()
+    text = c.normalise(text)
+    taken = 0
+    for k, _ in enumerate(c.stream(text)):
+        taken = k + 1
+    assert taken and c.held <= 8 * c.longest
+
+
+def test_stream_is_the_whole_lattice_on_long_runs():
     c = sp_codec.codec()
-    first = next(iter(c.stream("▁" + "ab" * 100_000)))  # given out long before the end
-    assert isinstance(first, int)
+    run = "a" * 60_001  # paths that start at other characters never meet
+    assert c.encode(run) == whole_lattice(c, run)
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        text = "".join(rng.choice(list("aaabceinorst"), 400))
+        assert c.encode(text) == whole_lattice(c, text) == list(c.stream(c.normalise(text)))
+
+
+def test_batches_commit_where_paths_converge(monkeypatch):
+    c, calls = sp_codec.codec(), []
+    real = sp_codec.Codec.converged
+    monkeypatch.setattr(sp_codec.Codec, "converged", staticmethod(lambda *a: calls.append(1) or real(*a)))
+    texts = ["internationalisation" * 9, None, "", "short words only", "a\n\nb \n c", " lead", "x" * 99 + " y"]
+    assert lists(c.batch(pa.array(texts, pa.string()))) == [whole_lattice(c, t) if t else [] for t in texts]
+    assert calls
 
 
 def test_codec_frames(spark):
