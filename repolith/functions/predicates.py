@@ -12,6 +12,11 @@ TEST_FILE = r"\.test\.|\.spec\.|/tests/|/test/|/spec/|__tests__"
 ENTRY_POINT = r"(^|/)(index|main|server|app|cli)\.[^/]+$"
 BUG_FIX = r"(?i)\b(fix|bug|hotfix|revert)\b"
 BENCH_TEST = r"(^|/)(tests?|spec|__tests__)/|\.test\.|_test\.|\.spec\.|(^|/)test_[^/]*\.py$"
+NON_SOURCE = (
+    r"(?i)\.(?:md|mdx|markdown|txt|rst|adoc|lock|sum|png|jpg|jpeg|gif|svg|ico|webp|woff2?|ttf|otf|eot|mp4|mov|webm|wav|mp3)$"
+    r"|(^|/)(?-i:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|composer\.lock|Gemfile\.lock|Cargo\.lock)$"
+    r"|(^|/)(?:LICEN[CS]E|CHANGELOG|README|AUTHORS|CONTRIBUTORS|NOTICE)(?:\.[a-z]+)?$"
+)
 SAFE_PATH = r"^[A-Za-z0-9._/\-+]{1,500}$"
 IGNORED_DIRS = ("node_modules", ".git", "dist", "build", "coverage", "__pycache__", ".venv", "venv", "target", "vendor")
 
@@ -20,6 +25,11 @@ def is_test(path: Column | str) -> Column:
     return F.col(path).rlike(TEST_FILE) if isinstance(path, str) else path.rlike(TEST_FILE)
 
 
+def is_non_source(path: Column | str) -> Column:
+    """Documents, pictures, lock files and the like, which no test covers."""
+    return (F.col(path) if isinstance(path, str) else path).rlike(NON_SOURCE)
+
+
 def is_bug_fix(message: Column, pattern: str = BUG_FIX) -> Column:
     return F.coalesce(message.rlike(pattern), F.lit(False))
 

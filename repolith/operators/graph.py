@@ -130,8 +130,17 @@ def callee_file(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def import_cycles(edges: DataFrame, longest: int = 5, limit: int = 20) -> DataFrame:
-    """cycle (path array from its least file), length. Paths grow only through files above their start, so each cycle is found once."""
-    e = edges.where("src != dst")
+    """cycle (path array from its least file), length. Paths grow only through files above their start, so each cycle is found once.
+
+    Files that nothing imports, or that import nothing, are in no cycle: they are peeled off first, again and again.
+    """
+    e = cut(edges.where("src != dst").select("src", "dst").distinct(), "cyclic")
+    while True:
+        left = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        left = cut(left, "cyclic")
+        if left.count() == e.count():
+            break
+        e = left
     paths = e.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("cycle"))
     found = None
     for length in range(2, longest + 1):
@@ -172,6 +181,24 @@ def refactor_candidates(symbol: str | Column, symbols: DataFrame, edges: DataFra
     return defs.union(importers).union(callers).distinct().orderBy("path").limit(most)
 
 
+def callers_in_importers(symbols: DataFrame, edges: DataFrame, calls: DataFrame) -> DataFrame:
+    """name, file, caller_file, caller_symbol: the calls of each symbol in files that import the file that defines it."""
+    importers = symbols.select("name", F.col("path").alias("file")).distinct().join(edges.select(F.col("src").alias("caller_file"), F.col("dst").alias("file")).distinct(), "file")
+    sites = calls.select(F.col("callee_symbol").alias("name"), "caller_file", "caller_symbol").distinct()
+    return importers.join(sites, ["name", "caller_file"]).select("name", "file", "caller_file", "caller_symbol")
+
+
+#: The order in which a file's signals count.
+SIGNALS = ("direct", "transitive", "importee", "symbol_caller", "historical", "semantic")
+
+
+def impact_union(arms: DataFrame) -> DataFrame:
+    """path, signal, signals: of each file that some arm (path, signal) names, the first signal and all of them in their order."""
+    rank = F.array_position(F.array(*map(F.lit, SIGNALS)), F.col("signal"))
+    one = arms.select("path", F.struct(rank.alias("rank"), "signal").alias("x")).distinct().groupBy("path").agg(F.array_sort(F.collect_set("x")).alias("x"))
+    return one.select("path", F.col("x")[0]["signal"].alias("signal"), F.array_join(F.transform("x", lambda x: x["signal"]), ",").alias("signals"))
+
+
 def update_edges(edges: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
     """The graph after files (changed: path, removed) were read again: their out-edges are replaced; edges into removed files go."""
     kept = edges.join(changed.select(F.col("path").alias("src")), "src", "left_anti")

@@ -48,6 +48,18 @@ def bus_factor(owners: DataFrame) -> DataFrame:
     return x.groupBy("path").agg(F.coalesce(F.min(F.when(2 * F.col("held") >= F.col("all"), F.col("rk"))), F.max("rk")).alias("bus_factor"))
 
 
+def ownership_list(owners: DataFrame, factor: DataFrame, limit: int | None = None, co_owners: int = 3) -> DataFrame:
+    """path, bus_factor, primary_owner, co_owners, n_authors; files that hang on the fewest first."""
+    x = owners.groupBy("path").agg(
+        F.max(F.when(F.col("rk") == 1, F.col("author"))).alias("primary_owner"),
+        F.array_sort(F.collect_list(F.when(F.col("rk").between(2, co_owners + 1), F.struct("rk", "author")))).alias("co"),
+        count().alias("n_authors"),
+    )
+    x = x.join(factor, "path").select("path", F.col("bus_factor").cast("long").alias("bus_factor"), "primary_owner", F.array_join(F.transform("co", lambda c: c["author"].cast("string")), ",").alias("co_owners"), "n_authors")
+    ordered = x.orderBy("bus_factor", "path")
+    return ordered.limit(limit) if limit else ordered
+
+
 def staleness(commits: DataFrame, commit_files: DataFrame, now: int) -> DataFrame:
     t = touches(commits.select("sha", "ts"), commit_files).groupBy("path").agg(F.max("ts").alias("last_touch"))
     return t.select("path", F.floor((F.lit(now) - F.col("last_touch")) / DAY).alias("staleness_days"))

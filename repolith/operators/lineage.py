@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,14 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a session without spark.checkpoint.dir gets one of its own."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Without that setting, a session on one machine
+    gets a folder of its own; on a cluster it is an error, as executors don't see each other's folders."""
     global _own_dir
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="repolith-")
     return _own_dir

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.operators.lineage import count, numbered
+from repolith.functions.predicates import NON_SOURCE, TEST_FILE
+from repolith.operators.lineage import count, cut, numbered
 
 #: The order of bands and levels.
 LEVELS = ("critical", "high", "medium", "low")
@@ -14,13 +15,14 @@ LEVELS = ("critical", "high", "medium", "low")
 def ranked_value(values: DataFrame, column: str, at: Column) -> DataFrame:
     """The value at a 0-based place (a column over n) of the sorted column, exactly.
 
-    Values are counted before they are ordered: the window sees a row for each
-    distinct value, not for each input row.
+    Values are counted, the distinct ones dealt by ranges and summed within a
+    range and over the ranges' totals: no task orders all of them.
     """
     h = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(count().alias("c"))
-    n = h.agg(F.sum("c").alias("n"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    up = h.withColumn("cum", F.sum("c").over(w)).crossJoin(F.broadcast(n))
+    dealt = cut(h.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    parts = dealt.groupBy("part").agg(F.sum("c").alias("k"))
+    before = parts.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"), F.sum("k").over(Window.partitionBy(F.lit(0))).alias("n"))  # a row for each range
+    up = dealt.join(F.broadcast(before), "part").withColumn("cum", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     return up.where(F.col("cum") > at).agg(F.min("v").alias("value"))
 
 
@@ -70,25 +72,43 @@ def risk_overlay(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("score", score).withColumn("level", F.when(F.col("score") >= 0.7, "high").when(F.col("score") >= 0.4, "medium").otherwise("low"))
 
 
-def change_level(importers: Column, covered: Column, is_test: Column, is_source: Column) -> Column:
+def change_level(importers: Column, covered: Column, aside: Column) -> Column:
+    """aside: tests and files that aren't source."""
     hub = importers >= 5
-    aside = is_test | ~is_source
     return (
         F.when(aside & hub, "high").when(aside, "low").when(hub & ~covered, "critical").when(hub | (~covered & (importers > 2)), "high")
         .when(~covered, "medium").when(importers > 2, "medium").otherwise("low")
     )
 
 
-def change_risk(changed: DataFrame, edges: DataFrame, test_pattern: str, source_pattern: str = ".") -> DataFrame:
-    """path, importers, covered, level. Covered: an importer is a test, or a test file's path holds the file's stem."""
+def containing(paths: DataFrame, stems: DataFrame, most: int = 2000) -> DataFrame:
+    """The stems (stem) that some path holds. Up to a counted number of stems each path is held against all; more are joined to the paths' substrings of the stems' lengths."""
+    if stems.count() <= most:
+        return paths.join(F.broadcast(stems), F.contains("path", F.col("stem"))).select("stem").distinct()
+    lengths = [r.n for r in stems.select(F.length("stem").alias("n")).distinct().collect()]  # as many as a path has characters
+    starts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("path") - n + 1, F.lit(1))), lambda i: F.substring("path", i, F.lit(n)))
+    cut_out = paths.select(F.explode(F.array_distinct(F.flatten(F.array(*(starts(n) for n in lengths))))).alias("stem"))
+    return stems.join(cut_out.distinct(), "stem", "left_semi")
+
+
+def change_risk(changed: DataFrame, edges: DataFrame, test_pattern: str = TEST_FILE, non_source: str = NON_SOURCE) -> DataFrame:
+    """path, importers, covered, level of changed files. Covered: tests, files that aren't source, files that a test imports, and
+    those whose name without its ending is part of a test file's path."""
     c = changed.select("path").distinct()
     imp = edges.join(c, edges["dst"] == c["path"]).groupBy("path").agg(F.countDistinct("src").alias("importers"), F.max(F.col("src").rlike(test_pattern)).alias("by_test"))
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", "")
-    tests = edges.select(F.explode(F.array("src", "dst")).alias("t")).where(F.col("t").rlike(test_pattern)).select(F.explode(F.split("t", "[^A-Za-z0-9]+")).alias("word")).distinct()
-    named = c.withColumn("word", stem).join(tests, "word", "left_semi").select("path", F.lit(True).alias("by_name"))
-    x = c.join(imp, "path", "left").join(named, "path", "left").withColumn("importers", F.coalesce("importers", F.lit(0)))
-    x = x.withColumn("covered", F.coalesce("by_test", F.lit(False)) | F.coalesce("by_name", F.lit(False)))
-    return x.select("path", "importers", "covered", change_level(F.col("importers"), F.col("covered"), F.col("path").rlike(test_pattern), F.col("path").rlike(source_pattern)).alias("level"))
+    stem = F.element_at(F.split(F.regexp_replace("path", "\\.[^.]+$", ""), "/"), -1)
+    named = c.withColumn("stem", stem).where("stem != ''")
+    tests = edges.select(F.explode(F.array("src", "dst")).alias("path")).where(F.col("path").rlike(test_pattern)).distinct()
+    held = containing(tests, named.select("stem").distinct())
+    x = c.join(imp, "path", "left").join(named.join(held, "stem", "left_semi").select("path", F.lit(True).alias("by_name")), "path", "left")
+    x = x.withColumn("importers", F.coalesce("importers", F.lit(0))).withColumn("aside", F.col("path").rlike(test_pattern) | F.col("path").rlike(non_source))
+    x = x.withColumn("covered", F.col("aside") | F.coalesce("by_test", F.lit(False)) | F.coalesce("by_name", F.lit(False)))
+    return x.select("path", "importers", "covered", change_level(F.col("importers"), F.col("covered"), F.col("aside")).alias("level"))
+
+
+def by_level(levels: DataFrame, column: str = "level") -> DataFrame:
+    """Rows from the gravest level to the least, then by path."""
+    return levels.orderBy(F.array_position(F.array(*map(F.lit, LEVELS)), F.col(column)), "path")
 
 
 def churn_bucket_tool(lines: Column) -> Column:

@@ -103,6 +103,13 @@ def fulltext(files: DataFrame, query: str, limit: int = 20, regex: bool = False,
     return f.select("path", "matches", F.array_join(F.transform(F.slice("at", 1, snippets), piece), "\n--\n").alias("snippet")).orderBy(F.desc("matches"), "path").limit(limit)
 
 
+def fulltext_hybrid(files: DataFrame, text: str, vectors: DataFrame, query: DataFrame, limit: int = 20) -> DataFrame:
+    """path, matches, score: files by their number of matches, and behind them half as many nearest vectors, at their distance and 2."""
+    words = fulltext(files, text, limit).select("path", "matches", (-F.col("matches")).cast("double").alias("score"))
+    near = knn(vectors, query, -(-limit // 2)).select("path", F.lit(0).cast("long").alias("matches"), (F.col("distance") + 2).alias("score"))
+    return words.unionByName(near.join(words.select("path"), "path", "left_anti")).orderBy("score", "path").limit(limit)
+
+
 def rename_preview(files: DataFrame, old: str, new: str) -> DataFrame:
     """path, line, before, after for each line with the whole word."""
     word = rf"\b{old}\b"
@@ -130,3 +137,17 @@ def upsert_vectors(old: DataFrame, new: DataFrame, longest: int = 512) -> DataFr
     """The table with new's paths replaced; content is cut."""
     new = new.withColumn("content", F.substring("content", 1, longest))
     return old.join(new.select("path"), "path", "left_anti").unionByName(new)
+
+
+def remove_vectors(table: DataFrame, paths: DataFrame) -> DataFrame:
+    """The table without the rows of exactly these paths (path)."""
+    return table.join(paths.select("path").distinct(), "path", "left_anti")
+
+
+def vector_of(table: DataFrame, path: str) -> DataFrame:
+    """vector of one path; no row where there is none."""
+    return table.where(F.col("path") == path).select("vector")
+
+
+def count_vectors(table: DataFrame) -> DataFrame:
+    return table.agg(count().alias("n"))

@@ -102,7 +102,24 @@ def change_filter(points: DataFrame, least: float = 0.02) -> DataFrame:
     return series.select("path", F.explode(F.aggregate("s", F.array().cast(kind), step)).alias("x")).select("path", "x.*")
 
 
+def token_savings(files: DataFrame) -> DataFrame:
+    """n_files, full_tokens, skeleton_tokens, saved_pct: one row over files (content, skeleton; null skeletons save nothing)."""
+    x = files.where("content IS NOT NULL").select(F.length("content").alias("a"), F.length(F.coalesce("skeleton", "content")).alias("b"))
+    sums = x.agg(count().alias("n_files"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    tokens = lambda c: F.floor(F.col(c) / 4 + 0.5)
+    return sums.select("n_files", tokens("a").alias("full_tokens"), tokens("b").alias("skeleton_tokens"), F.floor(100 * (F.col("a") - F.col("b")) / F.nullif(F.col("a"), F.lit(0)) + 0.5).alias("saved_pct"))
+
+
 def review_summary(rows: DataFrame, specialists: list[str]) -> DataFrame:
-    """specialist, n, total, p50 of nullable token columns, unpivoted."""
+    """specialist, n, total, min, max, p50, p75, p95 of nullable token columns, unpivoted. The windows see a row for each distinct count of tokens."""
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(s).alias("specialist"), F.col(s).cast("long").alias("tokens")) for s in specialists))).alias("x")).select("x.*").where("tokens is not null")
-    return long.groupBy("specialist").agg(count().alias("n"), F.sum("tokens").alias("total"), F.min("tokens").alias("min"), F.max("tokens").alias("max"))
+    h = long.groupBy("specialist", "tokens").agg(count().alias("c"))
+    w = Window.partitionBy("specialist")
+    up = h.withColumn("cum", F.sum("c").over(w.orderBy("tokens").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    at = lambda p: F.min(F.when(F.col("cum") > F.floor((F.col("n") - 1) * p), F.col("tokens")))
+    return up.groupBy("specialist").agg(F.max("n").alias("n"), F.sum(F.col("tokens") * F.col("c")).alias("total"), F.min("tokens").alias("min"), F.max("tokens").alias("max"), at(0.5).alias("p50"), at(0.75).alias("p75"), at(0.95).alias("p95"))
+
+
+def review_verdicts(rows: DataFrame, severities: list[str]) -> DataFrame:
+    """tier, verdict, n and the sum of each severity's findings."""
+    return rows.groupBy("tier", "verdict").agg(count().alias("n"), *(F.sum(c).alias(c) for c in severities))

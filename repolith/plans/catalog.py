@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from repolith.functions.time import seconds
 from repolith.operators import community, evals, graph, history, risk, search, telemetry
 from repolith.operators.lineage import count, cut, round6
-from repolith.sources.adapters import CALLS, EDGES, FILES, HISTORY, SYMBOLS, TELEMETRY, Tables
+from repolith.sources.adapters import CALLS, CHAIN_EDGES, EDGES, FILES, HISTORY, SUPPLIER_CALLS, SUPPLIER_EDGES, SUPPLIER_PATHS, SUPPLIER_SYMBOLS, SYMBOLS, TELEMETRY, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -91,7 +91,7 @@ def dead_code(t: Tables) -> DataFrame:
     return _gaps(t).where("gap = 'dead_code'").select("path")
 
 
-@query(f"WITH {EDGES}, {DEGREES} SELECT path FROM deg WHERE fan_in >= 3 AND NOT contains(path, '{TESTS}')")
+@query(f"WITH {EDGES}, {DEGREES}, tests AS (SELECT split_part(path, '/', 3) AS stem FROM ppath WHERE contains(path, '{TESTS}')) SELECT path FROM deg WHERE fan_in >= 3 AND NOT contains(path, '{TESTS}') AND split_part(path, '/', 3) NOT IN (SELECT stem FROM tests)")
 def untested_hubs(t: Tables) -> DataFrame:
     return _gaps(t).where("gap = 'untested_hub'").select("path")
 
@@ -115,7 +115,7 @@ def rules_violations(t: Tables) -> DataFrame:
     return graph.rule_violations(t.edges(), _rules(t))
 
 
-@query("SELECT 'gone' AS name, false AS from_hit, true AS to_hit")
+@query(f"WITH {EDGES.split(', nxt AS')[0]}, rules AS (SELECT * FROM (VALUES ('no-promo', '^[^/]*/SMALL/', '^[^/]*/PROMO/'), ('brands', '^Brand#1/', '^Brand#2/'), ('gone', '^Nowhere/', '^Brand#3/')) r(name, a, b)), hits AS (SELECT name, bool_or(regexp_matches(path, a)) AS from_hit, bool_or(regexp_matches(path, b)) AS to_hit FROM ppath, rules GROUP BY name) SELECT * FROM hits WHERE NOT (from_hit AND to_hit)")
 def rules_dead(t: Tables) -> DataFrame:
     return graph.dead_rules(t.part_paths().select("path"), _rules(t))
 
@@ -203,18 +203,36 @@ def callee_files(t: Tables) -> DataFrame:
     return graph.callee_file(t.calls(), t.symbols())
 
 
-@query(f"""WITH {EDGES}, e AS (SELECT * FROM edges WHERE src <> dst),
-c2 AS (SELECT [a.src, a.dst] AS c FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst),
-c3 AS (SELECT [a.src, a.dst, b.dst] AS c FROM e a JOIN e b ON a.dst = b.src JOIN e z ON b.dst = z.src AND z.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst),
-c4 AS (SELECT [a.src, a.dst, b.dst, d.dst] AS c FROM e a JOIN e b ON a.dst = b.src JOIN e d ON b.dst = d.src JOIN e z ON d.dst = z.src AND z.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.src < d.dst AND b.dst <> a.dst AND d.dst NOT IN (a.dst, b.dst))
-SELECT array_to_string(c, ' > ') AS cycle, length FROM (SELECT c, 2 AS length FROM c2 UNION ALL SELECT c, 3 FROM c3 UNION ALL SELECT c, 4 FROM c4)""")
+@query(f"""WITH RECURSIVE {CHAIN_EDGES}, walk AS (SELECT src AS start, dst AS last, [src, dst] AS c FROM edges WHERE src < dst
+UNION ALL SELECT start, e.dst, list_append(c, e.dst) FROM walk JOIN edges e ON last = e.src WHERE len(c) < 5 AND e.dst > start AND NOT list_contains(c, e.dst))
+SELECT array_to_string(c, ' > ') AS cycle, len(c) AS length FROM walk JOIN edges e ON last = e.src AND start = e.dst ORDER BY len(c), c LIMIT 20""")
 def import_cycles(t: Tables) -> DataFrame:
-    return graph.import_cycles(t.edges(), 4, 1 << 30).select(F.array_join("cycle", " > ").alias("cycle"), "length")
+    return graph.import_cycles(t.chain_edges()).select(F.array_join("cycle", " > ").alias("cycle"), F.col("length").cast("long").alias("length"))
 
 
-@query(f"WITH {EDGES}, {SYMBOLS} SELECT path FROM (SELECT path FROM symbols WHERE name = 'red widget' UNION SELECT src FROM edges WHERE dst IN (SELECT path FROM symbols WHERE name = 'red widget')) ORDER BY path LIMIT 50")
+_CANDIDATES = "cand AS (SELECT path, 'definition' AS arm FROM symbols WHERE name = 'red widget' UNION SELECT src, 'importer' FROM edges WHERE dst IN (SELECT path FROM symbols WHERE name = 'red widget') UNION SELECT caller_file, 'caller' FROM calls WHERE callee_symbol = 'red widget')"
+
+
+@query(f"WITH {EDGES}, {SYMBOLS}, {CALLS}, {_CANDIDATES} SELECT DISTINCT path FROM cand ORDER BY path LIMIT 50")
 def refactor_candidates(t: Tables) -> DataFrame:
-    return graph.refactor_candidates("red widget", t.symbols(), t.edges(), t.calls().limit(0))
+    return graph.refactor_candidates("red widget", t.symbols(), t.edges(), t.calls())
+
+
+@query(f"WITH {EDGES}, {SYMBOLS}, {CALLS}, {_CANDIDATES} SELECT DISTINCT path FROM cand")
+def refactor_candidates_all(t: Tables) -> DataFrame:
+    """Without the limit, so that all three arms show."""
+    return graph.refactor_candidates("red widget", t.symbols(), t.edges(), t.calls(), 1 << 30)
+
+
+@query(f"WITH {SUPPLIER_PATHS}, {SUPPLIER_EDGES}, {SUPPLIER_CALLS}, {SUPPLIER_SYMBOLS} SELECT DISTINCT name, path AS file, caller_file FROM ssymbols JOIN sedges ON dst = path JOIN scalls ON callee_symbol = name AND caller_file = src")
+def symbol_callers_in_importers(t: Tables) -> DataFrame:
+    """Of every symbol, the files that import its file and call it."""
+    return graph.callers_in_importers(t.supplier_symbols(), t.supplier_edges(), t.supplier_calls()).select("name", "file", "caller_file").distinct()
+
+
+@query(f"WITH RECURSIVE {SUPPLIER_PATHS}, {SUPPLIER_EDGES}, two AS (SELECT src, dst FROM sedges UNION SELECT dst, src FROM sedges), reach AS (SELECT src AS path, dst AS other FROM two UNION SELECT r.path, t.dst FROM reach r JOIN two t ON r.other = t.src) SELECT path, least(path, min(other)) AS component FROM reach GROUP BY path")
+def graph_components(t: Tables) -> DataFrame:
+    return community.connected_components(t.supplier_edges())
 
 
 _GROUPS = "groups AS (SELECT path, split_part(path, '/', 2) AS name FROM ppath)"
@@ -229,6 +247,13 @@ def cross_group_imports(t: Tables) -> DataFrame:
     return graph.cross_group_imports(t.edges(), _groups(t))
 
 
+@query("SELECT community, community AS name, count(*) AS size FROM (SELECT p_type AS community FROM part) GROUP BY 1 HAVING count(*) >= 2 ORDER BY size DESC, community LIMIT 3 OFFSET 1")
+def community_page(t: Tables) -> DataFrame:
+    """The second to fourth largest groups."""
+    sizes = _groups(t).groupBy(F.col("name").alias("community")).agg(F.first("name").alias("name"), count().alias("size"))
+    return community.community_page(sizes, 2, 1, 3)
+
+
 @query(f"WITH {EDGES}, {_GROUPS}, i AS (SELECT src, dst, a.name AS name FROM edges JOIN groups a ON src = a.path JOIN groups b ON dst = b.path WHERE a.name = b.name), d AS (SELECT name, path, count(*) AS degree FROM (SELECT name, src AS path FROM i UNION ALL SELECT name, dst FROM i) GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY degree DESC, path) AS rk FROM d) WHERE rk <= 3")
 def architecture_hubs(t: Tables) -> DataFrame:
     return graph.group_hubs(t.edges(), _groups(t)).select("name", "path", "degree", F.col("rk").cast("long").alias("rk"))
@@ -279,6 +304,12 @@ def bus_factor(t: Tables) -> DataFrame:
     return history.bus_factor(history.ownership(t.commits(), t.commit_files())).select("path", F.col("bus_factor").cast("long").alias("bus_factor"))
 
 
+@query(f"WITH {HISTORY}, {OWNERS}, {FACTOR} SELECT path, CAST(bus_factor AS BIGINT) AS bus_factor, max(author) FILTER (rk = 1) AS primary_owner, array_to_string(list_transform(list_sort(list([rk, author]) FILTER (rk BETWEEN 2 AND 4)), lambda x: CAST(x[2] AS VARCHAR)), ',') AS co_owners, count(*) AS n_authors FROM owners JOIN factor USING (path) GROUP BY path, bus_factor ORDER BY bus_factor, path LIMIT 50")
+def ownership_list(t: Tables) -> DataFrame:
+    own = history.ownership(t.commits(), t.commit_files())
+    return history.ownership_list(own, history.bus_factor(own), 50)
+
+
 @query(f"WITH {HISTORY}, {NOW} SELECT path, CAST(floor((max(now) - max(ts)) / 86400) AS BIGINT) AS staleness_days FROM touches, now GROUP BY path")
 def staleness(t: Tables) -> DataFrame:
     return history.staleness(t.commits(), t.commit_files(), _now(t))
@@ -335,28 +366,40 @@ def codeowners_rules(t: Tables) -> DataFrame:
     return history.codeowners_rules(history.ownership(t.commits(), t.commit_files()), 0.005)
 
 
-@query(f"""WITH {ALL_HISTORY}, files AS (SELECT path FROM spath WHERE path LIKE 'ASIA/%' AND path IN (SELECT path FROM commit_files)), nf AS (SELECT count(*) AS k FROM files),
+_REVIEWERS = f"""WITH {ALL_HISTORY}, files AS (SELECT path FROM spath WHERE path LIKE 'ASIA/%' AND path IN (SELECT path FROM commit_files)), nf AS (SELECT count(*) AS k FROM files),
 own AS (SELECT author, sum(share) AS own, sum(CASE WHEN bus_factor <= 2 AND share >= 0.1 AND rk > 1 THEN 1 ELSE 0 END) AS boosts FROM owners JOIN files USING (path) LEFT JOIN factor USING (path) GROUP BY author),
 pt AS (SELECT path, partner FROM coupled JOIN files USING (path) WHERE rk <= 10), np AS (SELECT path, count(*) AS k FROM pt GROUP BY path),
 peers AS (SELECT author, sum(h / CAST(k AS DOUBLE)) AS peers FROM (SELECT pt.path, author, count(*) AS h FROM pt JOIN owners o ON o.path = partner GROUP BY 1, 2) JOIN np USING (path) GROUP BY author),
 act AS (SELECT author, max(last_touch) AS last_ts FROM owners JOIN churn USING (path) GROUP BY author),
 x AS (SELECT author, last_ts, floor((now - last_ts) / 86400) AS days, coalesce(own, 0) / k AS own, coalesce(peers, 0) / k AS peers, coalesce(boosts, 0) / CAST(k AS DOUBLE) AS boost FROM own FULL JOIN peers USING (author) JOIN act USING (author), nf, now),
-y AS (SELECT author, own, peers, CASE WHEN days <= 30 THEN 1.0 WHEN days <= 90 THEN 0.5 ELSE 0.0 END AS activity, boost, CASE WHEN days > 90 THEN 0.3 ELSE 1.0 END AS multiplier FROM x WHERE days <= 180)
-SELECT author, {r6('own')} AS own, {r6('peers')} AS peers, {r6('multiplier * (0.5 * own + 0.25 * peers + 0.15 * activity + 0.1 * boost)')} AS total FROM y""")
+y AS (SELECT author, last_ts, own, peers, CASE WHEN days <= 30 THEN 1.0 WHEN days <= 90 THEN 0.5 ELSE 0.0 END AS activity, boost, CASE WHEN days > 90 THEN 0.3 ELSE 1.0 END AS multiplier FROM x WHERE days <= 180),
+z AS (SELECT *, multiplier * (0.5 * own + 0.25 * peers + 0.15 * activity + 0.1 * boost) AS total FROM y)"""
+
+
+@query(f"{_REVIEWERS} SELECT author, {r6('own')} AS own, {r6('peers')} AS peers, {r6('total')} AS total FROM z")
 def reviewer_scores(t: Tables) -> DataFrame:
+    return _reviewers(t, None)
+
+
+@query(f"{_REVIEWERS} SELECT author, {r6('own')} AS own, {r6('peers')} AS peers, {r6('total')} AS total FROM z ORDER BY floor(z.total / 0.02) DESC, multiplier DESC, last_ts DESC, author LIMIT 3")
+def reviewers_top(t: Tables) -> DataFrame:
+    return _reviewers(t, 3)
+
+
+def _reviewers(t: Tables, k: int | None) -> DataFrame:
     c, f = t.commits(), t.commit_files()
     own, ch = history.ownership(c, f), history.churn(c, f)
     files = t.supplier_paths().where("path LIKE 'ASIA/%'").join(f.select("path"), "path", "left_semi")
-    x = history.reviewer_scores(own, files, history.bus_factor(own), ch.select("path", "last_touch"), history.cochange_pairs(c, f), _now(t), k=None)
+    x = history.reviewer_scores(own, files, history.bus_factor(own), ch.select("path", "last_touch"), history.cochange_pairs(c, f), _now(t), k=k)
     return x.select("author", *(round6(F.col(c)).alias(c) for c in ("own", "peers", "total")))
 
 
 # --- risk ------------------------------------------------------------------------
 
 
-def _metrics(t: Tables) -> DataFrame:
+def _metrics(t: Tables, pairs: DataFrame | None = None, now: int | None = None) -> DataFrame:
     c, f = t.commits(), t.commit_files()
-    partners = history.coupling(history.cochange_pairs(c, f), _now(t), least_confidence=0.2, k=None).groupBy("path").agg(count().alias("coupling"))
+    partners = history.coupling(history.cochange_pairs(c, f) if pairs is None else pairs, _now(t) if now is None else now, least_confidence=0.2, k=None).groupBy("path").agg(count().alias("coupling"))
     ch = history.churn(c, f, BUGS).select("path", "churn_lines", "bug_density", "last_touch")
     # Scores read the metrics several times (for each cap, the ranks, the result): they are made once.
     return cut(ch.join(partners, "path", "left").fillna(0, ["coupling"]).join(history.bus_factor(history.ownership(c, f)), "path", "left"), "metrics")
@@ -390,10 +433,9 @@ def risk_overlay(t: Tables) -> DataFrame:
     return risk.risk_overlay(_metrics(t)).select("path", round6(F.col("score")).alias("score"), "level")
 
 
-_LEVELS = f"""imp AS (SELECT p.path, count(DISTINCT src) AS importers, coalesce(bool_or(contains(src, '{TESTS}')), false) AS covered FROM ppath p LEFT JOIN edges ON dst = p.path WHERE p.path LIKE 'Brand#1/%' OR p.path LIKE 'Brand#2/%' GROUP BY p.path),
-named AS (SELECT DISTINCT unnest(string_split_regex(path, '[^A-Za-z0-9]+')) AS word FROM nodes WHERE contains(path, '{TESTS}')),
-imp2 AS (SELECT path, importers, covered OR split_part(path, '/', 3) IN (SELECT word FROM named) AS covered FROM imp),
-levels AS (SELECT path, importers, covered, CASE WHEN contains(path, '{TESTS}') THEN CASE WHEN importers >= 5 THEN 'high' ELSE 'low' END WHEN importers >= 5 AND NOT covered THEN 'critical' WHEN importers >= 5 OR (NOT covered AND importers > 2) THEN 'high' WHEN NOT covered THEN 'medium' WHEN importers > 2 THEN 'medium' ELSE 'low' END AS level FROM imp2)"""
+_LEVELS = f"""imp AS (SELECT p.path, count(DISTINCT src) AS importers, coalesce(bool_or(contains(src, '{TESTS}')), false) AS by_test FROM ppath p LEFT JOIN edges ON dst = p.path WHERE p.path LIKE 'Brand#1/%' OR p.path LIKE 'Brand#2/%' GROUP BY p.path),
+imp2 AS (SELECT path, importers, contains(path, '{TESTS}') AS test, contains(path, '{TESTS}') OR by_test OR EXISTS (SELECT 1 FROM nodes t WHERE contains(t.path, '{TESTS}') AND contains(t.path, split_part(imp.path, '/', 3))) AS covered FROM imp),
+levels AS (SELECT path, importers, covered, CASE WHEN test THEN CASE WHEN importers >= 5 THEN 'high' ELSE 'low' END WHEN importers >= 5 AND NOT covered THEN 'critical' WHEN importers >= 5 OR (NOT covered AND importers > 2) THEN 'high' WHEN NOT covered THEN 'medium' WHEN importers > 2 THEN 'medium' ELSE 'low' END AS level FROM imp2)"""
 
 
 def _levels(t: Tables) -> DataFrame:
@@ -405,6 +447,12 @@ def change_risk(t: Tables) -> DataFrame:
     return _levels(t)
 
 
+@query(f"WITH {CHAIN_EDGES}, {_LEVELS} SELECT * FROM levels ORDER BY CASE level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, path LIMIT 40")
+def change_risk_gravest(t: Tables) -> DataFrame:
+    """On the sparse graph, where all levels occur; the gravest forty."""
+    return risk.by_level(risk.change_risk(t.part_paths().where("path LIKE 'Brand#1/%' OR path LIKE 'Brand#2/%'"), t.chain_edges(), TESTS)).limit(40)
+
+
 @query(f"WITH {EDGES}, {_LEVELS} SELECT level, count(*) AS n FROM levels GROUP BY level")
 def change_risk_summary(t: Tables) -> DataFrame:
     return _levels(t).groupBy("level").agg(count().alias("n"))
@@ -449,10 +497,10 @@ def vector_knn_cosine(t: Tables) -> DataFrame:
     return search.knn(t.embeddings(), _vec_seeds(t), 11, "cosine").where("query != path").select("query", "path", round6(F.col("distance")).alias("distance"))
 
 
-@query(f"WITH {_VEC}, d AS (SELECT path, {_L2} AS d FROM v, q WHERE query = 7), h AS (SELECT path, d AS score FROM d ORDER BY d, path LIMIT 10), e AS (SELECT vec_id AS src, (vec_id * 7 + 1) % 500 AS dst FROM embeddings), w AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT dst AS path, min(score) + 0.1 AS score FROM h JOIN w ON h.path = w.src WHERE dst NOT IN (SELECT path FROM h) GROUP BY dst), a AS (SELECT *, 'vector' AS via FROM h UNION ALL SELECT *, 'graph' FROM n) SELECT path, {r6('score')} AS score, via FROM a ORDER BY a.score, path LIMIT 10")
+@query(f"WITH {_VEC}, e AS (SELECT DISTINCT l_suppkey AS src, next_supp AS dst FROM ({EDGES.split('nxt AS (')[1].split('), edges AS')[0]}) WHERE l_suppkey <> next_supp), d AS (SELECT path, {_L2} AS d FROM v, q WHERE query = 7), h AS (SELECT path, d AS score FROM d ORDER BY d, path LIMIT 10), w AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT dst AS path, min(score) + 0.1 AS score FROM h JOIN w ON h.path = w.src WHERE dst NOT IN (SELECT path FROM h) GROUP BY dst), a AS (SELECT *, 'vector' AS via FROM h UNION ALL SELECT *, 'graph' FROM n) SELECT path, {r6('score')} AS score, via FROM a ORDER BY a.score, path LIMIT 10")
 def hybrid_search(t: Tables) -> DataFrame:
     hits = search.knn(t.embeddings(), _vec_seeds(t).where("query = 7"))
-    edges = t.raw("embeddings").select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 1) % 500).alias("dst"))
+    edges = t.next_parts().where("l_suppkey != next_supp").select(F.col("l_suppkey").alias("src"), F.col("next_supp").alias("dst")).distinct()
     return search.hybrid_search(hits, edges).withColumn("score", round6(F.col("score")))
 
 
@@ -490,6 +538,17 @@ def fulltext_regex(t: Tables) -> DataFrame:
     return search.fulltext(t.files(), "v[0-9]+|[0-9]{3}", regex=True).select("path", "matches")
 
 
+_DOC_VECTORS = "dv AS (SELECT path, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings JOIN documents ON vec_id = doc_id JOIN files ON path = source || '/' || lang || '/' || CAST(doc_id AS VARCHAR)), dq AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 7)"
+
+
+@query(f"WITH {FILES}, {_DOC_VECTORS}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM files), k AS (SELECT path, -count(*) AS score, count(*) AS matches FROM l WHERE contains(lower(line), 'license') GROUP BY path ORDER BY matches DESC, path LIMIT 20), n AS (SELECT path, {_L2} AS d FROM dv, dq ORDER BY d, path LIMIT 10), m AS (SELECT path, CAST(score AS DOUBLE) AS score, matches FROM k UNION ALL SELECT path, d + 2, 0 FROM n WHERE path NOT IN (SELECT path FROM k)) SELECT path, matches, {r6('score')} AS score FROM m ORDER BY m.score, path LIMIT 20")
+def fulltext_hybrid(t: Tables) -> DataFrame:
+    d = t.raw("documents").select(F.col("doc_id").alias("vec_id"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    vectors = t.raw("embeddings").join(d, "vec_id").select("path", F.col("embedding").alias("vector"))
+    query = t.raw("embeddings").where("vec_id = 7").select(F.lit(0).cast("long").alias("query"), F.col("embedding").alias("q"))
+    return search.fulltext_hybrid(t.files(), "License", vectors, query).withColumn("score", round6(F.col("score")))
+
+
 @query(f"WITH {FILES}, s AS (SELECT path, string_split(content, chr(10)) AS l FROM files WHERE contains(lower(content), 'license')), a AS (SELECT path, l, list_filter(range(1, len(l) + 1), lambda i: contains(lower(l[i]), 'license')) AS hits FROM s) SELECT path, len(hits) AS matches, array_to_string(list_transform(hits[1:3], lambda i: array_to_string(l[greatest(i - 1, 1):i + 1], chr(10))), chr(10) || '--' || chr(10)) AS snippet FROM a ORDER BY matches DESC, path LIMIT 20")
 def fulltext_snippets(t: Tables) -> DataFrame:
     return search.fulltext(t.files(), "License")
@@ -570,6 +629,38 @@ def file_risk_latest(t: Tables) -> DataFrame:
     return telemetry.last_per_file(t.raw("lineitem").select(F.col("l_partkey").alias("path"), seconds("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("score")))
 
 
+_POINTS = "p AS (SELECT l_partkey AS path, CAST(epoch(l_shipdate) AS BIGINT) AS ts, l_discount AS score, l_returnflag AS label FROM lineitem), n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, score, label) AS i FROM p)"
+
+
+@query(f"WITH RECURSIVE {_POINTS}, k AS (SELECT path, i, ts, score, label, score AS kept_score, label AS kept_label, true AS keep FROM n WHERE i = 1 UNION ALL SELECT n.path, n.i, n.ts, n.score, n.label, CASE WHEN n.label <> kept_label OR abs(n.score - kept_score) >= 0.045 THEN n.score ELSE kept_score END, CASE WHEN n.label <> kept_label OR abs(n.score - kept_score) >= 0.045 THEN n.label ELSE kept_label END, n.label <> kept_label OR abs(n.score - kept_score) >= 0.045 FROM k JOIN n ON n.path = k.path AND n.i = k.i + 1) SELECT path, ts, score, label FROM k WHERE keep")
+def file_risk_changes(t: Tables) -> DataFrame:
+    return telemetry.change_filter(t.raw("lineitem").select(F.col("l_partkey").alias("path"), seconds("l_shipdate").alias("ts"), F.col("l_discount").alias("score"), F.col("l_returnflag").alias("label")), 0.045)
+
+
+@query(f"WITH {FILES}, x AS (SELECT length(content) AS a, length(split_part(content, chr(10), 1)) AS b FROM files WHERE content IS NOT NULL) SELECT count(*) AS n_files, CAST(floor(sum(a) / 4.0 + 0.5) AS BIGINT) AS full_tokens, CAST(floor(sum(b) / 4.0 + 0.5) AS BIGINT) AS skeleton_tokens, CAST(floor(100.0 * (sum(a) - sum(b)) / sum(a) + 0.5) AS BIGINT) AS saved_pct FROM x")
+def token_savings(t: Tables) -> DataFrame:
+    """With a file's first line as its skeleton."""
+    return telemetry.token_savings(t.files().select("content", F.split_part("content", F.lit("\n"), F.lit(1)).alias("skeleton")))
+
+
+_REVIEWS = "r AS (SELECT CAST(l_quantity AS BIGINT) AS style, CASE WHEN l_discount >= 0.02 THEN CAST(floor(l_extendedprice) AS BIGINT) END AS security, l_returnflag AS verdict, l_linestatus AS tier, CAST(l_linenumber AS BIGINT) AS high, CAST(l_linenumber * 2 AS BIGINT) AS low FROM lineitem), u AS (SELECT 'style' AS specialist, style AS tokens FROM r UNION ALL SELECT 'security', security FROM r), q AS (SELECT specialist, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS total, list_sort(list(tokens)) AS l FROM u WHERE tokens IS NOT NULL GROUP BY 1)"
+
+
+def _reviews(t: Tables) -> DataFrame:
+    li = t.raw("lineitem")
+    return li.select(F.col("l_quantity").cast("long").alias("style"), F.when(F.col("l_discount") >= 0.02, F.floor("l_extendedprice").cast("long")).alias("security"), F.col("l_returnflag").alias("verdict"), F.col("l_linestatus").alias("tier"), F.col("l_linenumber").cast("long").alias("high"), (F.col("l_linenumber") * 2).cast("long").alias("low"))
+
+
+@query(f"WITH {_REVIEWS} SELECT specialist, n, total, l[1] AS min, l[CAST(n AS INT)] AS max, l[CAST(floor((n - 1) * 0.5) AS INT) + 1] AS p50, l[CAST(floor((n - 1) * 0.75) AS INT) + 1] AS p75, l[CAST(floor((n - 1) * 0.95) AS INT) + 1] AS p95 FROM q")
+def review_summary(t: Tables) -> DataFrame:
+    return telemetry.review_summary(_reviews(t), ["style", "security"])
+
+
+@query(f"WITH {_REVIEWS} SELECT tier, verdict, count(*) AS n, CAST(sum(high) AS BIGINT) AS high, CAST(sum(low) AS BIGINT) AS low FROM r GROUP BY 1, 2")
+def review_verdicts(t: Tables) -> DataFrame:
+    return telemetry.review_verdicts(_reviews(t), ["high", "low"])
+
+
 # --- imports, evaluation, conversations ------------------------------------------------
 
 
@@ -614,17 +705,17 @@ def conversation_transitions(t: Tables) -> DataFrame:
 
 @query()
 def communities(t: Tables) -> DataFrame:
-    return community.communities(t.edges())
+    return community.communities(t.chain_edges())
 
 
 @query()
 def community_names(t: Tables) -> DataFrame:
-    return community.community_names(community.communities(t.edges()))
+    return community.community_names(community.communities(t.chain_edges()))
 
 
 @query()
 def betweenness(t: Tables) -> DataFrame:
-    return community.betweenness(t.edges()).withColumn("score", round6(F.col("score")))
+    return community.betweenness(t.chain_edges()).withColumn("score", round6(F.col("score")))
 
 
 def _calls_with_files(t: Tables) -> DataFrame:
@@ -645,13 +736,35 @@ def affected_flows(t: Tables) -> DataFrame:
 # --- the flagship ----------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {ALL_HISTORY}, {SCORES}, {BANDS}, arm AS (SELECT partner AS path, 'historical' AS signal, max(confidence) AS confidence FROM both_ways WHERE path LIKE 'AFRICA/%' GROUP BY partner)
-SELECT arm.path, signal, {r6('confidence')} AS confidence, {r6('score')} AS score, label FROM arm JOIN bands ON arm.path = bands.path""")
+_SUPPLIER_SEEDS = "path LIKE 'AFRICA/NATION_20/%'"
+
+
+@query(f"""WITH RECURSIVE {ALL_HISTORY}, {SCORES}, {BANDS}, {SUPPLIER_EDGES}, {SUPPLIER_CALLS}, {SUPPLIER_SYMBOLS}, seeds AS (SELECT path FROM spath WHERE {_SUPPLIER_SEEDS}),
+reach AS (SELECT path, 0 AS hop FROM seeds UNION SELECT src, hop + 1 FROM reach JOIN sedges ON dst = path WHERE hop < 2), hops AS (SELECT path, min(hop) AS hop FROM reach GROUP BY path),
+static1 AS (SELECT path, CASE hop WHEN 1 THEN 'direct' ELSE 'transitive' END AS signal FROM hops WHERE hop > 0 UNION ALL SELECT DISTINCT dst, 'importee' FROM sedges WHERE src IN (SELECT path FROM seeds) AND dst NOT IN (SELECT path FROM seeds)),
+nd AS (SELECT name, count(*) AS n FROM ssymbols GROUP BY name), sper AS (SELECT x.path, caller_file, sum(1.0 / n) AS score FROM (SELECT DISTINCT path, name FROM ssymbols WHERE path IN (SELECT path FROM seeds)) x JOIN nd USING (name) JOIN (SELECT DISTINCT caller_file, callee_symbol AS name FROM scalls) c USING (name) WHERE caller_file <> x.path GROUP BY 1, 2),
+snear AS (SELECT caller_file, max(score + CASE WHEN len(list_filter(string_split_regex(lower(split_part(path, '/', 3)), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND contains(lower(caller_file), w))) > 0 THEN 1.0 ELSE 0.0 END) AS score FROM sper GROUP BY 1),
+callers AS (SELECT caller_file AS path, 'symbol_caller' AS signal FROM snear WHERE score >= 1 ORDER BY snear.score DESC, caller_file LIMIT 25),
+static2 AS (SELECT * FROM static1 UNION ALL SELECT * FROM callers),
+hr AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, partner) AS k FROM both_ways WHERE confidence >= 0.1),
+hist AS (SELECT partner AS path, 'historical' AS signal FROM (SELECT *, row_number() OVER (PARTITION BY partner ORDER BY path) AS j FROM hr WHERE k <= 25 AND path IN (SELECT path FROM seeds) AND partner NOT IN (SELECT path FROM seeds) AND partner NOT IN (SELECT path FROM static2)) WHERE j = 1 ORDER BY confidence DESC, partner LIMIT 10),
+sv AS (SELECT path, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings JOIN spath ON vec_id = s_suppkey), sd AS (SELECT a.path AS seed, b.path, {_L2.replace('list_zip(v, q)', 'list_zip(a.v, b.v)')} AS d FROM sv a JOIN sv b ON a.path IN (SELECT path FROM seeds)),
+sr AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY d, path) AS k FROM sd), sem AS (SELECT path, 'semantic' AS signal FROM (SELECT path, min(d) AS d FROM sr WHERE k <= 15 AND d < 1.9 AND path NOT IN (SELECT path FROM seeds) AND path NOT IN (SELECT path FROM static2) GROUP BY path ORDER BY d, path LIMIT 10)),
+arms AS (SELECT DISTINCT path, signal, list_position(['direct', 'transitive', 'importee', 'symbol_caller', 'historical', 'semantic'], signal) AS p FROM (SELECT * FROM static2 UNION ALL SELECT * FROM hist UNION ALL SELECT * FROM sem) WHERE path NOT IN (SELECT path FROM seeds))
+SELECT path, arg_min(signal, p) AS signal, string_agg(signal, ',' ORDER BY p) AS signals, {r6('any_value(score)')} AS score, any_value(label) AS label FROM arms LEFT JOIN bands USING (path) GROUP BY path""")
 def impact_union(t: Tables) -> DataFrame:
-    """Files coupled to the seeds by history, with their risk and band."""
-    arm = history.coupling(_pairs(t), _now(t), k=None).where("path LIKE 'AFRICA/%'").groupBy(F.col("partner").alias("path")).agg(F.lit("historical").alias("signal"), F.max("confidence").alias("confidence"))
-    banded = risk.risk_bands(risk.risk_scores(_metrics(t))).select("path", "score", "label")
-    return arm.join(banded, "path").select("path", "signal", round6(F.col("confidence")).alias("confidence"), round6(F.col("score")).alias("score"), "label")
+    """What a change of the seeds may reach, by all signals, with each file's risk and band."""
+    paths, edges, symbols = t.supplier_paths().select("path"), t.supplier_edges(), t.supplier_symbols()
+    seeds = paths.where(_SUPPLIER_SEEDS)
+    pairs, now = cut(_pairs(t), "pairs"), _now(t)
+    static = graph.impact_radius(edges, seeds, 2, with_importees=True).select("path", "signal")
+    callers = graph.symbol_callers(symbols, t.supplier_calls(), seeds).select(F.col("caller_file").alias("path"), F.lit("symbol_caller").alias("signal"))
+    static = cut(static.unionByName(callers), "static")
+    past = history.coupling_arm(pairs, seeds, static, now).select("path", F.lit("historical").alias("signal"))
+    alike = search.semantic_arm(t.supplier_vectors(), seeds, static, below=1.9).select("path", F.lit("semantic").alias("signal"))
+    arms = static.unionByName(past).unionByName(alike).join(seeds, "path", "left_anti")
+    banded = risk.risk_bands(risk.risk_scores(_metrics(t, pairs, now))).select("path", "score", "label")
+    return graph.impact_union(arms).join(banded, "path", "left").select("path", "signal", "signals", round6(F.col("score")).alias("score"), "label")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,15 +39,47 @@ class Tables:
         return li.groupBy(F.col("l_orderkey").alias("sha"), "path").agg(F.sum("l_quantity").cast("long").alias("added"), F.sum("l_linenumber").cast("long").alias("deleted"))
 
     def next_parts(self) -> DataFrame:
-        """l_orderkey, part of a line, supplier of it, part of the next line."""
+        """Every line: its order, part and supplier, and the part and supplier of the next line."""
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-        return self.raw("lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", F.col("l_partkey").alias("s"), "l_suppkey", F.lead("l_partkey").over(w).alias("d"))
+        return self.raw("lineitem").select("l_orderkey", F.col("l_partkey").alias("s"), "l_suppkey", F.lead("l_partkey").over(w).alias("d"), F.lead("l_suppkey").over(w).alias("next_supp"))
 
     def edges(self) -> DataFrame:
-        """src, dst: a part imports the next part of its order."""
+        """src, dst: a part imports the next part of each of its orders."""
         x, a, b = self.next_parts(), self.part_paths().toDF("s", "src"), self.part_paths().toDF("d", "dst")
         return x.where("s != d").join(a, "s").join(b, "d").select("src", "dst").distinct()
 
+    def chain_edges(self) -> DataFrame:
+        """src, dst: a part imports the part behind it in its first and in its latest order. A sparse graph out of all lines."""
+        x, a, b = self.next_parts().where("s != d"), self.part_paths().toDF("s", "src"), self.part_paths().toDF("d", "dst")
+        at = F.struct("l_orderkey", "d")
+        ends = x.groupBy("s").agg(F.array(F.min(at)["d"], F.max(at)["d"]).alias("ds")).select("s", F.explode("ds").alias("d"))
+        return ends.join(a, "s").join(b, "d").select("src", "dst").distinct()
+
+    def supplier_edges(self) -> DataFrame:
+        """src, dst: the same between suppliers, the files of the history."""
+        x = self.next_parts().where("l_suppkey != next_supp")
+        at = F.struct("l_orderkey", "next_supp")
+        ends = x.groupBy("l_suppkey").agg(F.array(F.min(at)["next_supp"], F.max(at)["next_supp"]).alias("ds")).select("l_suppkey", F.explode("ds").alias("next_supp"))
+        a, b = self.supplier_paths().toDF("l_suppkey", "src"), self.supplier_paths().toDF("next_supp", "dst")
+        return ends.join(a, "l_suppkey").join(b, "next_supp").select("src", "dst").distinct()
+
+    def supplier_symbols(self) -> DataFrame:
+        """name, path, type: a part is defined by the supplier of its latest line."""
+        last = self.raw("lineitem").groupBy("l_partkey").agg(F.max(F.struct("l_orderkey", "l_linenumber", "l_suppkey"))["l_suppkey"].alias("s_suppkey"))
+        parts = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"))
+        return last.join(parts, "l_partkey").join(self.supplier_paths(), "s_suppkey").select("name", "path", F.lit("function").alias("type"))
+
+    def supplier_calls(self) -> DataFrame:
+        """caller_file, caller_symbol, callee_symbol: a supplier's line calls the next line's part, in the part's first order."""
+        x = self.next_parts().where("d is not null").groupBy("d").agg(F.min(F.struct("l_orderkey", "s", "l_suppkey")).alias("x")).select("d", F.col("x.s").alias("s"), F.col("x.l_suppkey").alias("s_suppkey"))
+        names = self.raw("part").select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"))
+        joined = x.join(self.supplier_paths(), "s_suppkey").join(names.toDF("s", "caller_symbol"), "s").join(names.toDF("d", "callee_symbol"), "d")
+        return joined.select(F.col("path").alias("caller_file"), "caller_symbol", "callee_symbol").distinct()
+
+    def supplier_vectors(self) -> DataFrame:
+        """path, vector of the suppliers that have an embedding under their key."""
+        return self.raw("embeddings").join(self.supplier_paths(), F.col("vec_id") == F.col("s_suppkey")).select("path", F.col("embedding").alias("vector"))
+
     def symbols(self) -> DataFrame:
         """name, path, type, start_line, end_line."""
         kind = F.when(F.col("p_size") % 3 == 0, "function").when(F.col("p_size") % 3 == 1, "class").otherwise("method")
@@ -77,8 +109,13 @@ class Tables:
 #: The same views in SQL, as named parts of a WITH clause.
 PART_PATHS = "ppath AS (SELECT p_partkey, p_brand || '/' || p_type || '/' || CAST(p_partkey AS VARCHAR) AS path, p_name FROM part)"
 SUPPLIER_PATHS = "spath AS (SELECT s_suppkey, r_name || '/' || n_name || '/' || s_name AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
-NEXT_PARTS = "nxt AS (SELECT l_partkey AS s, l_suppkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS d FROM lineitem WHERE l_orderkey % 20 = 0)"
+NEXT_PARTS = "nxt AS (SELECT l_orderkey, l_partkey AS s, l_suppkey, lead(l_partkey) OVER w AS d, lead(l_suppkey) OVER w AS next_supp FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))"
 EDGES = f"{PART_PATHS}, {NEXT_PARTS}, edges AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM nxt JOIN ppath a ON s = a.p_partkey JOIN ppath b ON d = b.p_partkey WHERE s <> d), nodes AS (SELECT src AS path FROM edges UNION SELECT dst FROM edges)"
+_ENDS = "SELECT s, min(struct_pack(a := l_orderkey, b := d)).b AS d FROM nxt WHERE s <> d GROUP BY s UNION SELECT s, max(struct_pack(a := l_orderkey, b := d)).b FROM nxt WHERE s <> d GROUP BY s"
+CHAIN_EDGES = f"{PART_PATHS}, {NEXT_PARTS}, edges AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM ({_ENDS}) JOIN ppath a ON s = a.p_partkey JOIN ppath b ON d = b.p_partkey), nodes AS (SELECT src AS path FROM edges UNION SELECT dst FROM edges)"
+SUPPLIER_EDGES = f"{NEXT_PARTS}, sedges AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM (" + _ENDS.replace("s <> d", "l_suppkey <> next_supp").replace("SELECT s,", "SELECT l_suppkey,").replace("b := d", "b := next_supp").replace("GROUP BY s", "GROUP BY l_suppkey") + ") x JOIN spath a ON x.l_suppkey = a.s_suppkey JOIN spath b ON x.d = b.s_suppkey)"
+SUPPLIER_SYMBOLS = "ssymbols AS (SELECT p_name || ' ' || CAST(p_partkey AS VARCHAR) AS name, path FROM (SELECT l_partkey, max(struct_pack(a := l_orderkey, b := l_linenumber, c := l_suppkey)).c AS k FROM lineitem GROUP BY 1) JOIN part ON l_partkey = p_partkey JOIN spath ON k = s_suppkey)"
+SUPPLIER_CALLS = "scalls AS (SELECT DISTINCT path AS caller_file, b.p_name || ' ' || CAST(b.p_partkey AS VARCHAR) AS callee_symbol FROM (SELECT d, min(struct_pack(a := l_orderkey, b := s, c := l_suppkey)) AS x FROM nxt WHERE d IS NOT NULL GROUP BY d) JOIN spath ON x.c = s_suppkey JOIN part b ON d = b.p_partkey)"
 COMMITS = "commits AS (SELECT o_orderkey AS sha, o_custkey AS author, CAST(epoch(o_orderdate) AS BIGINT) AS ts, o_orderpriority AS message, o_orderstatus = 'P' AS is_merge FROM orders)"
 COMMIT_FILES = f"{SUPPLIER_PATHS}, commit_files AS (SELECT l_orderkey AS sha, path, CAST(sum(l_quantity) AS BIGINT) AS added, CAST(sum(l_linenumber) AS BIGINT) AS deleted FROM lineitem JOIN spath ON l_suppkey = s_suppkey GROUP BY l_orderkey, path)"
 HISTORY = f"{COMMITS}, {COMMIT_FILES}, touches AS (SELECT * FROM commits JOIN commit_files USING (sha))"
