@@ -479,8 +479,9 @@ def _components(documents: DataFrame, p: Params) -> DataFrame:
     mine = groups.toDF("rep_digest", "rep")
     first = prefixes(sets, classes, p)
     first = first.join(mine, (first["doc_id"] == mine["rep"]) & (first["digest"] == mine["rep_digest"]), "left_semi")
-    postings = cut(first.select(F.posexplode("prefix").alias("at", "key"), "doc_id", "n"), "postings")
-    lists = sized(postings.select("key", "doc_id", "n", F.col("at").cast("long"), (F.col("n") - F.col("at")).alias("rest"), (2 * p.percent * F.col("n")).alias("need")))
+    postings = cut(first.select(F.posexplode("prefix").alias("at", "key"), "doc_id", F.col("n").cast("int").alias("n")), "postings")
+    release(spark)
+    lists = sized(postings).select("key", "doc_id", F.col("n").cast("long"), F.col("at").cast("long"), (F.col("n") - F.col("at")).cast("long").alias("rest"), (2 * p.percent * F.col("n")).cast("long").alias("need"), "size")
     lists = cut(lists, "lists")
     drop_cut(postings)
     release(spark)
