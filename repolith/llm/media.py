@@ -5,7 +5,8 @@ as baseline JPEG intra frames, and shots are found where the difference of two
 neighbouring frames' histograms exceeds a threshold that adapts to the
 differences around it. The result is a row for each clip, with times.
 
-decode_jpeg() reads baseline greyscale and YCbCr frames of any Huffman tables.
+decode_jpeg() reads baseline greyscale and YCbCr frames of any Huffman tables;
+frames without tables, as most cameras write them, take the standard's.
 Where all codes of a frame with their extra bits are equally long and blocks
 hold a DC coefficient only, as in the frames encode_samples() writes, decoding
 needs no loop: bits are cut and looked up by numpy.
@@ -64,13 +65,24 @@ def chunks(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]
         start += 8 + n + (n & 1)
 
 
+def in_movi(data: bytes, start: int, end: int, ids: tuple[bytes, ...]) -> Iterator[bytes]:
+    """The stream's chunks of a movi list, those in rec lists too."""
+    for name, at, n in chunks(data, start, end):
+        if name in ids:
+            yield data[at : at + n]
+        elif name == b"LIST" and data[at : at + 4] == b"rec ":
+            yield from in_movi(data, at + 4, at + n, ids)
+
+
 def read_avi(data: bytes) -> dict:
-    """frames (in the index's order, or the movi list's where there is no index), fps, width, height, info."""
+    """frames of the first video stream (in the index's order, or the movi list's where there is no index; then those of the AVIX
+    parts that follow a large file's first), fps, width, height, info. An empty frame stands for the one before it."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI")
     out: dict = {"frames": [], "fps": float(FPS), "width": 0, "height": 0, "info": {}}
-    movi = index = None
-    for name, at, n in chunks(data, 12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])):
+    movi = index = stream = None
+    first = min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])
+    for name, at, n in chunks(data, 12, first):
         kind = data[at : at + 4] if name == b"LIST" else b""
         if name == b"idx1":
             index = (at, n)
@@ -79,6 +91,7 @@ def read_avi(data: bytes) -> dict:
         elif kind == b"INFO":
             out["info"] = {k: data[a : a + m] for k, a, m in chunks(data, at + 4, at + n)}
         elif kind == b"hdrl":
+            streams = 0
             for sub, a, m in chunks(data, at + 4, at + n):
                 if sub == b"avih" and m >= 40:
                     per, = struct.unpack_from("<I", data, a)
@@ -86,20 +99,29 @@ def read_avi(data: bytes) -> dict:
                     out["fps"] = 1e6 / per if per else out["fps"]
                 elif sub == b"LIST" and data[a : a + 4] == b"strl":
                     for s, b, k in chunks(data, a + 4, a + m):
-                        if s == b"strh" and k >= 28 and data[b : b + 4] == b"vids":
+                        if s == b"strh" and k >= 28 and data[b : b + 4] == b"vids" and stream is None:
+                            stream = streams
                             scale, rate = struct.unpack_from("<II", data, b + 20)
                             out["fps"] = rate / scale if scale and rate else out["fps"]
-    if movi is None:
-        return out
-    if index:
+                    streams += 1
+    ids = tuple(b"%02d%s" % (stream or 0, kind) for kind in (b"dc", b"db"))
+    if movi and index:
         entries = np.frombuffer(data, np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("n", "<u4")]), index[1] // 16, index[0])
-        entries = entries[np.isin(entries["id"], [b"00dc", b"00db"])]
+        entries = entries[np.isin(entries["id"], ids)]
         if len(entries):
             # Offsets count from the movi list's name, or in some files from the file's start.
             base = movi[0] if entries["at"][0] < movi[0] else 0
-            out["frames"] = [data[base + a + 8 : base + a + 8 + n] for a, n in zip(entries["at"].tolist(), entries["n"].tolist(), strict=True)]
-    else:
-        out["frames"] = [data[a : a + n] for k, a, n in chunks(data, movi[0] + 4, movi[0] + movi[1]) if k in (b"00dc", b"00db")]
+            for a, n in zip(entries["at"].tolist(), entries["n"].tolist(), strict=True):
+                if base + a + 8 + n > len(data):
+                    raise ValueError("the index points past the end")
+                out["frames"].append(data[base + a + 8 : base + a + 8 + n])
+    elif movi:
+        out["frames"] = list(in_movi(data, movi[0] + 4, movi[0] + movi[1], ids))
+    for name, at, n in chunks(data, first + (first & 1), len(data)):
+        if name == b"RIFF" and data[at : at + 4] == b"AVIX":
+            for sub, a, m in chunks(data, at + 4, at + n):
+                if sub == b"LIST" and data[a : a + 4] == b"movi":
+                    out["frames"] += in_movi(data, a + 4, a + m, ids)
     return out
 
 
@@ -117,6 +139,28 @@ def huffman(counts: list[int], symbols: bytes) -> dict[tuple[int, int], int]:
     return table
 
 
+# The tables of the JPEG standard (Annex K.3), which frames without tables of their own use. Counts by code length, then symbols.
+USUAL = {
+    0x00: ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], bytes(range(12))),
+    0x01: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], bytes(range(12))),
+    0x10: (
+        [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125],
+        bytes.fromhex(
+            "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a"
+            "535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6"
+            "c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+        ),
+    ),
+    0x11: (
+        [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119],
+        bytes.fromhex(
+            "0001020311040521310612415107617113223281081442" "91a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a"
+            "535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5"
+            "c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa"
+        ),
+    ),
+}
+
 #: Category s of a DC difference has a code of 9 - s bits (0: of 9) and s extra bits: any difference of two bytes takes 9 bits.
 #: The end of the block takes 1 more.
 DC_COUNTS, DC_SYMBOLS = [1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], bytes([8, 7, 6, 5, 4, 3, 2, 1, 0])
@@ -232,7 +276,7 @@ class Frame:
     def luma(self) -> np.ndarray:
         """The first component's pixels, by the general decoder."""
         if not self.tables:
-            self.tables = {k: huffman(*v) for k, v in self.plain.items()}
+            self.tables = {k: huffman(*v) for k, v in (USUAL | self.plain).items()}
         pieces = [self.coded]
         if self.restart:  # restart marks cut the scan
             pieces, at = [], 0
@@ -340,10 +384,20 @@ def shots(histograms: list[np.ndarray], window: int = 8, times: float = 6.0, flo
 
 
 def clip_rows(data: bytes) -> list[tuple[int, int, int, float, float]]:
-    """clip, first and last frame, start and end in seconds."""
-    avi = read_avi(data)
-    cut = shots([histogram(decode_jpeg(f)) for f in avi["frames"]])
-    return [(k, a, b, a / avi["fps"], (b + 1) / avi["fps"]) for k, (a, b) in enumerate(cut)]
+    """clip, first and last frame, start and end in seconds. Empty frames repeat the one before them, the first ones the first that isn't empty. Whatever is wrong with the data, the error is a ValueError."""
+    try:
+        avi = read_avi(data)
+        seen = [histogram(decode_jpeg(f)) if f else None for f in avi["frames"]]
+    except (LookupError, struct.error, OverflowError) as e:
+        raise ValueError(f"damaged media: {e!r}") from e
+    last = next((h for h in seen if h is not None), None)
+    if last is None:
+        return []
+    filled = []
+    for h in seen:
+        last = last if h is None else h
+        filled.append(last)
+    return [(k, a, b, a / avi["fps"], (b + 1) / avi["fps"]) for k, (a, b) in enumerate(shots(filled))]
 
 
 def clips(media: DataFrame, id_column: str = "media_id", column: str = "media", damaged: str = "raise") -> DataFrame:

@@ -351,3 +351,115 @@ def test_text_media(spark):
         assert r.media_sha256 == hashlib.sha256(media.store(t)[0]).hexdigest()
     assert got[0][1:] == got[1][1:] and got[2][1:] == got[5][1:]
     assert media.text_media(documents(spark, "a").limit(0)).count() == 0
+
+
+# --- media that others write -----------------------------------------------------------------
+
+
+def usual_jpeg(values, with_tables):
+    """A greyscale frame of DC blocks, coded with the standard's tables."""
+    of = lambda key: {s: (n, c) for (n, c), s in media.huffman(*media.USUAL[key]).items()}
+    dc, ac, bits, before = of(0x00), of(0x10), "", 0
+    for v in values:
+        d = v - 128 - before
+        before = v - 128
+        s = abs(d).bit_length()
+        bits += format(dc[s][1], f"0{dc[s][0]}b") + (format(d if d >= 0 else d + (1 << s) - 1, f"0{s}b") if s else "") + format(ac[0][1], f"0{ac[0][0]}b")
+    bits += "1" * (-len(bits) % 8)
+    data = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+    tables = b"".join(media.segment(0xC4, bytes([k, *c]) + v) for k, (c, v) in media.USUAL.items()) if with_tables else b""
+    head = media.segment(0xDB, b"\0" + b"\x08" * 64) + media.segment(0xC0, struct.pack(">BHHBBBB", 8, 8, 8 * len(values), 1, 1, 0x11, 0))
+    return b"\xff\xd8" + head + tables + media.segment(0xDA, b"\x01\x01\x00\x00\x3f\x00") + data + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("with_tables", [False, True])
+def test_frames_without_tables_take_the_standards(with_tables):
+    values = [0, 255, 128, 3, 200, 77, 77, 12]
+    plane = media.decode_jpeg(usual_jpeg(values, with_tables))
+    assert plane.shape == (8, 64) and plane[3, ::8].tolist() == values
+
+
+def test_standard_tables_are_prefix_codes():
+    for counts, symbols in media.USUAL.values():
+        assert sum(counts) == len(symbols) == len(set(symbols)) and sum(n * 2.0**-k for k, n in enumerate(counts, 1)) < 1
+
+
+def grey(v):
+    return usual_jpeg([v] * 8, False)
+
+
+def test_empty_frames_repeat_the_one_before():
+    frames = [grey(10)] * 12 + [b""] * 3 + [grey(240)] * 12
+    assert [(a, b) for _, a, b, _, _ in media.clip_rows(media.write_avi(frames, 64, 8))] == [(0, 14), (15, 26)]
+    assert [(a, b) for _, a, b, _, _ in media.clip_rows(media.write_avi([b"", *frames], 64, 8))] == [(0, 15), (16, 27)]
+    assert media.clip_rows(media.write_avi([b"", b""], 64, 8)) == []
+
+
+def test_parts_behind_the_first_riff_count():
+    first, more = [grey(10)] * 12, [grey(240)] * 12
+    part = lambda frames: media.chunk(b"RIFF", b"AVIX" + media.chunk(b"LIST", b"movi" + media.chunk(b"LIST", b"rec " + b"".join(media.chunk(b"00dc", f) for f in frames))))
+    data = media.write_avi(first, 64, 8) + part(more) + part(first)
+    assert [(a, b) for _, a, b, _, _ in media.clip_rows(data)] == [(0, 11), (12, 23), (24, 35)]
+
+
+def test_video_may_be_the_second_stream():
+    data = media.write_avi([grey(10)] * 3, 64, 8)
+    sound = media.chunk(b"LIST", b"strl" + media.chunk(b"strh", b"auds" + b"\0" * 52))
+    at = data.index(b"LIST", data.index(b"hdrl"))
+    grown = data[:at] + sound + data[at:]
+    hdrl = data.index(b"hdrl") - 4
+    grown = grown[:4] + struct.pack("<I", len(grown) - 8) + grown[8:hdrl] + struct.pack("<I", struct.unpack_from("<I", data, hdrl)[0] + len(sound)) + grown[hdrl + 4 :]
+    assert len(media.read_avi(grown.replace(b"00dc", b"01dc"))["frames"]) == 3 and media.read_avi(grown)["frames"] == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10_000), st.integers(0, 255), st.integers(0, 3))
+def test_damage_is_a_value_error(at, byte, kind):
+    data = media.write_avi([grey(10), grey(99)], 64, 8)
+    data = data[: at % len(data)] if kind == 0 else data[: at % len(data)] + bytes([byte]) + data[at % len(data) + 1 :]
+    try:
+        media.clip_rows(data)
+    except ValueError:
+        pass
+
+
+# --- scores by brute force ---------------------------------------------------------------------
+
+
+def test_quality_scores_are_the_plain_sums(spark):
+    docs, labels = labelled(spark, "awful%%% junk%%%", "fine prose")
+    numbers, bias = model = quality.train(docs, labels, SMALL_Q)
+    texts = ["fine prose prose word3", "awful%%% JUNK%%% awful%%%", "é 日本語 " + "x" * 500, "", None]
+    got = [r.score for r in quality.score(documents(spark, *texts), model, SMALL_Q).collect()]
+    for text, s in zip(texts, got, strict=True):
+        words, buckets = (text or "").lower().split(), []
+        for k, w in enumerate(words):
+            marked = f"<{w}>"
+            buckets += [zlib.crc32(x.encode()) % SMALL_Q.buckets for x in (marked, *(marked[i : i + g] for g in SMALL_Q.grams for i in range(len(marked) - g + 1)))]
+            if k and words[k - 1] == w:
+                buckets.append(quality.REPEAT % SMALL_Q.buckets)
+        z = bias + (np.mean([np.float64(numbers[b]) for b in buckets]) if buckets else 0.0)
+        assert s == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
+def test_toxicity_scores_are_the_plain_sums(spark):
+    docs, labels = labelled(spark, "fine prose", "awful%%% junk%%%")
+    numbers, bias = model = toxicity.train(docs, labels, SMALL_T)
+    texts = ["fine prose prose word3", "awful%%% JUNK%%% awful%%%", "é 日本語 " + "x" * 500, "", None]
+    got = [r.score for r in toxicity.score(documents(spark, *texts), model, SMALL_T).collect()]
+    for text, s in zip(texts, got, strict=True):
+        buckets = set()
+        for w in (text or "").lower().split():
+            marked = f" {w} "
+            buckets |= {zlib.crc32(marked[i : i + g].encode("utf-32-le")) % SMALL_T.buckets for g in SMALL_T.grams for i in range(len(marked) - g + 1)}
+        z = bias + sum(numbers[b] for b in buckets)
+        assert s == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_an_id_that_many_documents_share_is_learnt_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", 1.0, "x") for i in range(500)] + [(2, "other", 1.0, "x")], DOCS)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, label int")
+    same = spark.createDataFrame([(1, "text 99", 1.0, "x"), (2, "other", 1.0, "x")], DOCS)
+    for op, p in ((quality, SMALL_Q), (toxicity, SMALL_T)):
+        a, b = op.train(docs, labels, p), op.train(same, labels.distinct(), p)
+        assert np.array_equal(a[0], b[0]) and a[1] == b[1]
