@@ -12,7 +12,8 @@ fields, one record in memory at a time. The records of a capture are brought
 together by the identifier they name; the result is one nested row per capture.
 
 A null html is an empty payload, a null url leaves its field out, a null page_id
-is left out of the metadata and comes back null. Control characters in a url are
+is left out of the metadata and comes back null. Pages of one id and payload but
+other urls are captures of their own. Control characters in a url are
 percent-encoded. Rows repeated with page_id, url and html equal come back as
 often as they were written. An empty table gives an archive without records and
 no captures.
@@ -27,10 +28,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm.common import scratch
+from repolith.llm.common import cut, remove, scratch
 
 END = "\r\n"
 LEAST = 1000
@@ -49,30 +50,37 @@ def record(kind: str | Column, rid: Column, uri: Column, content_type: str, bloc
     return F.concat(F.lit("WARC/1.1" + END), *(F.coalesce(F.concat(F.lit(f"{k}: "), v, F.lit(END)), F.lit("")) for k, v in lines), F.lit(END), block)
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST, per_file: int = 30_000) -> None:
-    """pages: page_id, url, html."""
+def write(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = 256 << 20) -> None:
+    """pages: page_id, url, html. Files hold some file_bytes of payload at most (a larger page has a file of its own), as readers take a file at a time:
+    pages of about one size are written together, in classes of a factor of 16, and the largest of a class bounds how many go to a file."""
     mine = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    mine = mine.withColumn("n", F.octet_length("html").cast("long"))
-    narrow = mine.select("page_id", "digest", "n").where(F.col("n") >= least)
-    first = narrow.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1 and first is not null").drop("k")
+    mine = mine.withColumn("n", F.octet_length("html").cast("long")).withColumn("own", record_id("capture", F.col("page_id"), F.col("digest"), F.col("url")))
+    mine = mine.withColumn("class", F.when(F.col("n") < 1 << 16, 0).otherwise(F.floor(F.log2("n") / 4).cast("int")))
+    narrow = mine.select("page_id", "digest", "n", "own").where(F.col("n") >= least)
+    first = narrow.where("page_id IS NOT NULL").groupBy("digest").agg(F.max(F.struct(F.col("page_id").alias("first"), F.col("own").alias("first_own"))).alias("x")).select("digest", "x.*")
+    several = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("digest")
     # Decisions move without the payloads, and reach them by page and digest: equal payloads don't meet in one task.
-    again = narrow.join(first, "digest").where("page_id is null or page_id != first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
+    again = narrow.join(several, "digest").join(first, "digest").where("page_id is null or page_id != first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first_own").distinct()
     rows = mine.join(again, mine["page_id"].eqNullSafe(again["p"]) & (mine["digest"] == again["d"]), "left")
 
     uri = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), "[\\x00-\\x1f\\x7f]", "%00")
-    revisit, own = F.col("first").isNotNull(), record_id("capture", F.col("page_id"), F.col("digest"))
+    revisit, own = F.col("first_own").isNotNull(), F.col("own")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n").cast("string"), F.lit(END + END))
     response = record(
         F.when(revisit, "revisit").otherwise("response"), own, uri, "application/http;msgtype=response", F.when(revisit, http).otherwise(F.concat(http, F.col("html"))),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        ("WARC-Refers-To", F.when(revisit, record_id("capture", F.col("first"), F.col("digest")))),
+        ("WARC-Refers-To", F.col("first_own")),
         ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
     )
     concurrent = ("WARC-Concurrent-To", own)
-    request = record("request", record_id("request", F.col("page_id"), F.col("digest")), uri, "application/http;msgtype=request", F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{END}{END}")), concurrent)
-    notes = F.concat_ws(END, F.concat(F.lit("page_id: "), F.col("page_id").cast("string")), F.concat(F.lit("refers_to: "), F.col("first").cast("string")))
-    metadata = record("metadata", record_id("metadata", F.col("page_id"), F.col("digest")), uri, "application/warc-fields", notes, concurrent)
-    rows.select(F.explode(F.array(request, response, metadata)).alias("value")).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    request = record("request", record_id("request", own), uri, "application/http;msgtype=request", F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{END}{END}")), concurrent)
+    notes = F.concat(F.lit("page_id: "), F.col("page_id").cast("string"))
+    metadata = record("metadata", record_id("metadata", own), uri, "application/warc-fields", F.coalesce(notes, F.lit("")), concurrent)
+    sizes = mine.groupBy("class").agg(F.max("n").alias("most")).orderBy("class").collect()  # a row for each factor of 16
+    for r in sizes or [Row(**{"class": 0, "most": 0})]:
+        some = rows.where(F.col("class") == r["class"]).select(F.explode(F.array(request, response, metadata)).alias("value"))
+        per_file = 3 * max(1, file_bytes // max(r.most, 1 << 12))
+        some.write.mode("append").option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -88,7 +96,9 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         head: dict[str, str] = {}
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.strip().lower()] = value.strip()
+            name, value = name.strip().lower(), value.strip()
+            # The one field that may be repeated keeps all its values.
+            head[name] = f"{head[name]} {value}" if name == "warc-concurrent-to" and name in head else value
         n = int(head["content-length"])
         block = stream.read(n)
         if len(block) != n:
@@ -132,35 +142,53 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row per capture: record_id, copies, capture, request, metadata. A capture whose request or metadata is missing has null there; records that name no capture are left aside."""
+    """One nested row per capture: record_id, copies, capture, requests, metadata.
+
+    A record belongs to the captures that it names in Concurrent-To, and to those
+    that name it: archives state the tie on either side. requests and metadata
+    are arrays by record_id, empty where a capture has none; records that neither
+    name a capture nor are named by one are left aside. Equal records of a capture
+    count once.
+    """
+    kept = records.where(F.col("kind").isin("response", "revisit", "request", "metadata"))
     own = F.col("kind").isin("response", "revisit")
-    key = F.when(own, F.col("record_id")).otherwise(F.col("concurrent_to"))
-    kept = records.where(F.col("kind").isin("response", "revisit", "request", "metadata")).withColumn("capture_id", key).where("capture_id is not null")
-    part = lambda which, *cols: F.max(F.when(which, F.struct(*cols)))
-    grouped = kept.groupBy("capture_id").agg(
+    named = F.filter(F.split(F.coalesce("concurrent_to", F.lit("")), " +"), lambda x: x != "")
+    keys = F.when(own, F.array("record_id")).otherwise(named)
+    tied = kept.withColumn("capture_id", F.explode(keys)).where("capture_id IS NOT NULL")
+    # Captures that name their request or metadata: few archives do, and the names come without payloads.
+    back = kept.where(own).select(F.col("record_id").alias("capture_id"), F.explode(named).alias("named")).distinct()
+    if not back.isEmpty():
+        other = kept.where(~own)
+        tied = tied.unionByName(other.join(back, other["record_id"] == back["named"]).select(*other.columns, "capture_id"))
+    part = lambda kind, *cols: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.struct(*cols))))
+    grouped = tied.groupBy(F.col("capture_id").alias("record_id_")).agg(
         F.count(F.when(own, 1)).alias("copies"),
-        part(own, "kind", "uri", "declared", "payload_bytes", "payload_sha1", "refers_to", "payload").alias("capture"),
-        part(F.col("kind") == "request", "record_id", "uri").alias("request"),
-        part(F.col("kind") == "metadata", "record_id", "notes").alias("metadata"),
+        F.max(F.when(own, F.struct("kind", "uri", "declared", "payload_bytes", "payload_sha1", "refers_to", "payload"))).alias("capture"),
+        part("request", "record_id", "uri").alias("requests"),
+        part("metadata", "record_id", "notes").alias("metadata"),
     )
-    return grouped.where("capture is not null")
+    return grouped.withColumnRenamed("record_id_", "record_id").where("capture is not null")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), at)
     whole = captures(read(spark, at, payloads=False))
-    note = lambda name: F.nullif(F.regexp_extract("metadata.notes", rf"(?m)^{name}: (-?\d+)", 1), F.lit("")).cast("long")
+    page = F.nullif(F.regexp_extract(F.get("metadata", F.lit(0))["notes"], r"(?m)^page_id: (-?\d+)", 1), F.lit("")).cast("long")
     is_revisit = F.col("capture.kind") == "revisit"
-    rows = whole.select(
-        note("page_id").alias("page_id"),
-        F.col("capture.payload_bytes").alias("payload_bytes"),
-        F.when(is_revisit, F.substring_index("capture.declared", ":", -1)).otherwise(F.col("capture.payload_sha1")).alias("payload_digest"),
-        F.col("capture.kind").alias("record_type"),
-        F.when(is_revisit, note("refers_to")).alias("refers_to"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
-    return rows
+    rows = cut(
+        whole.select(
+            "record_id", page.alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"),
+            F.when(is_revisit, F.substring_index("capture.declared", ":", -1)).otherwise(F.col("capture.payload_sha1")).alias("payload_digest"),
+            F.col("capture.kind").alias("record_type"), "capture.refers_to", "copies",
+        ),
+        "captures",
+    )
+    remove(spark, at)
+    # A revisit refers to its response by the record's id. A response may have many revisits: the join can be split at run time.
+    of = rows.join(rows.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("response"))
+    out = rows.join(of, "refers_to", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("response").alias("refers_to"))
 
 
 SQL = """
