@@ -8,8 +8,9 @@ whose own text, or a line, a paragraph or a run of neighbouring lines of it, has
 that hash and that stands before the message with the quote. Blank lines don't
 count in runs; only runs of lengths that the conversation's quotes have are made. A message replies to the original of its least
 nested linked passage; of several, to the latest. Its root is the end of that
-chain, found by pointer doubling, and conversations are in reply order by
-root_turn, then turn.
+chain, found by pointer doubling, and its depth is that chain's length. A reply
+has a later turn than its original, so that conversations are in reply order by
+conv_id, root_turn, turn; reply_to_turn and depth give the tree.
 
 Hot keys: what messages offer is reduced to the first turn of each passage
 before it is joined, and no conversation is gathered in one place. Null
@@ -40,18 +41,12 @@ def with_lines(messages: DataFrame) -> DataFrame:
 
 
 def passages(lines: Column) -> Column:
-    """Runs of lines of one level above 0, as (level, text)."""
-    kind = "array<struct<level:int,text:string,open:boolean>>"
-    empty = F.array().cast(kind)
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        goes_on = F.coalesce(last["open"] & (last["level"] == x["level"]), F.lit(False))
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["body"]).alias("text"), F.lit(True).alias("open"))))
-        new = F.concat(done, F.array(F.struct(x["level"].alias("level"), x["body"].alias("text"), F.lit(True).alias("open"))))
-        return F.when(goes_on, longer).otherwise(new).cast(kind)
-
-    return F.filter(F.aggregate(lines, empty, step), lambda x: x["level"] > 0)
+    """Runs of lines of one level above 0, as (level, text): cut between the lines where a run begins and where it ends, so that each line is looked at once."""
+    at = F.sequence(F.lit(0), F.size(lines) - 1)
+    level = lambda i: F.get(lines, i)["level"]
+    edge = lambda step: F.filter(at, lambda i: (level(i) > 0) & ~F.coalesce(level(i) == level(i + step), F.lit(False)))
+    body = lambda first, last: F.array_join(F.transform(F.slice(lines, first + 1, last - first + 1), lambda x: x["body"]), "\n")
+    return F.zip_with(edge(-1), edge(1), lambda first, last: F.struct(level(first).alias("level"), body(first, last).alias("text")))
 
 
 def own_text(lines: Column) -> Column:
@@ -73,7 +68,7 @@ def line_runs(messages: DataFrame, quoting: DataFrame) -> DataFrame:
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, own_text, n_quotes, reply_to_turn, root_turn of every message."""
+    """conv_id, turn, role, own_text, n_quoted, reply_to_turn, root_turn, depth of every message."""
     m = with_lines(messages.select("conv_id", "turn", "role", "text"))
     quoting = m.where(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.explode(passages(F.col("lines"))).alias("q"))
     quoting = quoting.select("conv_id", "turn", F.col("q.level").alias("level"), normal(F.col("q.text")).alias("passage"), F.size(full_lines(F.col("q.text"))).alias("n_lines")).where("passage != ''").withColumn("hash", F.sha2("passage", 256)).drop("passage")
@@ -89,21 +84,21 @@ def link(messages: DataFrame) -> DataFrame:
         reply = cut(found.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "first_turn")).alias("x")).select("conv_id", "turn", F.col("x.first_turn").alias("parent")), "replies")
     out = m.select("conv_id", "turn", "role", "own_text", F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"))
     if reply is None or reply.isEmpty():
-        return out.withColumns({"reply_to_turn": F.lit(None).cast("long"), "root_turn": F.col("turn")})
+        return out.withColumns({"reply_to_turn": F.lit(None).cast("long"), "root_turn": F.col("turn"), "depth": F.lit(0).cast("long")})
     top = roots(reply)
-    ends = reply.join(top, ["conv_id", "turn"]).toDF("__conv", "__turn", "reply_to_turn", "__root")
+    ends = reply.join(top, ["conv_id", "turn"]).toDF("__conv", "__turn", "reply_to_turn", "__root", "__depth")
     joined = out.join(ends, (out["conv_id"] == ends["__conv"]) & (out["turn"] == ends["__turn"]), "left")
-    return joined.select(*out.columns, "reply_to_turn", F.coalesce("__root", "turn").alias("root_turn"))
+    return joined.select(*out.columns, "reply_to_turn", F.coalesce("__root", "turn").alias("root_turn"), F.coalesce("__depth", F.lit(0)).alias("depth"))
 
 
 def roots(reply: DataFrame) -> DataFrame:
-    """conv_id, turn, root: each chain's end. A round doubles how far each message looks."""
-    at = reply.select("conv_id", "turn", F.col("parent").alias("root"))
+    """conv_id, turn, root, depth: each chain's end and its length. A round doubles how far each message looks."""
+    at = reply.select("conv_id", "turn", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth"))
     while True:
-        further = at.toDF("conv_id", "root", "next")
-        new = cut(at.join(further, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
-        if at is not reply:
-            drop_cut(at)
+        further = at.toDF("conv_id", "root", "next", "more")
+        joined = at.join(further, ["conv_id", "root"], "left")
+        new = cut(joined.select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "roots")
+        drop_cut(at)
         if new.where("moved").isEmpty():
             return new.drop("moved")
         at = new.drop("moved")
@@ -112,7 +107,7 @@ def roots(reply: DataFrame) -> DataFrame:
 
 def op5_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return linked.select("conv_id", "turn", "role", F.sha2("own_text", 256).alias("own_sha256"), "n_quoted", "reply_to_turn", "root_turn")
+    return linked.select("conv_id", "turn", "role", F.sha2("own_text", 256).alias("own_sha256"), "n_quoted", "reply_to_turn", "root_turn", "depth")
 
 
 SQL = r"""
@@ -131,8 +126,8 @@ orig AS (SELECT conv_id, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) AS pass
 reply AS (SELECT q.conv_id, q.turn, first_turn AS parent FROM q JOIN orig ON q.conv_id = orig.conv_id AND q.passage = orig.passage
           WHERE q.passage <> '' AND first_turn < q.turn
           QUALIFY row_number() OVER (PARTITION BY q.conv_id, q.turn ORDER BY level, first_turn DESC) = 1),
-up AS (SELECT conv_id, turn, parent AS root FROM reply UNION SELECT up.conv_id, up.turn, reply.parent FROM up JOIN reply ON up.conv_id = reply.conv_id AND up.root = reply.turn),
-top AS (SELECT conv_id, turn, min(root) AS root FROM up GROUP BY 1, 2)
-SELECT m.conv_id, m.turn, m.role, sha256(own.own_text) AS own_sha256, own.n_quoted, reply.parent AS reply_to_turn, coalesce(top.root, m.turn) AS root_turn
+up AS (SELECT conv_id, turn, parent AS root, 1 AS depth FROM reply UNION SELECT up.conv_id, up.turn, reply.parent, up.depth + 1 FROM up JOIN reply ON up.conv_id = reply.conv_id AND up.root = reply.turn),
+top AS (SELECT conv_id, turn, min(root) AS root, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY 1, 2)
+SELECT m.conv_id, m.turn, m.role, sha256(own.own_text) AS own_sha256, own.n_quoted, reply.parent AS reply_to_turn, coalesce(top.root, m.turn) AS root_turn, coalesce(top.depth, 0) AS depth
 FROM m JOIN own USING (id) LEFT JOIN reply ON m.conv_id = reply.conv_id AND m.turn = reply.turn LEFT JOIN top ON m.conv_id = top.conv_id AND m.turn = top.turn
 """
