@@ -77,6 +77,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """A column name that isn't among columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. Text of ASCII alone takes the faster lower()."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

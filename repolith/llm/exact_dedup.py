@@ -10,7 +10,9 @@ as empty. Of equal texts in a batch the row with the largest doc_id stays; a
 text that the index held before the batch keeps the row it had. Null ids rank
 below all others. Rows that repeat both id and text are one document: lookup()
 marks each of them, dedup() returns one. An empty table leaves the index as it
-was. Only DataFrame and SQL functions are used.
+was. group_size counts the rows of the batch that brought the text; later batches
+don't change it. The index has one writer at a time, like any table of files: two
+that append at once may both bring a text. Only DataFrame and SQL functions are used.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm.common import ascii_lower
+from repolith.llm.common import ascii_lower, free_name
 
 DIGEST = "text_sha256"
+SCHEMA = f"{DIGEST} string, keep_id long, group_size long"
 
 
 def with_digest(documents: DataFrame, column: str = DIGEST) -> DataFrame:
@@ -39,15 +42,26 @@ class DigestIndex:
 
     @classmethod
     def fresh(cls, spark: SparkSession, buckets: int = 32) -> DigestIndex:
-        return cls(spark, f"digest_index_{uuid.uuid4().hex[:12]}", buckets)
+        return cls(spark, f"digest_index_{uuid.uuid4().hex[:12]}", buckets).create()
+
+    def create(self) -> DigestIndex:
+        """Makes the empty table if there is none."""
+        if not self.spark.catalog.tableExists(self.table):
+            self.append(self.spark.createDataFrame([], SCHEMA))
+        return self
+
+    def append(self, groups: DataFrame) -> None:
+        groups.write.bucketBy(self.buckets, DIGEST).sortBy(DIGEST).mode("append").format("parquet").saveAsTable(self.table)
 
     def add(self, documents: DataFrame) -> None:
-        """Appends the digests of documents that the index lacks, each with the id that stays and the number of rows."""
+        """Appends the digests of documents that the index lacks, each with the id that stays and the number of rows in this batch."""
         groups = with_digest(documents.select("doc_id", "text")).groupBy(DIGEST).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        if self.spark.catalog.tableExists(self.table):
-            known = self.spark.table(self.table).select(DIGEST)
-            groups = groups.hint("merge").join(known.hint("merge"), DIGEST, "left_anti")
-        (groups.repartition(self.buckets, DIGEST).write.bucketBy(self.buckets, DIGEST).sortBy(DIGEST).mode("append").format("parquet").saveAsTable(self.table))
+        known = self.create().spark.table(self.table).select(DIGEST)
+        fresh = groups.hint("merge").join(known.hint("merge"), DIGEST, "left_anti")
+        self.append(fresh.select(DIGEST, F.col("keep_id").cast("long").alias("keep_id"), "group_size").repartition(self.buckets, DIGEST))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def rows(self) -> DataFrame:
         """The index without its bucketing, so that a join with a hot digest can be split at run time."""
@@ -62,10 +76,10 @@ class DigestIndex:
 
     def dedup(self, documents: DataFrame) -> DataFrame:
         """The rows of documents that stay, with all their columns. Dealt by digest and id, so that a hot digest doesn't meet in one task."""
-        digest, keep, size = (f"__{x}" for x in ("digest", "keep", "size"))
-        stay = self.rows().toDF(digest, keep, size).drop(size)
+        digest = free_name(documents.columns, DIGEST)
+        stay = self.rows().select(F.col(DIGEST).alias("stays"), F.col("keep_id").alias("kept_id"))
         mine = with_digest(documents, digest)
-        joined = mine.join(stay.withColumnRenamed(digest, "__stay"), (mine[digest] == F.col("__stay")) & mine["doc_id"].eqNullSafe(F.col(keep)), "left_semi")
+        joined = mine.join(stay, (mine[digest] == stay["stays"]) & mine["doc_id"].eqNullSafe(stay["kept_id"]), "left_semi")
         return joined.dropDuplicates([digest, "doc_id"]).drop(digest)
 
 
