@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from repolith.llm.common import slices
 
 #: Lengths in a block: prefix sums run within blocks, and over the blocks' totals.
-BLOCK = 1024
+BLOCK = 128
 
 
 def lengths(documents: DataFrame, encoder: Callable[[], Callable[[list[str]], list[int]]]) -> DataFrame:
@@ -60,7 +60,7 @@ def histogram(counted: DataFrame) -> DataFrame:
     """
     h = counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")).withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     totals = h.groupBy("block").agg(F.sum("docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
-    # One row a block of lengths: some hundred rows for documents of a million tokens.
+    # One row a block of lengths: some thousand rows for documents of a million tokens.
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     above = totals.select("block", F.coalesce(F.sum("block_docs").over(later), F.lit(0)).alias("above_docs"), F.coalesce(F.sum("block_tokens").over(later), F.lit(0)).alias("above_tokens"))
     all_docs = totals.agg(F.sum("block_docs").alias("all_docs"), F.sum("block_tokens").alias("all_tokens"))
@@ -80,20 +80,23 @@ def histogram(counted: DataFrame) -> DataFrame:
 
 
 def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: documents beyond it, and the total of tokens when all are cut to it."""
-    spark = hist.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(int(x),) for x in limits], "context_limit long"))  # as long as the caller's list
-    each = hist.select("n_tokens", "docs").join(wanted)
-    return each.groupBy("context_limit").agg(
-        F.sum(F.when(F.col("n_tokens") > F.col("context_limit"), F.col("docs")).otherwise(0)).alias("docs_over"),
-        F.sum(F.least("n_tokens", "context_limit") * F.col("docs")).alias("truncated_tokens"),
-    )
+    """For each context limit: documents beyond it, and the total of tokens when all are cut to it.
+
+    Each limit is looked up in the histogram's sums: the row of the greatest
+    length up to it says how many documents are no longer and what they hold.
+    One pass over the rows answers all limits.
+    """
+    found = F.array(*(F.struct(F.lit(int(x)).cast("long").alias("context_limit"), F.max(F.when(F.col("n_tokens") <= x, F.struct("n_tokens", "docs_le", "truncated_tokens"))).alias("at"), F.max("all_docs").alias("all_docs")) for x in limits))
+    x = hist.agg(found.alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    over = F.coalesce("all_docs", F.lit(0)) - F.coalesce("at.docs_le", F.lit(0))
+    held = F.coalesce(F.col("at.truncated_tokens") - (F.col("all_docs") - F.col("at.docs_le")) * F.col("at.n_tokens"), F.lit(0))
+    return x.select("context_limit", over.alias("docs_over"), (held + over * F.col("context_limit")).alias("truncated_tokens"))
 
 
 def quantiles(hist: DataFrame, probabilities: list[float]) -> DataFrame:
-    """The least length with at least a share p of all documents at or below it."""
-    wanted = F.broadcast(hist.sparkSession.createDataFrame([(float(p),) for p in probabilities], "p double"))
-    return hist.join(wanted, F.col("docs_le") >= F.col("p") * F.col("all_docs"), "right").groupBy("p").agg(F.min("n_tokens").alias("n_tokens"))
+    """The least length with at least a share p of all documents at or below it, in one pass over the rows."""
+    found = F.array(*(F.struct(F.lit(float(p)).alias("p"), F.min(F.when(F.col("docs_le") >= F.col("all_docs") * p, F.col("n_tokens"))).alias("n_tokens")) for p in probabilities))
+    return hist.agg(found.alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
