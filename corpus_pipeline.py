@@ -10,24 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.llm import jaccard_join, packing, quality, toxicity
-from repolith.llm.common import scratch
+from repolith.llm.common import free_name, remove, scratch
 from repolith.llm.entry import THRESHOLD, training_labels
 from repolith.llm.exact_dedup import DigestIndex
 
-#: A name that documents don't use.
-SCORE = "__score"
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. It learns from the labelled rows of documents."""
     model = quality.train(docs, training_labels(spark, sf_dir, "quality", 5, 0))
-    return quality.score(docs, model, keep=docs.columns, into=SCORE).where(F.col(SCORE) >= THRESHOLD).select(*docs.columns)
+    score = free_name(docs.columns, "score")
+    return quality.score(docs, model, keep=docs.columns, into=score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't mark."""
     model = toxicity.train(docs, training_labels(spark, sf_dir, "toxic", 4, 2))
-    return toxicity.score(docs, model, keep=docs.columns, into=SCORE).where(F.col(SCORE) < THRESHOLD).select(*docs.columns)
+    score = free_name(docs.columns, "score")
+    return toxicity.score(docs, model, keep=docs.columns, into=score).where(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        at = scratch(spark, f"stage{k}")
+        before, at = at, scratch(spark, f"stage{k}")
         out.write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)  # its rows that stay are in the next one's
     return docs

@@ -13,7 +13,7 @@ over its features. Scoring is one dictionary lookup a word over the whole text.
 
 Nulls and empty texts have no features: their score is the bias alone. Labels
 other than 0 and 1 (nulls too) are left out of training. Repeated label rows
-count once per row. Without any labelled rows every score is 0.5.
+count once; of documents that share an id the greatest text is learnt from. Without any labelled rows every score is 0.5.
 """
 
 from __future__ import annotations
@@ -99,6 +99,7 @@ def train(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tupl
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
         .select("doc_id", F.col("label").cast("long").alias("label"))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(p.train_rows)
     )
@@ -108,8 +109,8 @@ def train(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tupl
         got = [bag(t, cache, p) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "ids": [a.tobytes() for a, _ in got], "share": [b.tobytes() for _, b in got]}
 
-    # train_rows bounds the broadcast side; the documents are scanned where they lie.
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # train_rows bounds the broadcast side and what is collected, even if many documents share an id.
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
     rows = map_rows(sample, "doc_id long, label long, ids binary, share binary", features).collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.ids)))
     return fit([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.share, np.float32), r.label) for r in rows], p)

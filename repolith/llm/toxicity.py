@@ -8,7 +8,8 @@ one number a bucket, so that a text's score is the sum over the distinct
 buckets it holds.
 
 Nulls and empty texts hold no bucket: their score is the bias alone. Labels
-other than 0 and 1 are left out of training; without labelled rows every score
+other than 0 and 1 are left out of training, repeated label rows count once, of
+documents that share an id the greatest text is learnt from; without labelled rows every score
 is 0.5. Whole texts are read; repeated rows get equal scores.
 """
 
@@ -88,6 +89,7 @@ def train(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tupl
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
         .select("doc_id", F.col("label").cast("long").alias("label"))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(p.train_rows)
     )
@@ -97,7 +99,8 @@ def train(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tupl
         got = [np.fromiter(set().union(*map(cache.__getitem__, set((t or "").lower().split()))), np.int32) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "ids": [np.sort(a).tobytes() for a in got]}
 
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # train_rows bounds the broadcast side
+    # train_rows bounds the broadcast side and what is collected, even if many documents share an id.
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
     rows = map_rows(sample, "doc_id long, label long, ids binary", features).collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.ids)))
     return fit([(np.frombuffer(r.ids, np.int32), r.label) for r in rows], p)

@@ -59,6 +59,25 @@ def test_index_is_persistent(spark):
     assert "Bucketed: true" in plan or "bucket" in plan.lower()
 
 
+def test_index_goes_through_the_anti_join(spark):
+    index = DigestIndex.fresh(spark, 4)
+    assert spark.catalog.tableExists(index.table) and index.rows().count() == 0
+    batches = [documents(spark, (1, "a"), (2, "b"), (3, "A")), documents(spark, (4, "a"), (5, "c"), (6, "b"), (7, "C")), documents(spark, (8, "c"))]
+    for batch in batches:
+        index.add(batch)
+    assert sorted((r.keep_id, r.group_size) for r in index.rows().collect()) == [(2, 1), (3, 2), (7, 2)]
+    index.drop()
+    assert not spark.catalog.tableExists(index.table)
+
+
+def test_dedup_keeps_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "y", "z"), (2, "A", "x", "y", "z")], "doc_id long, text string, text_sha256 string, stays string, kept_id string")
+    index = DigestIndex.fresh(spark, 2)
+    index.add(docs)
+    kept = index.dedup(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "A", "x", "y", "z")]
+
+
 def test_empty_tables(spark):
     none = documents(spark)
     index = DigestIndex.fresh(spark, 2)
@@ -282,7 +301,7 @@ def test_warc_payloads_and_transactions(spark, tmp_path):
     records = warc.read(spark, f"file://{tmp_path}/w").cache()
     assert {r.kind: r.n for r in records.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()} == {"request": 13, "metadata": 13, "revisit": 3, "response": 10}
     got = warc.captures(records).collect()
-    assert all(r.request is not None and r.metadata is not None for r in got)
+    assert all(len(r.requests) == 1 and len(r.metadata) == 1 for r in got)
     bodies = {bytes(r.capture.payload) for r in got if r.capture.kind == "response"}
     assert ("<p>" + "é" * 600).encode() in bodies and b"WARC/1.1\r\n\r\n\r\n" * 100 in bodies
     for r in got:
@@ -290,6 +309,30 @@ def test_warc_payloads_and_transactions(spark, tmp_path):
             assert r.capture.payload_sha1 == hashlib.sha1(bytes(r.capture.payload)).hexdigest() == r.capture.declared.removeprefix("sha1:")
 
 
+def test_warc_records_are_tied_from_either_side(spark, tmp_path):
+    def rec(kind, rid, *fields, block=b""):
+        lines = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + rid, *fields, b"Content-Length: %d" % len(block), b"", block]
+        return b"\r\n".join(lines) + b"\r\n\r\n"
+
+    to = lambda *ids: [b"WARC-Concurrent-To: " + i for i in ids]
+    data = rec(b"warcinfo", b"<i>") + rec(b"request", b"<q1>") + rec(b"response", b"<r1>", *to(b"<q1>", b"<m1>"), block=b"one") + rec(b"metadata", b"<m1>", block=b"a: b")
+    data += rec(b"response", b"<r2>", block=b"two") + rec(b"request", b"<q2>", *to(b"<r2>")) + rec(b"metadata", b"<m2>", *to(b"<r2>", b"<q2>")) + rec(b"metadata", b"<m3>", *to(b"<r2>")) + rec(b"request", b"<q3>")
+    (tmp_path / "w.warc").write_bytes(data)
+    got = {r.record_id: ([q.record_id for q in r.requests], [m.record_id for m in r.metadata]) for r in warc.captures(warc.read(spark, f"file://{tmp_path}/w.warc")).collect()}
+    assert got == {"<r1>": (["<q1>"], ["<m1>"]), "<r2>": (["<q2>"], ["<m2>", "<m3>"])}
+
+
+def test_warc_keeps_urls_and_bounds_files(spark, tmp_path):
+    rows = [(1, "http://a", "x" * 1200), (1, "http://b", "x" * 1200), (2, "http://c", "x" * 1200), *((i, f"http://d/{i}", f"{i}" + "y" * 70_000) for i in range(3, 9))]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(p, f"file://{tmp_path}/w", file_bytes=150_000)
+    got = warc.captures(warc.read(spark, f"file://{tmp_path}/w")).collect()
+    assert sorted(r.capture.uri for r in got) == sorted(u for _, u, _ in rows)
+    response = next(r.record_id for r in got if r.capture.uri == "http://c")
+    assert {r.capture.uri: r.capture.refers_to for r in got if r.capture.kind == "revisit"} == {"http://a": response, "http://b": response}
+    assert len([f for f in (tmp_path / "w").iterdir() if f.suffix == ".gz"]) >= 4
+
+
 def test_warc_of_no_pages(spark, tmp_path):
     pages(spark).limit(0).write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op6_warc(spark, str(tmp_path)).count() == 0
@@ -318,6 +361,18 @@ def test_quotes_match_sql_and_meaning(spark, tmp_path):
     assert {r.own_text for r in chat_quotes.link(df).where("conv_id = 1 AND turn = 2").collect()} == {"fine"}
 
 
+def test_threads_that_branch_have_depths(spark):
+    rows = [(1, 0, "u", "root"), (1, 1, "a", "> root\nleft"), (1, 2, "a", "> root\nright"), (1, 3, "u", "> left\nleaf"), (1, 4, "u", "alone"), (1, 5, "u", "> right\n> > root\nother leaf")]
+    got = {r.turn: (r.reply_to_turn, r.root_turn, r.depth) for r in chat_quotes.link(talk(spark, *rows)).collect()}
+    assert got == {0: (None, 0, 0), 1: (0, 0, 1), 2: (0, 0, 1), 3: (1, 0, 2), 4: (None, 4, 0), 5: (2, 0, 2)}
+
+
+def test_messages_of_many_passages(spark):
+    text = "\n".join(f"> quote {k}\nanswer {k}" for k in range(20_000))
+    got = chat_quotes.link(talk(spark, (1, 0, "u", "quote 7\nquote 19999"), (1, 1, "a", text))).where("turn = 1").first()
+    assert (got.reply_to_turn, got.root_turn, got.depth, got.n_quoted) == (0, 0, 1, 20_000)
+
+
 def test_trimmed_quotes_of_several_lines_link(spark):
     text = "one\ntwo  TWO\nthree\n\nfour\nfive\n\nsix"
     quotes = ["two two\nthree", "one\ntwo two\nthree\n\nfour\nfive", "three\n\nfour", "two two\nthree\nfour\nfive\nsix", "one\nthree", "four\nthree", "three\nfour\nfive\nsix\nseven"]
