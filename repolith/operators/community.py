@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 from repolith.operators.lineage import count, cut
 
 
+#: Rows of a graph that may go to every task at once (some 100 bytes each).
+MOST_EDGES = 5_000_000
+
+
+def bounded(rows: DataFrame, what: str, most: int = MOST_EDGES) -> DataFrame:
+    """The rows, if they are few enough to be held by every task; an error that says so if not."""
+    n = rows.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"{what}: more than {most} rows; walks over such a graph need a part of it, or a higher bound")
+    return rows
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """a < b, distinct, without loops."""
     return edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
@@ -121,10 +133,11 @@ def betweenness(edges: DataFrame, sources: int = 200, limit: int | None = 20) ->
     """path, score: Brandes' dependencies over the undirected graph, summed over the sources with the least hash of their path.
 
     The adjacency goes to the tasks as one broadcast value, as each search may walk
-    all of it: it must fit in an executor's memory (some 100 bytes an edge).
+    all of it; more edges than MOST_EDGES are refused.
     """
     spark = edges.sparkSession
-    u = undirected(edges)
+    u = cut(undirected(edges), "undirected")
+    bounded(u, "betweenness")
     adjacency: dict[str, list[str]] = defaultdict(list)
     for r in u.orderBy("a", "b").toLocalIterator():
         adjacency[r.a].append(r.b)
@@ -167,11 +180,12 @@ def flows(calls: DataFrame, entries: DataFrame, depth: int = 10, steps: int = 50
 
     Callees of a caller go by symbol, then file. A place seen before in the flow
     is emitted as a revisit and not expanded; is_cycle tells whether it is on the
-    path to itself. The call table is broadcast, as a walk may need all of it.
+    path to itself. The call table is broadcast, as a walk may need all of it; more rows than MOST_EDGES are refused.
     """
     spark = calls.sparkSession
     out: dict[tuple, list[tuple]] = defaultdict(list)
-    for r in calls.select("caller_file", "caller_symbol", "callee_symbol", "callee_file").distinct().orderBy("callee_symbol", "callee_file").toLocalIterator():
+    table = cut(calls.select("caller_file", "caller_symbol", "callee_symbol", "callee_file").distinct(), "calls")
+    for r in bounded(table, "flows").orderBy("callee_symbol", "callee_file").toLocalIterator():
         out[r.caller_file, r.caller_symbol].append((r.callee_file, r.callee_symbol))
     shared = spark.sparkContext.broadcast(dict(out))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -68,6 +69,7 @@ def directory(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
+#: The order in which endings are tried.
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs")
 
 
@@ -126,6 +128,22 @@ def resolve_aliases(imports: DataFrame, aliases: DataFrame, paths: DataFrame) ->
     return c.groupBy(F.col("path").alias("src"), "specifier").agg(F.min_by("candidate", F.struct("near", "pos")).alias("dst"))
 
 
+def tsconfig_aliases(text: str, folder: str = "") -> list[tuple[str, str]]:
+    """(prefix, base) of a tsconfig's paths, for resolve_aliases(); @/ means the root where nothing else is said. Comments and commas before closing brackets are allowed, as in such files."""
+    plain = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
+    options = json.loads(re.sub(r",(\s*[}\]])", r"\1", plain)).get("compilerOptions") or {}
+    base = "/".join(x for x in (folder.strip("/"), *options.get("baseUrl", ".").split("/")) if x not in ("", "."))
+    root = f"{base}/" if base else ""
+    found = [(k.removesuffix("*"), root + v.removeprefix("./").removesuffix("*")) for k, targets in (options.get("paths") or {}).items() for v in targets]
+    return found if any(k == "@/" for k, _ in found) else [*found, ("@/", f"{folder.strip('/')}/" if folder.strip("/") else "")]
+
+
+def go_module(text: str) -> str | None:
+    """The module that a go.mod names."""
+    m = re.search(r'^\s*module\s+"?([^\s"]+)"?', text, re.M)
+    return m[1] if m else None
+
+
 def go_edges(imports: DataFrame, paths: DataFrame, module: str) -> DataFrame:
     """An import of a package in the module is an edge to each of its files but tests."""
     pkg = imports.where((F.col("family") == "go") & F.col("specifier").startswith(module)).select(F.col("path").alias("src"), F.regexp_replace(F.expr(f"substring(specifier, {len(module) + 1})"), "^/", "").alias("dir"))
@@ -188,13 +206,13 @@ def pattern_nodes(path: str, text: str, fam: str) -> list[tuple]:
     for i, line in enumerate(lines):
         for kind, rule in rules:
             if m := rule.match(line):
-                depth, end = 0, i
+                depth, end, opened = 0, i, False
                 for j in range(i, len(lines)):
-                    depth += lines[j].count("{") - lines[j].count("}")
-                    end = j
-                    if "{" in "".join(lines[i : j + 1]) and depth <= 0 or fam == "rb" and j > i and re.match(r"^" + re.match(r"\s*", line)[0] + r"end\b", lines[j]):
+                    opens = lines[j].count("{")
+                    opened, depth, end = opened or opens > 0, depth + opens - lines[j].count("}"), j
+                    if opened and depth <= 0 or fam == "rb" and j > i and re.match(r"^" + re.match(r"\s*", line)[0] + r"end\b", lines[j]):
                         break
-                    if j - i > 5 and "{" not in "".join(lines[i : j + 1]) and fam != "rb":
+                    if j - i > 5 and not opened and fam != "rb":
                         end = i
                         break
                 out.append((path, kind, m[1], line.strip().rstrip("{").strip(), i + 1, end + 1, []))
@@ -280,6 +298,12 @@ def calls(files: DataFrame) -> DataFrame:
     return f.mapInPandas(run, CALL_SCHEMA)
 
 
+def call_sites_of(found: DataFrame, symbol: str, path: str | None = None) -> DataFrame:
+    """path, caller_symbol, line of the calls of a symbol, in one file or in all."""
+    hit = found.where(F.col("callee_symbol") == symbol)
+    return (hit if path is None else hit.where(F.col("path") == path)).select("path", "caller_symbol", "line")
+
+
 def skeletons(files: DataFrame, nodes: DataFrame, largest: int = 256 * 1024, mean_line: int = 1024, most: int = 1 << 20) -> DataFrame:
     """path, skeleton: a file's nodes in order, imports and interfaces by their signature, functions and classes without bodies. Very large or minified files have none."""
     n_lines = F.size(F.split("content", "\n", -1))

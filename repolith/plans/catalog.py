@@ -77,18 +77,20 @@ def min_context_hubs(t: Tables) -> DataFrame:
     return graph.minimal_context_hubs(t.edges())
 
 
-def _gaps(t: Tables) -> DataFrame:
-    return graph.knowledge_gaps(t.part_paths().select("path"), t.edges(), 3, TESTS, r"/ECONOMY/[^/]*$")
+def _gaps(t: Tables, sparse: bool = False) -> DataFrame:
+    """Parts are the files with imports among them; suppliers are files that nothing is known of."""
+    files = t.part_paths().select("path").union(t.supplier_paths().select("path"))
+    return graph.knowledge_gaps(files, t.chain_edges() if sparse else t.edges(), 3, TESTS, r"/ECONOMY/[^/]*$")
 
 
-@query(f"WITH {EDGES} SELECT path FROM ppath WHERE path NOT IN (SELECT path FROM nodes) AND NOT contains(path, '{TESTS}')")
+@query(f"WITH {EDGES}, {SUPPLIER_PATHS} SELECT path FROM (SELECT path FROM ppath UNION ALL SELECT path FROM spath) WHERE path NOT IN (SELECT path FROM nodes) AND NOT contains(path, '{TESTS}')")
 def isolated_files(t: Tables) -> DataFrame:
     return _gaps(t).where("gap = 'isolated'").select("path")
 
 
-@query(f"WITH {EDGES} SELECT path FROM nodes WHERE path NOT IN (SELECT dst FROM edges) AND NOT contains(path, '{TESTS}') AND NOT regexp_matches(path, '/ECONOMY/[^/]*$')")
+@query(f"WITH {CHAIN_EDGES} SELECT path FROM nodes WHERE path NOT IN (SELECT dst FROM edges) AND NOT contains(path, '{TESTS}') AND NOT regexp_matches(path, '/ECONOMY/[^/]*$')")
 def dead_code(t: Tables) -> DataFrame:
-    return _gaps(t).where("gap = 'dead_code'").select("path")
+    return _gaps(t, sparse=True).where("gap = 'dead_code'").select("path")
 
 
 @query(f"WITH {EDGES}, {DEGREES}, tests AS (SELECT split_part(path, '/', 3) AS stem FROM ppath WHERE contains(path, '{TESTS}')) SELECT path FROM deg WHERE fan_in >= 3 AND NOT contains(path, '{TESTS}') AND split_part(path, '/', 3) NOT IN (SELECT stem FROM tests)")
@@ -669,6 +671,53 @@ def import_edges_from_pages(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
 
 
+def _modules(t: Tables) -> DataFrame:
+    """path, content: a module for each supplier that imports its neighbours by relative paths and defines a function for each of its parts."""
+    e, files = t.supplier_edges(), t.supplier_paths().select("path")
+    lines = e.groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_list(F.concat(F.lit("import { x } from '../../"), "dst", F.lit("';")))).alias("imports"))
+    functions = t.supplier_symbols().groupBy("path").agg(F.array_sort(F.collect_list(F.concat(F.lit("export function "), F.regexp_replace("name", " ", "_"), F.lit("(a) {\n  return a;\n}")))).alias("functions"))
+    none = F.array().cast("array<string>")
+    x = files.join(lines, "path", "left").join(functions, "path", "left")
+    return x.select(F.concat("path", F.lit(".ts")).alias("path"), F.array_join(F.concat(F.coalesce("imports", none), F.coalesce("functions", none)), "\n").alias("content"))
+
+
+@query(f"WITH {SUPPLIER_PATHS}, {SUPPLIER_EDGES} SELECT src || '.ts' AS src, '../../' || dst AS specifier, dst || '.ts' AS dst FROM sedges")
+def import_resolution(t: Tables) -> DataFrame:
+    """From the texts of files to edges: imports are found by pattern and resolved against the files that there are."""
+    from repolith.operators.extract import raw_imports, resolve_imports
+
+    files = cut(_modules(t), "modules")
+    return resolve_imports(raw_imports(files), files.select("path"))
+
+
+@query(f"WITH {SUPPLIER_PATHS}, {SUPPLIER_SYMBOLS} SELECT path || '.ts' AS path, sha256(array_to_string(list_sort(list('export function ' || replace(name, ' ', '_') || '(a);')), chr(10))) AS skeleton_sha256, count(*) AS n FROM ssymbols GROUP BY path")
+def skeletons(t: Tables) -> DataFrame:
+    """Definitions of each file without their bodies."""
+    from repolith.operators import extract
+
+    files = cut(_modules(t), "modules")
+    nodes = extract.definitions(files)
+    shown = extract.skeletons(files, nodes).select("path", F.array_join(F.array_sort(F.split("skeleton", "\n")), "\n").alias("skeleton"))
+    return shown.join(nodes.groupBy("path").agg(count().alias("n")), "path").select("path", F.sha2("skeleton", 256).alias("skeleton_sha256"), "n")
+
+
+@query(f"WITH {SUPPLIER_PATHS}, {SUPPLIER_EDGES} SELECT src, dst, split_part(src, '/', 1) AS from_name, split_part(dst, '/', 1) AS to_name FROM sedges WHERE split_part(src, '/', 1) <> split_part(dst, '/', 1) ORDER BY src, dst LIMIT 50")
+def cross_community_imports(t: Tables) -> DataFrame:
+    """Between regions."""
+    return graph.cross_group_imports(t.supplier_edges(), t.supplier_paths().select("path", F.split_part("path", F.lit("/"), F.lit(1)).alias("name")))
+
+
+@query(f"WITH {HISTORY}, {CHURN} SELECT path, commits, churn_lines, bug_commits, last_touch FROM churn")
+def overlay_refresh(t: Tables) -> DataFrame:
+    """Churn of the commits up to a day merged with that of those since: the same as over all."""
+    from repolith.operators import overlay
+
+    c, f = t.commits(), t.commit_files()
+    middle = seconds(F.expr("TIMESTAMP_NTZ'1998-04-01 00:00:00'"))
+    old, new = (overlay.measures(c.where(w), f, BUGS) for w in (F.col("ts") < middle, F.col("ts") >= middle))
+    return overlay.merge(old, new)["churn"].select("path", "commits", "churn_lines", "bug_commits", "last_touch")
+
+
 @query(f"WITH {EDGES}, re AS (SELECT src AS barrel, path AS source, name FROM edges JOIN (SELECT p_name AS name, path FROM ppath) s ON dst = s.path), imp AS (SELECT src, dst AS barrel FROM edges) SELECT DISTINCT imp.src, re.source AS dst FROM imp JOIN re USING (barrel) WHERE re.name = 'red widget' AND source <> imp.src AND source <> barrel")
 def reexport_edges(t: Tables) -> DataFrame:
     from repolith.operators.extract import reexport_edges as trace

@@ -157,5 +157,23 @@ class Workspace:
         gaps = self.knowledge_gaps().where("gap != 'isolated'").orderBy("gap", "path").limit(k)
         return hubs.union(gaps.select(F.when(F.col("gap") == "dead_code", F.format_string("Is %s still used?", "path")).otherwise(F.format_string("Which tests should cover %s?", "path"))))
 
+    def find_callers(self, symbol: str, path: str) -> DataFrame:
+        """Calls of a file's symbol in the files that import it."""
+        one = self.symbols.where((F.col("name") == symbol) & (F.col("path") == path))
+        return graph.callers_in_importers(one, self.edges, self.calls)
+
+    def ownership(self, limit: int = 50) -> DataFrame:
+        owners = history.ownership(self.commits, self.commit_files)
+        return history.ownership_list(owners, history.bus_factor(owners), limit)
+
+    def overview(self) -> dict[str, DataFrame]:
+        """status, communities (largest first), hubs, and the number of files by risk level."""
+        levels = self.risk_overlay().groupBy("level").agg(count().alias("n"))
+        return {"status": self.status(), "communities": self.community_list(), "hubs": self.hub_nodes(limit=10), "levels": levels}
+
+    def full_text_hybrid(self, text: str, q: list[float], limit: int = 20) -> DataFrame:
+        query = self.files.sparkSession.createDataFrame([(0, q)], "query long, q array<float>")
+        return search.fulltext_hybrid(self.files, text, self.vectors, query, limit)
+
     def entry_points(self) -> DataFrame:
         return self.files.where(F.col("path").rlike(ENTRY_POINT)).select("path")

@@ -38,10 +38,34 @@ def save(tables: dict[str, DataFrame], root: str, meta: dict[str, str] | None =
     return at
 
 
+def meta(spark: SparkSession, root: str) -> dict[str, str] | None:
+    """What the newest version says of itself; None where there is none."""
+    have = versions(spark, root)
+    return {r.key: r.value for r in spark.read.parquet(f"{root}/{have[-1]}/_meta_rows").collect()} if have else None
+
+
 def load(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """A table of the newest version; null where there is none."""
+    """A table of the newest version; None where there is none, or where it has another format: it is to be built anew then."""
     have = versions(spark, root)
-    return spark.read.parquet(f"{root}/{have[-1]}/{name}") if have else None
+    if not have or meta(spark, root).get("format") != str(FORMAT_VERSION):
+        return None
+    return spark.read.parquet(f"{root}/{have[-1]}/{name}")
+
+
+def stale(spark: SparkSession, root: str, writer: str | None, n_files: int) -> bool:
+    """Whether a snapshot is to be built anew: none, of another format, by an older or unknown writer, or of another number of files."""
+    said = meta(spark, root)
+    return said is None or said.get("format") != str(FORMAT_VERSION) or compare_versions(said.get("writer"), writer) in ("older", "unknown") or said.get("n_files") != str(n_files)
+
+
+def save_overlay(commits: DataFrame, pairs: DataFrame, owners: DataFrame, root: str, last_sha: str) -> str:
+    """The three indices of the history and the commit they reach, as one version."""
+    return save({"commits": commits, "pairs": pairs, "owners": owners}, root, {"last_sha": last_sha})
+
+
+def load_overlay(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], str] | None:
+    tables = {name: load(spark, root, name) for name in ("commits", "pairs", "owners")}
+    return None if any(t is None for t in tables.values()) else (tables, meta(spark, root)["last_sha"])
 
 
 def compact(spark: SparkSession, root: str, keep: int = 1) -> int:
@@ -90,6 +114,35 @@ def register_repo(repos: list[dict], root: str, alias: str | None, now: int) ->
     return [r for r in repos if r["root"] != root] + [{"root": root, "name": root.rstrip("/").rsplit("/", 1)[-1], "alias": alias, "registered_at": now}]
 
 
+def unregister_repo(repos: list[dict], what: str) -> list[dict]:
+    """The registry without the repository of this alias, root or name."""
+    gone = find_repo(repos, what)
+    return [r for r in repos if r is not gone]
+
+
+REPO_SCHEMA = "root string, name string, alias string, registered_at long"
+
+
+def save_registry(spark: SparkSession, repos: list[dict], root: str) -> str:
+    return save({"repos": spark.createDataFrame([(r["root"], r["name"], r["alias"], r["registered_at"]) for r in repos], REPO_SCHEMA).coalesce(1)}, root)
+
+
+def load_registry(spark: SparkSession, root: str) -> list[dict]:
+    """As many rows as repositories were registered."""
+    t = load(spark, root, "repos")
+    return [] if t is None else [r.asDict() for r in t.orderBy("registered_at", "root").collect()]
+
+
+def author_map(text: str) -> dict[str, str]:
+    """email -> handle from YAML with a mapping `authors`; emails in lower case."""
+    import yaml
+
+    authors = (yaml.safe_load(text) or {}).get("authors") or {}
+    if not isinstance(authors, dict) or not all(isinstance(k, str) and isinstance(v, str) for k, v in authors.items()):
+        raise ValueError("authors maps emails to handles")
+    return {k.strip().lower(): v for k, v in authors.items()}
+
+
 def find_repo(repos: list[dict], what: str) -> dict | None:
     return next((r for r in repos if what in (r["alias"], r["root"], r["name"])), None)
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.operators.lineage import count
+from repolith.operators.lineage import count, cut
 from repolith.sources import store
 
 CHANGE = "path string, kind string, ts timestamp, content string"
@@ -39,11 +39,54 @@ def maintain_files(stream: DataFrame, root: str, checkpoint: str):
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def task_budget(events: DataFrame, gap_seconds: float = 90, limit: int = 8) -> DataFrame:
-    """user_id, event_id, calls for the call that first goes over the limit in a session; events: user_id, event_id, ts. State: session start, last event, calls, breached."""
+def maintain_index(stream: DataFrame, root: str, checkpoint: str):
+    """Keeps files, imports and vectors together: of changed files all three are made anew, of unlinked ones they go."""
+    from repolith.operators import extract
+
+    def step(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        last = latest(batch)
+        fresh = cut(last.where("kind != 'unlink'").select("path", "content"), "fresh")
+        gone = cut(last.select("path"), "gone")
+        old = {name: store.load(spark, root, name) for name in ("files", "imports", "vectors")}
+        made = {"files": fresh, "imports": extract.raw_imports(fresh), "vectors": extract.hashed_embeddings(fresh)}
+        store.save({name: new if old[name] is None else old[name].join(gone, "path", "left_anti").unionByName(new) for name, new in made.items()}, root)
+        store.compact(spark, root, 2)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def maintain_overlay(stream: DataFrame, root: str, checkpoint: str, bug_pattern: str, quiet: str = "30 seconds"):
+    """Merges new commits (sha, author, ts, message, is_merge, files array of path, added, deleted) into the history's measures, once a quiet time. Commits seen before count once."""
+    from repolith.operators import overlay
+
+    def step(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        seen = store.load(spark, root, "seen")
+        fresh = batch.dropDuplicates(["sha"])
+        fresh = cut(fresh if seen is None else overlay.new_commits(fresh, seen), "commits")
+        files = fresh.select("sha", F.explode("files").alias("f")).select("sha", "f.*")
+        new = overlay.measures(fresh.drop("files"), files, bug_pattern)
+        old = None if seen is None else {name: store.load(spark, root, name) for name in new}
+        shas = fresh.select("sha")
+        store.save((new if old is None else overlay.merge(old, new)) | {"seen": shas if seen is None else seen.unionByName(shas)}, root)
+        store.compact(spark, root, 2)
+
+    return stream.writeStream.foreachBatch(step).trigger(processingTime=quiet).option("checkpointLocation", checkpoint)
+
+
+def task_budget(events: DataFrame, gap_seconds: float = 90, limit: int = 8, idle: str = "1 day") -> DataFrame:
+    """user_id, event_id, calls for the call that first goes over the limit in a session; events: user_id, event_id, ts.
+
+    State: last event and calls of the session. It goes once the watermark has
+    passed the session's end: users who are away take no memory.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, calls = state.get if state.exists else (None, 0)
         out = []
         for pdf in batches:
@@ -54,10 +97,11 @@ def task_budget(events: DataFrame, gap_seconds: float = 90, limit: int = 8) -> D
                 if calls == limit + 1:
                     out.append((key[0], event_id, calls))
         state.update((last, calls))
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + int(gap_seconds * 1000) + 1)
         if out:
             yield pd.DataFrame(out, columns=["user_id", "event_id", "calls"])
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, calls long", "last long, calls long", "append", GroupStateTimeout.NoTimeout)
+    return events.select("user_id", "event_id", "ts").withWatermark("ts", idle).groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, calls long", "last long, calls long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sparse_points(points: DataFrame, least: float = 0.02) -> DataFrame:
