@@ -1,6 +1,7 @@
 import json
 import subprocess
 
+import pytest
 from pyspark.sql import functions as F
 
 from repolith.operators import extract
@@ -145,3 +146,96 @@ def test_collapse(spark):
 def test_daily_window(spark):
     e = spark.createDataFrame([("2024-01-01 10:00:00",), ("2024-01-01 23:59:59",), ("2024-01-02 00:00:00",)], "t string").select(F.col("t").cast("timestamp").alias("ts"))
     assert sorted(tuple(r) for r in jobs.breaches_by_day(e).collect()) == [("2024-01-01", 2), ("2024-01-02", 1)]
+
+
+def test_configuration_readers():
+    text = """{ // paths
+      "compilerOptions": { "baseUrl": "./src", "paths": { "~/*": ["lib/*", "./more/*"], /* one */ "exact": ["x.ts"], } }, }"""
+    assert extract.tsconfig_aliases(text, "app") == [("~/", "app/src/lib/"), ("~/", "app/src/more/"), ("exact", "app/src/x.ts"), ("@/", "app/")]
+    assert extract.tsconfig_aliases('{"compilerOptions": {"paths": {"@/*": ["src/*"]}}}') == [("@/", "src/")]
+    assert extract.go_module("// x\nmodule example.org/a/b // c\n\ngo 1.21") == "example.org/a/b" and extract.go_module("") is None
+    assert store.author_map("authors:\n  A@b.c: handle") == {"a@b.c": "handle"}
+    with pytest.raises(ValueError):
+        store.author_map("authors: [1]")
+
+
+def test_call_sites_of_a_symbol(spark):
+    found = spark.createDataFrame([("a", "f", "g", 3), ("b", "", "g", 4), ("a", "f", "h", 5)], "path string, caller_symbol string, callee_symbol string, line long")
+    assert [tuple(r) for r in extract.call_sites_of(found, "g", "a").collect()] == [("a", "f", 3)] and extract.call_sites_of(found, "g").count() == 2
+
+
+def test_snapshots_are_checked(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/s"
+    assert store.stale(spark, root, "1.0.0", 1) and store.load(spark, root, "t") is None
+    store.save({"t": spark.range(1)}, root, {"writer": "1.2.0", "n_files": "1"})
+    assert [store.stale(spark, root, w, n) for w, n in (("1.2.0", 1), ("1.1.0", 1), ("1.3.0", 1), (None, 1), ("1.2.0", 2))] == [False, False, True, True, True]
+    monkeypatch.setattr(store, "FORMAT_VERSION", 2)
+    assert store.load(spark, root, "t") is None and store.stale(spark, root, "1.2.0", 1)
+
+
+def test_overlay_snapshot_and_registry(spark, tmp_path):
+    root = f"file://{tmp_path}/o"
+    assert store.load_overlay(spark, root) is None
+    store.save_overlay(spark.range(1), spark.range(2), spark.range(3), root, "abc")
+    tables, last = store.load_overlay(spark, root)
+    assert last == "abc" and [tables[n].count() for n in ("commits", "pairs", "owners")] == [1, 2, 3]
+    repos = store.register_repo(store.register_repo([], "/a/x", "one", 5), "/a/y", None, 6)
+    store.save_registry(spark, repos, f"file://{tmp_path}/r")
+    back = store.load_registry(spark, f"file://{tmp_path}/r")
+    assert back == repos and [r["root"] for r in store.unregister_repo(back, "one")] == ["/a/y"] and store.unregister_repo(back, "nobody") == repos
+
+
+def test_vectors_by_path(spark):
+    from repolith.operators import search
+
+    t = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "path string, vector array<float>")
+    assert search.vector_of(t, "b").first().vector == [2.0] and search.vector_of(t, "c").count() == 0
+    left = search.remove_vectors(t, spark.createDataFrame([("a",), ("z",)], "path string"))
+    assert search.count_vectors(left).first().n == 1
+
+
+def test_streams_keep_index_and_overlay(spark, tmp_path):
+    import json
+
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    root = f"file://{tmp_path}/index"
+    rows = [{"path": "a.ts", "kind": "add", "ts": "2024-01-01T00:00:00Z", "content": "import './b'"}, {"path": "b.ts", "kind": "add", "ts": "2024-01-01T00:00:00Z", "content": "x"}]
+    (inbox / "1.json").write_text("\n".join(map(json.dumps, rows)))
+    run = lambda: jobs.maintain_index(jobs.changes(spark, f"file://{inbox}"), root, f"file://{tmp_path}/c1").trigger(availableNow=True).start().awaitTermination()
+    run()
+    assert store.load(spark, root, "files").count() == 2 and [r.specifier for r in store.load(spark, root, "imports").collect()] == ["./b"]
+    (inbox / "2.json").write_text(json.dumps({"path": "a.ts", "kind": "unlink", "ts": "2024-01-02T00:00:00Z", "content": None}))
+    run()
+    assert [r.path for r in store.load(spark, root, "vectors").collect()] == ["b.ts"] and store.load(spark, root, "imports").count() == 0
+
+    history, at = tmp_path / "commits", f"file://{tmp_path}/overlay"
+    history.mkdir()
+    schema = "sha string, author string, ts long, message string, is_merge boolean, files array<struct<path:string,added:long,deleted:long>>"
+    for n, shas in ((1, "xy"), (2, "yz")):  # y comes twice
+        (history / f"{n}.json").write_text("\n".join(json.dumps({"sha": s, "author": "u", "ts": ord(s), "message": "fix", "is_merge": False, "files": [{"path": p, "added": 1, "deleted": 0} for p in "ab"]}) for s in shas))
+        jobs.maintain_overlay(spark.readStream.schema(schema).json(f"file://{history}"), at, f"file://{tmp_path}/c2", "fix").trigger(availableNow=True).start().awaitTermination()
+    assert {(r.path, r.commits, r.churn_lines, r.bug_commits, r.last_touch) for r in store.load(spark, at, "churn").collect()} == {("a", 3, 3, 3, ord("z")), ("b", 3, 3, 3, ord("z"))}
+    assert [(r.shared, r.last_ts) for r in store.load(spark, at, "pairs").collect()] == [(3, ord("z"))]
+
+
+def test_task_budget_stream(spark, tmp_path):
+    inbox = tmp_path / "ev"
+    inbox.mkdir()
+    (inbox / "1.json").write_text("\n".join(f'{{"user_id": 1, "event_id": {k}, "ts": "2024-01-01T00:00:{k:02d}Z"}}' for k in range(12)))
+    events = spark.readStream.schema("user_id long, event_id long, ts timestamp").json(f"file://{inbox}")
+    q = jobs.task_budget(events).writeStream.format("memory").queryName("over_budget").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.user_id, r.event_id, r.calls) for r in spark.table("over_budget").collect()] == [(1, 8, 9)]
+
+
+def test_shared_dir_needs_a_setting_on_a_cluster():
+    from types import SimpleNamespace
+
+    from repolith.operators.lineage import shared_dir
+
+    session = lambda master, at=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: at), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("spark://h:7077", "s3://b/x/")) == "s3://b/x" and shared_dir(session("local[4]")).startswith("file:")
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://h:7077"))
+

@@ -90,6 +90,50 @@ def test_change_levels(spark):
     assert {r.path: r.level for r in risk.change_risk(c, e, TEST_FILE).collect()} == {"hub.ts": "critical", "mid.ts": "medium", "new.ts": "medium"}
 
 
+def test_coverage_by_a_name_that_a_test_path_contains(spark):
+    from repolith.operators.graph import nodes
+
+    e = spark.createDataFrame([("src/user_service.ts", "src/db.ts"), ("src/tests/user_service.test.ts", "src/other.ts"), ("a", "README.md")], "src string, dst string")
+    c = spark.createDataFrame([("src/user_service.ts",), ("src/db.ts",), ("README.md",), ("yarn.lock",), ("src/tests/user_service.test.ts",), ("src/.env",)], "path string")
+    got = {r.path: (r.covered, r.level) for r in risk.change_risk(c, e).collect()}
+    assert got == {"src/user_service.ts": (True, "low"), "src/db.ts": (False, "medium"), "README.md": (True, "low"), "yarn.lock": (True, "low"), "src/tests/user_service.test.ts": (True, "low"), "src/.env": (False, "medium")}
+    paths, stems = nodes(e), spark.createDataFrame([("user_service",), ("nothing",), ("s",), ("README.md and more",)], "stem string")
+    few, many = (sorted(r.stem for r in risk.containing(paths, stems, most).collect()) for most in (100, 0))
+    assert few == many == ["s", "user_service"]
+    assert [r.level for r in risk.by_level(spark.createDataFrame([("a", "low"), ("b", "critical"), ("c", "medium"), ("d", "high")], "path string, level string")).collect()] == ["critical", "high", "medium", "low"]
+
+
+def test_ranked_values_by_ranges(spark):
+    import random
+
+    values = [random.Random(3).randrange(50) / 10 for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    for p in (0.0, 0.5, 0.9, 0.95, 1.0):
+        assert risk.pctl_floor_nm1(df, "v", p).first().value == sorted(values)[int(499 * p)]
+    assert risk.pctl_floor_n(df.where("v IS NULL"), "v", 0.5).first().value is None
+
+
+def test_overlay_merges_are_the_whole(spark):
+    from repolith.operators import overlay
+
+    commits = spark.createDataFrame([(k, k % 3, 1000 + 10 * k, "fix" if k % 2 else "add", k == 5) for k in range(8)], "sha long, author long, ts long, message string, is_merge boolean")
+    files = spark.createDataFrame([(k, p, k + 1, 1) for k in range(8) for p in "abcd"[: k % 4 + 1]], "sha long, path string, added long, deleted long")
+    made = lambda where: overlay.measures(commits.where(where), files, "fix")
+    merged, whole = overlay.merge(made("sha < 3"), made("sha >= 3")), made("true")
+    for name in whole:
+        rows = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+        assert rows(merged[name]) == rows(whole[name]) and whole[name].count()
+    assert sorted(r.sha for r in overlay.new_commits(commits, commits.where("sha < 6")).collect()) == [6, 7]
+
+
+def test_ownership_list(spark):
+    from repolith.operators import history
+
+    owners = spark.createDataFrame([("a", 7, 60, 1), ("a", 8, 30, 2), ("a", 9, 10, 3), ("b", 8, 5, 1)], "path string, author long, weight long, rk int")
+    factor = spark.createDataFrame([("a", 2), ("b", 1)], "path string, bus_factor int")
+    assert [tuple(r) for r in history.ownership_list(owners, factor).collect()] == [("b", 1, 8, "", 1), ("a", 2, 7, "8,9", 3)]
+
+
 def test_buckets_at_the_bounds(spark):
     df = spark.createDataFrame([(99,), (100,), (101,), (500,), (501,)], "n long")
     from pyspark.sql import functions as F
