@@ -212,7 +212,8 @@ def profile(documents: DataFrame, p: Params) -> DataFrame:
                 columns = [batch.column(0)[low:high], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(k, f.type) for f in list(kinds)[4:])], schema=kinds)
                 if any(tokens):
-                    counts += np.bincount((np.concatenate(sets) & np.uint64(p.counters - 1)).astype(np.int64), minlength=p.counters).astype(np.uint32)
+                    at, n = np.unique((np.concatenate(sets) & np.uint64(p.counters - 1)).astype(np.int32), return_counts=True)
+                    counts[at] += n.astype(np.uint32)
                     seen = True
         if seen:
             parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(BLOCKS, -1)]
