@@ -113,7 +113,7 @@ class WordCache(dict):
     """Word -> what make(word) gave. Full, it starts anew and takes over from the one before what is asked for again: memory is
     bounded and frequent words stay. Very long words are never kept."""
 
-    def __init__(self, make: Callable[[str], object], most: int = 300_000, longest: int = 64):
+    def __init__(self, make: Callable[[str], object], most: int = 100_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest, self.before = make, most, longest, {}
 
