@@ -196,31 +196,34 @@ def difference(x: np.ndarray, c: np.ndarray, classes_x: np.ndarray, classes_c: n
 # --- passes over the documents ---------------------------------------------------
 
 
+def sets_of(texts: pa.Array, width: int) -> tuple[list[np.ndarray], pa.Array, pa.Array]:
+    """The sets of some texts, their sizes and digests."""
+    sets = [shingle_set(t.as_py(), width) for t in texts]
+    digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+    return sets, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())
+
+
 def profile(documents: DataFrame, p: Params) -> DataFrame:
-    """A row for each document: doc_id, n, digest and the set. Rows with a block hold a task's counts of the tokens hashed to it."""
-    schema = "doc_id long, n long, digest binary, tokens binary, block int, task int, counts binary"
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
+    """A row for each document: doc_id, n, digest. Rows with a block hold a task's counts of the tokens hashed to it."""
+    schema = "doc_id long, n long, digest binary, block int, task int, counts binary"
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(p.counters, np.uint32), False
         for batch in batches:
             for low, high in slices(batch.column(1)):
-                sets = [shingle_set(t.as_py(), p.width) for t in batch.column(1)[low:high]]
-                tokens = [s.tobytes() if len(s) else None for s in sets]
-                digest = [t and hashlib.blake2b(t, digest_size=16).digest() for t in tokens]
-                k = len(sets)
-                columns = [batch.column(0)[low:high], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(k, f.type) for f in list(kinds)[4:])], schema=kinds)
-                if any(tokens):
+                sets, n, digest = sets_of(batch.column(1)[low:high], p.width)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], n, digest, *(pa.nulls(high - low, f.type) for f in list(kinds)[3:])], schema=kinds)
+                if any(map(len, sets)):
                     at, n = np.unique((np.concatenate(sets) & np.uint64(p.counters - 1)).astype(np.int32), return_counts=True)
                     counts[at] += n.astype(np.uint32)
                     seen = True
         if seen:
             parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(BLOCKS, -1)]
             task = pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(BLOCKS, f.type) for f in list(kinds)[:4]), pa.array(range(BLOCKS), pa.int32()), task, pa.array(parts, pa.binary())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(BLOCKS, f.type) for f in list(kinds)[:3]), pa.array(range(BLOCKS), pa.int32()), task, pa.array(parts, pa.binary())], schema=kinds)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return documents.mapInArrow(run, schema)
 
 
 def frequency_classes(blocks: DataFrame, p: Params) -> np.ndarray:
@@ -246,20 +249,31 @@ def frequency_classes(blocks: DataFrame, p: Params) -> np.ndarray:
     return to_classes(table.reshape(-1))
 
 
-def prefixes(sets: DataFrame, classes, p: Params) -> DataFrame:
-    """doc_id, digest, n and the prefix under the first order."""
+def prefixes(documents: DataFrame, classes, p: Params) -> DataFrame:
+    """doc_id, digest, n and the prefix under the first order, of documents with a set."""
     schema = "doc_id long, digest binary, n long, prefix array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         for batch in batches:
-            first = []
-            for data in batch.column(3):
-                s = np.frombuffer(data.as_buffer(), np.uint64)
-                first.append(prefix(s, class_of(table, s), 0, p.percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "prefix"])
+            for low, high in slices(batch.column(1)):
+                sets, n, digest = sets_of(batch.column(1)[low:high], p.width)
+                first = [prefix(s, class_of(table, s), 0, p.percent).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], digest, n, pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "prefix"])
 
-    return sets.select("doc_id", "digest", "n", "tokens").mapInArrow(run, schema)
+    return documents.mapInArrow(run, schema)
+
+
+def whole_sets(documents: DataFrame, p: Params) -> DataFrame:
+    """doc_id, n and the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in slices(batch.column(1)):
+                sets, n, _ = sets_of(batch.column(1)[low:high], p.width)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], n, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "tokens"])
+
+    return documents.mapInArrow(run, "doc_id long, n long, tokens binary").where("n > 0")
 
 
 def signatures(sets: DataFrame, classes, p: Params) -> DataFrame:
@@ -278,10 +292,14 @@ def signatures(sets: DataFrame, classes, p: Params) -> DataFrame:
     return sets.select("doc_id", "n", "tokens").mapInArrow(run, "doc_id long, n long, orders array<binary>")
 
 
-def of_ids(sets: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
-    """The rows of sets that pairs name. Ids are broadcast up to a number that is counted first; more of them are joined by a shuffle."""
-    ids = pairs.select(F.explode(F.array(*pairs.columns)).alias("doc_id")).distinct()
-    return sets.join(F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids, "doc_id", "left_semi")
+def of_ids(rows: DataFrame, ids: DataFrame, p: Params) -> DataFrame:
+    """The rows whose doc_id is among distinct ids. Ids are broadcast up to a number that is counted first; more of them are joined by a shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids, "doc_id", "left_semi")
+
+
+def of_pairs(sets: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
+    """The sets that pairs name."""
+    return of_ids(sets, pairs.select(F.explode(F.array(*pairs.columns)).alias("doc_id")).distinct(), p)
 
 
 # --- candidates, verification, components ------------------------------------------
@@ -337,7 +355,7 @@ def met(lists: DataFrame, p: Params) -> DataFrame:
 
 def sharing(pairs: DataFrame, sets: DataFrame, classes, p: Params) -> DataFrame:
     """The pairs whose prefixes allow a link under every order."""
-    mine = signatures(of_ids(sets, pairs, p), classes, p)
+    mine = signatures(of_pairs(sets, pairs, p), classes, p)
     both = pairs.join(mine.toDF("b", "n_b", "orders_b"), "b").join(mine.toDF("a", "n_a", "orders_a"), "a").select("a", "b", "n_a", "n_b", "orders_a", "orders_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +370,7 @@ def sharing(pairs: DataFrame, sets: DataFrame, classes, p: Params) -> DataFrame:
 
 def with_sets(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """a, b and both sets."""
-    mine = of_ids(sets, pairs, p).select("doc_id", "tokens")
+    mine = of_pairs(sets, pairs, p).select("doc_id", "tokens")
     return pairs.join(mine.toDF("b", "tokens_b"), "b").join(mine.toDF("a", "tokens_a"), "a").select("a", "b", "tokens_a", "tokens_b")
 
 
@@ -469,16 +487,16 @@ def jaccard_components(documents: DataFrame, p: Params = Params()) -> DataFrame:
 
 def _components(documents: DataFrame, p: Params) -> DataFrame:
     spark = documents.sparkSession
-    profiled = cut(profile(documents, p), "sets")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    profiled = cut(profile(texts, p), "profile")
     classes = spark.sparkContext.broadcast(frequency_classes(profiled.where("block is not null").select("block", "task", "counts"), p))  # counters bytes
     rows = profiled.where("block is null").select("doc_id", "n", "digest")
     known = rows.where("digest is not null and doc_id is not null")
     groups = cut(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "representatives")
 
     # Prefixes of representatives alone; dealt by id and digest, so that many equal texts don't meet.
-    sets = profiled.where("block is null and digest is not null and doc_id is not null").select("doc_id", "n", "digest", "tokens")
     mine = groups.toDF("rep_digest", "rep")
-    first = prefixes(sets, classes, p)
+    first = prefixes(texts.where("doc_id is not null"), classes, p)
     first = first.join(mine, (first["doc_id"] == mine["rep"]) & (first["digest"] == mine["rep_digest"]), "left_semi")
     postings = cut(first.select(F.posexplode("prefix").alias("at", "key"), "doc_id", F.col("n").cast("int").alias("n")), "postings")
     release(spark)
@@ -486,7 +504,12 @@ def _components(documents: DataFrame, p: Params) -> DataFrame:
     lists = cut(lists, "lists")
     drop_cut(postings)
     release(spark)
+    # Whole sets are made of documents in lists only: most are alone with their rare shingles.
+    listed = cut(lists.select("doc_id").distinct(), "listed")
+    sets = cut(whole_sets(of_ids(texts, listed, p), p), "sets")
     labels = connected(lists, sets, classes, p)
+    drop_cut(sets)
+    drop_cut(listed)
 
     # Rows with equal ids and different texts are one node.
     repeated = known.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high").select("doc_id")
