@@ -58,10 +58,19 @@ def cuts() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
             drop_cut(df)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def lean_batches(spark: SparkSession, most: str = "16m") -> None:
+    """Smaller Arrow batches than Spark's 64 MB, unless the session has set a size: texts are held on both sides of the pipe to Python."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, most)
+
+
 @contextmanager
 def arrow_bytes(spark: SparkSession, most: str) -> Iterator[None]:
     """Bounds the Arrow batches of the queries that run inside: wide rows then need less memory beside the heap."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    key = ARROW_BYTES
     before = spark.conf.get(key, None)
     spark.conf.set(key, most)
     try:

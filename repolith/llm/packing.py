@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm.common import WordCache, slices
+from repolith.llm.common import WordCache, lean_batches, slices
 from repolith.llm.merges import Merges
 from repolith.llm.units import gather
 
@@ -148,6 +148,7 @@ class Bins:
 
 def pack(documents: DataFrame, encoder: Callable[[], Encoder], length: int = LENGTH, bins: int = OPEN, end: int = END) -> DataFrame:
     """One row a piece. encoder() gives a function from an array of texts to all their ids and the bounds of each text's."""
+    lean_batches(documents.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
 

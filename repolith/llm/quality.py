@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from repolith.llm.common import WordCache, map_rows
+from repolith.llm.common import WordCache, lean_batches, map_rows
 
 REPEAT = zlib.crc32(b"\x00repeat")
 
@@ -119,6 +119,7 @@ def train(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tupl
 def score(documents: DataFrame, model: tuple[np.ndarray, float], p: Params = Params(), keep: list[str] | None = None, into: str = "score") -> DataFrame:
     """The columns in keep (doc_id) and, named into, the score of each whole text."""
     spark, keep = documents.sparkSession, keep or ["doc_id"]
+    lean_batches(spark)
     shared = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # buckets x 4 bytes
     out = documents.select(*keep, *([] if "text" in keep else ["text"]))
     names, text_at = out.columns[: len(keep)], out.columns.index("text")
@@ -136,8 +137,8 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], p: Params = Par
         look = cache.__getitem__
         for batch in batches:
             z = []
-            for text in batch.column(text_at).to_pylist():
-                words = (text or "").lower().split()
+            for text in batch.column(text_at):
+                words = (text.as_py() or "").lower().split()
                 n = sum(map(eq, words, words[1:]))
                 total = sum(map(look, words), complex(n * again, n))
                 z.append(bias + (total.real / total.imag if words else 0.0))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from repolith.llm.common import WordCache, map_rows
+from repolith.llm.common import WordCache, lean_batches, map_rows
 
 
 @dataclass(frozen=True)
@@ -110,6 +110,7 @@ def train(documents: DataFrame, labels: DataFrame, p: Params = Params()) -> tupl
 def score(documents: DataFrame, model: tuple[np.ndarray, float], p: Params = Params(), keep: list[str] | None = None, into: str = "score") -> DataFrame:
     """The columns in keep (doc_id) and, named into, the score of each whole text."""
     spark, keep = documents.sparkSession, keep or ["doc_id"]
+    lean_batches(spark)
     held = np.flatnonzero(model[0])
     shared = spark.sparkContext.broadcast((dict(zip(held.tolist(), model[0][held].tolist(), strict=True)), model[1]))  # buckets entries at most
     out = documents.select(*keep, *([] if "text" in keep else ["text"]))
@@ -126,8 +127,8 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], p: Params = Par
         cache = WordCache(one)
         for batch in batches:
             z = []
-            for text in batch.column(text_at).to_pylist():
-                active = set().union(*map(cache.__getitem__, set((text or "").lower().split())))
+            for text in batch.column(text_at):
+                active = set().union(*map(cache.__getitem__, set((text.as_py() or "").lower().split())))
                 z.append(bias + sum(map(numbers.__getitem__, sorted(active))))
             s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(s)], names=[*names, into])
