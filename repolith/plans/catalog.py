@@ -129,9 +129,9 @@ def graph_diff_edges(t: Tables) -> DataFrame:
     return graph.diff(e.where("NOT contains(src, '/SMALL/')"), e.where("NOT contains(dst, '/LARGE/')"), ["src", "dst"])
 
 
-@query(f"WITH {EDGES}, o AS (SELECT * FROM edges WHERE NOT contains(src, '/SMALL/')), n AS (SELECT * FROM edges WHERE NOT contains(dst, '/LARGE/')), p AS (SELECT src AS path FROM o UNION SELECT dst FROM o), q AS (SELECT src AS path FROM n UNION SELECT dst FROM n) SELECT path, 'added' AS change FROM (SELECT * FROM q EXCEPT SELECT * FROM p) UNION ALL SELECT path, 'removed' FROM (SELECT * FROM p EXCEPT SELECT * FROM q)")
+@query(f"WITH {CHAIN_EDGES}, o AS (SELECT * FROM edges WHERE NOT contains(src, '/SMALL/')), n AS (SELECT * FROM edges WHERE NOT contains(dst, '/LARGE/')), p AS (SELECT src AS path FROM o UNION SELECT dst FROM o), q AS (SELECT src AS path FROM n UNION SELECT dst FROM n) SELECT path, 'added' AS change FROM (SELECT * FROM q EXCEPT SELECT * FROM p) UNION ALL SELECT path, 'removed' FROM (SELECT * FROM p EXCEPT SELECT * FROM q)")
 def graph_diff_nodes(t: Tables) -> DataFrame:
-    e = t.edges()
+    e = t.chain_edges()
     return graph.diff(graph.nodes(e.where("NOT contains(src, '/SMALL/')")), graph.nodes(e.where("NOT contains(dst, '/LARGE/')")), ["path"])
 
 
