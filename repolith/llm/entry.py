@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from repolith.llm import chat_quotes, exact_dedup, jaccard_join, quality, toxicity, warc
 from repolith.llm.chat_quotes import op5_chat_quotes
 from repolith.llm.common import crc_mod
+from repolith.llm.conversation_repair import op11_conversation_repair
 from repolith.llm.exact_dedup import op9_exact_dedup
 from repolith.llm.jaccard_join import op7_jaccard_join
 from repolith.llm.media import op3_media
@@ -44,7 +45,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = [op1_quality, op2_toxicity, op3_media, op4_token_counts, op5_chat_quotes, op6_warc, op7_jaccard_join, op8_sentencepiece, op9_exact_dedup, op10_packing]
+    found = [op1_quality, op2_toxicity, op3_media, op4_token_counts, op5_chat_quotes, op6_warc, op7_jaccard_join, op8_sentencepiece, op9_exact_dedup, op10_packing, op11_conversation_repair]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
