@@ -9,15 +9,16 @@ committed and forgotten. Scores never exceed the window. Backpointers are kept
 while paths disagree: a few pieces' worth in most texts; in a run of one
 character, whose paths never meet, a number for each character.
 
-There are two forms of this search, with equal results. stream() follows one
-text and asks converged() where the surviving paths meet. Stretch.ids() takes
-many short words at once in numpy: paths meet wherever no piece that begins
-before a position reaches past it, and each run between two such boundaries is
-searched in step with all others and committed. Runs that are longer than a few
-pieces go through stream(). In a vocabulary where no piece has the word mark
-behind another character, all paths meet before each mark that follows another
-character: there a text is cut into words, and each distinct word of a batch is
-searched once.
+There are two forms of this search, with equal results and the same window. stream()
+follows one text and asks converged() where the surviving paths meet.
+Stretch.ids() takes many short words at once in numpy: all go on a character at a
+time, each with its window of scores, and every few characters and at their ends
+converged() says for all of them how far their paths agree; those pieces are
+committed. Words of more than LONG characters go through stream(). In a
+vocabulary where no piece has the word mark behind another character, all paths
+meet before each mark that follows another character: there a text is cut into
+words, and each distinct word of a batch is searched once. With other
+vocabularies whole texts go through stream().
 
 A character that no piece covers takes its UTF-8 bytes' pieces, or the unknown
 id where the model has no byte pieces. Scores are added exactly, as whole
@@ -185,11 +186,13 @@ class Codec:
 
 
 class Stretch:
-    """The search for many short texts at once."""
+    """The search for many short words at once."""
 
-    #: Runs with more characters go through stream().
+    #: Longer words go through stream().
     LONG = 24
     AT_ONCE = 60_000
+    #: Paths are followed back each time so many characters have been read, and at words' ends.
+    CHECK = 8
 
     def __init__(self, c: Codec):
         self.c = c
@@ -200,7 +203,7 @@ class Stretch:
         step = [(nodes[x[:-1]] << 21 | ord(x[-1]), i) for x, i in nodes.items() if x]
         self.next = Table(np.array([k for k, _ in step], np.int64), np.array([i for _, i in step], np.int32))
         self.piece = np.full(len(nodes), -1, np.int32)
-        # Keys of stream() in fewer bits: a run's number of pieces fits in 5. Without that room for a sum, all go through stream().
+        # Keys of stream() in fewer bits: a word's number of pieces fits in 5. Without that room for a sum, all go through stream().
         self.key = np.zeros(len(nodes), np.int64)
         keys = {p: ((k + 1 >> 40) << 5) - 1 for p, (_, k) in c.pieces.items()}
         self.unknown = ((c.unknown_key + 1 >> 40) << 5) - 1
@@ -218,39 +221,28 @@ class Stretch:
         return tuple(np.concatenate(x) for x in zip(*some, strict=True)) if some else (np.zeros(0, np.uint32), size)
 
     def some(self, texts: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        n, ends = len(chars), np.cumsum(size)
-        if not n:
-            return np.zeros(0, np.uint32), size
-        matched = self.matches(chars, np.repeat(ends, size))
-        starts, lengths, nodes = matched
-        reach = np.arange(1, n + 1)
-        np.maximum.at(reach, starts, starts + lengths)
-        # A boundary on which all paths meet: no piece that begins before reaches past it.
-        run = np.concatenate([[0], np.flatnonzero(np.maximum.accumulate(reach)[:-1] <= np.arange(1, n)) + 1])
-        width = np.diff(np.append(run, n))
-        piece = np.full(n, -2, np.int32)  # of the pieces that are chosen, by their first character; -1: unknown character
-        spelt: dict[int, list[int]] = {}
-        easy = np.zeros(len(run), bool) if not self.fits else width <= self.LONG
-        self.search(run, width, easy, starts, lengths, nodes, piece)
-        whole = "".join(texts)
-        for k in np.flatnonzero(~easy).tolist():
-            at = int(run[k])
-            spelt[at] = list(self.c.stream(whole[at : at + int(width[k])]))
-            piece[at] = -1
-        for at in np.flatnonzero(piece == -1).tolist():
-            if at not in spelt:
-                spelt[at] = self.c.spelt(whole[at])
-        chosen = np.flatnonzero(piece != -2)
-        count = np.ones(len(chosen), np.int64)
-        odd = np.searchsorted(chosen, np.fromiter(spelt, np.int64, len(spelt)))
+        short = (size <= self.LONG) & self.fits
+        words = [t for t, s in zip(texts, short.tolist(), strict=True) if s]
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chosen, pieces = self.in_step(chars, size[short])
+        # Unknown characters have several ids, long words theirs from stream(): both are put in where they begin.
+        first = np.cumsum(size) - size
+        place = (first[short] - (np.cumsum(size[short]) - size[short])).repeat(size[short])[chosen] + chosen
+        spelt = {int(place[k]): self.c.spelt(chr(chars[chosen[k]])) for k in np.flatnonzero(pieces == -1)}
+        for k in np.flatnonzero(~short).tolist():
+            spelt[int(first[k])] = list(self.c.stream(texts[k]))
+        starts = np.sort(np.concatenate([place, first[~short]]))
+        out = np.full(int(size.sum()), -1, np.int64)
+        out[place] = pieces
+        out, count = out[starts], np.ones(len(starts), np.int64)
+        odd = np.searchsorted(starts, np.fromiter(spelt, np.int64, len(spelt)))
         count[odd] = [len(x) for x in spelt.values()]
-        out = np.repeat(piece[chosen], count).astype(np.uint32)
-        place = np.cumsum(count) - count
+        ids = np.repeat(out, count).astype(np.uint32)
+        at = np.cumsum(count) - count
         for k, x in zip(odd.tolist(), spelt.values(), strict=True):
-            out[place[k] : place[k] + len(x)] = x
-        owner = np.searchsorted(ends, chosen, "right")
-        return out, np.bincount(owner, count, len(texts)).astype(np.int64)
+            ids[at[k] : at[k] + len(x)] = x
+        owner = np.searchsorted(np.cumsum(size), starts, "right")
+        return ids, np.bincount(owner, count, len(texts)).astype(np.int64)
 
     def matches(self, chars: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pieces in the text: start, length and node. A walk down the pieces' tree from all positions at once."""
@@ -268,45 +260,75 @@ class Stretch:
                 break
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def search(self, run: np.ndarray, width: np.ndarray, easy: np.ndarray, starts: np.ndarray, lengths: np.ndarray, nodes: np.ndarray, piece: np.ndarray) -> None:
-        """Puts the chosen pieces of easy runs into piece. All runs go on a character at a time."""
-        n = len(piece)
-        of = np.repeat(np.arange(len(run)), width)
-        single = np.full(n, -1, np.int64)
-        one = lengths == 1
-        single[starts[one]] = nodes[one]
-        alone = easy & (width == 1)
-        first = run[alone]
-        piece[first] = np.where(single[first] >= 0, self.piece[single[first]], -1)
-        easy = easy & (width > 1)
-        # Slots: a run of k characters has k + 1 boundaries.
-        slot = np.arange(n) + of
-        best, back, last = np.full(n + len(run) + 1, np.iinfo(np.int64).min), np.zeros(n + len(run) + 1, np.int64), np.full(n + len(run) + 1, -1, np.int32)
-        best[slot[run]] = 0
-        bare = np.flatnonzero((single < 0) & easy[of])
-        use = easy[of[starts]]
-        starts = np.concatenate([bare, starts[use]])
-        lengths = np.concatenate([np.ones(len(bare), np.int64), lengths[use]])
-        ids = np.concatenate([np.full(len(bare), -1, np.int32), self.piece[nodes[use]]])
-        keys = np.concatenate([np.full(len(bare), self.unknown), self.key[nodes[use]]])
-        offset = (starts - run[of[starts]]).astype(np.int16)
-        order = np.argsort(offset, kind="stable")
-        begin, end = slot[starts][order], (slot[starts] + lengths)[order]
-        ids, keys, starts = ids[order], keys[order], starts[order]
-        bounds = np.searchsorted(offset[order], np.arange(int(offset.max(initial=-1)) + 2))
-        for low, high in zip(bounds, bounds[1:], strict=False):  # starts in rising order; only a better key replaces one
-            b, e = begin[low:high], end[low:high]
-            key = best[b] + keys[low:high]
-            better = key > best[e]
-            e = e[better]
-            best[e], back[e], last[e] = key[better], b[better], ids[low:high][better]
-        at = slot[run[easy]] + width[easy]
-        stop, shift = slot[run[easy]], of[run[easy]]
-        while len(at):
-            begin = back[at]
-            piece[begin - shift] = last[at]
-            on = begin > stop
-            at, stop, shift = begin[on], stop[on], shift[on]
+    def in_step(self, chars: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the chosen pieces of words begin and their ids (-1: unknown character)."""
+        n = len(chars)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        ends = np.cumsum(size)
+        begin, word_of = ends - size, np.repeat(np.arange(len(size)), size)
+        starts, lengths, nodes = self.matches(chars, np.repeat(ends, size))
+        known = np.zeros(n, bool)
+        known[starts[lengths == 1]] = True
+        bare = np.flatnonzero(~known)
+        starts, lengths = np.concatenate([bare, starts]), np.concatenate([np.ones(len(bare), np.int64), lengths])
+        ids = np.concatenate([np.full(len(bare), -1, np.int32), self.piece[nodes]])
+        keys = np.concatenate([np.full(len(bare), self.unknown), self.key[nodes]])
+        word, offset = word_of[starts], starts - begin[word_of[starts]]
+        order = np.argsort(offset.astype(np.int16), kind="stable")
+        word, lengths, ids, keys = word[order], lengths[order], ids[order], keys[order]
+        longest, wide, none = int(size.max()), self.c.longest + 1, np.iinfo(np.int64).min
+        bounds = np.searchsorted(offset[order], np.arange(longest + 1))
+        # Each word's window: keys of the positions from i to i + the longest piece, by position modulo its width.
+        window = np.full((len(size), wide), none)
+        window[:, 0] = 0
+        back, last = np.zeros((len(size), longest + 1), np.int16), np.full((len(size), longest + 1), -1, np.int32)
+        done = np.zeros(len(size), np.int64)
+        piece = np.full(n, -2, np.int32)
+        for i in range(longest):  # starts in rising order, of each end one: only a better key replaces one
+            some = slice(bounds[i], bounds[i + 1])
+            w, e = word[some], i + lengths[some]
+            key = window[w, i % wide] + keys[some]
+            window[:, i % wide] = none
+            better = key > window[w, e % wide]
+            w, e = w[better], e[better]
+            window[w, e % wide], back[w, e], last[w, e] = key[better], i, ids[some][better]
+            rows = np.flatnonzero(size == i + 1) if (i + 1) % self.CHECK else np.flatnonzero(size > i)
+            if len(rows):
+                at = self.converged(window, back, rows, i, size)
+                self.commit(rows, at, done, back, last, begin, piece)
+        chosen = np.flatnonzero(piece != -2)
+        return chosen, piece[chosen]
+
+    @staticmethod
+    def converged(window: np.ndarray, back: np.ndarray, rows: np.ndarray, i: int, size: np.ndarray) -> np.ndarray:
+        """Of each row the last boundary that the paths of all positions that are reached and not yet passed have in common. The
+        next position is always reached, as any character has an id."""
+        wide = window.shape[1]
+        ahead = i + 1 + np.arange(wide - 1)
+        alive = (ahead <= size[rows, None]) & (window[rows[:, None], ahead % wide] > np.iinfo(np.int64).min)
+        ends = np.where(alive, ahead, i + 1)
+        left = np.flatnonzero(ends.max(1) > ends.min(1))
+        while len(left):  # the farthest steps back along its path
+            mine = ends[left]
+            far = mine.max(1)
+            mine = np.where(mine == far[:, None], back[rows[left], far][:, None], mine)
+            ends[left] = mine
+            left = left[mine.max(1) > mine.min(1)]
+        return ends[:, 0]
+
+    @staticmethod
+    def commit(rows: np.ndarray, at: np.ndarray, done: np.ndarray, back: np.ndarray, last: np.ndarray, begin: np.ndarray, piece: np.ndarray) -> None:
+        """Gives out the pieces between the last boundary and the new one, where they are certain."""
+        on = at > done[rows]
+        rows, at = rows[on], at[on]
+        stop = done[rows]
+        done[rows] = at
+        while len(rows):
+            start = back[rows, at].astype(np.int64)
+            piece[begin[rows] + start] = last[rows, at]
+            on = start > stop
+            rows, at, stop = rows[on], start[on], stop[on]
 
 
 @lru_cache(2)

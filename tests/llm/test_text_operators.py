@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,7 @@ from repolith.llm import media, packing, quality, sp_codec, token_counts, toxici
 
 DOCS = "doc_id long, text string, score double, label string"
 SMALL_Q = quality.Params(buckets=1 << 12, train_rows=200, epochs=8)
-SMALL_T = toxicity.Params(buckets=1 << 14, train_rows=200, least=2)
+SMALL_T = toxicity.Params(buckets=1 << 14, train_rows=200, share=0.0)
 
 
 def documents(spark, *texts):
@@ -282,6 +283,30 @@ def test_batches_commit_where_paths_converge(monkeypatch):
     assert calls
 
 
+def test_whole_texts_go_through_the_window(monkeypatch):
+    """All ids of whole texts come from windows of the longest piece, and are committed where the paths meet."""
+    c, widths, met = sp_codec.codec(), set(), []
+    real = sp_codec.Stretch.converged
+
+    def watched(window, back, rows, i, size):
+        at = real(window, back, rows, i, size)
+        widths.add(window.shape[1])
+        met.extend(zip(rows.tolist(), at.tolist(), (at < size[rows]).tolist()))
+        for r, k in list(zip(rows.tolist(), at.tolist()))[:50]:  # as one text's search says
+            alive = [p for p in range(i + 1, min(i + c.longest, size[r]) + 1) if window[r, p % window.shape[1]] > np.iinfo(np.int64).min]
+            assert sp_codec.Codec.converged(alive, [(int(b), 0) for b in back[r]], 0) == k
+        return at
+
+    monkeypatch.setattr(sp_codec.Stretch, "converged", staticmethod(watched))
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").combine_chunks()
+    ids, bounds = c.batch(texts)
+    assert widths == {c.longest + 1} and any(early for *_, early in met) and len(ids) > 100_000
+    monkeypatch.undo()
+    for t, ids_of in list(zip(texts.to_pylist(), lists((ids, bounds))))[:40]:
+        assert ids_of == (whole_lattice(c, t[:3000]) if len(t) <= 3000 else ids_of)
+        assert c.decode(ids_of) == t
+
+
 def test_codec_frames(spark):
     df = documents(spark, "one two", None, "")
     enc = sp_codec.encode(df)
