@@ -10,7 +10,8 @@ buckets it holds.
 Nulls and empty texts hold no bucket: their score is the bias alone. Labels
 other than 0 and 1 are left out of training, repeated label rows count once, of
 documents that share an id the greatest text is learnt from; without labelled rows every score
-is 0.5. Whole texts are read; repeated rows get equal scores.
+is 0.5, with labels of one kind it is near that label. With few labelled rows few n-grams are
+in two texts or more, or none: texts that hold none of them have the bias alone. Whole texts are read; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ class Params:
     #: Labelled rows that training reads at most: those with the smallest hash of their id.
     train_rows: int = 6000
     buckets: int = 1 << 19
-    #: These and least, ratio, epochs and l2 were chosen by four-fold cross-validation on training rows alone (see the README).
+    #: These and share, ratio, epochs and l2 were chosen by four-fold cross-validation on training rows alone (see the README).
     grams: tuple[int, ...] = (4, 5, 6)
-    #: A bucket in fewer training texts than this has no weight.
-    least: int = 15
+    #: A bucket in less than this share of the training texts, or in one alone, has no weight.
+    share: float = 0.005
     alpha: float = 1.0
     #: So does one whose log-count ratio is nearer to 0: common n-grams would only pile up noise in long texts.
     ratio: float = 1.5
@@ -63,7 +64,7 @@ def fit(rows: list[tuple[np.ndarray, int]], p: Params) -> tuple[np.ndarray, floa
         df[label, ids] += 1
     texts = np.bincount(y.astype(int), minlength=2) + 2 * p.alpha
     ratio = np.log((df[1] + p.alpha) / texts[1]) - np.log((df[0] + p.alpha) / texts[0])
-    ratio[(df.sum(0) < p.least) | (np.abs(ratio) < p.ratio)] = 0
+    ratio[(df.sum(0) < max(2, p.share * len(y))) | (np.abs(ratio) < p.ratio)] = 0
     used = np.flatnonzero(ratio)
     place = np.full(p.buckets, -1)
     place[used] = np.arange(len(used))
