@@ -1,7 +1,7 @@
 """Exact dedup over a persistent digest index.
 
 The index is a table bucketed and sorted by digest: one row for each distinct
-text ever added. A batch is pre-aggregated to one row a digest, an anti-join by
+text ever added. Its files lie in the shared folder, never in a machine's own warehouse. A batch is pre-aggregated to one row a digest, an anti-join by
 sort-merge against the index finds the digests that are new, and these are
 appended. The index side of that join is neither shuffled nor sorted again.
 
@@ -23,8 +23,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm.common import ascii_lower, free_name
+from repolith.llm.common import ascii_lower, free_name, remove, scratch
 
+#: Rows of documents for each bucket of a new index: some 100 MB of digests.
+BUCKET_ROWS = 1 << 20
 DIGEST = "text_sha256"
 SCHEMA = f"{DIGEST} string, keep_id long, group_size long"
 
@@ -37,12 +39,13 @@ def with_digest(documents: DataFrame, column: str = DIGEST) -> DataFrame:
 class DigestIndex:
     spark: SparkSession
     table: str
-    #: Fixed when the table is made; some MB of digests a bucket at the size it should grow to.
+    #: Fixed when the table is made.
     buckets: int = 32
 
     @classmethod
-    def fresh(cls, spark: SparkSession, buckets: int = 32) -> DigestIndex:
-        return cls(spark, f"digest_index_{uuid.uuid4().hex[:12]}", buckets).create()
+    def fresh(cls, spark: SparkSession, buckets: int = 32, rows: int = 0) -> DigestIndex:
+        """An empty index, with more buckets if it is to hold many rows."""
+        return cls(spark, f"digest_index_{uuid.uuid4().hex[:12]}", max(buckets, -(-rows // BUCKET_ROWS))).create()
 
     def create(self) -> DigestIndex:
         """Makes the empty table if there is none."""
@@ -51,7 +54,10 @@ class DigestIndex:
         return self
 
     def append(self, groups: DataFrame) -> None:
-        groups.write.bucketBy(self.buckets, DIGEST).sortBy(DIGEST).mode("append").format("parquet").saveAsTable(self.table)
+        writer = groups.write.bucketBy(self.buckets, DIGEST).sortBy(DIGEST).mode("append").format("parquet")
+        if not self.spark.catalog.tableExists(self.table):
+            writer = writer.option("path", scratch(self.spark, self.table))
+        writer.saveAsTable(self.table)
 
     def add(self, documents: DataFrame) -> None:
         """Appends the digests of documents that the index lacks, each with the id that stays and the number of rows in this batch."""
@@ -61,7 +67,10 @@ class DigestIndex:
         self.append(fresh.select(DIGEST, F.col("keep_id").cast("long").alias("keep_id"), "group_size").repartition(self.buckets, DIGEST))
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if self.spark.catalog.tableExists(self.table):
+            at = self.spark.sql(f"DESCRIBE FORMATTED {self.table}").where("col_name = 'Location'").first().data_type
+            self.spark.sql(f"DROP TABLE {self.table}")
+            remove(self.spark, at)
 
     def rows(self) -> DataFrame:
         """The index without its bucketing, so that a join with a hot digest can be split at run time."""
@@ -85,7 +94,7 @@ class DigestIndex:
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    index = DigestIndex.fresh(spark)
+    index = DigestIndex.fresh(spark, rows=documents.count())
     index.add(documents)
     return index.lookup(documents)
 
