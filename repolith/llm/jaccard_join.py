@@ -23,8 +23,18 @@ differences: prefixes of differences make new, far shorter lists. Members far
 from c go on in a list without those that are near: by the triangle inequality
 of the Jaccard distance the two can't link. New lists are treated alike, and
 after the last level all pairs across components that are left in lists are
-looked at, so that no link between components is lost. Components grow by label
-propagation with shortcuts.
+looked at. Components grow by label propagation with shortcuts.
+
+Documents out of few building blocks (pages of one template with varying parts)
+share many common shingles without being near to each other: their lists are long,
+and all members are far from any leader. Where a list of far members is still
+long, its members leave it for bands: a band's key are the first shingles of a set
+under several further orders, all of which must agree. A set's first shingle
+under a random order is another's with a chance of their similarity, so that a
+link shares all keys of a band with a chance of t^orders; there are as many bands
+as it takes for a link to escape all of them with a chance below `escape`
+(10^-12). The more members there are, the more orders a key has, so that
+members that aren't similar rarely meet. All other steps lose no link at all.
 
 Text is lower-cased in A-Z only; words are [^\\x20\\x09-\\x0D]+. With fewer words
 than a shingle has, the whole sequence is the one shingle. Null, empty and blank
@@ -60,7 +70,11 @@ class Params:
     short: int = 24
     short_later: int = 1000
     #: How often lists are split by leaders before all pairs that are left are looked at.
-    levels: int = 2
+    levels: int = 3
+    #: Lists of members that are far from their leader and longer than this go into bands, of at most so many orders a key; the chance that a link escapes them.
+    short_far: int = 100
+    band_orders: int = 16
+    escape: float = 1e-12
     #: Documents with a similarity to the leader (in hundredths) of this or more aren't far from it.
     near: int = 60
     #: Ids are broadcast up to this number (some 30 MB); more are joined by a shuffle.
@@ -408,13 +422,50 @@ def differences(pairs: DataFrame, sets: DataFrame, classes, p: Params) -> DataFr
     return with_sets(pairs, sets, p).mapInArrow(run, schema)
 
 
-def next_lists(led_by: DataFrame, apart: DataFrame) -> DataFrame:
-    """Lists of the differences' tokens, and the old lists' members that are far from their leader."""
+def bands_for(members: int, p: Params) -> tuple[int, int]:
+    """Orders a key and number of bands: members with half their shingles in common should meet by chance some times at most."""
+    orders = min(max(4, int(np.ceil(np.log2(max(members, 1) / 8)))), p.band_orders)
+    return orders, int(np.ceil(np.log(p.escape) / np.log1p(-((p.percent / 100) ** orders))))
+
+
+def band_keys(tokens: np.ndarray, orders: int, bands: int) -> np.ndarray:
+    """Of each band the hash of the set's first tokens under its orders."""
+    seeds = mixed(np.arange(1, bands * orders + 1, dtype=np.uint64) * np.uint64(ORDERS[0]))
+    rows = max(1, (1 << 18) // len(tokens))
+    first = np.concatenate([mixed(tokens[None, :] ^ seeds[k : k + rows, None]).min(1) for k in range(0, len(seeds), rows)]).reshape(bands, orders)
+    out = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(orders):
+        out = mixed(out ^ first[:, k]) * np.uint64(0x9E3779B185EBCA87)
+    return out
+
+
+def in_bands(sets: DataFrame, members: int, p: Params) -> DataFrame:
+    """Rows of the lists of bands. All of a set may be shared, so that only lengths speak against a pair."""
+    orders, bands = bands_for(members, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [band_keys(np.frombuffer(t.as_buffer(), np.uint64), orders, bands).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "n", "keys"])
+
+    x = sets.select("doc_id", "n", "tokens").mapInArrow(run, "doc_id long, n long, keys array<long>")
+    none = F.lit(0).cast("long")
+    return x.select(F.explode("keys").alias("key"), "doc_id", "n", none.alias("at"), F.col("n").alias("rest"), (2 * p.percent * F.col("n")).cast("long").alias("need"))
+
+
+def next_lists(led_by: DataFrame, apart: DataFrame, sets: DataFrame, p: Params, cut_here) -> DataFrame:
+    """Lists of the differences' tokens, and the old lists' members that are far from their leader: as they are if there are few, else in bands."""
     x = apart.select(F.col("b").alias("doc_id"), "n", "size", "need", F.posexplode("keys").alias("at", "key"))
     columns = ("key", "doc_id", "n", "at", "rest", "need")
     of_tokens = x.withColumn("rest", F.col("size") - F.col("at")).select(*columns)
     gone = apart.where("far").select(F.col("a").alias("doc_id_l"), F.col("b").alias("doc_id"))
-    return sized(of_tokens.unionByName(led_by.join(gone, ["doc_id_l", "doc_id"], "left_semi").select(*columns)))
+    far = cut_here(sized(led_by.join(gone, ["doc_id_l", "doc_id"], "left_semi").select(*columns)), "far")
+    out = of_tokens.unionByName(far.where(F.col("size") <= p.short_far).select(*columns))
+    many = cut_here(far.where(F.col("size") > p.short_far).select("doc_id").distinct(), "many")
+    members = many.count()
+    if members:
+        out = out.unionByName(in_bands(of_ids(sets, many, p), members, p))
+    return sized(out)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -472,7 +523,7 @@ def connected(lists: DataFrame, sets: DataFrame, classes, p: Params) -> DataFram
             led_by = cut_here(with_leader(left).where("doc_id != doc_id_l"), "led")
             apart = cut_here(differences(led_by.select(F.col("doc_id_l").alias("a"), F.col("doc_id").alias("b")).distinct(), sets, classes, p), "apart")
             labels = merged(labels, apart.where("linked").select("a", "b"))
-            shorter = cut(next_lists(led_by, apart), "lists")
+            shorter = cut(next_lists(led_by, apart, sets, p, cut_here), "lists")
         drop_cut(lists)
         lists = shorter
         release(sets.sparkSession)

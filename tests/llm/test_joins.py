@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +256,48 @@ def test_large_groups_of_near_copies_match_brute_force(spark, width, percent, sh
     assert got == brute(rows, width, percent)
 
 
+def templated(rng, rows, slots):
+    """Texts of one template: each slot holds one of two phrases."""
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    phrases = [[" ".join(word() for _ in range(6)) for _ in range(2)] for _ in range(slots)]
+    return [" ".join(p[rng.integers(2)] for p in phrases) for _ in range(rows)]
+
+
+def test_templated_texts_make_few_pairs(spark, monkeypatch):
+    """Twice the rows, some twice the pairs: lists of texts that share common shingles alone aren't looked at pair by pair."""
+    looked = []
+    real = jaccard_join.met
+
+    def met(lists, p):
+        out = real(lists, p)
+        looked.append(out.distinct().count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "met", met)
+    made, seen = templated(np.random.default_rng(3), 800, 60), []
+    for n in (400, 800):
+        looked.clear()
+        rows = list(enumerate(made[:n])) + [(5000 + k, made[k] + " tail") for k in range(20)]
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(documents(spark, *rows)).collect()}
+        assert got == {i: i if i < 5000 else i - 5000 for i, _ in rows}
+        seen.append(sum(looked))
+    assert seen[1] < 3 * seen[0] + 500 and seen[1] < 800 * 20
+
+
+@pytest.mark.parametrize("orders,percent", [(4, 85), (9, 80)])
+def test_links_meet_in_bands(orders, percent):
+    p = jaccard_join.Params(percent=percent)
+    rng = np.random.default_rng(orders)
+    bands = int(np.ceil(np.log(p.escape) / np.log1p(-((percent / 100) ** orders))))
+    for _ in range(60):
+        n = int(rng.integers(7, 200))
+        x = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        y = np.concatenate([x[: int(np.ceil(n * percent / 100))]])
+        assert jaccard_join.links(np.sort(x), np.sort(y), percent)
+        assert (jaccard_join.band_keys(np.sort(x), orders, bands) == jaccard_join.band_keys(np.sort(y), orders, bands)).any()
+    assert not (jaccard_join.band_keys(np.arange(9, dtype=np.uint64), orders, bands) == jaccard_join.band_keys(np.arange(50, 99, dtype=np.uint64), orders, bands)).any()
+
+
 def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     """From twice as many near copies come about twice as many pairs, not four times."""
     made = []
