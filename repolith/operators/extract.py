@@ -6,12 +6,14 @@ import ast
 import json
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repolith.functions import blocks, ecma
+
 #: Extension -> language family.
 LANGUAGES = {
     "ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "mjs": "ts", "cjs": "ts", "mts": "ts", "cts": "ts", "vue": "ts", "py": "py", "go": "go", "rs": "rs", "java": "java", "kt": "kt", "kts": "kt",
@@ -27,16 +29,30 @@ IMPORTS = {
     "rs": [r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?mod[ \t]+(\w+)[ \t]*;", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?use[ \t]+([\w:]+)"],
     "java": [r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+(?:\.\*)?)[ \t]*;"],
     "kt": [r"(?m)^[ \t]*import[ \t]+([\w.]+(?:\.\*)?)"],
-    "scala": [r"(?m)^[ \t]*import[ \t]+([\w.]+)"],
+    "scala": [r"(?m)^[ \t]*import[ \t]+((?:\w+\.)*\w+)"],
     "cs": [r"(?m)^[ \t]*(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?([\w.]+)[ \t]*;"],
-    "rb": [r"""(?m)^[ \t]*(?:require|require_relative|load)[ \t(]+['"]([^'"]+)['"]"""],
-    "php": [r"(?m)^[ \t]*use[ \t]+(?:function[ \t]+|const[ \t]+)?([\w\\]+)", r"""\b(?:require|include)(?:_once)?[ \t(]+['"]([^'"]+)['"]"""],
-    "dart": [r"""(?m)^[ \t]*(?:import|export|part)[ \t]+['"]([^'"]+)['"]"""],
-    "c": [r"""(?m)^[ \t]*#[ \t]*include[ \t]+["<]([^">]+)[">]"""],
-    "lua": [r"""\brequire[ \t(]+['"]([^'"]+)['"]"""],
+    "rb": [r"""(?m)\brequire_relative[ \t(]+['"]([^'"]+)['"]"""],
+    "php": [r"(?m)^[ \t]*use[ \t]+(?:function[ \t]+|const[ \t]+)?([\w\\]+)(?<!\\)(?=[ \t]*[;,]|[ \t]+as\b)", r"""\b(?:require|include)(?:_once)?[ \t(]+['"]([^'"]+)['"]"""],
+    "dart": [r"""(?m)^[ \t]*import[ \t]+['"](\.[^'"]+)['"]"""],
+    "c": [r"""(?m)^[ \t]*#[ \t]*include[ \t]+"([^"]+)\""""],
+    "lua": [r"""\brequire[ \t]*\(?[ \t]*['"]([^'"]+)['"]"""],
     "ex": [r"(?m)^[ \t]*(?:alias|import|use|require)[ \t]+([A-Z][\w.]*)"],
     "zig": [r"""@import\(\s*"([^"]+)"\s*\)"""],
 }
+#: Where a file's nodes show more imports than its edges follow.
+NODE_IMPORTS = IMPORTS | {
+    "rb": [r"""(?m)^[ \t]*(?:require|require_relative|load)[ \t(]+['"]([^'"]+)['"]""", r"""(?m)^[ \t]*autoload[ \t(]+:\w+,[ \t]*['"]([^'"]+)['"]"""],
+    "dart": [r"""(?m)^[ \t]*(?:import|export)[ \t]+['"]([^'"]+)['"]"""],
+    "swift": [r"(?m)^[ \t]*(?:@\w+[ \t]+)?import[ \t]+(?:(?:class|struct|enum|protocol|func|var|let|typealias)[ \t]+)?([\w.]+)"],
+}
+
+
+def php_groups(content: Column) -> Column:
+    """The names of `use A\\{B, C as D};`."""
+    groups = F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*use[ \t]+([\w\\]+\\\{[^}]+\})"), F.lit(1))
+    before, names = (lambda g: F.regexp_extract(g, r"^([\w\\]+)\{", 1)), (lambda g: F.split(F.regexp_extract(g, r"\{([^}]+)\}", 1), ","))
+    one = lambda g: F.transform(names(g), lambda n: F.concat(before(g), F.regexp_replace(F.trim(F.regexp_replace(n, r"\s+", " ")), r" as \w+$", "")))
+    return F.filter(F.flatten(F.transform(groups, one)), lambda n: ~n.endswith("\\"))
 
 
 def family(path: Column) -> Column:
@@ -51,7 +67,7 @@ def raw_imports(files: DataFrame) -> DataFrame:
     found = F.array().cast("array<string>")
     for name, patterns in IMPORTS.items():
         texts = F.col("content")
-        mine = reduce(lambda a, b: F.concat(a, b), [F.regexp_extract_all(texts, F.lit(p), F.lit(1)) for p in patterns])
+        mine = reduce(lambda a, b: F.concat(a, b), [F.regexp_extract_all(texts, F.lit(p), F.lit(1)) for p in patterns] + ([php_groups(texts)] if name == "php" else []))
         found = F.when(fam == name, mine).otherwise(found)
     x = files.where(fam.isNotNull() & F.col("content").isNotNull()).select("path", fam.alias("family"), F.explode(F.array_distinct(found)).alias("specifier"))
     rel = F.col("specifier").startswith(".") | (F.col("family") == "c") | ((F.col("family") == "zig") & F.col("specifier").endswith(".zig"))
@@ -69,52 +85,65 @@ def directory(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
-#: The order in which endings are tried.
+#: The order in which endings are tried, also from Vue files.
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs")
+VUE_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".vue", "/index.ts", "/index.js")
+#: The places in which each family looks for a file, first to last. {here} is the importer's folder, {spec} the
+#: specifier, {path} its parts as folders, {last} its last part, {up} the folder that a Python specifier's dots name with its parts
+#: behind it; other words are as they are.
+PLACES = {
+    "py": ("{path}.py", "{path}/__init__.py", "src/{path}.py", "src/{path}/__init__.py"),
+    "py, relative": ("{up}.py", "{up}/__init__.py"),
+    "py, dots alone": ("{here}/__init__.py",),
+    "rs": ("{here}/{spec}.rs", "{here}/{spec}/mod.rs"),
+    "java": ("{path}.java", "{here}/{last}.java"),
+    "cs": ("{path}.cs", "{here}/{last}.cs"),
+    "kt": ("{path}.kt", "{path}.kts", "{here}/{last}.kt"),
+    "scala": ("src/main/scala/{path}.scala", "{path}.scala", "{here}/{last}.scala"),
+    "rb": ("{here}/{spec}.rb", "{here}/{spec}"),
+    "php": ("src/{path}.php", "{path}.php", "{here}/{last}.php"),
+    "php, relative": ("{here}/{spec}",),
+    "dart": ("{here}/{spec}", "{here}/{spec}.dart"),
+    "c": ("{here}/{spec}", "{spec}"),
+    "lua": ("{here}/{path}.lua", "{path}.lua", "{path}/init.lua"),
+    "ex": ("lib/{path}.ex", "lib/{path}.exs", "{path}.ex", "{path}.exs", "{here}/{last}.ex"),
+    "zig": ("{here}/{spec}",),
+}
 
 
 def candidates(fam: Column, path: Column, spec: Column) -> Column:
     """The files a specifier may mean, in order of preference."""
-    d = directory(path)
-    at = lambda base, *ends: [F.concat(base, F.lit(e)) for e in ends]
-    here = F.concat(d, F.lit("/"), spec)
-    bare = F.concat(d, F.lit("/"), F.regexp_replace(spec, r"\.js$", ""))
-    dotted = F.regexp_replace(spec, r"[.]", "/")
-    ups = F.length(F.regexp_extract(spec, r"^(\.*)", 1))
-    up = F.concat(d, F.lit("/"), F.repeat(F.lit("../"), F.greatest(ups - 1, F.lit(0))), F.regexp_replace(F.regexp_replace(spec, r"^\.+", ""), r"[.]", "/"))
-    scoped = F.regexp_replace(F.regexp_replace(spec, r"^(crate|self|super)::", ""), "::", "/")
-    last = F.element_at(F.split(spec, r"[./\\]|::"), -1)
-    by = {
-        "ts": at(bare, *SUFFIXES) + at(here, ""),
-        "py": at(up, ".py", "/__init__.py"),
-        "rs": at(F.concat(d, F.lit("/"), scoped), ".rs", "/mod.rs") + at(F.concat(F.lit("src/"), scoped), ".rs", "/mod.rs"),
-        "java": at(dotted, ".java") + at(F.concat(F.lit("src/main/java/"), dotted), ".java") + at(F.concat(d, F.lit("/"), last), ".java"),
-        "kt": at(dotted, ".kt") + at(F.concat(F.lit("src/main/kotlin/"), dotted), ".kt") + at(F.concat(d, F.lit("/"), last), ".kt"),
-        "scala": at(dotted, ".scala") + at(F.concat(d, F.lit("/"), last), ".scala"),
-        "cs": at(dotted, ".cs") + at(F.concat(d, F.lit("/"), last), ".cs"),
-        "rb": at(here, ".rb", "") + at(F.concat(F.lit("lib/"), spec), ".rb"),
-        "php": at(F.regexp_replace(spec, r"\\", "/"), ".php") + at(F.concat(F.lit("src/"), F.regexp_replace(F.regexp_replace(spec, r"^\w+\\", ""), r"\\", "/")), ".php") + at(here, ""),
-        "dart": at(F.when(spec.startswith("package:"), F.regexp_replace(spec, r"^package:[^/]+/", "lib/")).otherwise(here), ""),
-        "c": at(here, "") + at(spec, "") + at(F.concat(F.lit("include/"), spec), ""),
-        "lua": at(dotted, ".lua", "/init.lua"),
-        "ex": at(F.concat(F.lit("lib/"), F.lower(F.regexp_replace(F.regexp_replace(spec, "([a-z0-9])([A-Z])", "$1_$2"), "[.]", "/"))), ".ex"),
-        "zig": at(here, ""),
+    here, slash = directory(path), F.lit("/")
+    dots = F.regexp_extract(spec, r"^(\.*)", 1)
+    module = F.regexp_replace(spec, r"^\.+", "")
+    snake = F.lower(F.regexp_replace(spec, "([a-z0-9])([A-Z])", "$1_$2"))
+    parts = F.when(fam == "php", F.regexp_replace(spec, r"\\", "/")).when(fam == "ex", F.regexp_replace(snake, "[.]", "/")).otherwise(F.regexp_replace(spec, "[.]", "/"))
+    known = {
+        "here": here, "spec": spec, "path": parts, "last": F.element_at(F.split(parts, "/"), -1),
+        "up": F.concat(here, slash, F.repeat(F.lit("../"), F.greatest(F.length(dots) - 1, F.lit(0))), F.regexp_replace(module, "[.]", "/")),
     }
-    absolute = at(F.regexp_replace(spec, r"[.]", "/"), ".py", "/__init__.py") + at(F.concat(F.lit("src/"), F.regexp_replace(spec, r"[.]", "/")), ".py", "/__init__.py")
-    out = F.array().cast("array<string>")
-    for name, cols in by.items():
-        if name == "py":
-            out = F.when(fam == name, F.when(ups > 0, F.array(*cols)).otherwise(F.array(*absolute))).otherwise(out)
-        elif name == "ts":
-            out = F.when((fam == name) & spec.startswith("."), F.array(*cols)).otherwise(out)
-        else:
-            out = F.when(fam == name, F.array(*cols)).otherwise(out)
+
+    def place(form: str) -> Column:
+        return F.concat(*(known[x[1:-1]] if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", form) if x))
+
+    def places(name: str) -> Column:
+        return F.array(*map(place, PLACES[name]))
+
+    bare = F.concat(here, slash, F.regexp_replace(spec, r"\.js$", ""))
+    relative = spec.startswith(".")
+    vue = F.array(F.concat(here, slash, spec), *(F.concat(bare, F.lit(e)) for e in VUE_SUFFIXES))
+    out = F.when((fam == "ts") & relative, F.when(path.endswith(".vue"), vue).otherwise(F.array(*(F.concat(bare, F.lit(e)) for e in SUFFIXES), F.concat(here, slash, spec))))
+    out = out.when(fam == "py", F.when((dots != "") & (module == ""), places("py, dots alone")).when(dots != "", places("py, relative")).otherwise(places("py")))
+    out = out.when((fam == "php") & relative, places("php, relative")).when((fam == "rs") & F.contains(spec, F.lit("::")), F.array().cast("array<string>"))
+    for name in PLACES:
+        if "," not in name and name != "py":
+            out = out.when(fam == name, places(name))
     return F.transform(out, normal_path)
 
 
 def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
     """src, specifier, dst: for each specifier its first candidate that is a file. An equi-join of candidates with the files; nothing is looked up in a file system."""
-    c = imports.select("path", "specifier", F.posexplode(candidates(F.col("family"), F.col("path"), F.col("specifier"))).alias("pos", "candidate")).where("candidate is not null")
+    c = imports.select("path", "specifier", F.posexplode(candidates(F.col("family"), F.col("path"), F.col("specifier"))).alias("pos", "candidate"), "family").where("candidate is not null and (family != 'py' or candidate != path)")
     hit = c.join(paths.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi")
     return hit.groupBy(F.col("path").alias("src"), "specifier").agg(F.min_by("candidate", "pos").alias("dst"))
 
@@ -171,15 +200,14 @@ def reexport_edges(imports: DataFrame, reexports: DataFrame) -> DataFrame:
 
 #: For families without a parser here: patterns of definitions; group 1 is the name.
 DEFINITIONS = {
-    "ts": [("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("arrow_function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"), ("method", r"^\s*(?:\w+\.)+(\w+)\s*=\s*(?:async\s+)?function\b")],
     "go": [("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("interface", r"^type\s+(\w+)\s+interface\b"), ("class", r"^type\s+(\w+)\s+(?!interface\b)")],
     "rs": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(\w+)"), ("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum)\s+(\w+)"), ("interface", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)")],
-    "java": [("class", r"^\s*(?:[\w@]+\s+)*(?:class|enum|record)\s+(\w+)"), ("interface", r"^\s*(?:\w+\s+)*interface\s+(\w+)"), ("method", r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+(?:[\w<>\[\], ?]+\s+)?(\w+)\s*\(")],
+    "java": [("class", r"^\s*(?:[\w@]+\s+)*(?:class|enum|record)\s+(\w+)"), ("interface", r"^\s*(?:\w+\s+)*interface\s+(\w+)"), ("function", r"^\s+(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+(?:[\w<>\[\], ?]+\s+)?(\w+)\s*\(")],
     "cs": [("class", r"^\s*(?:\w+\s+)*(?:class|struct|record)\s+(\w+)"), ("interface", r"^\s*(?:\w+\s+)*interface\s+(\w+)"), ("function", r"^\s+(?:(?:public|protected|private|internal|static|async|override|virtual)\s+)+[\w<>\[\],? ]+\s+(\w+)\s*\(")],
     "rb": [("function", r"^\s*def\s+(?:self\.)?(\w+[?!]?)"), ("class", r"^\s*(?:class|module)\s+(\w+)")],
     "kt": [("function", r"^\s*(?:\w+\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)"), ("interface", r"^\s*(?:\w+\s+)*interface\s+(\w+)"), ("class", r"^\s*(?:\w+\s+)*(?:class|object)\s+(\w+)")],
     "swift": [("function", r"^\s*(?:\w+\s+)*func\s+(\w+)"), ("interface", r"^\s*(?:\w+\s+)*protocol\s+(\w+)"), ("class", r"^\s*(?:\w+\s+)*(?:class|struct)\s+(\w+)")],
-    "php": [("function", r"^\s*(?:\w+\s+)*function\s+&?(\w+)"), ("interface", r"^\s*interface\s+(\w+)"), ("class", r"^\s*(?:\w+\s+)*(?:class|trait)\s+(\w+)")],
+    "php": [("function", r"^\s*(?!use\b)(?:\w+\s+)*function\s+&?(\w+)"), ("interface", r"^\s*interface\s+(\w+)"), ("class", r"^\s*(?:\w+\s+)*(?:class|trait)\s+(\w+)")],
     "dart": [("class", r"^\s*(?:abstract\s+)?class\s+(\w+)"), ("function", r"^[\w<>?]+\s+(\w+)\s*\([^;]*\)\s*(?:async\s*)?[{=]")],
 }
 
@@ -199,37 +227,33 @@ def python_nodes(path: str, text: str) -> list[tuple]:
     return out
 
 
+@lru_cache
+def _rules(fam: str) -> tuple[list, list]:
+    return [(k, re.compile(p)) for k, p in DEFINITIONS.get(fam, [])], [re.compile(p) for p in NODE_IMPORTS.get(fam, [])] if fam in DEFINITIONS else []
+
+
 def pattern_nodes(path: str, text: str, fam: str) -> list[tuple]:
-    """Definitions by pattern, line by line; an end is the last line before the next definition of no deeper indent, or the closing brace's."""
-    lines, out = text.splitlines(), []
-    rules = [(k, re.compile(p)) for k, p in DEFINITIONS.get(fam, [])]
-    for i, line in enumerate(lines):
-        for kind, rule in rules:
-            if m := rule.match(line):
-                depth, end, opened = 0, i, False
-                for j in range(i, len(lines)):
-                    opens = lines[j].count("{")
-                    opened, depth, end = opened or opens > 0, depth + opens - lines[j].count("}"), j
-                    if opened and depth <= 0 or fam == "rb" and j > i and re.match(r"^" + re.match(r"\s*", line)[0] + r"end\b", lines[j]):
-                        break
-                    if j - i > 5 and not opened and fam != "rb":
-                        end = i
-                        break
-                out.append((path, kind, m[1], line.strip().rstrip("{").strip(), i + 1, end + 1, []))
-                break
-    return out
+    """Definitions and imports of a language with blocks."""
+    return [(path, *x, []) for x in blocks.nodes(text, fam, *_rules(fam))]
+
+
+def script(path: Column, content: Column) -> Column:
+    """A file's code: of a Vue file its script block, with line ends before it so that lines keep their numbers."""
+    before = F.regexp_replace(F.regexp_extract(content, r"(?s)^(.*?<script[^>]*>)", 1), r"[^\n]", "")
+    return F.when(path.endswith(".vue"), F.concat(before, F.regexp_extract(content, r"(?s)<script[^>]*>(.*?)</script>", 1))).otherwise(content)
 
 
 def definitions(files: DataFrame) -> DataFrame:
-    """Nodes of each file: Python by its own parser, other families by patterns. A file that doesn't parse has none. Vue files give their script block."""
-    f = files.select("path", family(F.col("path")).alias("family"), F.when(F.col("path").endswith(".vue"), F.regexp_extract("content", r"(?s)<script[^>]*>(.*?)</script>", 1)).otherwise(F.col("content")).alias("content")).where("family is not null and content is not null")
+    """Nodes of each file: Python by its own parser, TypeScript and JavaScript by tokens, other families by patterns outside of comments
+    and strings. methods has a class's signature lines, an import's or export's local names. A file that doesn't parse has none. Vue files give their script block."""
+    f = files.select("path", family(F.col("path")).alias("family"), script(F.col("path"), F.col("content")).alias("content")).where("family is not null and content is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, fam, text in zip(pdf["path"], pdf["family"], pdf["content"], strict=True):
                 try:
-                    rows += python_nodes(path, text) if fam == "py" else pattern_nodes(path, text, fam)
+                    rows += python_nodes(path, text) if fam == "py" else [(path, *x) for x in ecma.Source(text).nodes] if fam == "ts" else pattern_nodes(path, text, fam)
                 except (SyntaxError, ValueError, RecursionError):
                     continue
             if rows:
@@ -266,13 +290,9 @@ class _Calls(ast.NodeVisitor):
         self.generic_visit(n)
 
 
-_CALL = re.compile(r"(?:\bnew\s+)?(?<![\w$])(?:[\w$]+\s*\.\s*)*([A-Za-z_$][\w$]*)\s*\(")
-_NOT_CALLS = frozenset("if for while switch catch function return typeof await super import".split())
-
-
 def calls(files: DataFrame) -> DataFrame:
-    """path, caller_symbol ('' at the top), callee_symbol (rightmost name), line. Python by its parser; TypeScript and JavaScript by pattern within the innermost named function."""
-    f = files.select("path", family(F.col("path")).alias("family"), "content").where("family in ('py', 'ts') and content is not null")
+    """path, caller_symbol (the innermost named function, '' at the top), callee_symbol (rightmost name), line. Python by its parser, TypeScript and JavaScript by tokens; Vue files give their script block's."""
+    f = files.select("path", family(F.col("path")).alias("family"), script(F.col("path"), F.col("content")).alias("content")).where("family in ('py', 'ts') and content is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -286,12 +306,7 @@ def calls(files: DataFrame) -> DataFrame:
                     except (SyntaxError, ValueError, RecursionError):
                         continue
                 else:
-                    spans = sorted((n for n in pattern_nodes(path, text, "ts") if n[1] in ("function", "arrow_function", "method")), key=lambda n: n[5] - n[4])
-                    for i, line in enumerate(text.splitlines(), 1):
-                        own = {n[2] for n in spans if n[4] == i}
-                        for m in _CALL.finditer(line):
-                            if m[1] not in _NOT_CALLS and not (m[1] in own and "function" in line):
-                                rows.append((path, next((n[2] for n in spans if n[4] <= i <= n[5]), ""), m[1], i))
+                    rows += [(path, *c) for c in ecma.Source(text).calls]
             if rows:
                 yield pd.DataFrame(rows, columns=["path", "caller_symbol", "callee_symbol", "line"])
 
@@ -305,12 +320,15 @@ def call_sites_of(found: DataFrame, symbol: str, path: str | None = None) -> Dat
 
 
 def skeletons(files: DataFrame, nodes: DataFrame, largest: int = 256 * 1024, mean_line: int = 1024, most: int = 1 << 20) -> DataFrame:
-    """path, skeleton: a file's nodes in order, imports and interfaces by their signature, functions and classes without bodies. Very large or minified files have none."""
-    n_lines = F.size(F.split("content", "\n", -1))
-    ok = files.where((F.octet_length("content") <= largest) & (F.length("content") / n_lines <= mean_line)).select("path")
-    text = F.when(F.col("type") == "function", F.concat("signature", F.lit(";"))).when(F.size("methods") > 0, F.concat("signature", F.lit(" {\n"), F.array_join(F.transform("methods", lambda m: F.concat(F.lit("  "), m, F.lit(";"))), "\n"), F.lit("\n}"))).otherwise(F.col("signature"))
-    x = nodes.withColumn("t", F.when(F.col("type") == "import", F.col("signature")).otherwise(text)).join(ok, "path", "left_semi")
-    return x.groupBy("path").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "name", "t"))), lambda s: s["t"]), "\n"), 1, most).alias("skeleton"))
+    """path, skeleton: a file's nodes in order, imports and interfaces verbatim, functions and classes without bodies. Very large or minified files have none."""
+    lines = F.split("content", "\n", -1)
+    ok = files.where((F.octet_length("content") <= largest) & (F.length("content") / F.size(lines) <= mean_line)).select("path", lines.alias("lines"))
+    ends = F.col("type").isin("function", "arrow_function", "export_default", "method")
+    text = F.when(ends, F.concat("signature", F.lit(";"))).when((F.col("type") == "class") & (F.size("methods") > 0), F.concat("signature", F.lit(" {\n"), F.array_join(F.transform("methods", lambda m: F.concat(F.lit("  "), m, F.lit(";"))), "\n"), F.lit("\n}"))).otherwise(F.col("signature"))
+    x = nodes.withColumn("verbatim", F.col("type").isin("import", "export", "interface")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", (-F.col("end_line")).alias("end"), "name", "verbatim", text.alias("t")))).alias("nodes"))
+    cut_out = lambda n: F.array_join(F.slice("lines", n["start_line"].cast("int"), F.greatest((-n["end"] - n["start_line"] + 1).cast("int"), F.lit(0))), "\n")
+    shown = F.array_join(F.transform("nodes", lambda n: F.when(n["verbatim"], cut_out(n)).otherwise(n["t"])), "\n")
+    return x.join(ok, "path").select("path", F.substring(shown, 1, most).alias("skeleton"))
 
 
 def xml_skeletons(nodes: DataFrame) -> DataFrame:

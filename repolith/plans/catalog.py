@@ -692,11 +692,11 @@ def import_resolution(t: Tables) -> DataFrame:
 
 @query(f"WITH {SUPPLIER_PATHS}, {SUPPLIER_SYMBOLS} SELECT path || '.ts' AS path, sha256(array_to_string(list_sort(list('export function ' || replace(name, ' ', '_') || '(a);')), chr(10))) AS skeleton_sha256, count(*) AS n FROM ssymbols GROUP BY path")
 def skeletons(t: Tables) -> DataFrame:
-    """Definitions of each file without their bodies."""
+    """Functions of each file without their bodies; ts_skeletons has whole skeletons."""
     from repolith.operators import extract
 
     files = cut(_modules(t), "modules")
-    nodes = extract.definitions(files)
+    nodes = extract.definitions(files).where("type = 'function'")
     shown = extract.skeletons(files, nodes).select("path", F.array_join(F.array_sort(F.split("skeleton", "\n")), "\n").alias("skeleton"))
     return shown.join(nodes.groupBy("path").agg(count().alias("n")), "path").select("path", F.sha2("skeleton", 256).alias("skeleton_sha256"), "n")
 
@@ -818,3 +818,6 @@ def impact_union(t: Tables) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries["impact_union"](spark, sf_dir)
+
+
+from repolith.plans import code_queries  # noqa: E402,F401  registers its queries
