@@ -141,10 +141,15 @@ def candidates(fam: Column, path: Column, spec: Column) -> Column:
     return F.transform(out, normal_path)
 
 
+def import_places(imports: DataFrame) -> DataFrame:
+    """path, specifier, pos, candidate: the files that each import may mean, first to last."""
+    c = imports.select("path", "specifier", F.posexplode(candidates(F.col("family"), F.col("path"), F.col("specifier"))).alias("pos", "candidate"), "family")
+    return c.where("candidate is not null and (family != 'py' or candidate != path)").drop("family")
+
+
 def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
     """src, specifier, dst: for each specifier its first candidate that is a file. An equi-join of candidates with the files; nothing is looked up in a file system."""
-    c = imports.select("path", "specifier", F.posexplode(candidates(F.col("family"), F.col("path"), F.col("specifier"))).alias("pos", "candidate"), "family").where("candidate is not null and (family != 'py' or candidate != path)")
-    hit = c.join(paths.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi")
+    hit = import_places(imports).join(paths.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi")
     return hit.groupBy(F.col("path").alias("src"), "specifier").agg(F.min_by("candidate", "pos").alias("dst"))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolith.operators import extract
-from repolith.operators.lineage import cut
+from repolith.operators.lineage import cut, shared_dir
 from repolith.plans.catalog import query
 from repolith.sources.adapters import SUPPLIER_EDGES, SUPPLIER_PATHS, Tables
+from repolith.sources.index import CodeIndex
 
 
 def _filled(template: str, **values: Column) -> Column:
@@ -167,3 +170,47 @@ def import_resolution_all(t: Tables) -> DataFrame:
     importers = x.select(named(F.col("c.src")).alias("path"), named(F.col("c.text")).alias("content"))
     files = cut(importers.unionByName(x.select(F.explode("c.places").alias("path"), "p_partkey").select(named(F.col("path")).alias("path"), F.lit("").alias("content"))), "files")
     return extract.resolve_imports(extract.raw_imports(files), files.select("path"))
+
+
+# --- the index --------------------------------------------------------------------------
+
+_INDEXED = f"""{SUPPLIER_PATHS}, {SUPPLIER_EDGES}, {_PARTS_OF}, there AS (SELECT s_suppkey AS s, path FROM spath WHERE s_suppkey % 5 <> 0),
+links AS (SELECT src, dst FROM sedges JOIN there ON src = there.path WHERE s % 5 <> 1 UNION SELECT src, min(dst) FROM sedges JOIN there ON src = there.path WHERE s % 5 = 1 GROUP BY src)"""
+
+
+def _small_modules(t: Tables, changed: bool) -> DataFrame:
+    """path, s, content: a module for each supplier with its neighbours' imports and a function for each part; changed ones import the first neighbour alone."""
+    last = t.raw("lineitem").groupBy("l_partkey").agg(F.max(F.struct("l_orderkey", "l_linenumber", "l_suppkey"))["l_suppkey"].alias("s_suppkey"))
+    part = "function part_<key>() {\n  call_<key>();\n}" if not changed else "function again_<key>() {\n  recall_<key>();\n}"
+    functions = last.groupBy("s_suppkey").agg(F.transform(F.array_sort(F.collect_list("l_partkey")), lambda k: _filled(part, key=k.cast("string"))).alias("functions"))
+    neighbours = F.array_sort(F.collect_list("dst"))
+    lines = t.supplier_edges().groupBy(F.col("src").alias("path")).agg((F.slice(neighbours, 1, 1) if changed else neighbours).alias("dsts"))
+    none = F.array().cast("array<string>")
+    x = t.supplier_paths().join(lines, "path", "left").join(functions, "s_suppkey", "left")
+    imports = F.transform(F.coalesce("dsts", none), lambda d: F.concat(F.lit("import '../../"), d, F.lit("';")))
+    return x.select(F.concat("path", F.lit(".ts")).alias("path"), F.col("s_suppkey").alias("s"), F.array_join(F.concat(imports, F.coalesce("functions", none)), "\n").alias("content"))
+
+
+def _index(t: Tables) -> CodeIndex:
+    """An index that was built, compacted, and then took in two changes: files that others import go, come and are written anew."""
+    first, second = cut(_small_modules(t, False), "modules"), cut(_small_modules(t, True), "modules")
+    index = CodeIndex(t.spark, f"{shared_dir(t.spark)}/repolith-index-{uuid.uuid4().hex[:12]}", buckets=16)
+    change = lambda df, kind: df.select("path", F.lit(kind).alias("kind"), "content")
+    index.apply(change(first.where("s % 5 != 2"), "add"))
+    index.compact()
+    index.apply(change(second.where("s % 5 = 1"), "change").unionByName(change(first.where("s % 5 = 0"), "unlink")))
+    index.apply(change(first.where("s % 5 = 2"), "add"))
+    return index
+
+
+@query(f"""WITH {_INDEXED} SELECT 'file' AS kind, path || '.ts' AS path, '' AS a, '' AS b FROM there
+UNION ALL SELECT 'edge', src || '.ts', '../../' || dst, dst || '.ts' FROM links WHERE dst IN (SELECT path FROM there)
+UNION ALL SELECT 'import', src || '.ts', '../../' || dst, '' FROM links
+UNION ALL SELECT 'symbol', path || '.ts', 'function', CASE s % 5 WHEN 1 THEN 'again_' ELSE 'part_' END || p FROM there JOIN parts USING (s)
+UNION ALL SELECT 'call', path || '.ts', CASE s % 5 WHEN 1 THEN 'again_' ELSE 'part_' END || p, CASE s % 5 WHEN 1 THEN 'recall_' ELSE 'call_' END || p FROM there JOIN parts USING (s)""")
+def index_refresh(t: Tables) -> DataFrame:
+    """Files, imports, resolved edges, symbols and calls of an index after changes: the same as built from the files that are left."""
+    index, none = _index(t), F.lit("")
+    row = lambda table, kind, a, b: index.read(table).select(F.lit(kind).alias("kind"), "path", F.col(a).alias("a") if isinstance(a, str) else a.alias("a"), F.col(b).alias("b") if isinstance(b, str) else b.alias("b"))
+    out = row("files", "file", none, none).unionByName(row("edges", "edge", "specifier", "dst")).unionByName(row("imports", "import", "specifier", none))
+    return out.unionByName(row("symbols", "symbol", "type", "name")).unionByName(row("calls", "call", "caller_symbol", "callee_symbol"))

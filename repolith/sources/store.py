@@ -45,7 +45,11 @@ def meta(spark: SparkSession, root: str) -> dict[str, str] | None:
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """A table of the newest version; None where there is none, or where it has another format: it is to be built anew then."""
+    """A table of the newest version, or of an index that is kept there; None where there is none, or where it has another format: it is to be built anew then."""
+    from repolith.sources import index
+
+    if index.present(spark, root):
+        return index.CodeIndex(spark, root).read(name)
     have = versions(spark, root)
     if not have or meta(spark, root).get("format") != str(FORMAT_VERSION):
         return None

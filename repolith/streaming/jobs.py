@@ -40,18 +40,12 @@ def maintain_files(stream: DataFrame, root: str, checkpoint: str):
 
 
 def maintain_index(stream: DataFrame, root: str, checkpoint: str):
-    """Keeps files, imports and vectors together: of changed files all three are made anew, of unlinked ones they go."""
-    from repolith.operators import extract
+    """Keeps files, imports, symbols, calls, resolved edges and vectors together, as a base and deltas: a batch writes in proportion to
+    what it changes, and is taken in once even if it is run again. store.load() and index.CodeIndex read it."""
+    from repolith.sources.index import CodeIndex
 
-    def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        last = latest(batch)
-        fresh = cut(last.where("kind != 'unlink'").select("path", "content"), "fresh")
-        gone = cut(last.select("path"), "gone")
-        old = {name: store.load(spark, root, name) for name in ("files", "imports", "vectors")}
-        made = {"files": fresh, "imports": extract.raw_imports(fresh), "vectors": extract.hashed_embeddings(fresh)}
-        store.save({name: new if old[name] is None else old[name].join(gone, "path", "left_anti").unionByName(new) for name, new in made.items()}, root)
-        store.compact(spark, root, 2)
+    def step(batch: DataFrame, number: int) -> None:
+        CodeIndex(batch.sparkSession, root).apply(latest(batch), number + 1)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
