@@ -51,3 +51,20 @@ def numbered(df: DataFrame, order: list[Column], name: str = "rk") -> DataFrame:
     before = before.select(part, (F.sum("__n").over(Window.orderBy(part)) - F.col("__n")).alias("__before"))  # a row for each range
     within = F.row_number().over(Window.partitionBy(part).orderBy(*order))
     return dealt.join(F.broadcast(before), part).withColumn(name, within + F.col("__before")).drop(part, "__before")
+
+
+def with_next(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], name: str) -> DataFrame:
+    """Adds the next row of the same keys in an order, as a struct of columns; null at the end. Rows are dealt by ranges of keys and
+    order, and a range's last row of a key takes the first one of the next range that has the key: a key's rows needn't meet in one
+    task. What is looked up by key are rows a key and range."""
+    part, at = "__range", Window.partitionBy("__range", *keys)
+    by = [F.col(k) for k in keys]
+    dealt = cut(df.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    row = F.struct(*columns)
+    inside = dealt.withColumn("__place", F.row_number().over(at.orderBy(*order))).withColumn(name, F.lead(row).over(at.orderBy(*order)))
+    first = inside.where("__place = 1").select(part, *keys, row.alias("__first"))
+    carried = first.select(part, *keys, F.lead("__first").over(Window.partitionBy(*keys).orderBy(part)).alias("__carried")).where("__carried IS NOT NULL")
+    named = [part, *keys]
+    carried = carried.toDF(*(f"__{k}_of" for k in range(len(named))), "__carried")
+    on = [F.col(c).eqNullSafe(F.col(f"__{k}_of")) for k, c in enumerate(named)]
+    return inside.join(carried, on, "left").select(*df.columns, F.coalesce(name, "__carried").alias(name))

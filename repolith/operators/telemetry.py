@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions.time import micros
-from repolith.operators.lineage import count
+from repolith.operators.lineage import count, with_next
 from repolith.operators.risk import pctl_floor_nm1
 
 
@@ -15,27 +18,22 @@ def token_estimate(text: Column | str) -> Column:
     return F.ceil(F.length(text) / 4)
 
 
-def tool_transitions(events: DataFrame, gap_seconds: float = 90, least: int = 3, k: int = 3, by: str | None = None) -> DataFrame:
-    """from_tool, to_tool, n, avg_tokens, rk: changes of tool within the gap, most frequent first.
+#: Fixed value: observed tokens count up to this number.
+MOST_TOKENS = 100_000
+
+
+def tool_transitions(events: DataFrame, gap_seconds: float = 90, least: int = 3, k: int = 3, by: str | None = None, allowed: list[str] | None = None) -> DataFrame:
+    """from_tool, to_tool, n, avg_tokens, rk: changes of tool within the gap, most frequent first. With a list of allowed tools only those lead or follow.
 
-    Without by, order is global. Events are then dealt by UTC day; a day's first
-    event takes its predecessor from the last event of the latest day before,
-    of which there is one row a day.
+    Without by, order is global: events are dealt by ranges of time, and a range's last event takes its successor from the next one.
     """
-    cols = ["ts", "event_id", "tool"]
-    if by:
-        w = Window.partitionBy(by).orderBy("ts", "event_id")
-        x = events.withColumn("p", F.lag(F.struct(*cols)).over(w))
-    else:
-        day = F.to_date("ts")
-        last = events.groupBy(day.alias("day")).agg(F.max(F.struct(*cols)).alias("last"))
-        before = last.select("day", F.lag("last").over(Window.orderBy("day")).alias("carried"))
-        w = Window.partitionBy("day").orderBy("ts", "event_id")
-        x = events.withColumn("day", day).join(F.broadcast(before), "day", "left")
-        x = x.withColumn("p", F.coalesce(F.lag(F.struct(*cols)).over(w), F.col("carried")))
-    gap = micros("ts") - micros("p.ts")
-    x = x.where((gap <= int(gap_seconds * 1e6)) & (F.col("p.tool") != F.col("tool")))
-    n = x.groupBy(F.col("p.tool").alias("from_tool"), F.col("tool").alias("to_tool")).agg(count().alias("n"), F.avg(F.greatest("original_tokens", F.lit(0.0))).alias("avg_tokens"))
+    x = with_next(events.select("ts", "event_id", "tool", "original_tokens", *([by] if by else [])), [by] if by else [], [F.col("ts"), F.col("event_id")], ["ts", "tool", "original_tokens"], "next")
+    gap = micros("next.ts") - micros("ts")
+    x = x.where((gap <= int(gap_seconds * 1e6)) & (F.col("next.tool") != F.col("tool")))
+    if allowed is not None:
+        x = x.where(F.col("tool").isin(allowed) & F.col("next.tool").isin(allowed))
+    tokens = F.least(F.greatest("next.original_tokens", F.lit(0.0)), F.lit(float(MOST_TOKENS)))
+    n = x.groupBy(F.col("tool").alias("from_tool"), F.col("next.tool").alias("to_tool")).agg(count().alias("n"), F.avg(tokens).alias("avg_tokens"))
     rank = Window.partitionBy("from_tool").orderBy(F.desc("n"), "to_tool")
     return n.where(F.col("n") >= least).withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= k)
 
@@ -90,16 +88,21 @@ def last_per_file(points: DataFrame) -> DataFrame:
 
 
 def change_filter(points: DataFrame, least: float = 0.02) -> DataFrame:
-    """Points (path, ts, score, label) kept when first, of another label than the last kept one, or so far from its score."""
-    kind = "array<struct<ts:bigint,score:double,label:string>>"
-
-    def step(kept: Column, x: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        keep = last.isNull() | (last["label"] != x["label"]) | (F.abs(last["score"] - x["score"]) >= least)
-        return F.when(keep, F.concat(kept, F.array(x))).otherwise(kept)
-
-    series = points.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ts", "score", "label"))).cast(kind).alias("s"))
-    return series.select("path", F.explode(F.aggregate("s", F.array().cast(kind), step)).alias("x")).select("path", "x.*")
+    """Points (path, ts, score, label) kept when first, of another label than the last kept one, or so far from its score. Series go by
+    in order of time, with the last kept point alone in memory."""
+    x = points.select("path", F.col("ts").cast("long").alias("ts"), F.col("score").cast("double").alias("score"), "label")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, label, score, begun = None, None, 0.0, False
+        for pdf in frames:
+            keep = []
+            for i, (p, s, k) in enumerate(zip(pdf["path"], pdf["score"], pdf["label"], strict=True)):
+                if not begun or p != path or k != label or not abs(score - s) < least:
+                    begun, path, score, label = True, p, s, k
+                    keep.append(i)
+            yield pdf.iloc[keep]
+
+    return x.repartition("path").sortWithinPartitions("path", "ts", "score", "label").mapInPandas(run, x.schema)
 
 
 def token_savings(files: DataFrame) -> DataFrame:

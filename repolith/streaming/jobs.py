@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
+from repolith.operators import trends
 from repolith.operators.lineage import count, cut
 from repolith.sources import store
 
@@ -118,21 +120,64 @@ def sparse_points(points: DataFrame, least: float = 0.02) -> DataFrame:
     return points.select("path", "ts", "score", "label").groupBy("path").applyInPandasWithState(step, "path string, ts long, score double, label string", "score double, label string", "append", GroupStateTimeout.NoTimeout)
 
 
-def collapse_snapshots(rows: DataFrame, seconds: int = 300) -> DataFrame:
-    """Of trend rows (repo, ts, files, edges, dead, bus nullable) those that stand after each that says nothing new overwrote the one before: within the time, the same nulls, counts equal and the average within 1 %."""
+#: The numbers of the small snapshots below.
+_SMALL = (("files", True, False), ("edges", True, False), ("dead", True, False), ("bus", False, True))
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in pdf.sort_values("ts", kind="stable").itertuples(index=False):
-            last = kept[-1] if kept else None
-            same = last is not None and r.ts - last.ts <= seconds and (r.files, r.edges, r.dead) == (last.files, last.edges, last.dead) and pd.isna(r.bus) == pd.isna(last.bus) and (pd.isna(r.bus) or abs(r.bus - last.bus) <= 0.01 * max(abs(last.bus), 1e-12))
-            if same:
-                kept[-1] = r
-            else:
-                kept.append(r)
-        return pd.DataFrame(kept, columns=pdf.columns)
 
-    return rows.select("repo", "ts", "files", "edges", "dead", "bus").groupBy("repo").applyInPandas(step, "repo string, ts long, files long, edges long, dead long, bus double")
+def collapse_snapshots(rows: DataFrame, seconds: int = trends.SECONDS) -> DataFrame:
+    """Of trend rows (repo, ts, files, edges, dead, bus nullable) those that stand after each that says nothing new overwrote the one before."""
+    return trends.collapse(rows.select("repo", "ts", "files", "edges", "dead", "bus"), "repo", _SMALL, seconds=seconds)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _LastSnapshot(StatefulProcessor):
+    """Holds a key's last row until the next one doesn't overwrite it, or none can any more; then the state goes."""
+
+    def __init__(self, columns: list[str], numbers: tuple, seconds: int, schema: str):
+        self.columns, self.numbers, self.seconds, self.schema = columns, numbers, seconds, schema
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.schema)
+
+    def _due(self, row: dict) -> int:
+        return (row["ts"] + self.seconds) * 1000
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802,N803
+        held = dict(zip(self.columns, self.last.get(), strict=True)) if self.last.exists() else None
+        before = held
+        for row in sorted(({c: r[c] for c in self.columns} for r in rows), key=lambda r: r["ts"]):
+            if held is not None and not trends.says_nothing_new(held, row, self.numbers, seconds=self.seconds):
+                yield Row(**dict(zip(self.key_names, key, strict=True)), **held)
+            held = row
+        if before is not None:
+            self.handle.deleteTimer(self._due(before))
+        self.handle.registerTimer(self._due(held))
+        self.last.update(tuple(held[c] for c in self.columns))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802,N803
+        if self.last.exists():
+            yield Row(**dict(zip(self.key_names, key, strict=True)), **dict(zip(self.columns, self.last.get(), strict=True)))
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+    key_names = ("repo",)
+
+
+def collapse_stream(rows: DataFrame, numbers: tuple = trends.SNAPSHOT, seconds: int = trends.SECONDS, late: str = "1 minute") -> DataFrame:
+    """trends.collapse() on a stream of rows (repo, ts in seconds, numbers): a row comes out once the next one of its key doesn't overwrite
+    it, or once the watermark says that none can. Keys that fall silent hold no state. Needs the RocksDB state store (ROCKS) in
+    spark.sql.streaming.stateStore.providerClass. Of rows that come later than the watermark allows nothing is kept."""
+    columns = ["ts", *(n for n, *_ in numbers)]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    state = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    timed = rows.select("repo", *columns, F.timestamp_seconds("ts").alias("at")).withWatermark("at", late)
+    made = _LastSnapshot(columns, numbers, seconds, state)
+    return timed.groupBy("repo").transformWithState(made, f"repo {kinds['repo']}, {state}", "append", "eventTime")
 
 
 def breaches_by_day(events: DataFrame, late: str = "1 hour") -> DataFrame:
