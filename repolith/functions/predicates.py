@@ -18,6 +18,8 @@ NON_SOURCE = (
     r"|(^|/)(?:LICEN[CS]E|CHANGELOG|README|AUTHORS|CONTRIBUTORS|NOTICE)(?:\.[a-z]+)?$"
 )
 SAFE_PATH = r"^[A-Za-z0-9._/\-+]{1,500}$"
+SOURCE_EXTENSIONS = "ts tsx js jsx mjs cjs vue py rs go java cs rb kt kts swift php dart c cpp h".split()
+BINARY_EXTENSIONS = "png jpg jpeg gif ico webp svg pdf zip tar gz bz2 woff woff2 ttf otf mp3 mp4 mov wav".split()
 IGNORED_DIRS = ("node_modules", ".git", "dist", "build", "coverage", "__pycache__", ".venv", "venv", "target", "vendor")
 
 
@@ -30,6 +32,19 @@ def is_non_source(path: Column | str) -> Column:
     return (F.col(path) if isinstance(path, str) else path).rlike(NON_SOURCE)
 
 
+def _has_extension(path: Column | str, known: list[str]) -> Column:
+    return F.lower(F.regexp_extract(F.col(path) if isinstance(path, str) else path, r"\.([^.]*)$", 1)).isin(known)
+
+
+def is_source(path: Column | str) -> Column:
+    """Files that an import graph can hold, by their last extension in any case."""
+    return _has_extension(path, SOURCE_EXTENSIONS)
+
+
+def is_binary(path: Column | str) -> Column:
+    return _has_extension(path, BINARY_EXTENSIONS)
+
+
 def is_bug_fix(message: Column, pattern: str = BUG_FIX) -> Column:
     return F.coalesce(message.rlike(pattern), F.lit(False))
 

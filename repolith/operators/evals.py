@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolith.operators.lineage import count
@@ -18,6 +18,15 @@ def prf(truth: DataFrame, predicted: DataFrame, key: list[str], group: str) -> D
     return s.withColumn("f1", F.when(total == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / total))
 
 
+def source_recall(truth: DataFrame, predicted: DataFrame, key: list[str], group: str, is_source: Column) -> DataFrame:
+    """group, n_source_truth, source_tp, source_recall over distinct keys whose file is source; without any the recall is 1. Groups without truth have a row."""
+    groups = truth.select(group).union(predicted.select(group)).distinct()
+    hit = truth.where(is_source).select(*key).distinct().join(predicted.select(*key).distinct().withColumn("hit", F.lit(1)), key, "left")
+    s = hit.groupBy(group).agg(count().alias("n_source_truth"), F.count("hit").alias("source_tp"))
+    s = groups.join(s, group, "left").na.fill(0, ["n_source_truth", "source_tp"])
+    return s.withColumn("source_recall", F.when(F.col("n_source_truth") == 0, 1.0).otherwise(F.col("source_tp") / F.col("n_source_truth")))
+
+
 def coverage_by_group(expected: DataFrame, found: DataFrame, key: str, group: str) -> DataFrame:
     """group, n_expected, n_found, coverage (null without any)."""
     hit = found.select(key).distinct().withColumn("hit", F.lit(1))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import ast
 import json
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -343,12 +345,55 @@ def xml_skeletons(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("path").agg(body.alias("b")).select("path", F.concat(F.lit('<file path="'), esc(F.col("path")), F.lit('">\n'), F.col("b"), F.lit("\n</file>")).alias("xml"))
 
 
+#: From texts to a matrix with a row for each; load() makes one in a worker.
+Model = Callable[[list[str]], np.ndarray]
+
+
+def embeddings(files: DataFrame, load: Callable[[], Model], longest: int = 4096, at_once: int = 50) -> DataFrame:
+    """path, vector: each text's first characters through a model, of unit length. The model is made once a task, and takes some texts at a
+    time; if it fails on them it gets them again by halves, and a text on which it fails alone has a null vector."""
+
+    def vectors(model: Model, texts: list[str]) -> list[np.ndarray | None]:
+        try:
+            made = np.asarray(model(texts), np.float64)
+            if made.ndim != 2 or len(made) != len(texts):
+                raise ValueError("a model gives a row for each text")
+            return list(made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12))
+        except Exception:
+            if len(texts) == 1:
+                return [None]
+            half = len(texts) // 2
+            return vectors(model, texts[:half]) + vectors(model, texts[half:])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for pdf in frames:
+            out = []
+            texts = [(t or "")[:longest] for t in pdf["content"]]
+            for k in range(0, len(texts), at_once):
+                out += vectors(model, texts[k : k + at_once])
+            yield pd.DataFrame({"path": pdf["path"], "vector": [None if v is None else v.astype(np.float32) for v in out]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, vector array<float>")
+
+
+def hashing_model(dim: int = 384) -> Callable[[], Model]:
+    """A stand-in for a model: signed hashed word counts."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim))
+        for row, text in zip(out, texts, strict=True):
+            for word in re.findall("[a-z0-9_]+", text.lower()):
+                h = zlib.crc32(word.encode())
+                row[h % dim] += 1.0 if zlib.crc32(word.encode(), 1) & 1 else -1.0
+        return out
+
+    return lambda: encode
+
+
 def hashed_embeddings(files: DataFrame, dim: int = 384, longest: int = 4096) -> DataFrame:
-    """path, vector: a stand-in for a model: signed hashed word counts, of unit length."""
-    words = F.filter(F.split(F.lower(F.substring("content", 1, longest)), "[^a-z0-9_]+"), lambda w: w != "")
-    x = files.select("path", F.explode(words).alias("w")).groupBy("path", F.pmod(F.xxhash64("w"), F.lit(dim)).alias("i")).agg(F.sum(F.when(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).alias("v"))
-    v = x.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return v.select("path", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)) / F.greatest("norm", F.lit(1e-12))).cast("float")).alias("vector"))
+    """path, vector through the stand-in, of texts that have words."""
+    return embeddings(files, hashing_model(dim), longest).where(F.exists("vector", lambda x: x != 0))
 
 
 def notebook_code(files: DataFrame) -> DataFrame:

@@ -108,6 +108,20 @@ def call_sites(symbols: DataFrame, calls: DataFrame, seeds: DataFrame) -> DataFr
     return calls.join(defined, calls["callee_symbol"] == defined["name"], "left_semi").select("caller_file", "caller_symbol", "callee_symbol")
 
 
+def call_index(calls: DataFrame, *order: str) -> DataFrame:
+    """caller_file, caller_symbol, callee_symbol, confidence: of repeated edges the last one's confidence, in the order of some columns; without one it is 'extracted'."""
+    known = calls.withColumn("confidence", F.coalesce("confidence", F.lit("extracted")))
+    return known.groupBy("caller_file", "caller_symbol", "callee_symbol").agg(F.max_by("confidence", F.struct(*order)).alias("confidence"))
+
+
+def callers_of(index: DataFrame, symbols: DataFrame, confidence: str | None = None) -> DataFrame:
+    """name, caller_file, caller_symbol, confidence: who calls the symbols (name), with one confidence or any."""
+    if confidence not in (None, "extracted", "inferred", "ambiguous"):
+        raise ValueError(f"no such confidence: {confidence}")
+    hit = index if confidence is None else index.where(F.col("confidence") == confidence)
+    return hit.withColumnRenamed("callee_symbol", "name").join(symbols.select("name").distinct(), "name", "left_semi").select("name", "caller_file", "caller_symbol", "confidence")
+
+
 def symbol_callers(symbols: DataFrame, calls: DataFrame, seeds: DataFrame, limit: int = 25, least: float = 1.0) -> DataFrame:
     """caller_file, score: a symbol that n files define adds 1 / n, once a caller, symbol and seed; 1 more where the caller's path holds a word of a seed's stem."""
     mine = symbols.where(F.col("type") != "import").join(seeds.select("path"), "path", "left_semi").select("path", "name").distinct()

@@ -114,6 +114,13 @@ def coupling(pairs: DataFrame, now: int, least_shared: int = 3, least_confidence
     return ranked.where(F.col("rk") <= k) if k else ranked
 
 
+def coupling_explanation(shared: Column, last_ts: Column, now: int) -> Column:
+    """A sentence on how often and how lately two files changed together."""
+    days = F.floor((F.lit(now) - last_ts) / DAY)
+    many = lambda n: F.when(n == 1, "").otherwise("s")
+    return F.format_string("Changed together in %d commit%s; last co-change %d day%s ago.", shared, many(shared), days, many(days))
+
+
 def coupling_arm(pairs: DataFrame, seeds: DataFrame, static: DataFrame, now: int, per_seed: int = 25, least: float = 0.1, keep: int = 10) -> DataFrame:
     """Partners of the seeds that static analysis doesn't have: per seed the first 25, for each partner the first seed by name, 10 in all."""
     c = coupling(pairs, now, 3, least, per_seed).join(seeds.select("path"), "path", "left_semi")

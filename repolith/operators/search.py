@@ -86,12 +86,19 @@ def semantic_arm(vectors: DataFrame, seeds: DataFrame, static: DataFrame, per_se
 
 
 def cross_repo(vectors: DataFrame, query: DataFrame, limit: int = 10) -> DataFrame:
-    """repo, path, distance: the max(limit, 5) nearest of each repository, merged."""
+    """repo, path, distance: the max(limit, 5) nearest of each repository, merged. Each task keeps so many rows a repository before
+    anything is shuffled, as the rank's bound is pushed below the exchange."""
     d = vectors.join(F.broadcast(query.select("q").limit(1))).select("repo", "path", squared_l2("vector", "q").alias("distance"))
     w = Window.partitionBy("repo").orderBy("distance", "path")
     return d.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= max(limit, 5)).orderBy("distance", "path").limit(limit).select("repo", "path", "distance")
 
 
+def searched_repos(vectors: DataFrame, repos: DataFrame) -> DataFrame:
+    """repo, n_vectors, skipped of each registered repository (repo): one without vectors is skipped."""
+    n = vectors.groupBy("repo").agg(count().alias("n_vectors"))
+    return repos.select("repo").distinct().join(n, "repo", "left").na.fill(0, ["n_vectors"]).withColumn("skipped", F.col("n_vectors") == 0)
+
+
 def fulltext(files: DataFrame, query: str, limit: int = 20, regex: bool = False, context: int = 1, snippets: int = 3) -> DataFrame:
     """path, matches, snippet: lines that match, most first; the first few with lines around them. Rows stay whole: no line is shuffled."""
     lines = F.split(F.coalesce("content", F.lit("")), "\n", -1)

@@ -820,4 +820,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queries["impact_union"](spark, sf_dir)
 
 
-from repolith.plans import code_queries  # noqa: E402,F401  registers its queries
+from repolith.plans import code_queries, source_queries  # noqa: E402,F401  register their queries

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repolith.operators.lineage import cut, numbered
+
 
 def escaped(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -26,6 +30,45 @@ def dot(edges: DataFrame, name: str = "imports") -> DataFrame:
     return frame.union(edges.select(F.lit(1), F.concat(F.lit("  "), q("src"), F.lit(" -> "), q("dst"), F.lit(";"))))
 
 
+#: Importers from which a file counts as a hub in pictures.
+HUB = 5
+
+
+def svg(nodes: DataFrame, edges: DataFrame, spacing: float = 24.0) -> DataFrame:
+    """ord, at, value: the lines of an SVG picture, to be written in order of ord and at: files around a circle by path, importers'
+    lines between them. Places come from distributed row numbers, and the circle grows with the number of files."""
+    importers = edges.groupBy(F.col("dst").alias("path")).agg(F.countDistinct("src").alias("importers"))
+    placed = numbered(nodes.select("path").distinct(), [F.col("path")], "at")
+    n = nodes.select("path").distinct().agg(F.count(F.lit(1)).alias("n"))  # one row
+    radius = F.greatest(F.lit(200.0), F.col("n") * spacing / (2 * math.pi))
+    place = lambda f: F.floor(radius + 120 + radius * f(2 * math.pi * (F.col("at") - 1) / F.col("n")) + 0.5)
+    x = cut(placed.crossJoin(F.broadcast(n)).select("path", "at", place(F.cos).alias("x"), place(F.sin).alias("y")), "places").join(importers, "path", "left").na.fill(0, ["importers"])
+    a, b = (x.select(F.col("path").alias(end), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}"), F.col("at").alias(f"at_{end}")) for end in ("src", "dst"))
+    lines = edges.select("src", "dst").distinct().join(a, "src").join(b, "dst")
+    side = F.floor(2 * radius + 240)
+    zero = F.lit(0).cast("long")
+    head = n.select(F.lit(0).alias("ord"), zero.alias("at"), F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%d" height="%d">', side, side).alias("value"))
+    line = lines.select(F.lit(1).alias("ord"), F.col("at_src").alias("at"), F.format_string('<line x1="%d" y1="%d" x2="%d" y2="%d" stroke="#889"/>', "x_src", "y_src", "x_dst", "y_dst").alias("value"))
+    kind = F.when(F.col("importers") >= HUB, F.lit("hub")).otherwise(F.lit("file"))
+    dots = x.select(F.lit(2).alias("ord"), "at", F.format_string('<circle class="%s" cx="%d" cy="%d" r="6"><title>%s: %d importers</title></circle>', kind, "x", "y", escaped(F.col("path")), "importers").alias("value"))
+    names = x.select(F.lit(3).alias("ord"), "at", F.format_string('<text x="%d" y="%d" font-size="9">%s</text>', "x", F.col("y") + 16, escaped(F.element_at(F.split("path", "/"), -1))).alias("value"))
+    tail = n.select(F.lit(4).alias("ord"), zero.alias("at"), F.lit("</svg>").alias("value"))
+    return head.unionByName(line).unionByName(dots).unionByName(names).unionByName(tail)
+
+
+def html(nodes: DataFrame, edges: DataFrame, title: str = "Import graph") -> DataFrame:
+    """ord, at, value: a page with the picture; hubs are marked, and a file's importers show over its dot."""
+    style = "body { font-family: sans-serif } circle.file { fill: #46a } circle.hub { fill: #d80 }"
+    spark, title = nodes.sparkSession, title.replace("&", "&amp;").replace("<", "&lt;")
+    frame = [(-1, 0, f'<!DOCTYPE html><html><head><meta charset="UTF-8"><title>{title}</title><style>{style}</style></head><body><h1>{title}</h1>'), (5, 0, "</body></html>")]
+    return svg(nodes, edges).unionByName(spark.createDataFrame(frame, "ord int, at long, value string"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One text file of lines in order of ord and at. A task sorts them, on disk where they are many; nothing is collected."""
+    lines.repartition(1).sortWithinPartitions("ord", "at", "value").select("value").write.text(path)
+
+
 def slug(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions.predicates import is_ignored
 from repolith.operators.extract import LANGUAGES
+from repolith.operators.lineage import cut
 
 MOST_BYTES = 5 * 1024 * 1024
 # Fixed names.
@@ -38,6 +39,39 @@ def inside(paths: DataFrame, root: str) -> DataFrame:
     return paths.withColumn("normal", normal_path(F.col("path"))).withColumn("safe", F.col("normal").isNotNull() & ~F.col("path").startswith("/")).drop("normal") if not root else paths.withColumn("safe", F.col("path").startswith(root.rstrip("/") + "/") & normal_path(F.expr(f"substring(path, {len(root.rstrip('/')) + 2})")).isNotNull())
 
 
+def resolved_links(paths: DataFrame, links: DataFrame, most_hops: int = 40) -> DataFrame:
+    """path, real, state of paths under a root once symbolic links (path, target) are followed; a target may be relative to its link's
+    folder, or from the root with a leading slash. state: ok, outside (the way leaves the root; real is null), loop (more hops than
+    a file system allows; real is null). Links that lead to links are shortened first by pointer doubling."""
+    from repolith.operators.extract import directory, normal_path
+
+    aimed = F.when(F.col("target").startswith("/"), F.substring("target", 2, 1 << 30)).otherwise(F.concat(directory(F.col("path")), F.lit("/"), F.col("target")))
+    table = links.select("path", aimed.alias("to"), F.lit(1).cast("long").alias("hops")).withColumn("to", normal_path(F.col("to")))
+    rounds = max(1, (most_hops - 1).bit_length())
+    for _ in range(rounds):
+        further = table.toDF("__path", "__to", "__hops")
+        on = table["to"].eqNullSafe(further["__path"])
+        table = cut(table.join(further, on, "left").select("path", F.when(F.col("__path").isNull(), F.col("to")).otherwise(F.col("__to")).alias("to"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops")), "links")
+    # A path's shortest leading part that is a link is followed first, as a file system does.
+    now = paths.select("path").distinct().select("path", normal_path(F.col("path")).alias("real"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("open"))
+    now, k = cut(now, "paths"), 0
+    while k <= most_hops:
+        going = now.where("open AND real IS NOT NULL")
+        parts = F.split("real", "/")
+        heads = going.select("path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("n", "head"))
+        hit = heads.join(table.toDF("head", "to", "more"), "head").groupBy("path").agg(F.min_by(F.struct("head", "to", "more"), "n").alias("x"))
+        if hit.isEmpty():
+            break
+        rest = F.expr("substring(real, length(x.head) + 1)")
+        # A link that came round to itself has more hops than any way may have.
+        moved = now.join(hit, "path", "left").select(
+            "path", F.when(F.col("x").isNull(), F.col("real")).otherwise(normal_path(F.concat("x.to", rest))).alias("real"), (F.col("hops") + F.coalesce("x.more", F.lit(0))).alias("hops"), F.col("x").isNotNull().alias("open")
+        )
+        now, k = cut(moved.withColumn("open", F.col("open") & (F.col("hops") <= most_hops)), "paths"), k + 1
+    loop = F.col("hops") > most_hops
+    return now.select("path", F.when(~loop, F.col("real")).alias("real"), F.when(loop, "loop").when(F.col("real").isNull(), "outside").otherwise("ok").alias("state"))
+
+
 def rule_files(files: DataFrame, names: tuple[str, ...] = RULE_FILES) -> DataFrame:
     """Rule and context files by base name, and all files of rule directories."""
     base = F.element_at(F.split("path", "/"), -1)
