@@ -1,27 +1,20 @@
-"""Communities, betweenness and call flows: the graph operators that need a kernel of their own."""
+"""Communities, betweenness and call flows: the graph operators that walk in rounds."""
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.operators.lineage import count, cut
 
 
-#: Rows of a graph that may go to every task at once (some 100 bytes each).
-MOST_EDGES = 5_000_000
-
-
-def bounded(rows: DataFrame, what: str, most: int = MOST_EDGES) -> DataFrame:
-    """The rows, if they are few enough to be held by every task; an error that says so if not."""
-    n = rows.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"{what}: more than {most} rows; walks over such a graph need a part of it, or a higher bound")
-    return rows
+#: Edges of a graph that one task moves nodes in (some 100 bytes each); larger ones are made smaller first.
+KERNEL_EDGES = 200_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -43,14 +36,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels.select("path", "component")
 
 
-def louvain_kernel(pairs: list[tuple[str, str]], total: float) -> dict[str, str]:
-    """Greedy modularity by node moves and merging, nodes in sorted order. total: the whole graph's edge weight."""
-    names = sorted({x for p in pairs for x in p})
+def louvain_kernel(pairs: list[tuple[str, str, float]], total: float) -> dict[str, str]:
+    """Greedy modularity by node moves and merging, nodes in sorted order. pairs: a, b, weight; a pair of a node with itself is weight
+    inside of it. total: the whole graph's edge weight."""
+    names = sorted({x for p in pairs for x in p[:2]})
     member = {n: n for n in names}
     weight: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-    for a, b in pairs:
-        weight[a][b] += 1.0
-        weight[b][a] += 1.0
+    for a, b, w in pairs:
+        weight[a][b] += w
+        weight[b][a] += w
     while True:
         nodes = sorted(weight)
         group = {n: n for n in nodes}
@@ -87,21 +81,62 @@ def louvain_kernel(pairs: list[tuple[str, str]], total: float) -> dict[str, str]
         weight = merged
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """path, community (its least path): each file in exactly one. Connected components are independent given the whole graph's
-    weight, so each is one group; a component is gathered in one task and must fit there."""
+def moved(graph: DataFrame, total: float, rounds: int) -> DataFrame:
+    """node, grp: nodes of a weighted graph (a, b, w; both ways, a = b with twice the weight inside) after rounds in which half of them
+    go to the neighbouring group that adds most to modularity. Which half changes from round to round, so that two nodes don't swap for
+    ever; of equal groups the least by name counts."""
+    strength = cut(graph.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")), "strength")
+    labels, still = cut(strength.select("node", F.col("node").alias("grp"), "k"), "labels"), 0
+    for r in range(rounds):
+        held = labels.groupBy("grp").agg(F.sum("k").alias("held"))
+        turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
+        mine = labels.where(turn).select(F.col("node").alias("a"), F.col("grp").alias("own"), "k")
+        to = graph.where("a != b").join(labels.select(F.col("node").alias("b"), "grp"), "b").join(mine, "a").groupBy("a", "own", "k", "grp").agg(F.sum("w").alias("to"))
+        to = to.unionByName(mine.select("a", "own", "k", F.col("own").alias("grp"), F.lit(0.0).alias("to"))).groupBy("a", "own", "k", "grp").agg(F.sum("to").alias("to"))
+        rest = F.col("held") - F.when(F.col("grp") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("to") - rest * F.col("k") / (2 * total), 9)
+        # The most gain; of equal ones the node's own group, then the least name.
+        best = to.join(held, "grp").groupBy("a").agg(F.min(F.struct((-gain).alias("loss"), F.col("grp") != F.col("own"), "grp")).alias("x"))
+        step = best.select(F.col("a").alias("node"), F.col("x.grp").alias("to_grp"))
+        new = cut(labels.join(step, "node", "left").select("node", F.coalesce("to_grp", "grp").alias("grp"), "k", (F.coalesce("to_grp", "grp") != F.col("grp")).alias("went")), "labels")
+        n = new.where("went").count()
+        labels, still = new.drop("went"), still + 1 if n == 0 else 0
+        if still == 2:
+            break
+    return labels.select("node", "grp")
+
+
+def communities(edges: DataFrame, kernel_edges: int = KERNEL_EDGES, rounds: int = 12, levels: int = 8) -> DataFrame:
+    """path, community (its least path): each file in exactly one, by greedy modularity.
+
+    A graph of more than kernel_edges edges is made smaller first: its nodes move in rounds of joins, and groups become nodes with
+    the edges' weights summed. What is left of at most that many edges, which are counted, goes to one task, whose kernel moves nodes one by one.
+    """
     u = undirected(edges)
-    comp = connected_components(edges)
-    mine = u.join(comp.select(F.col("path").alias("a"), "component"), "a").crossJoin(F.broadcast(u.agg(count().alias("total"))))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = louvain_kernel(list(zip(pdf["a"], pdf["b"], strict=True)), float(pdf["total"].iloc[0]))
-        least: dict[str, str] = {}
-        for n in sorted(found):
-            least.setdefault(found[n], n)
-        return pd.DataFrame({"path": list(found), "community": [least[g] for g in found.values()]})
-
-    return mine.groupBy("component").applyInPandas(kernel, "path string, community string")
+    graph = cut(u.select("a", "b", F.lit(1.0).alias("w")).union(u.select("b", "a", F.lit(1.0))), "graph")
+    total = float(graph.count() / 2)
+    member = cut(graph.select(F.col("a").alias("path")).distinct().withColumn("node", F.col("path")), "member")
+    for _ in range(levels):
+        if graph.count() <= 2 * kernel_edges:
+            break
+        groups = moved(graph, total, rounds)
+        before = member.select("node").distinct().count()
+        member = cut(member.join(groups, "node").select("path", F.col("grp").alias("node")), "member")
+        if member.select("node").distinct().count() == before:
+            break
+        x = graph.join(groups.toDF("a", "ga"), "a").join(groups.toDF("b", "gb"), "b").groupBy("ga", "gb").agg(F.sum("w").alias("w"))
+        graph = cut(x.toDF("a", "b", "w"), "graph")
+    if graph.count() <= 2 * kernel_edges:
+
+        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+            half = pdf["w"].where(pdf["a"] != pdf["b"], pdf["w"] / 2)
+            found = louvain_kernel(list(zip(pdf["a"], pdf["b"], half, strict=True)), total)
+            return pd.DataFrame({"node": list(found), "grp": list(found.values())})
+
+        last = graph.where("a <= b").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(kernel, "node string, grp string")
+        member = member.join(last, "node").select("path", F.col("grp").alias("node"))
+    least = member.groupBy("node").agg(F.min("path").alias("community"))
+    return member.join(least, "node").select("path", "community")
 
 
 def community_names(found: DataFrame) -> DataFrame:
@@ -132,83 +167,96 @@ def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
 def betweenness(edges: DataFrame, sources: int = 200, limit: int | None = 20) -> DataFrame:
     """path, score: Brandes' dependencies over the undirected graph, summed over the sources with the least hash of their path.
 
-    The adjacency goes to the tasks as one broadcast value, as each search may walk
-    all of it; more edges than MOST_EDGES are refused.
+    All searches go on a hop at a time by joins: a level holds each source's nodes at that distance and the number of shortest ways to
+    them. A neighbour of a level is on it, on the one before or on the next, so that two levels tell which nodes are new. Back from the
+    last level each node hands its dependency to those before it.
     """
-    spark = edges.sparkSession
     u = cut(undirected(edges), "undirected")
-    bounded(u, "betweenness")
-    adjacency: dict[str, list[str]] = defaultdict(list)
-    for r in u.orderBy("a", "b").toLocalIterator():
-        adjacency[r.a].append(r.b)
-        adjacency[r.b].append(r.a)
-    shared = spark.sparkContext.broadcast(dict(adjacency))
-    starts = u.select(F.explode(F.array("a", "b")).alias("path")).distinct().orderBy(F.xxhash64("path"), "path").limit(sources).repartition(min(sources, spark.sparkContext.defaultParallelism), "path")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = shared.value
-        score: dict[str, float] = defaultdict(float)
-        for s in (p for pdf in batches for p in pdf["path"]):
-            order, before = [], defaultdict(list)
-            sigma, dist, queue = {s: 1.0}, {s: 0}, deque([s])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in near[v]:
-                    if w not in dist:
-                        dist[w] = dist[v] + 1
-                        sigma[w] = 0.0
-                        queue.append(w)
-                    if dist[w] == dist[v] + 1:
-                        sigma[w] += sigma[v]
-                        before[w].append(v)
-            delta: dict[str, float] = defaultdict(float)
-            for w in reversed(order):
-                for v in before[w]:
-                    delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                if w != s:
-                    score[w] += delta[w]
-        if score:
-            yield pd.DataFrame({"path": list(score), "score": list(score.values())})
-
-    out = starts.mapInPandas(search, "path string, score double").groupBy("path").agg(F.sum("score").alias("score")).where("score > 0")
+    two = cut(u.select("a", "b").union(u.select("b", "a")), "two")
+    starts = two.select(F.col("a").alias("path")).distinct().orderBy(F.xxhash64("path"), "path").limit(sources)
+    levels = [cut(starts.select(F.col("path").alias("source"), "path", F.lit(1.0).alias("sigma")), "level")]
+    while True:
+        at = levels[-1]
+        near = at.join(two, at["path"] == two["a"]).groupBy("source", F.col("b").alias("path")).agg(F.sum("sigma").alias("sigma"))
+        for seen in levels[-2:]:
+            near = near.join(seen.select("source", "path"), ["source", "path"], "left_anti")
+        near = cut(near, "level")
+        if near.isEmpty():
+            break
+        levels.append(near)
+    delta, parts = levels[-1].withColumn("delta", F.lit(0.0)), []
+    for before in reversed(levels[:-1]):
+        parts.append(delta.where("delta > 0").groupBy("path").agg(F.sum("delta").alias("score")))
+        back = delta.join(two, delta["path"] == two["a"]).select("source", F.col("b").alias("path"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+        sums = back.join(before, ["source", "path"]).groupBy("source", "path").agg(F.sum(F.col("share") * F.col("sigma")).alias("delta"))
+        delta = cut(before.join(sums, ["source", "path"], "left").na.fill(0.0, ["delta"]), "delta")
+    if not parts:
+        return two.limit(0).select(F.col("a").alias("path"), F.lit(0.0).alias("score"))
+    out = reduce(DataFrame.unionByName, parts).groupBy("path").agg(F.sum("score").alias("score"))
     return out.orderBy(F.desc("score"), "path").limit(limit) if limit else out
 
 
+def _walk(start: tuple, known: dict[tuple, list[tuple]], depth: int, steps: int) -> tuple[list[tuple], list[tuple]]:
+    """The steps of a flow as far as callees are known, and the places that were expanded without knowing theirs."""
+    rows, missing = [], []
+    seen: set[tuple] = set()
+    stack = [(start, 0, ())]
+    while stack and len(rows) < steps:
+        at, d, path = stack.pop()
+        again = at in seen
+        rows.append((len(rows), d, *at, again, at in path))
+        if not again and d < depth:
+            seen.add(at)
+            if at not in known:
+                missing.append(at)
+            stack.extend((x, d + 1, (*path, at)) for x in reversed(known.get(at, [])))
+    return rows, missing
+
+
+_PLACE = "struct<file:string,symbol:string>"
+_STEPS = "array<struct<step:long,depth:long,file:string,symbol:string,revisit:boolean,is_cycle:boolean>>"
+
+
 def flows(calls: DataFrame, entries: DataFrame, depth: int = 10, steps: int = 50) -> DataFrame:
     """entry_file, entry_symbol, step, depth, file, symbol, revisit, is_cycle: pre-order walks. calls: caller_file, caller_symbol, callee_symbol, callee_file.
 
     Callees of a caller go by symbol, then file. A place seen before in the flow
     is emitted as a revisit and not expanded; is_cycle tells whether it is on the
-    path to itself. The call table is broadcast, as a walk may need all of it; more rows than MOST_EDGES are refused.
+    path to itself. Flows walk in rounds: each goes as far as the callees that it
+    knows lead, and asks for those of the places where it didn't know them, which a
+    join with the call table brings. A flow has few steps, so that it needs few
+    places, and of a place no more callees than steps.
     """
-    spark = calls.sparkSession
-    out: dict[tuple, list[tuple]] = defaultdict(list)
-    table = cut(calls.select("caller_file", "caller_symbol", "callee_symbol", "callee_file").distinct(), "calls")
-    for r in bounded(table, "flows").orderBy("callee_symbol", "callee_file").toLocalIterator():
-        out[r.caller_file, r.caller_symbol].append((r.callee_file, r.callee_symbol))
-    shared = spark.sparkContext.broadcast(dict(out))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
-        names = ["entry_file", "entry_symbol", "step", "depth", "file", "symbol", "revisit", "is_cycle"]
-        for pdf in batches:
-            rows = []
-            for start in zip(pdf["file"], pdf["symbol"], strict=True):
-                seen: set[tuple] = set()
-                stack, n = [(start, 0, ())], 0
-                while stack and n < steps:
-                    at, d, path = stack.pop()
-                    again = at in seen
-                    rows.append((*start, n, d, *at, again, at in path))
-                    n += 1
-                    if not again and d < depth:
-                        seen.add(at)
-                        stack.extend((x, d + 1, (*path, at)) for x in reversed(table.get(at, [])))
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
-
-    return entries.select("file", "symbol").mapInPandas(walk, "entry_file string, entry_symbol string, step long, depth long, file string, symbol string, revisit boolean, is_cycle boolean")
+    callee = Window.partitionBy("caller_file", "caller_symbol").orderBy("callee_symbol", "callee_file")
+    table = calls.select("caller_file", "caller_symbol", "callee_symbol", "callee_file").distinct().withColumn("rk", F.row_number().over(callee)).where(F.col("rk") <= steps)
+    one = F.struct("rk", F.col("callee_file").alias("file"), F.col("callee_symbol").alias("symbol"))
+    table = cut(table.groupBy("caller_file", "caller_symbol").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["file"].alias("file"), x["symbol"].alias("symbol"))).alias("callees")), "callees")
+    schema = f"entry_file string, entry_symbol string, known array<struct<at:{_PLACE},callees:array<{_PLACE}>>>, missing array<{_PLACE}>, steps {_STEPS}"
+    names = [x.split()[0] for x in schema.split(", ")[:2]]
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = lambda x: (x["file"], x["symbol"])
+        for pdf in frames:
+            found = []
+            for file, symbol, known in zip(pdf["entry_file"], pdf["entry_symbol"], pdf["known"], strict=True):
+                rows, missing = _walk((file, symbol), {place(k["at"]): [place(c) for c in k["callees"]] for k in known}, depth, steps)
+                fields = ("step", "depth", "file", "symbol", "revisit", "is_cycle")
+                found.append((file, symbol, known if missing else [], [{"file": f, "symbol": s} for f, s in missing], [] if missing else [dict(zip(fields, r, strict=True)) for r in rows]))
+            yield pd.DataFrame(found, columns=[*names, "known", "missing", "steps"])
+
+    now = entries.select(F.col("file").alias("entry_file"), F.col("symbol").alias("entry_symbol")).distinct().withColumn("known", F.array().cast(schema.split("known ")[1].split(", missing")[0]))
+    done = []
+    while True:
+        walked = cut(now.mapInPandas(walk, schema), "flows")
+        done.append(walked.where(F.size("missing") == 0).select(*names, "steps"))
+        todo = walked.where(F.size("missing") > 0)
+        if todo.isEmpty():
+            break
+        asked = todo.select(*names, F.explode("missing").alias("at"))
+        on = (F.col("at.file") == F.col("caller_file")) & (F.col("at.symbol") == F.col("caller_symbol"))
+        told = asked.join(table, on, "left").groupBy(*names).agg(F.collect_list(F.struct("at", F.coalesce("callees", F.array().cast(f"array<{_PLACE}>")).alias("callees"))).alias("more"))
+        now = todo.join(told, names).select(*names, F.concat("known", "more").alias("known"))
+    return reduce(DataFrame.unionByName, done).select(*names, F.explode("steps").alias("x")).select(*names, "x.*")
 
 
 def affected_flows(calls: DataFrame, symbols: DataFrame, changed: DataFrame, most: int = 20, depth: int = 8, steps: int = 30) -> DataFrame:

@@ -86,6 +86,18 @@ def test_two_triangles_are_two_communities(spark):
     assert community.modularity(e, found).first().q > community.modularity(e, whole).first().q
 
 
+def test_large_graphs_are_made_smaller_by_rounds_first(spark):
+    """Rings of cliques: rounds over joins, with or without the kernel behind them, find them as the kernel does."""
+    pairs = [(f"c{c:02d}/{a}", f"c{c:02d}/{b}") for c in range(12) for a in range(6) for b in range(a)] + [(f"c{c:02d}/0", f"c{(c + 1) % 12:02d}/5") for c in range(12)]
+    e = edges(spark, *pairs)
+    q = lambda found: community.modularity(e, found).first().q
+    best = community.communities(e)
+    for kernel_edges in (60, 0):
+        found = community.communities(e, kernel_edges, 10, 2)
+        assert found.count() == found.select("path").distinct().count() == 72
+        assert q(found) > 0.9 * q(best) and all(r.community <= r.path for r in found.collect())
+
+
 def brandes(pairs):
     nodes = sorted({x for p in pairs for x in p})
     near = {n: sorted({b for a, b in pairs if a == n} | {a for a, b in pairs if b == n}) for n in nodes}
@@ -113,6 +125,39 @@ def test_betweenness(spark):
     assert got == {n: round(v, 6) for n, v in brandes(pairs).items()}
 
 
+def test_betweenness_of_random_graphs(spark):
+    rng = __import__("random").Random(2)
+    pairs = [(f"n{a}", f"n{b}") for a in range(14) for b in range(14) if a != b and rng.random() < 0.13] + [("x", "y")]
+    got = {r.path: round(r.score, 6) for r in community.betweenness(edges(spark, *pairs), limit=None).collect()}
+    assert got == {n: round(v, 6) for n, v in brandes(pairs).items()}
+    assert community.betweenness(edges(spark, ("a", "a"))).count() == 0
+
+
+def walked(table, start, depth, steps):
+    rows, seen, stack = [], set(), [(start, 0, ())]
+    while stack and len(rows) < steps:
+        at, d, path = stack.pop()
+        rows.append((len(rows), d, at, at in seen, at in path))
+        if at not in seen and d < depth:
+            seen.add(at)
+            stack.extend((x, d + 1, (*path, at)) for x in reversed(sorted(table.get(at, []))))
+    return rows
+
+
+@pytest.mark.parametrize("depth,steps", [(10, 50), (2, 7), (0, 5), (10, 1)])
+def test_flows_are_walks_in_pre_order(spark, depth, steps):
+    rng = __import__("random").Random(depth)
+    table = {}
+    for a in range(25):
+        table[f"s{a:02d}"] = {f"s{rng.randrange(30):02d}" for _ in range(rng.choice([0, 1, 2, 3, 9]))}
+    rows_ = [("f", a, b, "f") for a, bs in table.items() for b in bs]
+    got = {}
+    starts = [("f", f"s{a:02d}") for a in range(0, 30, 3)]
+    for r in community.flows(spark.createDataFrame(rows_, "caller_file string, caller_symbol string, callee_symbol string, callee_file string"), spark.createDataFrame(starts, "file string, symbol string"), depth, steps).orderBy("step").collect():
+        got.setdefault(r.entry_symbol, []).append((r.step, r.depth, r.symbol, r.revisit, r.is_cycle))
+    assert got == {s: walked(table, s, depth, steps) for _, s in starts}
+
+
 def test_flows_mark_revisits_and_cycles(spark):
     calls = spark.createDataFrame([("f", "main", "a", "f"), ("f", "main", "b", "f"), ("f", "a", "c", "f"), ("f", "b", "c", "f"), ("f", "c", "a", "f")], "caller_file string, caller_symbol string, callee_symbol string, callee_file string")
     got = community.flows(calls, spark.createDataFrame([("f", "main")], "file string, symbol string")).orderBy("step").collect()
