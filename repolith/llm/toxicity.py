@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from repolith.llm.common import WordCache, lean_batches, map_rows
+from repolith.llm.common import WordCache, lean_batches, lean_memory, map_rows
 
 
 @dataclass(frozen=True)
@@ -33,10 +33,11 @@ class Params:
     #: Labelled rows that training reads at most: those with the smallest hash of their id.
     train_rows: int = 6000
     buckets: int = 1 << 19
-    #: These and share, ratio, epochs and l2 were chosen by four-fold cross-validation on training rows alone (see the README).
+    #: These and root, ratio, epochs and l2 were chosen by four-fold cross-validation on training rows alone (see the README).
     grams: tuple[int, ...] = (4, 5, 6)
-    #: A bucket in less than this share of the training texts, or in one alone, has no weight.
-    share: float = 0.005
+    #: A bucket in fewer training texts than this many times the root of their number, or in one alone, has no weight: chance puts
+    #: a bucket into one class more often by about the root of its count.
+    root: float = 0.27
     alpha: float = 1.0
     #: So does one whose log-count ratio is nearer to 0: common n-grams would only pile up noise in long texts.
     ratio: float = 1.5
@@ -64,7 +65,7 @@ def fit(rows: list[tuple[np.ndarray, int]], p: Params) -> tuple[np.ndarray, floa
         df[label, ids] += 1
     texts = np.bincount(y.astype(int), minlength=2) + 2 * p.alpha
     ratio = np.log((df[1] + p.alpha) / texts[1]) - np.log((df[0] + p.alpha) / texts[0])
-    ratio[(df.sum(0) < max(2, p.share * len(y))) | (np.abs(ratio) < p.ratio)] = 0
+    ratio[(df.sum(0) < max(2, p.root * len(y) ** 0.5)) | (np.abs(ratio) < p.ratio)] = 0
     used = np.flatnonzero(ratio)
     place = np.full(p.buckets, -1)
     place[used] = np.arange(len(used))
@@ -119,6 +120,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], p: Params = Par
     schema = StructType([*out.schema.fields[: len(keep)], StructField(into, DoubleType())])
 
     def run(batches):
+        lean_memory()
         numbers, bias = shared.value
         none = frozenset()
 

@@ -15,7 +15,7 @@ from repolith.llm import media, packing, quality, sp_codec, token_counts, toxici
 
 DOCS = "doc_id long, text string, score double, label string"
 SMALL_Q = quality.Params(buckets=1 << 12, train_rows=200, epochs=8)
-SMALL_T = toxicity.Params(buckets=1 << 14, train_rows=200, share=0.0)
+SMALL_T = toxicity.Params(buckets=1 << 14, train_rows=200, root=0.0)
 
 
 def documents(spark, *texts):
