@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from repolith.llm.common import slices
+from repolith.llm.common import cut, slices
 
 #: Lengths in a block: prefix sums run within blocks, and over the blocks' totals.
 BLOCK = 128
@@ -99,8 +99,18 @@ def quantiles(hist: DataFrame, probabilities: list[float]) -> DataFrame:
     return hist.agg(found.alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+#: Context limits and quantiles that the query answers besides the histogram.
+LIMITS = [128 << k for k in range(14)]
+QUANTILES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram (part length), and out of it what context limits (part limit: docs_ge counts the documents that go over it) and
+    quantiles (part quantile) say."""
     counted = lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_bpe())
-    from repolith.llm.common import cut
-
-    return histogram(cut(counted, "lengths")).drop("all_docs")
+    hist = cut(histogram(cut(counted, "lengths")), "histogram")
+    columns = ["part", "n_tokens", "share", *(c for c in hist.columns if c not in ("n_tokens", "all_docs"))]
+    at = at_limits(hist, LIMITS).select(F.lit("limit").alias("part"), F.col("context_limit").alias("n_tokens"), F.col("docs_over").alias("docs_ge"), "truncated_tokens")
+    shares = quantiles(hist, QUANTILES).select(F.lit("quantile").alias("part"), "n_tokens", F.col("p").alias("share"))
+    whole = hist.select(F.lit("length").alias("part"), "*").drop("all_docs").withColumn("share", F.lit(None).cast("double"))
+    return whole.unionByName(at, allowMissingColumns=True).unionByName(shares, allowMissingColumns=True).select(*columns)

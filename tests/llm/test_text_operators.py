@@ -200,6 +200,18 @@ def test_histogram_answers(spark):
     assert empty.count() == 0 and token_counts.quantiles(empty, [0.5]).first().n_tokens is None
 
 
+def test_token_count_query_answers_limits_and_quantiles(spark):
+    from repolith.llm.entry import queries
+
+    at = "/root/testdata/sf0.001"
+    rows = queries()["op4_token_counts"](spark, at).collect()
+    n = [r.n_tokens for r in token_counts.lengths(spark.read.parquet(f"{at}/documents.parquet"), token_counts.byte_bpe()).collect()]
+    assert {r.n_tokens: r.docs for r in rows if r.part == "length"} == {k: n.count(k) for k in set(n)}
+    assert {r.n_tokens: (r.docs_ge, r.truncated_tokens) for r in rows if r.part == "limit"} == {x: (sum(k > x for k in n), sum(min(k, x) for k in n)) for x in token_counts.LIMITS}
+    least = lambda p: min(k for k in n if sum(j <= k for j in n) >= p * len(n))
+    assert {r.share: r.n_tokens for r in rows if r.part == "quantile"} == {p: least(p) for p in token_counts.QUANTILES}
+
+
 def test_token_counts_of_odd_texts(spark):
     got = token_counts.lengths(documents(spark, None, "", "a b", "x" * 100_000), token_counts.byte_bpe()).collect()
     assert [r.n_tokens for r in got][:3] == [0, 0, 2] and got[3].n_tokens > 0
