@@ -6,7 +6,7 @@ normalised (lower case, white space runs as one space, trimmed) and hashed. A
 quoted passage is joined to the original: the first message of the conversation
 whose own text, or a line, a paragraph or a run of neighbouring lines of it, has
 that hash and that stands before the message with the quote. Blank lines don't
-count in runs; only runs of lengths that the conversation's quotes have are made. A message replies to the original of its least
+count in runs; only runs that begin like one of the conversation's quotes and are as long are made. A message replies to the original of its least
 nested linked passage; of several, to the latest. Its root is the end of that
 chain, found by pointer doubling, and its depth is that chain's length. A reply
 has a later turn than its original, so that conversations are in reply order by
@@ -59,19 +59,22 @@ def full_lines(text: Column) -> Column:
 
 
 def line_runs(messages: DataFrame, quoting: DataFrame) -> DataFrame:
-    """conv_id, turn, piece: all runs of neighbouring lines that are as long as a quote of the conversation."""
-    # The lengths' rows are one a conversation and length, so that the messages' side may be split where it is skewed.
-    lengths = quoting.where("n_lines > 1").select("conv_id", "n_lines").distinct()
-    x = messages.select("conv_id", "turn", full_lines(F.col("own_text")).alias("own")).join(lengths, "conv_id").where(F.size("own") >= F.col("n_lines"))
-    starts = F.sequence(F.lit(1), F.size("own") - F.col("n_lines") + 1)
-    return x.select("conv_id", "turn", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("own", i, F.col("n_lines")), " "))).alias("piece"))
+    """conv_id, turn, piece: the runs of neighbouring lines that begin like a quote of the conversation and are as long. Lines are
+    looked up by their hashes, so that only those runs are made."""
+    own = messages.select("conv_id", "turn", full_lines(F.col("own_text")).alias("own"))
+    lines = own.select("conv_id", "turn", F.posexplode("own").alias("i", "line")).select("conv_id", "turn", "i", F.sha2("line", 256).alias("first"))
+    wanted = quoting.where("n_lines > 1").select("conv_id", "first", "n_lines").distinct()
+    starts = lines.join(wanted, ["conv_id", "first"]).groupBy("conv_id", "turn").agg(F.collect_set(F.struct("i", "n_lines")).alias("starts"))
+    x = own.join(starts, ["conv_id", "turn"])
+    return x.select("conv_id", "turn", F.explode(F.transform("starts", lambda s: F.array_join(F.slice("own", s["i"] + 1, s["n_lines"]), " "))).alias("piece"))
 
 
 def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, own_text, n_quoted, reply_to_turn, root_turn, depth of every message."""
     m = with_lines(messages.select("conv_id", "turn", "role", "text"))
     quoting = m.where(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.explode(passages(F.col("lines"))).alias("q"))
-    quoting = quoting.select("conv_id", "turn", F.col("q.level").alias("level"), normal(F.col("q.text")).alias("passage"), F.size(full_lines(F.col("q.text"))).alias("n_lines")).where("passage != ''").withColumn("hash", F.sha2("passage", 256)).drop("passage")
+    quoting = quoting.select("conv_id", "turn", F.col("q.level").alias("level"), normal(F.col("q.text")).alias("passage"), full_lines(F.col("q.text")).alias("full")).where("passage != ''")
+    quoting = quoting.select("conv_id", "turn", "level", F.sha2("passage", 256).alias("hash"), F.size("full").alias("n_lines"), F.sha2(F.get("full", F.lit(0)), 256).alias("first"))
     quoting = cut(quoting.distinct(), "quotes")
 
     m = m.withColumn("own_text", own_text(F.col("lines")))
@@ -80,7 +83,7 @@ def link(messages: DataFrame) -> DataFrame:
         offered = F.array_union(F.array(F.col("own_text")), F.array_union(F.split("own_text", "\n"), F.split("own_text", "\n[ \\t]*\n")))
         original = m.select("conv_id", "turn", F.explode(offered).alias("piece")).select("conv_id", "turn", normal(F.col("piece")).alias("piece")).where("piece != ''").unionByName(line_runs(m, quoting))
         original = original.groupBy("conv_id", F.sha2("piece", 256).alias("hash")).agg(F.min("turn").alias("first_turn"))
-        found = quoting.drop("n_lines").join(original, ["conv_id", "hash"]).where("first_turn < turn")
+        found = quoting.drop("n_lines", "first").join(original, ["conv_id", "hash"]).where("first_turn < turn")
         reply = cut(found.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "first_turn")).alias("x")).select("conv_id", "turn", F.col("x.first_turn").alias("parent")), "replies")
     out = m.select("conv_id", "turn", "role", "own_text", F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"))
     if reply is None or reply.isEmpty():
@@ -120,8 +123,11 @@ q AS (SELECT DISTINCT id, conv_id, turn, level, trim(regexp_replace(lower(string
       FROM z WHERE level > 0 GROUP BY id, conv_id, turn, level, run),
 own AS (SELECT id, conv_id, turn, coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0), '') AS own_text, count(*) FILTER (level > 0) AS n_quoted
         FROM y GROUP BY id, conv_id, turn),
+full_lines AS (SELECT id, conv_id, turn, list_filter(list_transform(string_split(own_text, chr(10)), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM own),
+sizes AS (SELECT DISTINCT conv_id, count(*) AS n FROM z WHERE level > 0 AND trim(regexp_replace(body, '\s+', ' ', 'g')) <> '' GROUP BY id, conv_id, level, run HAVING count(*) > 1),
+runs AS (SELECT conv_id, turn, array_to_string(l[i:i + n - 1], ' ') AS p FROM (SELECT f.conv_id, turn, l, n, unnest(range(1, len(l) - n + 2)) AS i FROM full_lines f JOIN sizes ON f.conv_id = sizes.conv_id WHERE len(l) >= n)),
 pieces AS (SELECT conv_id, turn, own_text AS p FROM own UNION ALL SELECT conv_id, turn, unnest(string_split(own_text, chr(10))) FROM own
-           UNION ALL SELECT conv_id, turn, unnest(string_split_regex(own_text, '\n[ \t]*\n')) FROM own),
+           UNION ALL SELECT conv_id, turn, unnest(string_split_regex(own_text, '\n[ \t]*\n')) FROM own UNION ALL SELECT conv_id, turn, p FROM runs),
 orig AS (SELECT conv_id, trim(regexp_replace(lower(p), '\s+', ' ', 'g')) AS passage, min(turn) AS first_turn FROM pieces GROUP BY 1, 2),
 reply AS (SELECT q.conv_id, q.turn, first_turn AS parent FROM q JOIN orig ON q.conv_id = orig.conv_id AND q.passage = orig.passage
           WHERE q.passage <> '' AND first_turn < q.turn

@@ -425,6 +425,40 @@ def test_trimmed_quotes_of_several_lines_link(spark):
     assert got == {(1, 0): (None, 0), (2, 9): (None, 9)} | {(1, k): (0, 0) if k <= 4 else (None, k) for k in range(1, 8)}
 
 
+def test_trimmed_quotes_match_sql(spark, tmp_path):
+    """The twin knows runs of lines too."""
+    rng = random.Random(12)
+    lines = ["one", "Two  two", "three", "", "  four", "five five"]
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(8):
+            quote = []
+            if said and rng.random() < 0.8:
+                source = rng.choice(said).split("\n")
+                k, n = rng.randrange(len(source)), rng.randrange(1, 5)
+                quote = ["> " + x.upper() for x in source[k : k + n]]
+            own = [rng.choice(lines) for _ in range(rng.randrange(1, 7))] + [f"mine {conv} {turn}"]
+            said.append("\n".join(own))
+            rows.append((conv, turn, "u", "\n".join(quote + own)))
+    df = talk(spark, *rows, (99, 1, "u", "one\nthree"), (99, 1, "u", "two\none\nthree\n"), (99, 2, "u", "> one\n> three"))
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    out = chat_quotes.op5_chat_quotes(spark, str(tmp_path)).cache()
+    assert same(out) == twin(chat_quotes.SQL, conversations=df)
+    assert out.where("reply_to_turn IS NOT NULL").count() > 30
+
+
+def test_many_lines_and_many_lengths_take_no_runs_of_all(spark):
+    """Runs are made where a quote may begin, not at every line for every length."""
+    text = "\n".join(f"line {k}" for k in range(3000))
+    quotes = [(1, n, "a", "\n".join(f"> line {100 + k}" for k in range(n)) + "\nok") for n in range(2, 150)]
+    df = talk(spark, (1, 0, "u", text), *quotes)
+    m = chat_quotes.with_lines(df.select("conv_id", "turn", "role", "text")).withColumn("own_text", chat_quotes.own_text(F.col("lines")))
+    quoting = spark.createDataFrame([(1, hashlib.sha256(b"line 100").hexdigest(), n) for n in range(2, 150)], "conv_id long, first string, n_lines int")
+    assert chat_quotes.line_runs(m, quoting).count() == 148
+    assert {r.reply_to_turn for r in chat_quotes.link(df).where("turn > 0").collect()} == {0}
+
+
 def test_long_chains_and_no_quotes(spark):
     chain = [(1, k, "u", f"> line {k - 1}\nline {k}" if k else "line 0") for k in range(40)]
     assert {r.root_turn for r in chat_quotes.link(talk(spark, *chain)).collect()} == {0}
