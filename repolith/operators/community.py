@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.operators.lineage import count, cut
+from repolith.operators.lineage import count, cut, drop_cut
 
 
 #: Edges of a graph that one task moves nodes in (some 100 bytes each); larger ones are made smaller first.
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = two.join(labels.select(F.col("path").alias("b"), "component"), "b").groupBy(F.col("a").alias("path")).agg(F.min("component").alias("near"))
         step = labels.join(near, "path").select("path", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("path").alias("component"), F.col("component").alias("further"))
-        labels = cut(step.join(jump, "component", "left").select("path", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        labels = cut(step.join(jump, "component", "left").select("path", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels", labels)
         if labels.where("component != old").isEmpty():
             return labels.select("path", "component")
 
@@ -98,11 +98,12 @@ def moved(graph: DataFrame, total: float, rounds: int) -> DataFrame:
         # The most gain; of equal ones the node's own group, then the least name.
         best = to.join(held, "grp").groupBy("a").agg(F.min(F.struct((-gain).alias("loss"), F.col("grp") != F.col("own"), "grp")).alias("x"))
         step = best.select(F.col("a").alias("node"), F.col("x.grp").alias("to_grp"))
-        new = cut(labels.join(step, "node", "left").select("node", F.coalesce("to_grp", "grp").alias("grp"), "k", (F.coalesce("to_grp", "grp") != F.col("grp")).alias("went")), "labels")
+        new = cut(labels.join(step, "node", "left").select("node", F.coalesce("to_grp", "grp").alias("grp"), "k", (F.coalesce("to_grp", "grp") != F.col("grp")).alias("went")), "labels", labels)
         n = new.where("went").count()
-        labels, still = new.drop("went"), still + 1 if n == 0 else 0
+        labels, still = new, still + 1 if n == 0 else 0
         if still == 2:
             break
+    drop_cut(strength)
     return labels.select("node", "grp")
 
 
@@ -121,11 +122,11 @@ def communities(edges: DataFrame, kernel_edges: int = KERNEL_EDGES, rounds: int
             break
         groups = moved(graph, total, rounds)
         before = member.select("node").distinct().count()
-        member = cut(member.join(groups, "node").select("path", F.col("grp").alias("node")), "member")
+        member = cut(member.join(groups, "node").select("path", F.col("grp").alias("node")), "member", member)
         if member.select("node").distinct().count() == before:
             break
         x = graph.join(groups.toDF("a", "ga"), "a").join(groups.toDF("b", "gb"), "b").groupBy("ga", "gb").agg(F.sum("w").alias("w"))
-        graph = cut(x.toDF("a", "b", "w"), "graph")
+        graph = cut(x.toDF("a", "b", "w"), "graph", graph)
     if graph.count() <= 2 * kernel_edges:
 
         def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -171,16 +172,15 @@ def betweenness(edges: DataFrame, sources: int = 200, limit: int | None = 20) ->
     them. A neighbour of a level is on it, on the one before or on the next, so that two levels tell which nodes are new. Back from the
     last level each node hands its dependency to those before it.
     """
-    u = cut(undirected(edges), "undirected")
-    two = cut(u.select("a", "b").union(u.select("b", "a")), "two")
+    u = undirected(edges)
+    two = cut(u.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b"), "two")
     starts = two.select(F.col("a").alias("path")).distinct().orderBy(F.xxhash64("path"), "path").limit(sources)
     levels = [cut(starts.select(F.col("path").alias("source"), "path", F.lit(1.0).alias("sigma")), "level")]
     while True:
         at = levels[-1]
         near = at.join(two, at["path"] == two["a"]).groupBy("source", F.col("b").alias("path")).agg(F.sum("sigma").alias("sigma"))
-        for seen in levels[-2:]:
-            near = near.join(seen.select("source", "path"), ["source", "path"], "left_anti")
-        near = cut(near, "level")
+        seen = reduce(DataFrame.union, [x.select("source", "path") for x in levels[-2:]])
+        near = cut(near.join(seen, ["source", "path"], "left_anti"), "level")
         if near.isEmpty():
             break
         levels.append(near)

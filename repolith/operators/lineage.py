@@ -26,11 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: an iteration's plan starts anew, and a lost executor costs nothing."""
+def cut(df: DataFrame, name: str, after: DataFrame | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it again: an iteration's plan starts anew, and a lost executor costs nothing. after:
+    the iteration's table before, which cut() wrote and nothing reads any more once this one is there; it is deleted."""
     at = f"{shared_dir(df.sparkSession)}/repolith-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._repolith_path = at  # type: ignore[attr-defined]
+    if after is not None:
+        drop_cut(after)
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Deletes what cut() wrote."""
+    at = getattr(df, "_repolith_path", None)
+    if at:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def round6(x: Column) -> Column:

@@ -24,12 +24,6 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def distances(vectors: DataFrame, queries: DataFrame, metric: str = "l2") -> DataFrame:
-    """query, path, distance. queries (query, q): a caller's few vectors; the table streams past them."""
-    d = {"l2": squared_l2("vector", "q"), "cosine": 1 - cosine("vector", "q")}[metric]
-    return vectors.join(F.broadcast(queries)).select("query", "path", d.alias("distance"))
-
-
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
     """query, path, distance, rk: the k nearest of each query. Ties go by path.
 

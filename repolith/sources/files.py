@@ -51,7 +51,7 @@ def resolved_links(paths: DataFrame, links: DataFrame, most_hops: int = 40) -> D
     for _ in range(rounds):
         further = table.toDF("__path", "__to", "__hops")
         on = table["to"].eqNullSafe(further["__path"])
-        table = cut(table.join(further, on, "left").select("path", F.when(F.col("__path").isNull(), F.col("to")).otherwise(F.col("__to")).alias("to"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops")), "links")
+        table = cut(table.join(further, on, "left").select("path", F.when(F.col("__path").isNull(), F.col("to")).otherwise(F.col("__to")).alias("to"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops")), "links", table)
     # A path's shortest leading part that is a link is followed first, as a file system does.
     now = paths.select("path").distinct().select("path", normal_path(F.col("path")).alias("real"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("open"))
     now, k = cut(now, "paths"), 0
@@ -67,7 +67,7 @@ def resolved_links(paths: DataFrame, links: DataFrame, most_hops: int = 40) -> D
         moved = now.join(hit, "path", "left").select(
             "path", F.when(F.col("x").isNull(), F.col("real")).otherwise(normal_path(F.concat("x.to", rest))).alias("real"), (F.col("hops") + F.coalesce("x.more", F.lit(0))).alias("hops"), F.col("x").isNotNull().alias("open")
         )
-        now, k = cut(moved.withColumn("open", F.col("open") & (F.col("hops") <= most_hops)), "paths"), k + 1
+        now, k = cut(moved.withColumn("open", F.col("open") & (F.col("hops") <= most_hops)), "paths", now), k + 1
     loop = F.col("hops") > most_hops
     return now.select("path", F.when(~loop, F.col("real")).alias("real"), F.when(loop, "loop").when(F.col("real").isNull(), "outside").otherwise("ok").alias("state"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.operators import extract
-from repolith.operators.lineage import cut
+from repolith.operators.lineage import cut, drop_cut
 from repolith.sources.store import _fs
 
 #: Of each table the columns, and the one that its base is bucketed by. All are replaced by path.
@@ -156,6 +156,8 @@ class CodeIndex:
         keys = gone.withColumn("part", F.lit("own")).unionByName(gone.unionByName(others).withColumn("part", F.lit("edges")))
         keys.write.mode("overwrite").parquet(f"{folder}/keys")
         self._mark(f"delta-{seq}")
+        for df in (last, had, moved, others, imports, places):
+            drop_cut(df)
         if len(self.state()[1]) >= self.most_deltas:
             self.compact()
 
