@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.operators.lineage import count, cut, drop_cut
+from repolith.operators.lineage import count, cut, drop_cut, numbered
 
 
 #: Edges of a graph that one task moves nodes in (some 100 bytes each); larger ones are made smaller first.
@@ -172,27 +172,31 @@ def betweenness(edges: DataFrame, sources: int = 200, limit: int | None = 20) ->
     them. A neighbour of a level is on it, on the one before or on the next, so that two levels tell which nodes are new. Back from the
     last level each node hands its dependency to those before it.
     """
-    u = undirected(edges)
-    two = cut(u.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b"), "two")
-    starts = two.select(F.col("a").alias("path")).distinct().orderBy(F.xxhash64("path"), "path").limit(sources)
-    levels = [cut(starts.select(F.col("path").alias("source"), "path", F.lit(1.0).alias("sigma")), "level")]
+    u = cut(undirected(edges), "undirected")
+    # Numbers in place of paths: what the searches join and shuffle is small.
+    nodes = cut(numbered(u.select(F.explode(F.array("a", "b")).alias("path")).distinct(), [F.col("path")], "node").withColumn("node", F.col("node").cast("int")), "nodes")
+    a, b = nodes.toDF("a", "x"), nodes.toDF("b", "y")
+    two = u.join(a, "a").join(b, "b").select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e"))
+    two = cut(two.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")), "two", u)
+    starts = nodes.orderBy(F.xxhash64("path"), "path").limit(sources)
+    levels = [cut(starts.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("sigma")), "level")]
     while True:
         at = levels[-1]
-        near = at.join(two, at["path"] == two["a"]).groupBy("source", F.col("b").alias("path")).agg(F.sum("sigma").alias("sigma"))
-        seen = reduce(DataFrame.union, [x.select("source", "path") for x in levels[-2:]])
-        near = cut(near.join(seen, ["source", "path"], "left_anti"), "level")
+        near = at.join(two, at["node"] == two["a"]).groupBy("source", F.col("b").alias("node")).agg(F.sum("sigma").alias("sigma"))
+        seen = reduce(DataFrame.union, [x.select("source", "node") for x in levels[-2:]])
+        near = cut(near.join(seen, ["source", "node"], "left_anti"), "level")
         if near.isEmpty():
             break
         levels.append(near)
     delta, parts = levels[-1].withColumn("delta", F.lit(0.0)), []
     for before in reversed(levels[:-1]):
-        parts.append(delta.where("delta > 0").groupBy("path").agg(F.sum("delta").alias("score")))
-        back = delta.join(two, delta["path"] == two["a"]).select("source", F.col("b").alias("path"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
-        sums = back.join(before, ["source", "path"]).groupBy("source", "path").agg(F.sum(F.col("share") * F.col("sigma")).alias("delta"))
-        delta = cut(before.join(sums, ["source", "path"], "left").na.fill(0.0, ["delta"]), "delta")
+        parts.append(delta.where("delta > 0").groupBy("node").agg(F.sum("delta").alias("score")))
+        back = delta.join(two, delta["node"] == two["a"]).select("source", F.col("b").alias("node"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+        sums = back.groupBy("source", "node").agg(F.sum("share").alias("share"))
+        delta = cut(before.join(sums, ["source", "node"], "left").select("source", "node", "sigma", F.coalesce(F.col("share") * F.col("sigma"), F.lit(0.0)).alias("delta")), "delta")
     if not parts:
-        return two.limit(0).select(F.col("a").alias("path"), F.lit(0.0).alias("score"))
-    out = reduce(DataFrame.unionByName, parts).groupBy("path").agg(F.sum("score").alias("score"))
+        return nodes.limit(0).select("path", F.lit(0.0).alias("score"))
+    out = reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("score").alias("score")).join(nodes, "node").select("path", "score")
     return out.orderBy(F.desc("score"), "path").limit(limit) if limit else out
 
 
