@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from repolith.functions import predicates
 from repolith.functions.text import locale_order
 from repolith.functions.time import micros
-from repolith.operators import evals, extract, graph, history, search, trends
+from repolith.operators import evals, extract, graph, history, risk, search, trends
 from repolith.operators.lineage import count, cut, numbered, round6, shared_dir
 from repolith.plans.catalog import COUPLING, HISTORY, NOW, PAIRS, _now, _pairs, query, r6
 from repolith.sources import exports, files, git, logs
@@ -313,3 +313,25 @@ def stream_task_budget(t: Tables) -> DataFrame:
 def session_windows(t: Tables) -> DataFrame:
     """Session windows; a gap of exactly the limit ends a session here, as windows are half open."""
     return jobs.session_windows(t.telemetry(), "6 hours").select("user_id", micros("session_window.start").alias("began"), "calls")
+
+
+# --- change risk ------------------------------------------------------------------------------
+
+_NAMED = "CASE k % 7 WHEN 0 THEN 'm' || k || 'x.md' WHEN 1 THEN 'm' || (k + 1) || 'x.test.ts' ELSE 'm' || k || 'x.ts' END"
+
+
+@query(f"""WITH {CHAIN_EDGES}, n AS (SELECT path, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/' || {_NAMED} AS name, k FROM (SELECT path, CAST(split_part(path, '/', 3) AS BIGINT) AS k FROM nodes)),
+i AS (SELECT dst AS path, count(DISTINCT src) AS importers, bool_or(s.k % 7 = 1) AS tested FROM edges JOIN n s ON src = s.path GROUP BY 1),
+x AS (SELECT name, coalesce(importers, 0) AS importers, k % 7 IN (0, 1) AS aside, k % 7 IN (0, 1) OR coalesce(tested, false) OR (k % 7 = 2 AND k - 1 IN (SELECT k FROM n)) AS covered FROM n LEFT JOIN i USING (path))
+SELECT name AS path, importers, covered, CASE WHEN aside AND importers >= 5 THEN 'high' WHEN aside THEN 'low' WHEN importers >= 5 AND NOT covered THEN 'critical' WHEN importers >= 5 OR (NOT covered AND importers > 2) THEN 'high' WHEN NOT covered THEN 'medium' WHEN importers > 2 THEN 'medium' ELSE 'low' END AS level FROM x""")
+def change_risk_of_all(t: Tables) -> DataFrame:
+    """Every file of the sparse graph, with tests, documents and sources by their names: all levels occur."""
+    part, k = (lambda c, i: F.split_part(c, F.lit("/"), F.lit(i))), (lambda c: F.split_part(c, F.lit("/"), F.lit(3)).cast("long"))
+
+    def named(c: str):
+        key = k(F.col(c))
+        file = F.when(key % 7 == 0, F.concat(F.lit("m"), key, F.lit("x.md"))).when(key % 7 == 1, F.concat(F.lit("m"), key + 1, F.lit("x.test.ts"))).otherwise(F.concat(F.lit("m"), key, F.lit("x.ts")))
+        return F.concat_ws("/", part(F.col(c), 1), part(F.col(c), 2), file)
+
+    e = cut(t.chain_edges().select(named("src").alias("src"), named("dst").alias("dst")), "named")
+    return risk.change_risk(graph.nodes(e), e)
