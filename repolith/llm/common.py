@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,16 +67,37 @@ def lean_batches(spark: SparkSession, most: str = "16m") -> None:
         spark.conf.set(ARROW_BYTES, most)
 
 
+def lean_memory() -> None:
+    """Has this worker take memory for Arrow from the system's allocator, and that give freed blocks of 1 MB back at once. Workers live
+    on from stage to stage; what they keep is missing in the next one. Without glibc only the first part holds."""
+    import ctypes
+
+    if pa.default_memory_pool().backend_name == "system":
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+    with suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
 @contextmanager
-def arrow_bytes(spark: SparkSession, most: str) -> Iterator[None]:
-    """Bounds the Arrow batches of the queries that run inside: wide rows then need less memory beside the heap."""
-    key = ARROW_BYTES
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, most)
+def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
+    """Session settings for the queries that run inside; what was set before comes back. Dots in names are double underscores."""
+    names = {k.replace("__", "."): v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def arrow_bytes(spark: SparkSession, most: str):
+    """Bounds the Arrow batches of the queries that run inside: wide rows then need less memory beside the heap."""
+    return settings(spark, **{ARROW_BYTES.replace(".", "__"): most})
 
 
 def release(spark: SparkSession) -> None:

@@ -56,7 +56,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm.common import arrow_bytes, cut, cuts, drop_cut, release, slices
+from repolith.llm.common import arrow_bytes, cut, cuts, drop_cut, lean_memory, release, settings, slices
 
 
 @dataclass(frozen=True)
@@ -223,9 +223,10 @@ def profile(documents: DataFrame, p: Params) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         counts, seen = np.zeros(p.counters, np.uint32), False
         for batch in batches:
-            for low, high in slices(batch.column(1)):
+            for low, high in slices(batch.column(1), 1 << 20):
                 sets, n, digest = sets_of(batch.column(1)[low:high], p.width)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], n, digest, *(pa.nulls(high - low, f.type) for f in list(kinds)[3:])], schema=kinds)
                 if any(map(len, sets)):
@@ -268,9 +269,10 @@ def prefixes(documents: DataFrame, classes, p: Params) -> DataFrame:
     schema = "doc_id long, digest binary, n long, prefix array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         table = classes.value
         for batch in batches:
-            for low, high in slices(batch.column(1)):
+            for low, high in slices(batch.column(1), 1 << 20):
                 sets, n, digest = sets_of(batch.column(1)[low:high], p.width)
                 first = [prefix(s, class_of(table, s), 0, p.percent).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], digest, n, pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "prefix"])
@@ -282,8 +284,9 @@ def whole_sets(documents: DataFrame, p: Params) -> DataFrame:
     """doc_id, n and the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for batch in batches:
-            for low, high in slices(batch.column(1)):
+            for low, high in slices(batch.column(1), 1 << 20):
                 sets, n, _ = sets_of(batch.column(1)[low:high], p.width)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], n, pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "tokens"])
 
@@ -294,6 +297,7 @@ def signatures(sets: DataFrame, classes, p: Params) -> DataFrame:
     """doc_id, n and the signatures under all orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         table = classes.value
         for batch in batches:
             out = []
@@ -373,6 +377,7 @@ def sharing(pairs: DataFrame, sets: DataFrame, classes, p: Params) -> DataFrame:
     both = pairs.join(mine.toDF("b", "n_b", "orders_b"), "b").join(mine.toDF("a", "n_a", "orders_a"), "a").select("a", "b", "n_a", "n_b", "orders_a", "orders_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         view = lambda x: np.frombuffer(x, np.uint32)
         for batch in batches:
             rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
@@ -392,6 +397,7 @@ def verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """The pairs whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         view = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
         for batch in batches:
             keep = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)) if links(view(x), view(y), p.percent)]
@@ -405,6 +411,7 @@ def differences(pairs: DataFrame, sets: DataFrame, classes, p: Params) -> DataFr
     schema = "a long, b long, n long, linked boolean, far boolean, need long, size long, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         table, names = classes.value, [x.split()[0] for x in schema.split(", ")]
         view = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
         for batch in batches:
@@ -444,6 +451,7 @@ def in_bands(sets: DataFrame, members: int, p: Params) -> DataFrame:
     orders, bands = bands_for(members, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for batch in batches:
             made = [band_keys(np.frombuffer(t.as_buffer(), np.uint64), orders, bands).view(np.int64) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "n", "keys"])
@@ -532,7 +540,8 @@ def connected(lists: DataFrame, sets: DataFrame, classes, p: Params) -> DataFram
 
 def jaccard_components(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    with arrow_bytes(documents.sparkSession, "8m"):  # sets are wide, and all that runs in Python ends in here
+    # Sets are wide, and all that runs in Python ends in here; tasks that read less of a shuffle sort in less memory.
+    with arrow_bytes(documents.sparkSession, "4m"), settings(documents.sparkSession, spark__sql__adaptive__advisoryPartitionSizeInBytes="16m"):
         return _components(documents, p)
 
 

@@ -26,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from repolith.llm.common import WordCache, lean_batches, slices
+from repolith.llm.common import WordCache, lean_batches, lean_memory, slices
 from repolith.llm.merges import Merges
 from repolith.llm.units import gather
 
 #: From texts to all their ids, and where each text's begin and end.
 Encoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 LENGTH, OPEN, END = 4096, 96, 1
+#: Bytes of text that are encoded at once.
+SLICE = 2 << 20
 #: White space on which a text can be cut without changing its ids: no token holds any, and no rule looks across it.
 SPACES = "\n\t\r"
 #: Letters that lower-case one to one and are composed already; a full stop or comma behind them is a token of its own.
@@ -153,6 +155,7 @@ def pack(documents: DataFrame, encoder: Callable[[], Encoder], length: int = LEN
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         encode, open_bins = encoder(), Bins(length, bins)
         base, done, rows = TaskContext.get().partitionId() << 40, 0, []
 
@@ -170,7 +173,7 @@ def pack(documents: DataFrame, encoder: Callable[[], Encoder], length: int = LEN
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for low, high in slices(batch.column(1), 8 << 20):
+            for low, high in slices(batch.column(1), SLICE):
                 ids, bounds = encode(batch.column(1)[low:high])
                 ids = np.insert(ids, bounds[1:], end).astype("<u4")
                 bounds = (bounds + np.arange(len(bounds))).tolist()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from repolith.llm.common import WordCache, lean_batches, map_rows
+from repolith.llm.common import WordCache, lean_batches, lean_memory, map_rows
 
 REPEAT = zlib.crc32(b"\x00repeat")
 
@@ -126,6 +126,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], p: Params = Par
     schema = StructType([*out.schema.fields[: len(keep)], StructField(into, DoubleType())])
 
     def run(batches):
+        lean_memory()
         numbers, bias = shared.value
         again = float(numbers[REPEAT % p.buckets])
 
