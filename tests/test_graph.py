@@ -169,3 +169,17 @@ def test_numbering_is_total(spark):
     got = {r.id: r.rk for r in numbered(df, [F.desc("k"), F.col("id")]).collect()}
     want = {i: n for n, i in enumerate(sorted(range(1000), key=lambda i: (-(i % 7), i)), 1)}
     assert got == want
+
+
+def test_betweenness_moves_blocks_and_not_single_numbers(spark, monkeypatch):
+    real, rows_of = community.cut, []
+
+    def cut(df, name, after=None):
+        out = real(df, name, after)
+        rows_of.extend([out.count()] if name == "level" else [])
+        return out
+
+    monkeypatch.setattr(community, "cut", cut)
+    pairs = [(f"n{k:03}", f"n{(k * m + 1) % 90:03}") for k in range(90) for m in (1, 7)]
+    assert community.betweenness(edges(spark, *pairs), limit=None).count() > 50
+    assert len(rows_of) > 3 and max(rows_of) <= 4
