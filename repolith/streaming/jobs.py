@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -85,13 +86,15 @@ def task_budget(events: DataFrame, gap_seconds: float = 90, limit: int = 8, idle
             return
         last, calls = state.get if state.exists else (None, 0)
         out = []
-        for pdf in batches:
-            for event_id, ts in sorted(zip(pdf["event_id"], pdf["ts"], strict=True), key=lambda r: (r[1], r[0])):
-                us = int(pd.Timestamp(ts).value // 1000)
-                calls = 1 if last is None or us - last > gap_seconds * 1e6 else calls + 1
-                last = us if last is None else max(last, us)
-                if calls == limit + 1:
-                    out.append((key[0], event_id, calls))
+        # A user's events come in several frames, in no order; two numbers an event are held to sort them all.
+        held = [(pdf["ts"].to_numpy("datetime64[us]").astype("int64"), pdf["event_id"].to_numpy("int64")) for pdf in batches]
+        times, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        for k in np.lexsort((ids, times)):
+            us = int(times[k])
+            calls = 1 if last is None or us - last > gap_seconds * 1e6 else calls + 1
+            last = us if last is None else max(last, us)
+            if calls == limit + 1:
+                out.append((key[0], int(ids[k]), calls))
         state.update((last, calls))
         state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + int(gap_seconds * 1000) + 1)
         if out:
@@ -107,11 +110,13 @@ def sparse_points(points: DataFrame, least: float = 0.02) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = state.get if state.exists else None
         out = []
-        for pdf in batches:
-            for ts, score, label in sorted(zip(pdf["ts"], pdf["score"], pdf["label"], strict=True)):
-                if kept is None or kept[1] != label or abs(kept[0] - score) >= least:
-                    kept = (float(score), label)
-                    out.append((key[0], int(ts), float(score), label))
+        # Points come in several frames, in no order.
+        frames = list(batches)
+        points = pd.concat(frames) if len(frames) > 1 else frames[0]
+        for ts, score, label in sorted(zip(points["ts"], points["score"], points["label"], strict=True)):
+            if kept is None or kept[1] != label or abs(kept[0] - score) >= least:
+                kept = (float(score), label)
+                out.append((key[0], int(ts), float(score), label))
         if kept is not None:
             state.update(kept)
         if out:

@@ -239,3 +239,22 @@ def test_shared_dir_needs_a_setting_on_a_cluster():
     with pytest.raises(ValueError):
         shared_dir(session("spark://h:7077"))
 
+
+
+def test_streams_keep_the_order_of_groups_in_several_frames(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    order = [(k * 7) % 40 for k in range(40)]
+    when = [datetime(2026, 1, 1) + timedelta(seconds=60 * k + 500 * (k // 10)) for k in range(40)]
+    spark.createDataFrame([(1, k, when[k]) for k in order], "user_id long, event_id long, ts timestamp").coalesce(1).write.parquet(f"file://{tmp_path}/events")
+    spark.createDataFrame([("f", k, (k // 10) / 10, "low") for k in order], "path string, ts long, score double, label string").coalesce(1).write.parquet(f"file://{tmp_path}/points")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        for name, schema, made in (("events", "user_id long, event_id long, ts timestamp", jobs.task_budget), ("points", "path string, ts long, score double, label string", jobs.sparse_points)):
+            out = made(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/{name}"))
+            out.writeStream.format("memory").queryName(f"framed_{name}").option("checkpointLocation", f"file://{tmp_path}/{name}_c").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(r.event_id for r in spark.table("framed_events").collect()) == [8, 18, 28, 38]
+    assert sorted(r.ts for r in spark.table("framed_points").collect()) == [0, 10, 20, 30]
