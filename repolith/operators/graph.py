@@ -126,12 +126,24 @@ def symbol_callers(symbols: DataFrame, calls: DataFrame, seeds: DataFrame, limit
     """caller_file, score: a symbol that n files define adds 1 / n, once a caller, symbol and seed; 1 more where the caller's path holds a word of a seed's stem."""
     mine = symbols.where(F.col("type") != "import").join(seeds.select("path"), "path", "left_semi").select("path", "name").distinct()
     n = symbols.groupBy("name").agg(count().alias("n_defs"))
-    per = mine.join(n, "name").join(calls.select("caller_file", F.col("callee_symbol").alias("name")).distinct(), "name").where("caller_file != path")
-    per = per.groupBy("path", "caller_file").agg(F.sum(1.0 / F.col("n_defs")).alias("specific"))
+    # Seeds that define the same names have the same callers and weights: callers meet such classes, not each seed. A class's least and
+    # greatest path tell whether a caller is all there is of it.
+    classes = mine.groupBy("path").agg(F.array_sort(F.collect_set("name")).alias("names")).withColumn("class", F.sha2(F.to_json("names"), 256))
+    ends = lambda low, high: [F.min("path").alias(low), F.max("path").alias(high)]
+    other = lambda low, high: (F.col(low) != F.col("caller_file")) | (F.col(high) != F.col("caller_file"))
+    of = classes.groupBy("class").agg(F.first("names").alias("names"), *ends("low", "high")).select("class", "low", "high", F.explode("names").alias("name"))
+    sites = calls.select("caller_file", F.col("callee_symbol").alias("name")).distinct()
+    per = of.join(n, "name").join(sites, "name").where(other("low", "high")).groupBy("class", "caller_file").agg(F.sum(1.0 / F.col("n_defs")).alias("specific"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", "")
     words = F.filter(F.split(F.lower(stem), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
-    near = F.exists(words, lambda w: F.contains(F.lower("caller_file"), w))
-    scored = per.withColumn("score", F.col("specific") + F.when(near, 1.0).otherwise(0.0))
+    held = classes.select("class", "path", F.explode(F.array_distinct(words)).alias("word")).groupBy("class", "word").agg(*ends("near_low", "near_high"))
+    # A word lies in a caller's path if one of the path's own parts of its length is it.
+    runs = F.filter(F.split(F.lower("caller_file"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+    tails = F.flatten(F.transform(runs, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.length(w)))))
+    parts = F.flatten(F.transform(tails, lambda w: F.transform(F.sequence(F.lit(3), F.length(w)), lambda k: F.substring(w, F.lit(1), k))))
+    inside = sites.select("caller_file").distinct().select("caller_file", F.explode(F.array_distinct(parts)).alias("word"))
+    near = inside.join(held, "word").where(other("near_low", "near_high")).select("class", "caller_file").distinct().withColumn("near", F.lit(1.0))
+    scored = per.join(near, ["class", "caller_file"], "left").withColumn("score", F.col("specific") + F.coalesce("near", F.lit(0.0)))
     return scored.groupBy("caller_file").agg(F.max("score").alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "caller_file").limit(limit)
 
 

@@ -183,3 +183,35 @@ def test_betweenness_moves_blocks_and_not_single_numbers(spark, monkeypatch):
     pairs = [(f"n{k:03}", f"n{(k * m + 1) % 90:03}") for k in range(90) for m in (1, 7)]
     assert community.betweenness(edges(spark, *pairs), limit=None).count() > 50
     assert len(rows_of) > 3 and max(rows_of) <= 4
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_symbol_callers_meet_classes_of_seeds(spark):
+    names = [(f"a/mod{k % 7}_{k}.py", n, "function") for k in range(21) for n in (("run", "stop") if k % 3 else ("run",))] + [("x/caller.py", "other", "function"), ("mod3", "run", "function")]
+    symbols = spark.createDataFrame(names, "path string, name string, type string")
+    callers = ["b/Mod3_3/main.py", "b/mod3.py", "c.py", "a/mod0_0.py", "mod3"]
+    calls = spark.createDataFrame([(c, "f", n) for c in callers for n in ("run", "stop", "none")], "caller_file string, caller_symbol string, callee_symbol string")
+    seeds = symbols.select("path").where("path != 'x/caller.py'").distinct()
+    out = graph.symbol_callers(symbols, calls, seeds, 100, 0.0)
+    defs = {n: sum(x[1] == n for x in names) for n in ("run", "stop")}
+    want = {}
+    for c in callers:
+        for p in {x[0] for x in names if x[1] != "other" and x[0] != c}:
+            words = [w for w in re.split("[^a-z0-9]+", re.sub(r"\.[^.]*$", "", p.split("/")[-1]).lower()) if len(w) >= 3]
+            score = sum(1 / defs[x[1]] for x in names if x[0] == p) + any(w in c.lower() for w in words)
+            want[c] = max(want.get(c, 0), score)
+    assert {r.caller_file: round(r.score, 9) for r in out.collect()} == {c: round(v, 9) for c, v in want.items()}
+    assert not re.search(r"Aggregate \[path#\d+, caller_file", _plan(out))
+
+
+def test_affected_flows_do_not_pair_callers_with_files(spark, monkeypatch):
+    calls = spark.createDataFrame([("m", "f", "run", "a"), ("n", "g", "run", "a")], "caller_file string, caller_symbol string, callee_symbol string, callee_file string")
+    symbols = spark.createDataFrame([("a", "run"), ("b", "run"), ("a", "idle")], "path string, name string")
+    got = []
+    monkeypatch.setattr(community, "flows", lambda calls, entries, depth, steps: got.append(entries) or entries)
+    community.affected_flows(calls, symbols, paths(spark, "a", "b"))
+    assert rows(got[0]) == [("a", "idle"), ("m", "f"), ("n", "g")]
+    assert "LeftOuter" not in _plan(got[0])
