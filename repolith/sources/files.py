@@ -47,11 +47,13 @@ def resolved_links(paths: DataFrame, links: DataFrame, most_hops: int = 40) -> D
 
     aimed = F.when(F.col("target").startswith("/"), F.substring("target", 2, 1 << 30)).otherwise(F.concat(directory(F.col("path")), F.lit("/"), F.col("target")))
     table = links.select("path", aimed.alias("to"), F.lit(1).cast("long").alias("hops")).withColumn("to", normal_path(F.col("to")))
+    # Links may be made out of few rows, and their texts are far shorter in files than in memory: by such sizes Spark would send all of them
+    # through the driver. So they are written first, and the joins of links go by shuffles.
+    table = cut(table, "links")
     rounds = max(1, (most_hops - 1).bit_length())
     for _ in range(rounds):
         further = table.toDF("__path", "__to", "__hops")
-        on = table["to"].eqNullSafe(further["__path"])
-        table = cut(table.join(further, on, "left").select("path", F.when(F.col("__path").isNull(), F.col("to")).otherwise(F.col("__to")).alias("to"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops")), "links", table)
+        table = cut(table.join(further.hint("merge"), table["to"] == further["__path"], "left").select("path", F.when(F.col("__path").isNull(), F.col("to")).otherwise(F.col("__to")).alias("to"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops")), "links", table)
     # A path's shortest leading part that is a link is followed first, as a file system does.
     now = paths.select("path").distinct().select("path", normal_path(F.col("path")).alias("real"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("open"))
     now, k = cut(now, "paths"), 0
@@ -59,12 +61,12 @@ def resolved_links(paths: DataFrame, links: DataFrame, most_hops: int = 40) -> D
         going = now.where("open AND real IS NOT NULL")
         parts = F.split("real", "/")
         heads = going.select("path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("n", "head"))
-        hit = heads.join(table.toDF("head", "to", "more"), "head").groupBy("path").agg(F.min_by(F.struct("head", "to", "more"), "n").alias("x"))
+        hit = heads.join(table.toDF("head", "to", "more").hint("merge"), "head").groupBy("path").agg(F.min_by(F.struct("head", "to", "more"), "n").alias("x"))
         if hit.isEmpty():
             break
         rest = F.expr("substring(real, length(x.head) + 1)")
         # A link that came round to itself has more hops than any way may have.
-        moved = now.join(hit, "path", "left").select(
+        moved = now.join(hit.hint("merge"), "path", "left").select(
             "path", F.when(F.col("x").isNull(), F.col("real")).otherwise(normal_path(F.concat("x.to", rest))).alias("real"), (F.col("hops") + F.coalesce("x.more", F.lit(0))).alias("hops"), F.col("x").isNotNull().alias("open")
         )
         now, k = cut(moved.withColumn("open", F.col("open") & (F.col("hops") <= most_hops)), "paths", now), k + 1

@@ -258,3 +258,42 @@ def test_streams_keep_the_order_of_groups_in_several_frames(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert sorted(r.event_id for r in spark.table("framed_events").collect()) == [8, 18, 28, 38]
     assert sorted(r.ts for r in spark.table("framed_points").collect()) == [0, 10, 20, 30]
+
+
+def test_go_edges_are_distinct_without_a_shuffle_of_pairs(spark):
+    from repolith.operators.lineage import joined_in_blocks
+
+    paths = spark.createDataFrame([(f"d{k % 2}/{k}{'_test' if k % 3 == 0 else ''}.go",) for k in range(60)] * 2, "path string")
+    imports = spark.createDataFrame([(f"c{k}.go", "go", f"m/d{k % 2}") for k in range(40)] + [("c0.go", "go", "m//d0")] * 2, "path string, family string, specifier string")
+    code = [f"d{k % 2}/{k}.go" for k in range(60) if k % 3]
+    edges, links = extract.go_edges(imports, paths, "m"), extract.go_test_links(paths)
+    assert sorted((r.src, r.dst) for r in edges.collect()) == sorted((f"c{k}.go", c) for k in range(40) for c in code if c.startswith(f"d{k % 2}/"))
+    both = [(f"d{k % 2}/{k}_test.go", c) for k in range(0, 60, 3) for c in code if c.startswith(f"d{k % 2}/")]
+    assert sorted((r.src, r.dst) for r in links.collect()) == sorted(both + [(b, a) for a, b in both])
+    for made in (edges, links):
+        assert not made._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+    a, b = (spark.range(50).select((F.col("id") % 2).alias("k"), F.col("id").alias(n)) for n in "xy")
+    assert joined_in_blocks(a, b, "k", 3).distinct().count() == joined_in_blocks(a, b, "k", 3).count() == 1250
+
+
+def test_links_are_not_sent_through_the_driver(spark, monkeypatch):
+    real, plans = files.cut, []
+
+    def cut(df, name, after=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, after)
+
+    monkeypatch.setattr(files, "cut", cut)
+    links = spark.createDataFrame([("a/l", "m"), ("a/m", "/real"), ("r", "r"), ("o", "../x")], "path string, target string")
+    given = spark.createDataFrame([("a/l/f",), ("r/f",), ("o/f",), ("p",)], "path string")
+    got = sorted(map(tuple, files.resolved_links(given, links).collect()), key=str)
+    assert got == [("a/l/f", "real/f", "ok"), ("o/f", None, "outside"), ("p", "p", "ok"), ("r/f", None, "loop")]
+    assert not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_aliases_with_dots_at_the_end(spark):
+    aliases = spark.createDataFrame([("@/", "src/x/"), ("~", "src/a/..")], "prefix string, base string")
+    imports = spark.createDataFrame([("i.ts", "@/../b"), ("i.ts", "~"), ("i.ts", "@/.."), ("i.ts", "@/../../../no")], "path string, specifier string")
+    there = spark.createDataFrame([("src/b.ts",), ("src/index.ts",), ("no.ts",)], "path string")
+    got = sorted((r.specifier, r.dst) for r in extract.resolve_aliases(imports, aliases, there).collect())
+    assert got == [("@/..", "src/index.ts"), ("@/../b", "src/b.ts"), ("~", "src/index.ts")]
