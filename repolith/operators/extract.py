@@ -160,8 +160,11 @@ def resolve_aliases(imports: DataFrame, aliases: DataFrame, paths: DataFrame) ->
     """src, specifier, dst through aliases (prefix, base), tried longest prefix first. Aliases are a handful of configuration rows."""
     hit = imports.join(F.broadcast(aliases), F.expr("startswith(specifier, prefix)"))
     base = F.concat("base", F.expr("substring(specifier, length(prefix) + 1)"))
-    options = F.transform(F.array(*(F.concat(base, F.lit(s)) for s in SUFFIXES)), normal_path)
-    c = hit.select("path", "specifier", (-F.length("prefix")).alias("near"), F.posexplode(options).alias("pos", "candidate")).join(paths.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi")
+    # Where the last part is a name, endings don't change what . and .. do before it: the way is normalised once for all endings.
+    once = hit.select("*", base.alias("base_path")).select("*", normal_path(F.col("base_path")).alias("normal"))
+    ends = lambda c: F.array(*(F.concat(F.col(c), F.lit(s)) for s in SUFFIXES))
+    options = F.when(F.col("base_path").rlike(r"(^|/)\.{0,2}$"), F.transform(ends("base_path"), normal_path)).otherwise(ends("normal"))
+    c = once.select("path", "specifier", (-F.length("prefix")).alias("near"), F.posexplode(options).alias("pos", "candidate")).join(paths.select(F.col("path").alias("candidate")).distinct(), "candidate", "left_semi")
     return c.groupBy(F.col("path").alias("src"), "specifier").agg(F.min_by("candidate", F.struct("near", "pos")).alias("dst"))
 
 
