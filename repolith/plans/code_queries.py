@@ -130,7 +130,7 @@ _BLOCK_NODES = _values([(ext, *node) for ext, (_, nodes) in _BLOCKS.items() for
 def block_nodes(t: Tables) -> DataFrame:
     """Definitions and imports of the other languages, with brackets in strings and definitions in comments: a file for each part and language."""
     texts = F.explode(F.array(*(F.struct(F.lit(ext).alias("ext"), F.lit(text).alias("text")) for ext, (text, _) in _BLOCKS.items())))
-    files = t.raw("part").select("p_partkey", texts.alias("x")).select(F.concat(F.lit("p"), "p_partkey", F.lit("/x."), "x.ext").alias("path"), F.replace(F.col("x.text"), F.lit("<key>"), F.col("p_partkey").cast("string")).alias("content"))
+    files = t.part_keys().select("p_partkey", texts.alias("x")).select(F.concat(F.lit("p"), "p_partkey", F.lit("/x."), "x.ext").alias("path"), F.replace(F.col("x.text"), F.lit("<key>"), F.col("p_partkey").cast("string")).alias("content"))
     return extract.definitions(files).select("path", "type", "name", "start_line", "end_line")
 
 
@@ -166,7 +166,7 @@ def import_resolution_all(t: Tables) -> DataFrame:
     struct = lambda importer, statement, places: F.struct(F.lit(importer).alias("src"), F.lit(statement).alias("text"), F.array(*map(F.lit, places)).alias("places"))
     cases = F.array(*(struct(i, s, p) for i, s, _, p in _CASES))
     named = lambda c: F.replace(c, F.lit("<n>"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")))
-    x = t.raw("part").select("p_partkey", F.get(cases, (F.col("p_partkey") % len(_CASES)).cast("int")).alias("c"))
+    x = t.part_keys().select("p_partkey", F.get(cases, (F.col("p_partkey") % len(_CASES)).cast("int")).alias("c"))
     importers = x.select(named(F.col("c.src")).alias("path"), named(F.col("c.text")).alias("content"))
     files = cut(importers.unionByName(x.select(F.explode("c.places").alias("path"), "p_partkey").select(named(F.col("path")).alias("path"), F.lit("").alias("content"))), "files")
     return extract.resolve_imports(extract.raw_imports(files), files.select("path"))

@@ -221,7 +221,7 @@ _PY = 'import os.path\nfrom a<key>.b import c as d, e\n\n\n@deco(1)\nasync def f
 
 def _python(t: Tables) -> DataFrame:
     key = F.col("p_partkey").cast("string")
-    return t.raw("part").select(F.concat(F.lit("py/m"), key, F.lit(".py")).alias("path"), F.replace(F.lit(_PY), F.lit("<key>"), key).alias("content"))
+    return t.part_keys().select(F.concat(F.lit("py/m"), key, F.lit(".py")).alias("path"), F.replace(F.lit(_PY), F.lit("<key>"), key).alias("content"))
 
 
 @query("SELECT 'py/m' || p_partkey || '.py' AS path, type, replace(name, '<k>', CAST(p_partkey AS VARCHAR)) AS name, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line, m AS names FROM part, (VALUES ('import', 'os.path', 1, 1, 'os.path'), ('import', 'a<k>.b', 2, 2, 'd|e'), ('function', 'f<k>', 6, 8, ''), ('class', 'C<k>', 11, 13, 'def m(self)')) v(type, name, a, b, m)")
@@ -245,7 +245,7 @@ def alias_resolution(t: Tables) -> DataFrame:
     """Imports through a configuration's aliases: the first base that holds the file counts, @/ is the root."""
     k = F.col("p_partkey").cast("string")
     aliases = extract.tsconfig_aliases('{"compilerOptions": {"paths": {"~/*": ["src/*", "alt/*"]}}}')
-    texts = t.raw("part").select(F.concat(F.lit("web/p"), k, F.lit(".ts")).alias("path"), F.concat(F.lit("import a from '~/lib/m"), k, F.lit("';\nimport b from '@/m"), k, F.lit("';")).alias("content"))
+    texts = t.part_keys().select(F.concat(F.lit("web/p"), k, F.lit(".ts")).alias("path"), F.concat(F.lit("import a from '~/lib/m"), k, F.lit("';\nimport b from '@/m"), k, F.lit("';")).alias("content"))
     there = t.raw("part").select(F.explode(F.array(F.concat(F.when(F.col("p_partkey") % 2 == 0, "src/lib/m").otherwise("alt/lib/m"), k, F.lit(".ts")), F.concat(F.lit("m"), k, F.lit(".ts")))).alias("path"))
     return extract.resolve_aliases(extract.raw_imports(texts), t.spark.createDataFrame(aliases, "prefix string, base string"), there)
 

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from repolith.plans import catalog
 from repolith.sources.adapters import Tables
@@ -45,3 +46,12 @@ def test_flows_start_at_every_caller(spark):
     flows = catalog.queries()["execution_flow"](spark, SF)
     want = {(r.caller_file, r.caller_symbol) for r in Tables(spark, SF).calls().collect()}
     assert len(want) > 10 and {(r.entry_file, r.entry_symbol) for r in flows.collect()} == want
+
+
+def test_files_made_of_a_small_table_are_read_in_many_tasks(spark):
+    from repolith.plans.source_queries import _python
+
+    made = _python(Tables(spark, SF))
+    assert made.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    parts = Tables(spark, SF).part_keys().groupBy(F.spark_partition_id()).count().count()
+    assert parts > 1
