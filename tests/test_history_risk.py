@@ -140,3 +140,13 @@ def test_buckets_at_the_bounds(spark):
 
     got = df.select(risk.churn_bucket_tool(F.col("n")), risk.churn_bucket_dashboard(F.col("n"))).collect()
     assert [tuple(r) for r in got] == [("low", "low"), ("medium", "low"), ("medium", "medium"), ("high", "medium"), ("high", "high")]
+
+
+def test_pairs_are_shuffled_as_numbers_and_files_with_commits_are_not_joined_again(spark):
+    commits = spark.createDataFrame([(k, k % 3, 1000 * k, "fix", k == 4) for k in range(6)], "sha long, author long, ts long, message string, is_merge boolean")
+    files = spark.createDataFrame([(k, p, 1, 1) for k in range(6) for p in ("b/x", "a/y", "a/z")[: 3 if k % 2 else 2]], "sha long, path string, added long, deleted long")
+    touched = history.touches(commits, files)
+    assert history.touches(commits, touched) is touched
+    found = [sorted(map(tuple, history.cochange_pairs(commits, f).collect())) for f in (files, touched)]
+    # found is node_a, node_b, shared, count_a, count_b, last_ts, jaccard; the merge (4) doesn't count.
+    assert found[0] == found[1] == [("a/y", "a/z", 3, 5, 3, 5000, 0.6), ("a/y", "b/x", 5, 5, 5, 5000, 1.0), ("a/z", "b/x", 3, 3, 5, 5000, 0.6)]
