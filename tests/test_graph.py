@@ -215,3 +215,18 @@ def test_affected_flows_do_not_pair_callers_with_files(spark, monkeypatch):
     community.affected_flows(calls, symbols, paths(spark, "a", "b"))
     assert rows(got[0]) == [("a", "idle"), ("m", "f"), ("n", "g")]
     assert "LeftOuter" not in _plan(got[0])
+
+
+def test_community_rounds_move_blocks_and_not_edges(spark, monkeypatch):
+    """A round writes a row for each range of nodes, not one for each node."""
+    real, rows_of = community.cut, []
+
+    def cut(df, name, after=None):
+        out = real(df, name, after)
+        rows_of.extend([out.count()] if name == "labels" else [])
+        return out
+
+    monkeypatch.setattr(community, "cut", cut)
+    pairs = [(f"n{k:03}", f"n{(k * m + 1) % 90:03}") for k in range(90) for m in (1, 7)]
+    assert community.communities(edges(spark, *pairs), 0, 3, 1).count() == 90
+    assert len(rows_of) > 1 and max(rows_of) == 1
