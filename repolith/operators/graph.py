@@ -66,6 +66,12 @@ def diff(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     return seen.select(*columns, F.when(F.col("n") == 1, "added").otherwise("removed").alias("change"))
 
 
+def diff_of_views(rows: DataFrame, old: Column, new: Column, columns: list[str]) -> DataFrame:
+    """The same of two views of one table: of its distinct rows, those that only one of the conditions holds for. Nothing is aggregated twice."""
+    o, n = F.coalesce(old, F.lit(False)), F.coalesce(new, F.lit(False))
+    return rows.where(o != n).select(*columns, F.when(n, "added").otherwise("removed").alias("change"))
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 10, direction: str = "out") -> DataFrame:
     """path, hop of what the seeds (path) reach within depth hops; seeds have hop 0. direction: out follows imports, in follows importers, both either.
 

@@ -1,5 +1,6 @@
 from repolith.functions.predicates import glob_to_regex
 from repolith.operators import community, graph
+from repolith.plans import catalog
 from repolith.operators.lineage import numbered
 
 import re
@@ -230,3 +231,11 @@ def test_community_rounds_move_blocks_and_not_edges(spark, monkeypatch):
     pairs = [(f"n{k:03}", f"n{(k * m + 1) % 90:03}") for k in range(90) for m in (1, 7)]
     assert community.communities(edges(spark, *pairs), 0, 3, 1).count() == 90
     assert len(rows_of) > 1 and max(rows_of) == 1
+
+
+def test_diff_of_views_aggregates_no_paths(spark):
+    e = edges(spark, ("a", "b"), ("c", "b"), ("a", "d"), ("c", "d"))
+    old, new = F.col("src") != "a", F.col("dst") != "d"
+    assert rows(graph.diff_of_views(e, old, new, ["src", "dst"])) == rows(graph.diff(e.where(old), e.where(new), ["src", "dst"])) == [("a", "b", "added"), ("c", "d", "removed")]
+    plan = _plan(catalog.queries()["graph_diff_edges"](spark, "/root/testdata/sf0.001"))
+    assert not re.search(r"Aggregate \[(src|path)#\d+, (dst|path)#\d+", plan) and plan.count("lineitem.parquet") + plan.count("Window [") <= 2
