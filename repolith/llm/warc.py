@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm.common import cut, remove, scratch
+from repolith.llm.common import cut, drop_cut, remove, scratch
 
 END = "\r\n"
 LEAST = 1000
@@ -57,10 +57,10 @@ def write(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = 256
     mine = mine.withColumn("n", F.octet_length("html").cast("long")).withColumn("own", record_id("capture", F.col("page_id"), F.col("digest"), F.col("url")))
     mine = mine.withColumn("class", F.when(F.col("n") < 1 << 16, 0).otherwise(F.floor(F.log2("n") / 4).cast("int")))
     narrow = mine.select("page_id", "digest", "n", "own").where(F.col("n") >= least)
-    first = narrow.where("page_id IS NOT NULL").groupBy("digest").agg(F.max(F.struct(F.col("page_id").alias("first"), F.col("own").alias("first_own"))).alias("x")).select("digest", "x.*")
-    several = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("digest")
+    known = F.when(F.col("page_id").isNotNull(), F.struct(F.col("page_id").alias("first"), F.col("own").alias("first_own")))
+    first = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("k"), F.max(known).alias("x")).where("k > 1 and x is not null").select("digest", "x.*")
     # Decisions move without the payloads, and reach them by page and digest: equal payloads don't meet in one task.
-    again = narrow.join(several, "digest").join(first, "digest").where("page_id is null or page_id != first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first_own").distinct()
+    again = narrow.join(first, "digest").where("page_id is null or page_id != first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first_own").distinct()
     rows = mine.join(again, mine["page_id"].eqNullSafe(again["p"]) & (mine["digest"] == again["d"]), "left")
 
     uri = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), "[\\x00-\\x1f\\x7f]", "%00")
@@ -173,7 +173,10 @@ def captures(records: DataFrame) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), at)
-    whole = captures(read(spark, at, payloads=False))
+    # The archives are parsed once: what is read of them goes to a table, which captures() asks twice.
+    records = cut(read(spark, at, payloads=False).drop("payload"), "records")
+    remove(spark, at)
+    whole = captures(records.withColumn("payload", F.lit(None).cast("binary")))
     page = F.nullif(F.regexp_extract(F.get("metadata", F.lit(0))["notes"], r"(?m)^page_id: (-?\d+)", 1), F.lit("")).cast("long")
     is_revisit = F.col("capture.kind") == "revisit"
     rows = cut(
@@ -184,7 +187,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "captures",
     )
-    remove(spark, at)
+    drop_cut(records)
     # A revisit refers to its response by the record's id. A response may have many revisits: the join can be split at run time.
     of = rows.join(rows.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("response"))
     out = rows.join(of, "refers_to", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

@@ -508,3 +508,11 @@ def test_pipeline_stages_keep_columns_and_drop_what_they_should(spark, tmp_path)
         kept = now
     packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").collect()} == kept
+
+
+def test_warc_archives_are_parsed_once(spark, tmp_path, monkeypatch):
+    pages(spark).write.parquet(str(tmp_path / "pages.parquet"))
+    asked, captures = [], warc.captures
+    monkeypatch.setattr(warc, "captures", lambda records: asked.extend(records.inputFiles()) or captures(records))
+    assert warc.op6_warc(spark, str(tmp_path)).count() > 0
+    assert asked and not [x for x in asked if x.endswith(".gz")]
