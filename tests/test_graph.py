@@ -239,3 +239,11 @@ def test_diff_of_views_aggregates_no_paths(spark):
     assert rows(graph.diff_of_views(e, old, new, ["src", "dst"])) == rows(graph.diff(e.where(old), e.where(new), ["src", "dst"])) == [("a", "b", "added"), ("c", "d", "removed")]
     plan = _plan(catalog.queries()["graph_diff_edges"](spark, "/root/testdata/sf0.001"))
     assert not re.search(r"Aggregate \[(src|path)#\d+, (dst|path)#\d+", plan) and plan.count("lineitem.parquet") + plan.count("Window [") <= 2
+
+
+def test_flows_go_through_arrow_columns(spark, monkeypatch):
+    """No frame of Rows is made of what flows know; odd strings and places without callees pass."""
+    monkeypatch.setattr(community.DataFrame, "mapInPandas", None)
+    calls = spark.createDataFrame([("f", "main", "é", "g/ü"), ("f", "main", "", "f"), ("g/ü", "é", "main", "f"), ("f", "", None, None)], "caller_file string, caller_symbol string, callee_symbol string, callee_file string")
+    got = community.flows(calls, spark.createDataFrame([("f", "main"), ("x", "none")], "file string, symbol string")).orderBy("entry_file", "step").collect()
+    assert [(r.entry_symbol, r.file, r.symbol, r.depth, r.is_cycle) for r in got] == [("main", "f", "main", 0, False), ("main", "f", "", 1, False), ("main", None, None, 2, False), ("main", "g/ü", "é", 1, False), ("main", "f", "main", 2, True), ("none", "x", "none", 0, False)]
