@@ -541,7 +541,7 @@ def connected(lists: DataFrame, sets: DataFrame, classes, p: Params) -> DataFram
 def jaccard_components(documents: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     # Sets are wide, and all that runs in Python ends in here; tasks that read less of a shuffle sort in less memory.
-    with arrow_bytes(documents.sparkSession, "4m"), settings(documents.sparkSession, spark__sql__adaptive__advisoryPartitionSizeInBytes="16m"):
+    with arrow_bytes(documents.sparkSession, "4m"), settings(documents.sparkSession, spark__sql__adaptive__advisoryPartitionSizeInBytes="8m"):
         return _components(documents, p)
 
 

@@ -49,10 +49,10 @@ class WordEncoder:
     from its words'. Of a word of Latin letters normalising is lower-casing, and
     nothing cuts it: the tokenizer's merge rules are applied to all such words of
     a batch in step. Other words go to the tokenizers library, whose answers are
-    kept in a dictionary of bounded size.
+    kept in a dictionary of bounded size until forget() is called.
     """
 
-    def __init__(self, path: str, most: int = 100_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 25_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,6 +71,9 @@ class WordEncoder:
     def call(self, word: str) -> list[int]:
         return self.lib.encode(word, add_special_tokens=False).ids
 
+    def forget(self) -> None:
+        self.known.empty()
+
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         size = pc.binary_length(words).to_numpy(zero_copy_only=False)
         latin = pc.match_substring_regex(words, LATIN).to_numpy(zero_copy_only=False) & (size <= Merges.LONGEST)
@@ -185,6 +188,9 @@ def pack(documents: DataFrame, encoder: Callable[[], Encoder], length: int = LEN
             yield flush()
         for items in open_bins.rest():
             close(items)
+        # The worker lives on, and so may the encoder: its tables stay, the words of this task don't.
+        if forget := getattr(getattr(encode, "__self__", None), "forget", None):
+            forget()
         yield flush()
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -500,3 +500,25 @@ def test_an_id_that_many_documents_share_is_learnt_once(spark):
     for op, p in ((quality, SMALL_Q), (toxicity, SMALL_T)):
         a, b = op.train(docs, labels, p), op.train(same, labels.distinct(), p)
         assert np.array_equal(a[0], b[0]) and a[1] == b[1]
+
+
+def test_workers_keep_no_words_of_a_packing_task(spark):
+    """Workers live on between stages: what an encoder keeps would be missing in the next one."""
+    from repolith.llm import packing
+    from repolith.llm.common import WordCache
+
+    docs = spark.createDataFrame([(i, " ".join(f"слово{i}x{j}" for j in range(200))) for i in range(40)], "doc_id long, text string").repartition(2)
+    assert packing.pack(docs, packing.word_encoder()).count() == 40
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            known = packing._word_encoder(None).known
+            yield pa.RecordBatch.from_arrays([pa.array([len(known) + len(known.before)], pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(0, 8, 1, 2).mapInArrow(held, "n long").collect()} == {0}
+    cache = WordCache(str.upper, 3)
+    assert [cache[w] for w in "abcdea"] == list("ABCDEA") and cache.before
+    cache.empty()
+    assert not cache and not cache.before and cache["a"] == "A"
