@@ -522,3 +522,19 @@ def test_workers_keep_no_words_of_a_packing_task(spark):
     assert [cache[w] for w in "abcdea"] == list("ABCDEA") and cache.before
     cache.empty()
     assert not cache and not cache.before and cache["a"] == "A"
+
+
+def test_toxicity_keeps_words_as_arrays():
+    """Buckets of 20,000 distinct words take some MB, as sets they took more than 40."""
+    import tracemalloc
+
+    from repolith.llm import toxicity
+
+    p = toxicity.Params()
+    texts = [" ".join(f"word{i}number{j}" for j in range(1000)) for i in range(20)] + [None, "a a"]
+    tracemalloc.start()
+    got = toxicity.text_buckets(texts, p)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.tolist() for x in got] == [sorted(set().union(*(toxicity.grams_of(w, p) for w in set((t or "").split())))) for t in texts]
+    assert all(x.dtype == "int32" for x in got) and most < 20e6
