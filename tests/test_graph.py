@@ -218,6 +218,16 @@ def test_affected_flows_do_not_pair_callers_with_files(spark, monkeypatch):
     assert "LeftOuter" not in _plan(got[0])
 
 
+def test_affected_flows_are_of_all_callers(spark):
+    calls = spark.createDataFrame([(f"m{k:02}", f"f{k % 3}", "run", "a") for k in range(45)], "caller_file string, caller_symbol string, callee_symbol string, callee_file string")
+    symbols = spark.createDataFrame([("a", "run"), ("a", "idle")], "path string, name string")
+    flows = community.affected_flows(calls, symbols, paths(spark, "a")).collect()
+    assert sorted((r.entry_file, r.entry_symbol) for r in flows if r.step == 0) == [("a", "idle"), *((f"m{k:02}", f"f{k % 3}") for k in range(45))]
+    assert len(flows) == 1 + 2 * 45
+    first = community.affected_flows(calls, symbols, paths(spark, "a"), most=2).where("step = 0").collect()
+    assert sorted(r.entry_file for r in first) == ["a", "m00"]
+
+
 def test_community_rounds_move_blocks_and_not_edges(spark, monkeypatch):
     """A round writes a row for each range of nodes, not one for each node."""
     real, rows_of = community.cut, []
