@@ -297,3 +297,16 @@ def test_aliases_with_dots_at_the_end(spark):
     there = spark.createDataFrame([("src/b.ts",), ("src/index.ts",), ("no.ts",)], "path string")
     got = sorted((r.specifier, r.dst) for r in extract.resolve_aliases(imports, aliases, there).collect())
     assert got == [("@/..", "src/index.ts"), ("@/../b", "src/b.ts"), ("~", "src/index.ts")]
+
+
+def test_blocks_of_wide_keys_are_not_copied(spark):
+    """Each row is shuffled once, however many blocks the other side has; narrow keys, null keys and repeated rows are as in a plain join."""
+    from repolith.operators.lineage import joined_in_blocks
+
+    a = spark.createDataFrame([("w", k, "x") for k in range(40)] + [("n", 1, "y"), ("n", 1, "y"), (None, 2, "z"), ("only", 3, "z")], "k string, a int, b string")
+    b = spark.createDataFrame([("w", float(k)) for k in range(25)] + [("n", 0.5), ("n", None), (None, 1.0)], "k string, c double")
+    made = joined_in_blocks(a, b, "k", 4)
+    assert sorted(map(str, made.collect())) == sorted(map(str, a.join(b, "k").collect())) and made.count() == 40 * 25 + 4
+    paths = spark.createDataFrame([(f"d/{k}{'_test' if k % 3 == 0 else ''}.go",) for k in range(60)], "path string")
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (made, extract.go_test_links(paths))):
+        assert "CartesianProduct" in plan and "sequence(" not in plan
