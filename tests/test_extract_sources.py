@@ -310,3 +310,13 @@ def test_blocks_of_wide_keys_are_not_copied(spark):
     paths = spark.createDataFrame([(f"d/{k}{'_test' if k % 3 == 0 else ''}.go",) for k in range(60)], "path string")
     for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (made, extract.go_test_links(paths))):
         assert "CartesianProduct" in plan and "sequence(" not in plan
+
+
+def test_package_edges_copy_no_file(spark):
+    """A package of 1,100 files with as many importers: blocks are read where they meet, no row is made once for each block of the other side."""
+    paths = spark.range(1100).select(F.concat(F.lit("d/"), "id", F.lit(".go")).alias("path"))
+    imports = spark.range(1100).select(F.concat(F.lit("c/"), "id", F.lit(".go")).alias("path"), F.lit("go").alias("family"), F.lit("m/d").alias("specifier"))
+    made = extract.go_edges(imports, paths, "m")
+    assert made.count() == 1100 * 1100 and made.agg(F.countDistinct("src"), F.countDistinct("dst")).first() == (1100, 1100)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "sequence(" not in plan
