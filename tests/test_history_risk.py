@@ -1,5 +1,8 @@
 import math
 
+import pytest
+from pyspark.sql import functions as F
+
 from repolith.operators import history, risk
 
 DAY = 86400
@@ -150,3 +153,40 @@ def test_pairs_are_shuffled_as_numbers_and_files_with_commits_are_not_joined_aga
     found = [sorted(map(tuple, history.cochange_pairs(commits, f).collect())) for f in (files, touched)]
     # found is node_a, node_b, shared, count_a, count_b, last_ts, jaccard; the merge (4) doesn't count.
     assert found[0] == found[1] == [("a/y", "a/z", 3, 5, 3, 5000, 0.6), ("a/y", "b/x", 5, 5, 5, 5000, 1.0), ("a/z", "b/x", 3, 3, 5, 5000, 0.6)]
+
+
+def test_gathered_commits_give_the_same_pairs(spark):
+    commits = spark.createDataFrame([(k, k % 3, 100 + k, "m", k % 4 == 3) for k in range(12)], "sha long, author long, ts long, message string, is_merge boolean")
+    files = spark.createDataFrame([(k, f"f{j}", j, k) for k in range(12) for j in range(9 if k == 5 else 2 + k % 3)], "sha long, path string, added long, deleted long")
+    names = spark.createDataFrame([(f"f{j}", j) for j in range(9)], "path string, node int")
+    numbers = files.join(names, "path").select("sha", F.col("node").alias("path"), "added", "deleted")
+    made = history.gathered(commits, numbers.repartition("sha"), 4)
+    of = {r.sha: r.n for r in made.collect()}
+    assert of[5] == 9 and max(len(r.files) for r in made.where("n <= 4").collect()) == 4 and made.where("sha = 5").count() > 1
+    flat = made.select("sha", F.explode("files").alias("f")).select("sha", "f.*")
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, numbers.collect()))
+    lists = made.where("NOT is_merge AND n <= 4").select("ts", F.array_sort(F.col("files.path")).alias("p"))
+    got, want = history.pairs_of(lists, names, 4, 2), history.cochange_pairs(commits, files, 4, 2)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_impact_reads_lines_once_for_edges_and_calls(spark, monkeypatch):
+    """The graph of the flagship is a written table: hops don't order all lines again, and the history has no paths in it."""
+    from repolith.operators import graph
+    from repolith.plans import catalog
+    from repolith.sources.adapters import Tables
+
+    seen, real = [], Tables.next_parts
+    monkeypatch.setattr(Tables, "next_parts", lambda t: seen.append("lines") or real(t))
+
+    class Seen(Exception):
+        pass
+
+    def radius(edges, *more, **named):
+        seen.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        raise Seen
+
+    monkeypatch.setattr(graph, "impact_radius", radius)
+    with pytest.raises(Seen):
+        catalog.queries()["impact_union"](spark, "/root/testdata/sf0.001")
+    assert seen[:-1] == ["lines"] and "Window" not in seen[-1] and "lineitem" not in seen[-1]
